@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bagminhash
+from . import bagminhash, bpe, prefix_counts
 
 QUERIES = {
+    "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
     "op7_minhash_near_dedup": bagminhash.op7_minhash_near_dedup,
+    "op10_token_counts": prefix_counts.op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
