@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from . import bagminhash, bpe, prefix_counts
+from . import bagminhash, bpe, chat, decontam, fingerprint, pii, prefix_counts, toxicity, warc, wavelet
 
 QUERIES = {
+    "op1_nnpu_toxicity": toxicity.op1_nnpu_toxicity,
     "op2_bpe_round_trip": bpe.op2_bpe_round_trip,
+    "op3_oph_fingerprint": fingerprint.op3_oph_fingerprint,
+    "op4_perspective_rotation": chat.op4_perspective_rotation,
+    "op5_wavelet_token_files": wavelet.op5_wavelet_token_files,
+    "op6_template_decontamination": decontam.op6_template_decontamination,
     "op7_minhash_near_dedup": bagminhash.op7_minhash_near_dedup,
+    "op8_warc_capture_index": warc.op8_warc_capture_index,
+    "op9_pii_spans": pii.op9_pii_spans,
     "op10_token_counts": prefix_counts.op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_perspective_rotation": chat.ORACLE_SQL,
+    "op8_warc_capture_index": warc.ORACLE_SQL,
+}
