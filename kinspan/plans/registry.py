@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import intervals
-from ..operators import association, deletions, genotypes, ibd, recombination
+from ..config import PhaseConfig
+from ..functions import intervals, stats
+from ..operators import association, deletions, genotypes, hmm, ibd, recombination
 from . import projections as p
 
 CUTOFF = 20000
@@ -377,3 +378,88 @@ def set_ops(spark, sf_dir):
     kinds = {"both": one.intersect(two), "first": one.subtract(two), "either": one.union(two).distinct()}
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, df in kinds.items()]
     return parts[0].union(parts[1]).union(parts[2])
+
+
+SESSION_SQL = """WITH e AS (
+  SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events WHERE event_type = 'click'
+), s AS (SELECT *, sum(CASE WHEN epoch_us(ts) - epoch_us(before) >= 7200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e)
+SELECT user_id, count(*) AS n_recombinations, CAST(floor(min(epoch_us(ts)) / 1000000.0) AS BIGINT) AS first_second, CAST(floor(max(epoch_us(ts)) / 1000000.0) AS BIGINT) AS last_second, count(*) % 2 = 0 AS is_gene_conversion FROM s GROUP BY user_id, g"""
+
+
+@query(SESSION_SQL)
+def session_events(spark, sf_dir):
+    from ..streaming.recombination_stream import event_sessions
+
+    clicks = p.table(spark, sf_dir, "events").where("event_type = 'click'").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    sessions = event_sessions(clicks, "2 hours", "1 day", ["user_id"])
+    return sessions.select("user_id", "n_recombinations", F.unix_seconds("first_ts").alias("first_second"), F.unix_seconds("last_ts").alias("last_second"), "is_gene_conversion")
+
+
+TABLE_SQL = "WITH t AS (SELECT l_suppkey, count(*) FILTER (WHERE l_returnflag = 'R' AND l_linestatus = 'F') AS a, count(*) FILTER (WHERE l_returnflag = 'R' AND l_linestatus <> 'F') AS b, count(*) FILTER (WHERE l_returnflag <> 'R' AND l_linestatus = 'F') AS c, count(*) FILTER (WHERE l_returnflag <> 'R' AND l_linestatus <> 'F') AS d FROM lineitem GROUP BY l_suppkey)"
+
+
+def _tables(spark, sf_dir):
+    """A 2x2 table for each supplier."""
+    one, two = F.col("l_returnflag") == "R", F.col("l_linestatus") == "F"
+    items = p.table(spark, sf_dir, "lineitem")
+    return items.groupBy("l_suppkey").agg(F.count_if(one & two).alias("a"), F.count_if(one & ~two).alias("b"), F.count_if(~one & two).alias("c"), F.count_if(~one & ~two).alias("d"))
+
+
+@query(TABLE_SQL + " SELECT l_suppkey, a, b, c, d, round((a + b + c + d) * CAST(a * d - b * c AS DOUBLE) * (a * d - b * c) / nullif(CAST(a + b AS DOUBLE) * (c + d) * (a + c) * (b + d), 0), 6) AS chi2 FROM t")
+def chi2_contingency(spark, sf_dir):
+    columns = [F.col(x).cast("double") for x in "abcd"]
+    return _tables(spark, sf_dir).withColumn("chi2", F.round(stats.chi2_2x2(*columns), 6))
+
+
+@query(TABLE_SQL + ", q AS (SELECT *, CAST(a AS DOUBLE) / (a + b) AS p1, CAST(c AS DOUBLE) / (c + d) AS p2, CAST(a + c AS DOUBLE) / (a + b + c + d) AS pool FROM t WHERE a + b > 0 AND c + d > 0) SELECT l_suppkey, round((p1 - p2) / nullif(sqrt(pool * (1 - pool) * (1.0 / (a + b) + 1.0 / (c + d))), 0), 5) AS z FROM q")
+def two_proportion_z(spark, sf_dir):
+    n1, n2 = F.col("a") + F.col("b"), F.col("c") + F.col("d")
+    return _tables(spark, sf_dir).where((n1 > 0) & (n2 > 0)).select("l_suppkey", F.round(stats.two_proportion_z(F.col("a"), n1, F.col("c"), n2), 5).alias("z"))
+
+
+@query(TABLE_SQL + ", q AS (SELECT l_suppkey, a, a + b AS n, a + b + 3.8414588206941245 AS m FROM t WHERE a + b > 0), c AS (SELECT *, (a + 1.9207294103470622) / m AS centre FROM q) SELECT l_suppkey, a, n, round(greatest(centre - 1.959963984540054 * sqrt(centre * (1 - centre) / m), 0), 5) AS low, round(least(centre + 1.959963984540054 * sqrt(centre * (1 - centre) / m), 1), 5) AS high FROM c")
+def proportion_intervals(spark, sf_dir):
+    rows = _tables(spark, sf_dir).select("l_suppkey", "a", (F.col("a") + F.col("b")).alias("n")).where("n > 0")
+    low, high = stats.agresti_coull(F.col("a"), F.col("n"))
+    return rows.select("l_suppkey", "a", "n", F.round(low, 5).alias("low"), F.round(high, 5).alias("high"))
+
+
+@query()
+def exact_tests(spark, sf_dir):
+    """Exact p-values have no SQL; they are held against enumeration in the tests."""
+    rows = _tables(spark, sf_dir).withColumn("n", F.col("a") + F.col("b")).withColumn("half", F.lit(0.5))
+    rows = stats.on_distinct(rows, ["a", "n", "half"], "binomial_p", stats.binomial_p)
+    rows = stats.on_distinct(rows, ["a", "b", "c", "d"], "fisher_p", stats.fisher_p)
+    return rows.drop("half")
+
+
+@query()
+def chi2_p_values(spark, sf_dir):
+    rows = chi2_contingency(spark, sf_dir).withColumn("dof", F.lit(1))
+    return stats.on_distinct(rows, ["chi2", "dof"], "p", stats.chi2_p).drop("dof")
+
+
+@query("SELECT round(corr(l_quantity, l_extendedprice), 6) AS r, count(*) AS n FROM lineitem")
+def pearson(spark, sf_dir):
+    return p.table(spark, sf_dir, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"), F.count("*").alias("n"))
+
+
+@query("WITH v AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS g, o_totalprice AS x FROM orders), s AS (SELECT count(CASE WHEN g = 0 THEN x END) AS n0, count(CASE WHEN g = 1 THEN x END) AS n1, avg(CASE WHEN g = 0 THEN x END) AS m0, avg(CASE WHEN g = 1 THEN x END) AS m1, var_samp(CASE WHEN g = 0 THEN x END) / count(CASE WHEN g = 0 THEN x END) AS s0, var_samp(CASE WHEN g = 1 THEN x END) / count(CASE WHEN g = 1 THEN x END) AS s1 FROM v) SELECT n0, n1, round((m1 - m0) / sqrt(s0 + s1), 5) AS t, round((s0 + s1) * (s0 + s1) / (s0 * s0 / (n0 - 1) + s1 * s1 / (n1 - 1)), 3) AS dof FROM s")
+def welch_t(spark, sf_dir):
+    rows = p.table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "F").cast("int").alias("g"), "o_totalprice")
+    return stats.welch(rows, "o_totalprice", "g").select("n0", "n1", F.round("t", 5).alias("t"), F.round("dof", 3).alias("dof"))
+
+
+@query("WITH v AS (SELECT o_totalprice AS x, sum(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END) AS a, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS b FROM orders GROUP BY 1), r AS (SELECT abs(sum(a) OVER (ORDER BY x ROWS UNBOUNDED PRECEDING) / CAST((SELECT sum(a) FROM v) AS DOUBLE) - sum(b) OVER (ORDER BY x ROWS UNBOUNDED PRECEDING) / CAST((SELECT sum(b) FROM v) AS DOUBLE)) AS d FROM v) SELECT round(max(d), 6) AS ks FROM r")
+def ks_two_sample(spark, sf_dir):
+    rows = p.table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "F").cast("int").alias("g"), "o_totalprice")
+    return stats.ks_statistic(rows, "o_totalprice", "g").select(F.round("ks", 6).alias("ks"))
+
+
+@query()
+def phase_quads(spark, sf_dir):
+    """Segments of quads of suppliers over the genotype projection, by the family model."""
+    members = p.table(spark, sf_dir, "supplier").selectExpr("cast(floor(s_suppkey / 4) as bigint) as family", "s_suppkey as sample", "cast(s_suppkey % 4 as int) as place")
+    config = PhaseConfig()
+    found = hmm.observations(p.genotype(spark, sf_dir), members)
+    return hmm.phase(found, hmm.uniform_costs(4, 1), 2, config)
