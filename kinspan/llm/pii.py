@@ -153,10 +153,13 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.stop)), ",")
 
     bases = [i for i, k in enumerate(KINDS) if k.base]
-    counts = [F.size(F.filter("pii_spans", lambda s, i=i: s.kind_no == i)).cast("long").alias(f"n_{KINDS[i].name}") for i in bases]
+
+    def count(i: int) -> Column:
+        return F.size(F.filter("pii_spans", lambda s: s.kind_no == i)).cast("long").alias(f"n_{KINDS[i].name}")
+
     return found.select(
         "doc_id",
-        *counts,
+        *[count(i) for i in bases],
         F.sha2(joined(F.filter("pii_spans", lambda s: s.kind_no < len(bases))), 256).alias("base_sha256"),
         joined(F.col("pii_spans")).alias("spans"),
         F.array_join(F.transform("pii_spans", lambda s: s.score.cast("string")), ",").alias("scores"),
