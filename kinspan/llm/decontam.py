@@ -1,8 +1,9 @@
 """Benchmark passages in documents, also with other numbers, names or units.
 
 Texts become templates: numbers, units after a number and names (capitalised
-words that do not begin a sentence) turn into typed placeholders, all other
-words are lowered and stripped of marks at their ends. Windows of WINDOW
+words, not in capitals throughout, that do not begin a sentence) turn into typed
+placeholders, all other words are lowered and stripped of marks at their ends.
+Windows of WINDOW
 template tokens of the documents are hash-joined to those of the benchmark. A
 document holds an item if, along one alignment, placeholders of the item map to
 one value each (the slots are consistent) and enough of the item's windows match.
@@ -74,7 +75,7 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray,
     sentence[1:] |= _stop[data[words.ends[:-1] - 1]] | (lines[words.starts[1:]] != lines[words.ends[:-1]])
     second = data[np.minimum(starts + 1, len(data) - 1)]
     capital = _upper[lead] | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-    kinds[capital & ~sentence & ~bare] = 2
+    kinds[capital & ~_upper[second] & (ends - starts > 1) & ~sentence & ~bare] = 2
     after = np.zeros(len(hashes), bool)
     after[1:] = (kinds[:-1] == 1) & ~first[1:]
     kinds[after & np.isin(hashes, _unit_hashes())] = 3
