@@ -21,18 +21,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import read_table, written
-from .words import LOWER, SPACES_AND_MARKS, chunks, mix, words_of
+from .words import LOWER, SPACES_AND_MARKS, chunks, mix, shingles, words_of
 
 #: Bytes of a word's beginning that are features beside the whole word.
-PREFIX_BYTES = (4, 5, 6)
+PREFIX_BYTES = (4, 5, 6, 7, 8)
 #: Bounds of the training sample: confirmed toxic texts, unlabelled texts.
 MAX_TOXIC = 3000
 MAX_UNLABELLED = 9000
-#: Features that enter the model, and how many standard deviations their share
-#: among toxic texts must be from that among unlabelled ones.
+#: Features that enter the model. They must occur in LEAST_TEXTS toxic texts and
+#: more often there than chance allows: the Chernoff bound of their count, times the
+#: number of features tried, is below exp(-MARGIN). Of their texts a share of
+#: LEAST_PURITY must be toxic, as the class prior tells it, give or take TOLERANCE
+#: standard deviations.
 MAX_FEATURES = 20_000
-LEAST_Z = 5.0
 LEAST_TEXTS = 4
+MARGIN = 2.0
+LEAST_PURITY = 0.85
+TOLERANCE = 2.0
+#: Shingle minima that the sample's texts are compared by: of texts that share one,
+#: the first trains, so that copies of one text don't make its words look toxic.
+SKETCH = 4
 STEPS, STEP_SIZE, DECAY = 400, 0.1, 1e-5
 FILTER_BITS = 22
 
@@ -61,7 +69,25 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             new[1:] = (text[1:] != text[:-1]) | (feature[1:] != feature[:-1])
             text, feature = text[new], feature[new]
             ends = np.searchsorted(text, np.arange(to - at + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(at, to - at), pa.ListArray.from_arrays(ends, feature.view(np.int64))], ["toxic", "features"])
+            hashes, counts = shingles(words_of(data, offsets, SPACES_AND_MARKS, LOWER))
+            sketch = np.zeros((to - at, SKETCH), np.int64)
+            full = counts > 0
+            for k in range(SKETCH if len(hashes) else 0):
+                sketch[full, k] = np.minimum.reduceat(mix(hashes + np.uint64(k)), (np.cumsum(counts) - counts)[full]).view(np.int64)
+            columns = [batch.column("toxic").slice(at, to - at), pa.ListArray.from_arrays(ends, feature.view(np.int64)), pa.ListArray.from_arrays(np.arange(0, (to - at) * SKETCH + 1, SKETCH, dtype=np.int32), sketch.reshape(-1))]
+            yield pa.RecordBatch.from_arrays(columns, ["toxic", "features", "sketch"])
+
+
+def one_of_copies(toxic: np.ndarray, sketches: np.ndarray) -> np.ndarray:
+    """Which rows share no shingle minimum with an earlier row of their kind."""
+    keep = np.ones(len(toxic), bool)
+    for k in range(SKETCH):
+        seen: set[tuple[bool, int]] = set()
+        for i in np.flatnonzero(keep):
+            value = (bool(toxic[i]), int(sketches[i, k]))
+            keep[i] = value not in seen
+            seen.add(value)
+    return keep
 
 
 def fit_non_negative_pu(rows: list[np.ndarray], toxic: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, float]:
@@ -84,9 +110,12 @@ def fit_non_negative_pu(rows: list[np.ndarray], toxic: np.ndarray, prior: float)
     at = np.minimum(np.searchsorted(names, flat), len(names) - 1)
     hit = names[at] == flat
     other = np.bincount(at[hit & ~seen_toxic], minlength=len(names))
-    share, base = counts / n_toxic, (other + 1.0) / (n_other + 2.0)
-    z = (share - base) / np.sqrt(base * (1 - base) * (1 / n_toxic + 1 / n_other))
-    chosen = np.sort(np.argsort(-z, kind="stable")[: min(MAX_FEATURES, int((z >= LEAST_Z).sum()))])
+    chance = n_toxic * (other + 1.0) / (n_other + 2.0)
+    evidence = np.where(counts > chance, counts * np.log(counts / chance) - counts + chance, 0.0)
+    toxic_among_other = prior * counts / n_toxic * n_other
+    pure = other <= toxic_among_other / LEAST_PURITY + TOLERANCE * np.sqrt(toxic_among_other)
+    good = pure & (evidence >= np.log(len(names)) + MARGIN)
+    chosen = np.sort(np.argsort(-np.where(good, evidence, -1.0), kind="stable")[: min(MAX_FEATURES, int(good.sum()))])
     if not len(chosen):
         return nothing
     place = np.full(len(names), -1)
@@ -129,17 +158,20 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_un
     # The bounded sample's ids are broadcast: at most max_toxic + max_unlabelled rows.
     chosen = F.broadcast(written(some.union(rest), "sample"))
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("toxic", "text")
-    sample = texts.mapInArrow(_sample_features, "toxic boolean, features array<long>")
+    sample = texts.mapInArrow(_sample_features, "toxic boolean, features array<long>, sketch array<long>")
     sample = written(sample, "features")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, toxic = [], []
+        rows, toxic, sketches = [], [], []
         for batch in batches:
             toxic += batch.column("toxic").to_pylist()
+            sketches += batch.column("sketch").to_pylist()
             column = batch.column("features")
             values, ends = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
             rows += [values[a:b].copy() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        names, weights, bias = fit_non_negative_pu(rows, np.array(toxic, bool), prior)
+        marked = np.array(toxic, bool)
+        keep = np.flatnonzero(one_of_copies(marked, np.array(sketches, np.int64).reshape(len(rows), SKETCH)))
+        names, weights, bias = fit_non_negative_pu([rows[i] for i in keep], marked[keep], prior)
         model = [pa.array([x], pa.list_(t)) for x, t in ((names.view(np.int64), pa.int64()), (weights, pa.float64()))]
         yield pa.RecordBatch.from_arrays([*model, pa.array([bias])], ["names", "weights", "bias"])
 
