@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import PhaseConfig
 from ..functions import intervals, stats
-from ..operators import association, deletions, genotypes, hmm, ibd, recombination
+from ..operators import association, deletions, genotypes, greedy, hmm, ibd, inference, recombination
 from . import projections as p
 
 CUTOFF = 20000
@@ -463,3 +463,63 @@ def phase_quads(spark, sf_dir):
     config = PhaseConfig()
     found = hmm.observations(p.genotype(spark, sf_dir), members)
     return hmm.phase(found, hmm.uniform_costs(4, 1), 2, config)
+
+
+@query("WITH " + p.INTERVAL_SQL + ", c AS (SELECT chrom, CAST(sum(is_mat) AS BIGINT) AS k, count(*) AS n FROM interval_ GROUP BY chrom), g AS (SELECT chrom, k, n, t, (k + 1) * ln(t) + (n - k + 1) * ln(1 - t) AS l FROM (SELECT chrom, k, n, unnest(range(1, 200)) / 200.0 AS t FROM c) z), m AS (SELECT *, exp(l - max(l) OVER (PARTITION BY chrom)) AS w FROM g) SELECT chrom, k, n, round(sum(t * w) / sum(w), 6) AS posterior_mean, round(sum(CASE WHEN t > 0.5 THEN w ELSE 0 END) / sum(w), 6) AS above_half FROM m GROUP BY chrom, k, n")
+def bayes_tdt(spark, sf_dir):
+    counts = p.interval(spark, sf_dir).groupBy("chrom").agg(F.sum("is_mat").alias("k"), F.count("*").alias("n"))
+    return inference.transmission_posterior(counts)
+
+
+@query()
+def kde_outliers(spark, sf_dir):
+    return inference.density_outliers(crossover_counts(spark, sf_dir), "maternal_crossovers", "paternal_crossovers", 1.0)
+
+
+@query()
+def permutation_test(spark, sf_dir):
+    burden = p.interval(spark, sf_dir).groupBy(F.col("sample").alias("individual")).agg(F.count("*").alias("value"))
+    people = p.pedigree(spark, sf_dir).select("family", "individual", "phenotype").join(burden, "individual", "left").na.fill(0, ["value"])
+    return inference.permutation_test(people, 100)
+
+
+@query()
+def logistic_regression(spark, sf_dir):
+    rows = p.table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "F").cast("int").alias("y"), (F.col("o_totalprice") / 100000).alias("price"), (F.col("o_custkey") % 2).alias("parity"))
+    return spark.createDataFrame(inference.logistic(rows, ["price", "parity"], "y"), "term string, coefficient double, std_error double, p double")
+
+
+@query("SELECT round(regr_slope(o_totalprice, o_custkey), 6) AS slope, round(regr_intercept(o_totalprice, o_custkey), 4) AS intercept, round(regr_r2(o_totalprice, o_custkey), 8) AS r2 FROM orders")
+def linear_fit(spark, sf_dir):
+    return p.table(spark, sf_dir, "orders").agg(F.expr("round(regr_slope(o_totalprice, o_custkey), 6)").alias("slope"), F.expr("round(regr_intercept(o_totalprice, o_custkey), 4)").alias("intercept"), F.expr("round(regr_r2(o_totalprice, o_custkey), 8)").alias("r2"))
+
+
+@query()
+def deletion_clusters(spark, sf_dir):
+    return greedy.first_fit_clusters(p.interval(spark, sf_dir), ["chrom", "sample"])
+
+
+@query()
+def disjoint_sibpairs(spark, sf_dir):
+    pairs = ibd.sibling_pairs(p.pedigree(spark, sf_dir).select("family", "individual")).withColumn("priority", (F.col("sibling1") + F.col("sibling2")) % 3)
+    return greedy.each_member_once(pairs)
+
+
+@query("WITH " + p.SEGMENT_SQL + """, wide AS (SELECT family, chrom, greatest(start_pos - 5000, 0) AS s, end_pos + 5000 AS e FROM segment WHERE is_hard
+), reach AS (SELECT *, max(e) OVER (PARTITION BY family, chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM wide
+), numbered AS (SELECT *, sum(CASE WHEN s > r THEN 1 ELSE 0 END) OVER (PARTITION BY family, chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM reach)
+SELECT family, chrom, min(s) AS start_pos, max(e) AS end_pos FROM numbered GROUP BY family, chrom, g""")
+def widened_mask(spark, sf_dir):
+    return greedy.widened_mask(p.segment(spark, sf_dir), ["family", "chrom"], F.col("is_hard"), 5000)
+
+
+@query("WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_partkey % 2 AS y, l_discount AS s FROM lineitem), c AS (SELECT s, sum(y) AS tp, sum(1 - y) AS fp FROM r GROUP BY s) SELECT s AS score, CAST(sum(tp) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tp, CAST(sum(fp) OVER (ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fp FROM c")
+def roc_curve(spark, sf_dir):
+    rows = p.table(spark, sf_dir, "lineitem").select(F.col("l_discount").alias("score"), (F.col("l_partkey") % 2).alias("y"))
+    return stats.roc_points(rows, "score", "y")
+
+
+@query("SELECT o_orderpriority, round(percentile_cont(0.025) WITHIN GROUP (ORDER BY o_totalprice), 4) AS low, round(median(o_totalprice), 4) AS middle, round(percentile_cont(0.975) WITHIN GROUP (ORDER BY o_totalprice), 4) AS high FROM orders GROUP BY o_orderpriority")
+def quantiles(spark, sf_dir):
+    rows = p.table(spark, sf_dir, "orders")
+    return rows.groupBy("o_orderpriority").agg(*[F.round(F.percentile("o_totalprice", q), 4).alias(n) for q, n in ((0.025, "low"), (0.5, "middle"), (0.975, "high"))])

@@ -97,3 +97,40 @@ def test_equal_inputs_are_tested_once_and_joined_back(spark):
     df = spark.createDataFrame([(1, 3, 10), (2, 3, 10), (3, None, 10)], "id int, k int, n int").withColumn("p", __import__("pyspark").sql.functions.lit(0.5))
     seen = stats.on_distinct(df.where("k is not null"), ["k", "n", "p"], "pv", stats.binomial_p).collect()
     assert len(seen) == 2 and len({r.pv for r in seen}) == 1
+
+
+def test_density_is_the_sum_of_gaussians(spark):
+    from kinspan.operators.inference import gaussian_density
+
+    points = [(1, 2), (1, 2), (3, 2), (9, 9)]
+    got = {(r.x, r.y): r.density for r in gaussian_density(spark.createDataFrame(points, "x long, y long"), "x", "y", 2.0).collect()}
+    for x, y in set(points):
+        expected = sum(np.exp(-((x - a) ** 2 + (y - b) ** 2) / 8) for a, b in points) / (4 * 2 * np.pi * 4)
+        assert got[x, y] == pytest.approx(expected, rel=1e-3)
+
+
+def test_logistic_meets_its_equations(spark):
+    from kinspan.operators.inference import logistic
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=300)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(0.5 + 1.5 * x)))).astype(int)
+    fit = logistic(spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "x double, y int"), ["x"], "y")
+    p = 1 / (1 + np.exp(-(fit[0]["coefficient"] + fit[1]["coefficient"] * x)))
+    assert abs((y - p).sum()) < 1e-6 and abs((x * (y - p)).sum()) < 1e-6 and fit[1]["p"] < 1e-6
+
+
+def test_permutations_keep_family_totals(spark):
+    from kinspan.operators.inference import permutation_test
+
+    people = spark.createDataFrame([(1, 1, 2, 5.0), (1, 2, 1, 1.0), (2, 3, 2, 4.0), (2, 4, 1, 2.0)], "family long, individual long, phenotype int, value double")
+    out = {r.replicate: r.difference for r in permutation_test(people, 50).collect()}
+    assert out[0] == 3.0 and set(out.values()) <= {3.0, -3.0, 1.0, -1.0} and len(set(out.values())) > 1
+
+
+def test_first_fit_within_islands(spark):
+    from kinspan.operators.greedy import first_fit_clusters
+
+    rows = [(1, 1, 0, 10), (2, 1, 1, 11), (3, 1, 8, 18), (4, 1, 40, 50), (5, 2, 0, 10)]
+    found = dict(first_fit_clusters(spark.createDataFrame(rows, "iv_id long, chrom int, start_pos long, end_pos long"), ["chrom"]).collect())
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
