@@ -22,10 +22,12 @@ links form classes, and after that only pairs across classes remain to be tried.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import read_table, written
@@ -34,12 +36,19 @@ from .words import as_bytes, chunks, mix, ranges, shingles, words_of
 COMPONENTS = 256
 ROWS = 8
 BANDS = COMPONENTS // ROWS
+LONGS = COMPONENTS // 64
 SIMILARITY = 0.8
-#: Components of which a byte is kept beside the bands. Candidates that agree in a
-#: smaller share of them than LEAST_AGREEMENT are not verified: at a likeness of
-#: 0.8 that is five standard deviations below the mean.
-SKETCH = 128
-LEAST_AGREEMENT = 0.62
+#: A bit of each component is kept beside the bands. Unequal components differ in
+#: it half the time, so that texts of likeness J differ in (1 - J) / 2 of the bits.
+#: Candidates that differ in more than MOST_UNEQUAL bits are not verified: at a
+#: likeness of 0.8 that is 3.8 standard deviations above the mean of 25.6.
+MOST_UNEQUAL = 44
+#: Centres that each band is tried against before its classes are compared.
+CENTRES = 3
+#: Texts of a bucket that one task compares with as many others.
+BLOCK_TEXTS = 2048
+#: Shingles of pairs that are compared at once.
+PAIR_ELEMENTS = 1 << 20
 #: 50 bits of a shingle's hash beside 14 bits of the text's number in its chunk.
 SHINGLE_BITS = 50
 
@@ -100,7 +109,7 @@ def _codes(times: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, bands array<long>, sketch: a byte of the first components)."""
+    """(id, text) -> (id, bands array<long>, bits array<long>: a bit of each component)."""
     seeds = mix(np.arange(COMPONENTS, dtype=np.uint64)) | np.uint64(1)
     for batch in batches:
         for at, to, data, offsets in chunks(batch.column("text")):
@@ -115,50 +124,91 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     [
                         batch.column("id").slice(at + lo, hi - lo),
                         pa.ListArray.from_arrays(np.arange(0, (hi - lo) * BANDS + 1, BANDS, dtype=np.int32), bands.view(np.int64).reshape(-1)),
-                        pa.array([x.tobytes() for x in (codes[:, :SKETCH] & np.uint64(255)).astype(np.uint8)], pa.binary()),
+                        pa.ListArray.from_arrays(np.arange(0, (hi - lo) * LONGS + 1, LONGS, dtype=np.int32), np.packbits((codes & np.uint64(1)).astype(bool), axis=1).view(np.int64).reshape(-1)),
                     ],
-                    ["id", "bands", "sketch"],
+                    ["id", "bands", "bits"],
                 )
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, text_a, text_b) -> (a, b, likeness) of the pairs at SIMILARITY or more."""
-    for batch in batches:
-        size = as_bytes(batch.column("text_a"))[1] + as_bytes(batch.column("text_b"))[1]
-        at, n = 0, batch.num_rows
-        while at < n:  # as many pairs at once as chunks() would take texts
-            to = max(at + 1, min(at + 4096, int(np.searchsorted(size, size[at] + (4 << 20), "right")) - 1))
-            sides = []
-            for side in ("text_a", "text_b"):
-                text, element, weight = weighted_shingles(*as_bytes(batch.column(side).slice(at, to - at)))
-                sides.append(((text.astype(np.uint64) << np.uint64(SHINGLE_BITS)) | element, weight))
-            keys = np.concatenate([sides[0][0], sides[1][0]])
-            values = np.concatenate([sides[0][1], sides[1][1]])
+class Multisets:
+    """Weighted shingles of some texts, to be compared in pairs."""
+
+    def __init__(self, column: pa.Array):
+        data, offsets = as_bytes(column)
+        texts, self.elements, self.weights = weighted_shingles(data, offsets)
+        self.first = np.searchsorted(texts, np.arange(len(offsets)))
+
+    def _flat(self, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts = self.first[texts + 1] - self.first[texts]
+        at = np.repeat(self.first[texts], counts) + ranges(counts)
+        pair = np.repeat(np.arange(len(texts), dtype=np.uint64), counts)
+        return (pair << np.uint64(SHINGLE_BITS)) | self.elements[at], self.weights[at]
+
+    def likeness(self, one: np.ndarray, other: Multisets, two: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard index of the texts ``one`` of this and ``two`` of the other."""
+        out = np.zeros(len(one))
+        size = np.cumsum((self.first[one + 1] - self.first[one]) + (other.first[two + 1] - other.first[two]))
+        at = 0
+        while at < len(one):
+            done = size[at - 1] if at else 0
+            to = min(max(at + 1, int(np.searchsorted(size, done + PAIR_ELEMENTS, "right"))), at + (1 << (64 - SHINGLE_BITS)))
+            sides = self._flat(one[at:to]), other._flat(two[at:to])
+            keys, weights = (np.concatenate([x[k] for x in sides]) for k in (0, 1))
             order = np.argsort(keys, kind="stable")
-            keys, values = keys[order], values[order]
+            keys, weights = keys[order], weights[order]
             pair = (keys >> np.uint64(SHINGLE_BITS)).astype(np.int64)
             both = np.flatnonzero(keys[1:] == keys[:-1])
-            common = np.bincount(pair[both], np.minimum(values[both], values[both + 1]), to - at)
-            total = np.bincount(pair, values, to - at)
-            likeness = common / np.maximum(total - common, 1)
-            keep = np.flatnonzero(likeness >= SIMILARITY)
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(at + keep)), batch.column("b").take(pa.array(at + keep)), pa.array(likeness[keep])], ["a", "b", "likeness"])
+            common = np.bincount(pair[both], np.minimum(weights[both], weights[both + 1]), to - at)
+            out[at:to] = common / np.maximum(np.bincount(pair, weights, to - at) - common, 1)
             at = to
+        return out
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, sketch_a, sketch_b) -> (a, b, agreement) of pairs that agree enough."""
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, text_a, text_b) -> (a, b, likeness) of the pairs at SIMILARITY or more."""
     for batch in batches:
-        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch_a", "sketch_b"))
-        share = (one == two).mean(axis=1) if len(one) else np.zeros(0)
-        keep = np.flatnonzero(share >= LEAST_AGREEMENT)
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep)), pa.array(share[keep])], ["a", "b", "agreement"])
-
-
-def _agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    one = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a"))
-    two = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b"))
-    return pairs.join(one, "a").join(two, "b").mapInArrow(_agree, "a long, b long, agreement double")
+        for lo in range(0, batch.num_rows, 512):
+            part = batch.slice(lo, 512)
+            every = np.arange(part.num_rows)
+            likeness = Multisets(part.column("text_a")).likeness(every, Multisets(part.column("text_b")), every)
+            keep = pa.array(np.flatnonzero(likeness >= SIMILARITY))
+            yield pa.RecordBatch.from_arrays([part.column("a").take(keep), part.column("b").take(keep), pa.array(likeness[likeness >= SIMILARITY])], ["a", "b", "likeness"])
+
+
+def _links_of_bucket(key: tuple, bucket: pa.Table) -> pa.Table:
+    """Links between the classes of a band's bucket, of pairs that agree enough and
+    share no earlier band; of two blocks of a large bucket, the pairs across them."""
+    band, blocks = key[0].as_py(), (key[2].as_py(), key[3].as_py())
+    bucket = bucket.combine_chunks()
+    root, own = bucket["root"].to_numpy(), bucket["own"].to_numpy()
+    bits, bands = (np.array(bucket[c].to_pylist(), np.int64).reshape(bucket.num_rows, -1) for c in ("bits", "bands"))
+    one, two = [], []
+    for x in range(bucket.num_rows - 1):
+        rest = np.arange(x + 1, bucket.num_rows)
+        rest = rest[(root[rest] != root[x]) & ((blocks[0] == blocks[1]) | (own[rest] != own[x]))]
+        rest = rest[np.bitwise_count((bits[rest] ^ bits[x]).view(np.uint64)).sum(axis=1) <= MOST_UNEQUAL]
+        rest = rest[(bands[rest, :band] != bands[x, :band]).all(axis=1)]
+        one.append(np.full(len(rest), x))
+        two.append(rest)
+    ids = bucket["id"].to_numpy()
+    one, two = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (one, two))
+    if len(one):
+        texts = Multisets(bucket["text"].combine_chunks())
+        keep = texts.likeness(one, texts, two) >= SIMILARITY
+        one, two = one[keep], two[keep]
+    return pa.table({"a": np.maximum(ids[one], ids[two]), "b": np.minimum(ids[one], ids[two])})
+
+
+def _unequal(one: str, two: str) -> Column:
+    """Bits in which two signatures differ."""
+    return reduce(add, (F.bit_count(F.col(one)[i].bitwiseXOR(F.col(two)[i])) for i in range(LONGS)))
+
+
+def _agreeing(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree enough, and in how many bits they don't."""
+    one = bits.select(F.col("id").alias("a"), F.col("bits").alias("bits_a"))
+    two = bits.select(F.col("id").alias("b"), F.col("bits").alias("bits_b"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", _unequal("bits_a", "bits_b").alias("unequal")).where(F.col("unequal") <= MOST_UNEQUAL)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -197,36 +247,52 @@ def _apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def _across(shared: DataFrame, root: DataFrame) -> DataFrame:
-    """Pairs that share a band but not a class."""
+def _across(shared: DataFrame, signed: DataFrame, texts: DataFrame, root: DataFrame) -> DataFrame:
+    """Links between texts that share a band but are of two classes so far.
+
+    A bucket is compared within one task, without its pairs becoming rows; a large
+    one is dealt into blocks, and every two blocks are compared in a task.
+    """
     named = shared.join(root, "id", "left").select("band", "value", "id", F.coalesce("root", "id").alias("root"))
-    mixed = named.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    named = named.join(mixed.select("band", "value"), ["band", "value"])
-    other = named.select("band", "value", F.col("id").alias("other"), F.col("root").alias("other_root"))
-    pairs = named.join(other, ["band", "value"]).where("root < other_root")
-    return pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
+    mixed = named.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    mixed = mixed.select("band", "value", F.ceil(F.col("n") / BLOCK_TEXTS).alias("blocks"))
+    named = named.join(mixed, ["band", "value"]).join(signed, "id").join(texts, "id")
+    named = named.withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    named = named.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    rows = named.select("band", "value", "lo", "hi", "id", "root", "own", "bits", "bands", "text")
+    return rows.groupBy("band", "value", "lo", "hi").applyInArrow(_links_of_bucket, "a long, b long")
+
+
+def _stars(shared: DataFrame, signed: DataFrame, k: int) -> DataFrame:
+    """Each text with the k-th centres of its bands, if they agree enough."""
+    centre = f"centre_{k}"
+    pairs = shared.where(F.col("id") != F.col(centre)).select(F.greatest("id", centre).alias("a"), F.least("id", centre).alias("b")).distinct()
+    return written(_agreeing(pairs, signed.select("id", "bits")), "stars")
 
 
 def _classes(exact: DataFrame, rows: DataFrame) -> DataFrame:
     """(id, root) of the different texts that have a near duplicate among the others."""
-    signed = rows.select("id", "text").mapInArrow(_sign, "id long, bands array<long>, sketch binary")
+    signed = rows.select("id", "text").mapInArrow(_sign, "id long, bands array<long>, bits array<long>")
     signed = written(signed.dropDuplicates(["id"]), "signed")
-    sketches = signed.select("id", "sketch")
     buckets = signed.select("id", F.posexplode("bands").alias("band", "value"))
     # Another centre in each band: a text that one centre doesn't catch meets others.
-    centre = buckets.groupBy("band", "value").agg(F.min_by("id", F.xxhash64("id", "band")).alias("centre"), F.count("*").alias("n")).where("n > 1")
-    shared = written(buckets.join(centre, ["band", "value"]).select("band", "value", "id", "centre"), "buckets")
+    picked = [F.min_by("id", F.xxhash64("id", "band", F.lit(k))).alias(f"centre_{k}") for k in range(CENTRES)]
+    centres = buckets.groupBy("band", "value").agg(F.count("*").alias("n"), *picked).where("n > 1").drop("n")
+    shared = written(buckets.join(centres, ["band", "value"]), "buckets")
     wanted = shared.select("id").distinct().join(exact, "id").select("id", F.col("least").alias("doc"))
     same = (rows["id"] == wanted["id"]) & rows["doc"].eqNullSafe(wanted["doc"])
     texts = written(rows.join(wanted, same).select(rows["id"], rows["doc"], "text").dropDuplicates(["id", "doc"]).select("id", "text"), "texts")
 
-    stars = shared.where("id <> centre").select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct()
-    stars = written(_agreeing(stars, sketches), "stars")
+    stars = _stars(shared, signed, 0)
     # First each text with the centre that it agrees with most, then what this leaves apart.
-    root = components(verified(stars.groupBy("a").agg(F.max_by("b", "agreement").alias("b")), texts))
-    root = _joined(root, verified(_apart(stars.select("a", "b"), root), texts))
-    others = _across(shared, root).join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    return _joined(root, verified(_agreeing(others, sketches), texts))
+    root = components(verified(stars.groupBy("a").agg(F.min_by("b", "unequal").alias("b")), texts))
+    tried = stars.select("a", "b")
+    root = _joined(root, verified(_apart(tried, root), texts))
+    for k in range(1, CENTRES):
+        more = _stars(shared, signed, k).select("a", "b")
+        root = _joined(root, verified(_apart(more.join(tried, ["a", "b"], "left_anti"), root), texts))
+        tried = tried.union(more)
+    return _joined(root, _across(shared, signed, texts, root))
 
 
 def _joined(root: DataFrame, links: DataFrame) -> DataFrame:
