@@ -19,8 +19,11 @@ import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import public_tokenizers
@@ -30,10 +33,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_CHUNKS, CACHE_LENGTH, _single_space
+from .bpe import CACHE_LENGTH, _single_space
 from .shared import n_partitions, range_bounds, range_bucket, read_table, shared_folder, written
 
 BLOCK_TOKENS = 1 << 18
+#: Runs between spaces whose ids an encoder keeps, twice: those met lately, and those before.
+KNOWN_CHUNKS = 500_000
+#: Marks that close a run of letters.
+CLOSING = ".,;:!?"
 RANK_BITS = 512
 END_ID = 2
 MAGIC = b"WAVELET1"
@@ -267,29 +274,79 @@ class LibraryEncoder:
         self.library.no_padding()
         self.bits = max(1, (self.library.get_vocab_size(True) - 1).bit_length())
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, _word).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def _irregular(chunk: str) -> bool:
         return not chunk or chunk[0].isspace() or chunk[-1].isspace()
 
+    def _units(self, chunk: str) -> list[str]:
+        """Parts of a run between spaces that the pattern never joins: lines (a line
+        feed goes with what follows it) and, after letters only, closing marks. A part
+        that starts with neither stands for itself with a space before it, marks for
+        themselves with a NUL before them."""
+        lines, out = chunk.split("\n"), []
+        if len(lines) > 1 and any(map(self._irregular, lines)):
+            return [chunk]
+        for k, line in enumerate(lines):
+            base = line.rstrip(CLOSING)
+            start = "\n" if k else ""
+            out += [start + base, "\0" + line[len(base) :]] if base != line and base.isalpha() else [start + line]
+        return out
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Makes ``known`` hold the chunks, old ones moved on and new ones encoded."""
+        known, older = self.known, self.older
+        plain, plans = [], {}
+        for chunk in chunks:
+            if (old := older.get(chunk)) is not None:
+                known[chunk] = old
+            elif chunk.isalpha():
+                plain.append(chunk)
+            else:
+                plans[chunk] = self._units(chunk) if "\0" not in chunk else [chunk]
+        known.update(zip(plain, self._encode([" " + c for c in plain]), strict=True))
+        units = {u for plan in plans.values() for u in plan} - known.keys()
+        for unit in units & older.keys():
+            known[unit] = older[unit]
+        fresh = list(units - known.keys())
+        known.update(zip(fresh, self._encode([u[1:] if u[0] == "\0" else u if u[0] == "\n" else " " + u for u in fresh]), strict=True))
+        for chunk, plan in plans.items():
+            if len(plan) > 1:
+                known[chunk] = b"".join([known[u] for u in plan])
+        for unit in fresh:
+            if len(unit) > CACHE_LENGTH and unit not in chunks:
+                del known[unit]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.apart:
             return [np.frombuffer(x, _word) for x in self._encode(texts)]
         split = [t.split(" ") for t in texts]
+        found = [list(map(self.known.get, chunks)) for chunks in split]
+        missing = [set(compress(chunks[1:], map(is_, x[1:], repeat(None)))) for chunks, x in zip(split, found, strict=True)]
         for i, chunks in enumerate(split):
-            if len(chunks) > 1 and any(self._irregular(c) for c in set(chunks)):
+            # Spaces that are not a border of pieces: beside white space, or at an end.
+            if len(chunks) > 1 and (self._irregular(chunks[0]) or any(map(self._irregular, missing[i]))):
                 split[i] = _single_space.split(texts[i])
-        if len(self.known) >= CACHE_CHUNKS:
-            self.known.clear()
-        known = self.known
-        missing = list({c for chunks in split for c in chunks[1:] if c not in known})
-        local = dict(zip(missing, self._encode([" " + c for c in missing]), strict=True))
-        known.update((c, x) for c, x in local.items() if len(c) <= CACHE_LENGTH)
+                found[i] = list(map(self.known.get, split[i]))
+                missing[i] = set(compress(split[i][1:], map(is_, found[i][1:], repeat(None))))
+        new = set().union(*missing)
+        self._learn(new)
         heads = self._encode([chunks[0] for chunks in split])
-        return [np.frombuffer(b"".join([head, *[known.get(c) or local[c] for c in chunks[1:]]]), _word) for head, chunks in zip(heads, split, strict=True)]
+        get = self.known.__getitem__
+        out = []
+        for head, chunks, x, lacks in zip(heads, split, found, missing, strict=True):
+            parts = map(get, chunks[1:]) if lacks else x[1:]
+            out.append(np.frombuffer(b"".join([head, *parts]), _word))
+        for chunk in new:
+            if len(chunk) > CACHE_LENGTH:
+                del self.known[chunk]
+        if len(self.known) >= KNOWN_CHUNKS:
+            self.older, self.known = self.known, {}
+        return out
 
 
 @lru_cache(maxsize=4)
