@@ -38,7 +38,9 @@ from .shared import n_partitions, range_bounds, range_bucket, read_table, shared
 
 BLOCK_TOKENS = 1 << 18
 #: Runs between spaces whose ids an encoder keeps, twice: those met lately, and those before.
-KNOWN_CHUNKS = 500_000
+KNOWN_CHUNKS = 800_000
+#: Texts that are encoded at once; few, so that what was looked up is still near when joined.
+ENCODE_TEXTS = 48
 #: Marks that close a run of letters.
 CLOSING = ".,;:!?"
 RANK_BITS = 512
@@ -309,10 +311,9 @@ class LibraryEncoder:
             else:
                 plans[chunk] = self._units(chunk) if "\0" not in chunk else [chunk]
         known.update(zip(plain, self._encode([" " + c for c in plain]), strict=True))
-        units = {u for plan in plans.values() for u in plan} - known.keys()
-        for unit in units & older.keys():
-            known[unit] = older[unit]
-        fresh = list(units - known.keys())
+        units = {u for plan in plans.values() for u in plan if u not in known}
+        known.update((u, older[u]) for u in units if u in older)
+        fresh = [u for u in units if u not in known]
         known.update(zip(fresh, self._encode([u[1:] if u[0] == "\0" else u if u[0] == "\n" else " " + u for u in fresh]), strict=True))
         for chunk, plan in plans.items():
             if len(plan) > 1:
@@ -339,7 +340,7 @@ class LibraryEncoder:
         get = self.known.__getitem__
         out = []
         for head, chunks, x, lacks in zip(heads, split, found, missing, strict=True):
-            parts = map(get, chunks[1:]) if lacks else x[1:]
+            parts = [get(c) if y is None else y for c, y in zip(chunks[1:], x[1:], strict=True)] if lacks else x[1:]
             out.append(np.frombuffer(b"".join([head, *parts]), _word))
         for chunk in new:
             if len(chunk) > CACHE_LENGTH:
@@ -372,8 +373,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
         tail = np.array([] if end_id is None else [end_id], _word)
         for batch in batches:
             shards, ids = batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist()
-            for lo in range(0, batch.num_rows, 256):
-                texts = batch.column("text").slice(lo, 256).to_pylist()
+            for lo in range(0, batch.num_rows, ENCODE_TEXTS):
+                texts = batch.column("text").slice(lo, ENCODE_TEXTS).to_pylist()
                 for k, tokens in enumerate(encoder.encode(texts), lo):
                     if writer is None or writer.shard != shards[k]:
                         if writer:
