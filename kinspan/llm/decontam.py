@@ -2,11 +2,12 @@
 
 Texts become templates: numbers, units after a number and names (capitalised
 words, not in capitals throughout, that do not begin a sentence) turn into typed
-placeholders, all other words are lowered and stripped of marks at their ends.
-Windows of WINDOW
-template tokens of the documents are hash-joined to those of the benchmark. A
-document holds an item if, along one alignment, placeholders of the item map to
-one value each (the slots are consistent) and enough of the item's windows match.
+placeholders, all other words are folded (Unicode, ``fold``) and stripped of marks
+at their ends. Windows of WINDOW
+template tokens of the documents are hash-joined to those of the benchmark, and
+windows of the folded words without placeholders beside them. A document holds an
+item if, along one alignment, enough of the item's windows match: as plain words,
+or as templates whose placeholders map to one value each (the slots are consistent).
 """
 
 from __future__ import annotations
@@ -42,14 +43,55 @@ _digit = np.zeros(256, bool)
 _digit[48:58] = True
 _in_number = _digit.copy()
 _in_number[[37, 43, 44, 45, 46, 47, 58]] = True
-_upper = np.zeros(256, bool)
-_upper[65:91] = True
 _stop = np.zeros(256, bool)
 _stop[[33, 46, 58, 63]] = True
 
 
+def fold(text: str) -> str:
+    """``text`` so that texts that differ in case only are equal (also ß and SS, σ and ς, dotless i)."""
+    return text.upper().casefold()
+
+
+def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes and offsets of a chunk's folded texts; the words stay as many and in their order."""
+    raw = data.tobytes()
+    texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    texts = [t.lower() if t.isascii() else fold(t.decode("utf-8", "surrogateescape")).encode("utf-8", "surrogateescape") for t in texts]
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+
+
+#: Code points below this number are told apart by case; there is none above.
+CASED = 0x20000
+_cases: list[np.ndarray] = []
+
+
+def _case_tables() -> list[np.ndarray]:
+    """Which code points have another lower case, and which another upper case."""
+    if not _cases:
+        letters = [chr(i) for i in range(CASED)]
+        _cases.append(np.array([c.lower() != c for c in letters]))
+        _cases.append(np.array([c.upper() != c for c in letters]))
+    return _cases
+
+
+def cases(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte whether a capital, and whether a small letter, begins there."""
+    capital, small = _case_tables()
+    point = data.astype(np.int32)
+    for low, high, more in ((0xC0, 0xE0, 1), (0xE0, 0xF0, 2), (0xF0, 0xF8, 3)):
+        at = np.flatnonzero((data >= low) & (data < high))
+        at = at[at + more < len(data)]
+        value = data[at].astype(np.int32) & (0x3F >> more)
+        for j in range(1, more + 1):
+            value = value << 6 | (data[at + j] & 0x3F)
+        point[at] = np.minimum(value, CASED - 1)
+    point[(data >= 0x80) & (data < 0xC0)] = 0
+    return capital[point], small[point]
+
+
 def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a chunk of texts, their stripped starts and ends, template hashes, kinds."""
+    """Words of a chunk of texts, their stripped starts and ends, hashes (of the
+    templates, and of the folded words), kinds."""
     words = words_of(data, offsets, fold=LOWER)
     starts, ends = words.starts.copy(), words.ends.copy()
     for side, step in ((starts, 1), (ends, -1)):
@@ -60,9 +102,13 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray,
             side[live] += step
     bare = starts >= ends  # nothing but marks: the word as it stands
     starts[bare], ends[bare] = words.starts[bare], words.ends[bare]
-    hashes = words.hashes(starts, ends)
-    if not len(hashes):
-        return words, starts, ends, hashes, np.zeros(0, np.int8)
+    if not len(starts):
+        return words, starts, ends, np.zeros((2, 0), np.uint64), np.zeros(0, np.int8)
+    if data.max() < 0x80:
+        hashes = words.hashes(starts, ends)
+    else:
+        other = words_of(*folded(data, offsets))
+        hashes = other.hashes(other.starts + (starts - words.starts), other.ends - (words.ends - ends))
     kinds = np.zeros(len(hashes), np.int8)
     lead = data[starts]
     loose = np.concatenate([[0], np.cumsum(~_in_number[data], dtype=np.int32)])
@@ -73,14 +119,14 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray,
     lines = np.concatenate([[0], np.cumsum(data == 10, dtype=np.int32)])
     sentence = first.copy()
     sentence[1:] |= _stop[data[words.ends[:-1] - 1]] | (lines[words.starts[1:]] != lines[words.ends[:-1]])
-    second = data[np.minimum(starts + 1, len(data) - 1)]
-    capital = _upper[lead] | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-    kinds[capital & ~_upper[second] & (ends - starts > 1) & ~sentence & ~bare] = 2
+    capital, small = cases(data)
+    smalls = np.concatenate([[0], np.cumsum(small, dtype=np.int32)])
+    kinds[capital[starts] & (smalls[ends] > smalls[starts]) & ~sentence & ~bare] = 2
     after = np.zeros(len(hashes), bool)
     after[1:] = (kinds[:-1] == 1) & ~first[1:]
     kinds[after & np.isin(hashes, _unit_hashes())] = 3
-    hashes = np.where(kinds == 0, hashes, np.array([0, NUMBER, NAME, UNIT], np.uint64)[kinds])
-    return words, starts, ends, hashes, kinds
+    typed = np.where(kinds == 0, hashes, np.array([0, NUMBER, NAME, UNIT], np.uint64)[kinds])
+    return words, starts, ends, np.stack([typed, hashes]), kinds
 
 
 _units: list[np.ndarray] = []
@@ -93,24 +139,29 @@ def _unit_hashes() -> np.ndarray:
     return _units[0]
 
 
-def windows(words: Words, hashes: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text numbers, places (word numbers) and hashes of the windows of ``size``
-    words; at least half of a window's words are no placeholders."""
+def windows(words: Words, hashes: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text numbers, places (word numbers), hashes and roles of the windows of ``size``
+    words. A window of which at least half the words are no placeholders comes as a
+    template (role 0), with placeholders also as plain words beside it (role 1); any
+    other window comes as plain words alone (role 2)."""
     counts = np.maximum(words.counts() - size + 1, 0)
     at = np.repeat(words.first[:-1], counts) + ranges(counts)
     text = np.repeat(np.arange(len(counts)), counts)
     plain = np.concatenate([[0], np.cumsum(kinds == 0)])
-    keep = 2 * (plain[at + size] - plain[at]) >= size
-    if not keep.all():
-        at, text = at[keep], text[keep]
-    total = np.full(len(at), size, np.uint64)
-    for j in range(size):
-        total += hashes[at + j] * powers(size + 2)[0][j + 1]
-    return text, at, mix(total)
+    n_plain = plain[at + size] - plain[at]
+    parts = []
+    typed = 2 * n_plain >= size
+    for role, keep in enumerate((typed, typed & (n_plain < size), ~typed)):
+        place = at[keep]
+        total = np.full(len(place), size, np.uint64)
+        for j in range(size):
+            total += hashes[min(role, 1)][place + j] * powers(size + 2)[0][j + 1]
+        parts.append((text[keep], place, mix(total), np.full(len(place), role)))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _rows(ids: pa.Array, texts: pa.Array, sizes: list[int] | None, known: np.ndarray | None) -> Iterator[tuple]:
-    """(id, hash, place in its text, windows of its text, slots) of all windows that ``known`` holds.
+    """(id, hash, place in its text, role, size, slots) of all windows that ``known`` holds.
 
     Without ``sizes`` a text has windows of WINDOW words, or one of all its words.
     """
@@ -122,7 +173,7 @@ def _rows(ids: pa.Array, texts: pa.Array, sizes: list[int] | None, known: np.nda
         words, starts, ends, hashes, kinds = templates(data, offsets)
         counts = words.counts()
         for size in sizes or sorted({min(WINDOW, int(c)) for c in counts if c}):
-            text, place, hash_ = windows(words, hashes, kinds, size)
+            text, place, hash_, role = windows(words, hashes, kinds, size)
             if sizes is None:
                 keep = np.minimum(counts[text], WINDOW) == size
             elif known is not None:
@@ -131,16 +182,15 @@ def _rows(ids: pa.Array, texts: pa.Array, sizes: list[int] | None, known: np.nda
                 keep = keep[known[np.minimum(np.searchsorted(known, near), len(known) - 1)] == near]
             else:
                 keep = slice(None)
-            text, place, hash_ = text[keep], place[keep], hash_[keep]
-            n = np.bincount(text, minlength=len(counts))
-            for i, p, h in zip(text.tolist(), place.tolist(), hash_.view(np.int64).tolist(), strict=True):
-                held = [j for j in range(p, p + size) if kinds[j]]
-                slots = [f"{KINDS[kinds[j]]}:{data[starts[j] : ends[j]].tobytes().decode('utf-8', 'replace').lower()}" for j in held]
-                yield ids[at + i].as_py(), h, p - int(words.first[i]), int(n[i]), size, slots
+            text, place, hash_, role = text[keep], place[keep], hash_[keep], role[keep]
+            for i, p, h, k in zip(text.tolist(), place.tolist(), hash_.view(np.int64).tolist(), role.tolist(), strict=True):
+                held = [j for j in range(p, p + size) if kinds[j] and not k]
+                slots = [f"{KINDS[kinds[j]]}:{fold(data[starts[j] : ends[j]].tobytes().decode('utf-8', 'replace'))}" for j in held]
+                yield ids[at + i].as_py(), h, p - int(words.first[i]), k, size, slots
 
 
-_SCHEMA = "id long, hash long, place int, n_windows int, size int, slots array<string>"
-_ARROW = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("place", pa.int32()), ("n_windows", pa.int32()), ("size", pa.int32()), ("slots", pa.list_(pa.string()))])
+_SCHEMA = "id long, hash long, place int, role int, size int, slots array<string>"
+_ARROW = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("place", pa.int32()), ("role", pa.int32()), ("size", pa.int32()), ("slots", pa.list_(pa.string()))])
 
 
 def template_windows(table: DataFrame, sizes: list[int] | None = None, known: np.ndarray | None = None) -> DataFrame:
@@ -167,15 +217,18 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def contaminated(docs: DataFrame, benchmark: DataFrame, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
     """Pairs doc_id, item_id of documents that hold an item, with n_matched and
     n_windows (of the item), coverage, same_slots (no placeholder has another value).
+    The windows are those of which half the words are plain, or all windows of the
+    item, whichever are covered better.
 
     Rows with a null id or text match nothing. Rows of one doc_id count as one
     document; items of one item_id but different texts are held by their windows
-    together. An item without a window of which half the words are plain is not
-    found.
+    together. Windows of which less than half the words are plain match as they
+    stand only.
     """
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    held = template_windows(items).select(F.col("id").alias("item_id"), "hash", F.col("place").alias("item_place"), "size", F.col("slots").alias("item_slots"))
-    held = held.withColumn("n_windows", F.count("*").over(Window.partitionBy("item_id")))
+    held = template_windows(items).select(F.col("id").alias("item_id"), "hash", F.col("place").alias("item_place"), "role", "size", F.col("slots").alias("item_slots"))
+    over = Window.partitionBy("item_id")
+    held = held.withColumns({"n_typed": F.count_if(F.col("role") == 0).over(over), "n_all": F.count_if(F.col("role") != 1).over(over)})
     sizes = [r["size"] for r in held.select("size").distinct().orderBy("size").collect()]  # at most WINDOW rows
     known = None
     if held.count() <= MAX_FILTER:
@@ -185,16 +238,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_coverage: float =
         texts, sizes, known = texts.limit(0), [WINDOW], None
     found = template_windows(texts, sizes, known).select(F.col("id").alias("doc_id"), "hash", "place", "slots")
     pairs = found.join(held, "hash").withColumn("diagonal", F.col("place") - F.col("item_place"))
-    aligned = pairs.groupBy("doc_id", "item_id", "diagonal", "n_windows").agg(
-        F.collect_set("item_place").alias("places"),
+    bare, alone = F.size("item_slots") == 0, F.col("role") == 2
+    aligned = pairs.groupBy("doc_id", "item_id", "diagonal", "n_typed", "n_all").agg(
+        F.collect_set(F.when(bare & ~alone, F.col("item_place"))).alias("plain_places"),
+        F.collect_set(F.when(~bare, F.col("item_place"))).alias("typed_places"),
+        F.collect_set(F.when(alone, F.col("item_place"))).alias("lone_places"),
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("values"),
     )
     # One value for each placeholder of the item, and placeholders of one kind only.
     single = F.size(F.array_distinct(F.transform("values", lambda v: v["item_slots"]))) == F.size("values")
     alike = F.forall("values", lambda v: F.substring_index(v["item_slots"], ":", 1) == F.substring_index(v["slots"], ":", 1))
     same = F.forall("values", lambda v: v["item_slots"] == v["slots"])
-    sound = aligned.where(single & alike).select("doc_id", "item_id", "n_windows", "places", same.alias("same"))
-    whole = sound.groupBy("doc_id", "item_id", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("n_matched"), F.every("same").alias("same_slots"))
+    # Windows that match as plain words count whatever the slots of others are.
+    places = F.when(single & alike, F.array_union("plain_places", "typed_places")).otherwise(F.col("plain_places"))
+    sound = aligned.select("doc_id", "item_id", "n_typed", "n_all", places.alias("places"), "lone_places", (same | ~(single & alike)).alias("same")).where((F.size("places") > 0) | (F.size("lone_places") > 0))
+    n = {name: F.size(F.array_distinct(F.flatten(F.collect_set(name)))) for name in ("places", "lone_places")}
+    whole = sound.groupBy("doc_id", "item_id", "n_typed", "n_all").agg(n["places"].alias("typed"), n["lone_places"].alias("lone"), F.every("same").alias("same_slots"))
+    # Of the windows that have a template, or of all windows: whichever share is greater.
+    by_typed = (F.col("n_typed") > 0) & (F.col("typed") * F.col("n_all") >= (F.col("typed") + F.col("lone")) * F.col("n_typed"))
+    whole = whole.select(
+        "doc_id", "item_id", "same_slots",
+        F.when(by_typed, F.col("typed")).otherwise(F.col("typed") + F.col("lone")).alias("n_matched"),
+        F.when(by_typed, F.col("n_typed")).otherwise(F.col("n_all")).alias("n_windows"),
+    )
     whole = whole.withColumn("coverage", F.round(F.col("n_matched") / F.col("n_windows"), 6))
     return whole.where(F.col("coverage") >= least_coverage).select("doc_id", "item_id", "n_matched", "n_windows", "coverage", "same_slots")
 

@@ -50,3 +50,21 @@ def test_without_filter_the_result_is_the_same(spark, monkeypatch):
     assert sorted(contaminated(*tables).collect()) == one
     assert {(x.doc_id, x.item_id) for x in one} == {(i, i % 20) for i in range(60) if i % 3}
     assert np.isclose([x.coverage for x in one], 1).all()
+
+
+def test_copies_in_another_case(spark):
+    items = [
+        (1, "l'été dernier, ma sœur a été élue à l'évêché après Éléonore Château; où êtes-vous allés, près de l'hôtel à Évian où Zoë dînait"),
+        (2, "am Straßenrand größerer Städte überqueren Füchse nachts häufig Äcker und Höfe übermütiger Bäcker"),
+        (3, "οι φίλοι μας ήρθαν χθες από τους Δελφούς και είδαν όλους τους ναούς της παλιάς πόλης"),
+    ]
+    docs = [(10 * i + k, "dans ce texte " + change(text) + " fin de cela") for i, text in items for k, change in enumerate((str.upper, str.title, str.lower, str))]
+    found = {(x.doc_id, x.item_id): x for x in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(found) == {(10 * i + k, i) for i, _ in items for k in range(4)}
+    assert all(x.coverage == 1 and x.same_slots for x in found.values())
+
+
+def test_names_by_code_points():
+    data, offsets = as_bytes(pa.array(["von Élan ÉONLEEAU ÉÉ Éa Ωμέγα ΩΜΕΓΑ Журнал ЖУРНАЛ O'Neil USA-made éa 𐐀𐐨 Ab2 AB2"]))
+    _, starts, ends, _, kinds = templates(data, offsets)
+    assert [data[s:e].tobytes().decode() for s, e, k in zip(starts, ends, kinds, strict=True) if KINDS[k] == "name"] == ["Élan", "Éa", "Ωμέγα", "Журнал", "O'Neil", "USA-made", "𐐀𐐨", "Ab2"]
