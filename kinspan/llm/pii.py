@@ -7,7 +7,9 @@ number of digits for phones. Words just before a span raise its score.
 The patterns are written so that Java's matcher needs no recursion and each byte
 is looked at a bounded number of times: repetitions are possessive where what
 follows cannot begin with what is repeated, and a match can begin only where a run
-begins or the last match ended. The matches are those of the plain patterns.
+begins or the last match ended. The matches are those of the plain patterns; an account
+number's pattern looks ahead from its first letter, and each end of a word within
+its reach is tried.
 """
 
 from __future__ import annotations
@@ -23,6 +25,15 @@ CONTEXT_CHARS = 40
 CONTEXT_BONUS = 0.2
 #: Spans beside the base kinds need this score.
 LEAST_SCORE = 0.6
+#: Characters of the account numbers of a country.
+ACCOUNT_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+        27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 SPAN = "struct<start:int,kind_no:int,stop:int,kind:string,score:double>"
 
 
@@ -35,6 +46,8 @@ class Kind:
     score: float
     context: str
     base: bool = True
+    #: The pattern consumes a letter and its first group looks ahead from there.
+    ahead: bool = False
 
 
 #: The patterns, and the words that speak for a kind.
@@ -43,7 +56,7 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)", ".", 0.6, r"(?i)\b(?:ip|address|server|host|adresse|login)\b"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", 0.7, r"(?i)\b(?:card|credit|visa|debit|karte|carte|tarjeta)\b"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, r"(?i)\b(?:phone|tel|call|mobile|fax|telefon|appel)\b"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "", 0.7, r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b", base=False),
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))[A-Z]", "", 0.7, r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b", base=False, ahead=True),
 )
 
 
@@ -70,6 +83,21 @@ def _mod97(match: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), step) == 1
 
 
+def _account(ahead: Column) -> Column:
+    """The account number that begins ``ahead`` and ends with one of its words, or null;
+    of several one of its country's length, else the longest."""
+    words = F.split(ahead, " ")
+    tried = F.transform(words, lambda _, i: F.array_join(F.slice(words, F.lit(1), i + 1), " "))
+
+    def length(match: Column) -> Column:
+        return F.length(F.replace(match, F.lit(" "), F.lit("")))
+
+    sound = F.filter(tried, lambda m: F.rlike(m, F.lit("[A-Z0-9]$")) & length(m).between(15, 34) & _mod97(m))
+    lengths = F.create_map(*[F.lit(x) for pair in ACCOUNT_LENGTHS.items() for x in pair])
+    usual = F.filter(sound, lambda m: length(m) == F.try_element_at(lengths, F.substring(m, 1, 2)))
+    return F.coalesce(F.try_element_at(usual, F.lit(1)), F.try_element_at(sound, F.lit(-1)))
+
+
 def _valid(kind: str, match: Column) -> Column:
     if kind == "ip":
         return F.forall(F.split(match, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.substring(F.ltrim(p, F.lit("0")), 1, 3).try_cast("int"), F.lit(0)) <= 255))
@@ -78,15 +106,13 @@ def _valid(kind: str, match: Column) -> Column:
         return F.length(digits).between(14, 19) & _luhn(digits)
     if kind == "phone":
         return F.length(_digits(match)).between(10, 15)
-    if kind == "iban":
-        return F.length(F.replace(match, F.lit(" "), F.lit(""))).between(15, 34) & _mod97(match)
     return F.lit(True)
 
 
 def _proposals(text: Column, kind: Kind) -> Column:
     """(gap, match) pairs: the text before a match since the last one, and the match;
     the last pair has no match. Null where the text cannot have any."""
-    pieces = F.zip_with(F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), 0), lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")))
+    pieces = F.zip_with(F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), int(kind.ahead)), lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")))
     might = F.contains(text, F.lit(kind.needs)) if kind.needs else F.rlike(text, F.lit("[0-9]"))
     return F.when(might, pieces)
 
@@ -103,7 +129,15 @@ def _spans(text: Column, pairs: Column, kind: Kind, number: int) -> Column:
         out = F.when(p.match.isNotNull() & _valid(kind.name, p.match), F.concat(acc.out, F.array(found))).otherwise(acc.out)
         return F.struct(end.alias("at"), out.alias("out"))
 
-    found = F.aggregate(pairs, start, step, lambda acc: acc.out)
+    def step_ahead(acc: Column, p: Column) -> Column:
+        """Matches consume one letter; a number within the last one is none."""
+        begin = acc.at + p.gap
+        stop = begin + F.length(_account(p.match))
+        free = begin >= F.coalesce(F.try_element_at(acc.out, F.lit(-1)).stop, F.lit(0))
+        out = F.when(stop.isNotNull() & free, F.concat(acc.out, F.array(F.struct(begin.alias("start"), stop.alias("stop"))))).otherwise(acc.out)
+        return F.struct((begin + F.when(p.match.isNotNull(), 1).otherwise(0)).alias("at"), out.alias("out"))
+
+    found = F.aggregate(pairs, start, step_ahead if kind.ahead else step, lambda acc: acc.out)
 
     def scored(s: Column) -> Column:
         before = F.substring(text, F.greatest(s.start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s.start, F.lit(CONTEXT_CHARS)))

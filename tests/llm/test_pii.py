@@ -68,3 +68,35 @@ def test_redaction(spark):
     out = {r.doc_id: r.text for r in redact(docs).collect()}
     assert out == {1: "é mail [EMAIL] or [IP]!", 2: None, 3: "[PHONE] end", 4: "clean"}
     assert redact(docs.limit(0)).count() == 0
+
+
+def brute_accounts(text):
+    """Every start and every end at a border; a number of its country's length first, else the longest."""
+    found, free = [], 0
+    for m in re.finditer(r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})", text):
+        ends = []
+        for stop in range(m.start() + 15, min(len(text), m.start() + 67) + 1):
+            match = text[m.start() : stop]
+            plain = match.replace(" ", "")
+            if re.fullmatch(r"[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]){11,30}", match) and not re.match("[A-Za-z0-9]", text[stop:]) and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+                ends.append((len(plain) != {"DE": 22, "GB": 22, "NO": 15}.get(plain[:2]), -stop))
+        if ends and m.start() >= free:
+            free = -min(ends)[1]
+            found.append((m.start(), free))
+    return found
+
+
+def test_account_numbers_before_other_words(spark):
+    known = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "NO93 8601 1117 947", "XX50" + "A1" * 15]
+    after = [" Thanks", " OK", " 2024-01-01", " 7", "", ".", "x", "X", " GB82WEST12345698765432", " DE89370400440532013000 Thanks", " NO9386011117947 NO9386011117947", " A B C D E F G H I J K L", "\nA"]
+    r = random.Random(4)
+    texts = [b + n + a for n in known for a in after for b in ("", "é AB12 ", "To DE12 ", "x")]
+    texts += ["".join(r.choice([*known, " ", "A", "12", "é", "DE89", "a"]) for _ in range(r.randint(1, 12))) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {x.doc_id: [(s.start, s.stop) for s in x.pii_spans if s.kind == "iban"] for x in find_pii(rows).collect()}
+    for i, text in enumerate(texts):
+        assert found[i] == brute_accounts(text), (text, found[i], brute_accounts(text))
+    assert found[texts.index("DE89370400440532013000 OK")] == [(0, 22)] and found[texts.index("DE89370400440532013000 Thanks")] == [(0, 22)]
+    assert found[texts.index("DE89370400440532013000 GB82WEST12345698765432")] == [(0, 22), (23, 45)]
+    clean = redact(rows.where("text in ('DE89370400440532013000 Thanks', 'NO9386011117947 NO9386011117947 NO9386011117947')")).collect()
+    assert all("01" not in x.text for x in clean)
