@@ -5,7 +5,9 @@ there has one last token; it is the one token ending there that is compatible
 with the last token of what comes before it. So ``count[end] = count[start] + 1``
 fills the counts of all prefixes in one pass over the Aho-Corasick matches, and
 any question about truncation or a budget reads the table: nothing is encoded
-again. Pieces are independent, so a text's table is the running sum over pieces.
+again. Pieces are independent, so a text's table is the running sum over pieces; it
+is kept at the ends of runs between spaces, and the prefixes of pieces are filled in
+for the run that crosses a budget.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from .shared import read_table
 TOKEN_LIMIT = 2048
 #: The pattern of the pieces of a vocabulary that marks word ends.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 
 class PrefixCounter:
@@ -38,6 +41,7 @@ class PrefixCounter:
         if not self.table.marks_ends:
             raise ValueError("a vocabulary with word ends is needed")
         self.pieces = regex.compile(WORD_PATTERN)
+        self.characters = regex.compile(r"\s+|\X")
         self.special = re.compile("(" + "|".join(map(re.escape, self.table.specials)) + ")")
         self.normalizer = Tokenizer.from_file(path).normalizer
         self._chunks: dict[str, int] = {}
@@ -82,7 +86,7 @@ class PrefixCounter:
     def _count_chunk(self, chunk: str) -> int:
         total = 0
         for piece in self.pieces_of(chunk):
-            total += 1 if piece is None else self._fill(piece.encode().decode("latin-1") + END)[0][-1]
+            total += 1 if piece is None else self._count_piece(piece)
         if len(chunk) <= CACHE_LENGTH:
             if len(self._chunks) >= 2 * CACHE_CHUNKS:
                 self._chunks.clear()
@@ -102,11 +106,68 @@ class PrefixCounter:
         chunks = text.split(" ")
         return np.cumsum([len(c) + 1 for c in chunks]) - 1, np.cumsum(self.chunk_counts(text))
 
-    def fitting(self, text: str, budget: int) -> int:
-        """Code points of the longest prefix, cut between runs, of at most ``budget`` tokens."""
-        ends, counts = self.prefix_table(text)
+    def fitting(self, text: str, budget: int, table: tuple[np.ndarray, np.ndarray] | None = None) -> int:
+        """Code points of the longest prefix, cut between characters (with their marks),
+        that is a text of at most ``budget`` tokens; ``table`` is the text's, if at hand."""
+        ends, counts = table or self.prefix_table(text)
         k = int(np.searchsorted(counts, budget, "right"))
-        return int(ends[k - 1]) if k else 0
+        if k == len(ends):
+            return len(text)
+        at, held = (int(ends[k - 1]) + 1, int(counts[k - 1])) if k else (0, 0)
+        return at + self._fitting_run(text[at : int(ends[k])], budget - held)
+
+    def _fitting_run(self, run: str, budget: int) -> int:
+        specials = self.table.specials
+        parts = [p for p in self.special.split(run) if p]
+        at = held = 0
+        for i, part in enumerate(parts):
+            fits, n = (len(part) * (held < budget), 1) if part in specials else self._fitting_part(part, budget - held)
+            if fits < len(part):
+                # A special token that is cut falls into pieces, which can join those before it.
+                cut, begin = (i, at) if part in specials else (i + 1, at + len(part))
+                if cut < len(parts) and parts[cut] in specials:
+                    for end in range(begin + len(parts[cut]) - 1, begin, -1):
+                        if self._count_chunk(run[:end]) <= budget:
+                            return end
+                return at + fits
+            at, held = at + len(part), held + n
+        return at
+
+    def _fitting_part(self, part: str, budget: int) -> tuple[int, int]:
+        """Of a run without special tokens: code points that fit, and the tokens of them if these are all."""
+        if part.isascii():
+            units, plain, text = list(part), list(part.lower()), part.lower()
+        else:
+            units = self.characters.findall(part)
+            plain, text = [u.lower() if u.isascii() and not u.isspace() else self.normalizer.normalize_str(u) for u in units], self.normalizer.normalize_str(part)
+        own, tops = np.cumsum([len(u) for u in units]), np.cumsum([len(u) for u in plain])
+        if "".join(plain) != text:  # characters that change one another: count every prefix
+            n = self._count_chunk(part)
+            return (len(part), n) if n <= budget else (next((int(e) for e in own[-2::-1] if self._count_chunk(part[:e]) <= budget), 0), 0)
+        held = 0
+        for match in self.pieces.finditer(text):
+            piece, begin = match.group(), match.start()
+            n = self._count_piece(piece)
+            if held + n > budget:
+                break
+            held += n
+        else:
+            return len(part), held
+        inner = None
+        for k in range(int(np.searchsorted(tops, match.end())) - 1, -1, -1):
+            top = int(tops[k])
+            if top <= begin or piece in CONTRACTIONS:
+                n = sum(map(self._count_piece, self.pieces.findall(text[:top])))
+            else:
+                if inner is None:
+                    inner, sizes = self.piece_prefix_counts(piece), np.cumsum([len(c.encode()) for c in piece])
+                n = held + inner[sizes[top - begin - 1]]
+            if n <= budget:
+                return int(own[k]), 0
+        return 0, 0
+
+    def _count_piece(self, piece: str) -> int:
+        return self._fill(piece.encode().decode("latin-1") + END)[0][-1]
 
 
 @lru_cache(maxsize=4)
@@ -128,8 +189,8 @@ def prefix_tables(docs: DataFrame, path: str) -> DataFrame:
 def token_counts(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFrame:
     """Per row of documents: doc_id, n_bytes, n_tokens, over_limit, fitting_chars.
 
-    fitting_chars is the code points of the longest prefix, cut at a space, of at
-    most ``limit`` tokens. Null text counts as empty; a null doc_id stays null.
+    fitting_chars is the code points of the longest prefix, cut between characters, of
+    at most ``limit`` tokens. Null text counts as empty; a null doc_id stays null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,10 +199,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFr
             bytes_, tokens, fits = [], [], []
             for value in batch.column("text"):
                 text = value.as_py() or ""
-                n = prefixes.count(text)
+                table = prefixes.prefix_table(text)
+                n = int(table[1][-1])
                 tokens.append(n)
                 bytes_.append(len(text.encode()))
-                fits.append(len(text) if n <= limit else prefixes.fitting(text, limit))
+                fits.append(len(text) if n <= limit else prefixes.fitting(text, limit, table))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (bytes_, tokens)), pa.array([n > limit for n in tokens]), pa.array(fits, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fitting_chars"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -62,6 +62,30 @@ def test_prefix_table_answers_budgets():
         assert cut == len(text) or counter.count(text[:longer]) > budget
 
 
+def test_longest_prefix_of_a_budget():
+    import regex
+
+    counter, r = PrefixCounter(WORD), random.Random(8)
+    parts = ["the", "ing", "日本語", "テキスト", "\n", "\n\n", "é", "ß", "'re", "'", "!!", "<|endoftext|>", "\t", "aGVsbG8", "🙂", "e\u0301", "İ", "12", "hello"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(120)] + [t for t in some_texts(40, 6) if len(t) < 200]
+    for text in texts:
+        borders = [0, *(m.end() for m in regex.finditer(r"\X", text))]
+        counts = [counter.count(text[:k]) for k in borders]
+        for budget in {0, 1, 2, 3, 5, 8, max(counts) - 1, max(counts)} - {-1}:
+            cut = counter.fitting(text, budget)
+            assert counter.count(text[:cut]) <= budget, (text, budget, cut)
+            assert cut >= max(k for k, n in zip(borders, counts, strict=True) if n <= budget), (text, budget, cut)
+
+
+def test_texts_without_spaces_fit_in_part(spark):
+    library = Tokenizer.from_file(WORD)
+    rows = [(1, "日本語のテキスト" * 900), (2, "\n".join(["thonder"] * 3000)), (3, "aGVsbG8gd29ybGQ" * 900), (4, "a b " + "日本" * 3000)]
+    for x in token_counts(spark.createDataFrame(rows, "doc_id long, text string"), WORD).collect():
+        text = dict(rows)[x.doc_id]
+        near = [len(library.encode(text[: x.fitting_chars + d], add_special_tokens=False).ids) for d in (0, 10)]
+        assert x.over_limit and 2040 <= near[0] <= 2048 < near[1], (x, near)
+
+
 def test_queries_on_odd_rows(spark):
     rows = [(1, "a b"), (1, "a b"), (None, None), (2, None), (3, "x" * 5000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'z' as ids", "1 as n_tokens", "2 as id")
