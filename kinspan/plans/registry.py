@@ -236,6 +236,14 @@ def union_coverage(spark, sf_dir):
     return association.covered_share(own.where("is_mat = 1"), other, ["chrom"], 64).select("iv_id", "covered", "share")
 
 
+@query()
+def union_coverage_all(spark, sf_dir):
+    """As union_coverage, over all partners; union_coverage and its SQL take every ninth."""
+    own = p.interval(spark, sf_dir)
+    other = intervals.merge_overlaps(own.where("is_mat = 0"), ["chrom"])
+    return association.covered_share(own.where("is_mat = 1"), other, ["chrom"], 64).select("iv_id", "covered", "share")
+
+
 MATCH_SQL = EVENT_SQL + ", called AS (SELECT *, row_number() OVER (PARTITION BY family, chrom, side ORDER BY start_pos, end_pos) AS k FROM event WHERE n % 2 = 1), truth AS (SELECT * FROM event WHERE n % 2 = 0), hit AS (SELECT DISTINCT c.family, c.chrom, c.side, c.k FROM called c JOIN truth t ON c.family = t.family AND c.chrom = t.chrom AND c.side = t.side AND c.start_pos < t.end_pos + 50000 AND t.start_pos - 50000 < c.end_pos), judged AS (SELECT c.side, CASE WHEN h.k IS NULL THEN 0 ELSE 1 END AS m FROM called c LEFT JOIN hit h ON c.family = h.family AND c.chrom = h.chrom AND c.side = h.side AND c.k = h.k)"
 
 

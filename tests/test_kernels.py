@@ -134,3 +134,18 @@ def test_first_fit_within_islands(spark):
     rows = [(1, 1, 0, 10), (2, 1, 1, 11), (3, 1, 8, 18), (4, 1, 40, 50), (5, 2, 0, 10)]
     found = dict(first_fit_clusters(spark.createDataFrame(rows, "iv_id long, chrom int, start_pos long, end_pos long"), ["chrom"]).collect())
     assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
+def test_union_coverage_counts_all_partners(spark, monkeypatch):
+    import random
+
+    from kinspan.plans import registry
+
+    r = random.Random(12)
+    rows = [(i, f"chr{i % 2}", i // 2 % 2, b, b + r.randint(1, 60)) for i in range(240) for b in [r.randint(0, 3000)]]
+    monkeypatch.setattr(registry.p, "interval", lambda *_: spark.createDataFrame(rows, "iv_id long, chrom string, is_mat int, start_pos long, end_pos long"))
+    found = {x.iv_id: (x.covered, x.share) for x in registry.QUERIES["union_coverage_all"](spark, "").collect()}
+    held = {(c, b) for _, c, m, s, e in rows if m == 0 for b in range(s, e)}
+    covered = {i: sum((c, b) in held for b in range(s, e)) for i, c, m, s, e in rows if m == 1}
+    assert found == {i: (covered[i], round(covered[i] / (e - s), 6)) for i, _, m, s, e in rows if m == 1}
+    assert any(covered.values())
