@@ -3,7 +3,8 @@
 Texts become templates: numbers, units after a number and names (capitalised
 words, not in capitals throughout, that do not begin a sentence) turn into typed
 placeholders, all other words are folded (Unicode, ``fold``) and stripped of marks
-at their ends. Windows of WINDOW
+at their ends. A capitalised word that begins a sentence
+may be a name or not: windows with one are read both ways. Windows of WINDOW
 template tokens of the documents are hash-joined to those of the benchmark, and
 windows of the folded words without placeholders beside them. A document holds an
 item if, along one alignment, enough of the item's windows match: as plain words,
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import read_table
@@ -91,7 +92,7 @@ def cases(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of a chunk of texts, their stripped starts and ends, hashes (of the
-    templates, and of the folded words), kinds."""
+    templates, of the folded words, and of templates with names at sentence starts), kinds."""
     words = words_of(data, offsets, fold=LOWER)
     starts, ends = words.starts.copy(), words.ends.copy()
     for side, step in ((starts, 1), (ends, -1)):
@@ -103,7 +104,7 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray,
     bare = starts >= ends  # nothing but marks: the word as it stands
     starts[bare], ends[bare] = words.starts[bare], words.ends[bare]
     if not len(starts):
-        return words, starts, ends, np.zeros((2, 0), np.uint64), np.zeros(0, np.int8)
+        return words, starts, ends, np.zeros((3, 0), np.uint64), np.zeros(0, np.int8)
     if data.max() < 0x80:
         hashes = words.hashes(starts, ends)
     else:
@@ -121,12 +122,13 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray,
     sentence[1:] |= _stop[data[words.ends[:-1] - 1]] | (lines[words.starts[1:]] != lines[words.ends[:-1]])
     capital, small = cases(data)
     smalls = np.concatenate([[0], np.cumsum(small, dtype=np.int32)])
-    kinds[capital[starts] & (smalls[ends] > smalls[starts]) & ~sentence & ~bare] = 2
+    name = capital[starts] & (smalls[ends] > smalls[starts]) & ~bare
+    kinds[name & ~sentence] = 2
     after = np.zeros(len(hashes), bool)
     after[1:] = (kinds[:-1] == 1) & ~first[1:]
     kinds[after & np.isin(hashes, _unit_hashes())] = 3
     typed = np.where(kinds == 0, hashes, np.array([0, NUMBER, NAME, UNIT], np.uint64)[kinds])
-    return words, starts, ends, np.stack([typed, hashes]), kinds
+    return words, starts, ends, np.stack([typed, hashes, np.where(name & (kinds == 0), NAME, typed)]), kinds
 
 
 _units: list[np.ndarray] = []
@@ -143,7 +145,8 @@ def windows(words: Words, hashes: np.ndarray, kinds: np.ndarray, size: int) -> t
     """Text numbers, places (word numbers), hashes and roles of the windows of ``size``
     words. A window of which at least half the words are no placeholders comes as a
     template (role 0), with placeholders also as plain words beside it (role 1); any
-    other window comes as plain words alone (role 2)."""
+    other window comes as plain words alone (role 2). Where names may begin sentences
+    the template with these as names comes beside the other one (role 3)."""
     counts = np.maximum(words.counts() - size + 1, 0)
     at = np.repeat(words.first[:-1], counts) + ranges(counts)
     text = np.repeat(np.arange(len(counts)), counts)
@@ -151,11 +154,13 @@ def windows(words: Words, hashes: np.ndarray, kinds: np.ndarray, size: int) -> t
     n_plain = plain[at + size] - plain[at]
     parts = []
     typed = 2 * n_plain >= size
-    for role, keep in enumerate((typed, typed & (n_plain < size), ~typed)):
+    plain = np.concatenate([[0], np.cumsum((kinds == 0) & (hashes[2] == hashes[0]))])
+    n_second = plain[at + size] - plain[at]
+    for role, keep in enumerate((typed, typed & (n_plain < size), ~typed, (2 * n_second >= size) & (n_second < n_plain))):
         place = at[keep]
         total = np.full(len(place), size, np.uint64)
         for j in range(size):
-            total += hashes[min(role, 1)][place + j] * powers(size + 2)[0][j + 1]
+            total += hashes[(0, 1, 1, 2)[role]][place + j] * powers(size + 2)[0][j + 1]
         parts.append((text[keep], place, mix(total), np.full(len(place), role)))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
@@ -172,6 +177,7 @@ def _rows(ids: pa.Array, texts: pa.Array, sizes: list[int] | None, known: np.nda
     for at, _, data, offsets in chunks(texts):
         words, starts, ends, hashes, kinds = templates(data, offsets)
         counts = words.counts()
+        second = np.where(hashes[2] != hashes[0], np.int8(2), kinds)
         for size in sizes or sorted({min(WINDOW, int(c)) for c in counts if c}):
             text, place, hash_, role = windows(words, hashes, kinds, size)
             if sizes is None:
@@ -184,8 +190,9 @@ def _rows(ids: pa.Array, texts: pa.Array, sizes: list[int] | None, known: np.nda
                 keep = slice(None)
             text, place, hash_, role = text[keep], place[keep], hash_[keep], role[keep]
             for i, p, h, k in zip(text.tolist(), place.tolist(), hash_.view(np.int64).tolist(), role.tolist(), strict=True):
-                held = [j for j in range(p, p + size) if kinds[j] and not k]
-                slots = [f"{KINDS[kinds[j]]}:{fold(data[starts[j] : ends[j]].tobytes().decode('utf-8', 'replace'))}" for j in held]
+                read = second if k == 3 else kinds
+                held = [j for j in range(p, p + size) if read[j]] if k in (0, 3) else []
+                slots = [f"{KINDS[read[j]]}:{fold(data[starts[j] : ends[j]].tobytes().decode('utf-8', 'replace'))}" for j in held]
                 yield ids[at + i].as_py(), h, p - int(words.first[i]), k, size, slots
 
 
@@ -228,7 +235,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_coverage: float =
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     held = template_windows(items).select(F.col("id").alias("item_id"), "hash", F.col("place").alias("item_place"), "role", "size", F.col("slots").alias("item_slots"))
     over = Window.partitionBy("item_id")
-    held = held.withColumns({"n_typed": F.count_if(F.col("role") == 0).over(over), "n_all": F.count_if(F.col("role") != 1).over(over)})
+    held = held.withColumns({"n_typed": F.count_if(F.col("role") == 0).over(over), "n_all": F.count_if(F.col("role").isin(0, 2)).over(over)})
     sizes = [r["size"] for r in held.select("size").distinct().orderBy("size").collect()]  # at most WINDOW rows
     known = None
     if held.count() <= MAX_FILTER:
@@ -236,22 +243,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_coverage: float =
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     if not sizes:
         texts, sizes, known = texts.limit(0), [WINDOW], None
-    found = template_windows(texts, sizes, known).select(F.col("id").alias("doc_id"), "hash", "place", "slots")
+    found = template_windows(texts, sizes, known).select(F.col("id").alias("doc_id"), "hash", "place", "slots", (F.col("role") == 3).alias("second"))
     pairs = found.join(held, "hash").withColumn("diagonal", F.col("place") - F.col("item_place"))
+    pairs = pairs.withColumn("second", F.col("second") | (F.col("role") == 3))
     bare, alone = F.size("item_slots") == 0, F.col("role") == 2
     aligned = pairs.groupBy("doc_id", "item_id", "diagonal", "n_typed", "n_all").agg(
         F.collect_set(F.when(bare & ~alone, F.col("item_place"))).alias("plain_places"),
-        F.collect_set(F.when(~bare, F.col("item_place"))).alias("typed_places"),
+        *[F.collect_set(F.when(~bare & which, F.col("item_place"))).alias(f"{n}_places") for n, which in (("typed", ~F.col("second")), ("second", F.col("second")))],
         F.collect_set(F.when(alone, F.col("item_place"))).alias("lone_places"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("values"),
+        *[F.array_distinct(F.flatten(F.collect_set(F.when(which, F.arrays_zip("item_slots", "slots"))))).alias(n) for n, which in (("values", ~F.col("second")), ("all_values", F.lit(True)))],
     )
+
     # One value for each placeholder of the item, and placeholders of one kind only.
-    single = F.size(F.array_distinct(F.transform("values", lambda v: v["item_slots"]))) == F.size("values")
-    alike = F.forall("values", lambda v: F.substring_index(v["item_slots"], ":", 1) == F.substring_index(v["slots"], ":", 1))
-    same = F.forall("values", lambda v: v["item_slots"] == v["slots"])
-    # Windows that match as plain words count whatever the slots of others are.
-    places = F.when(single & alike, F.array_union("plain_places", "typed_places")).otherwise(F.col("plain_places"))
-    sound = aligned.select("doc_id", "item_id", "n_typed", "n_all", places.alias("places"), "lone_places", (same | ~(single & alike)).alias("same")).where((F.size("places") > 0) | (F.size("lone_places") > 0))
+    def consistent(values: str) -> Column:
+        single = F.size(F.array_distinct(F.transform(values, lambda v: v["item_slots"]))) == F.size(values)
+        return single & F.forall(values, lambda v: F.substring_index(v["item_slots"], ":", 1) == F.substring_index(v["slots"], ":", 1))
+
+    def same(values: str) -> Column:
+        return F.forall(values, lambda v: v["item_slots"] == v["slots"])
+
+    # Windows that match as plain words count whatever the slots of others are; those
+    # of the second reading count where they agree with all others.
+    first, both = consistent("values"), consistent("all_values")
+    with_first = F.array_union("plain_places", "typed_places")
+    places = F.when(both, F.array_union(with_first, F.col("second_places"))).when(first, with_first).otherwise(F.col("plain_places"))
+    kept_same = F.when(both, same("all_values")).when(first, same("values")).otherwise(True)
+    sound = aligned.select("doc_id", "item_id", "n_typed", "n_all", places.alias("places"), "lone_places", kept_same.alias("same")).where((F.size("places") > 0) | (F.size("lone_places") > 0))
     n = {name: F.size(F.array_distinct(F.flatten(F.collect_set(name)))) for name in ("places", "lone_places")}
     whole = sound.groupBy("doc_id", "item_id", "n_typed", "n_all").agg(n["places"].alias("typed"), n["lone_places"].alias("lone"), F.every("same").alias("same_slots"))
     # Of the windows that have a template, or of all windows: whichever share is greater.

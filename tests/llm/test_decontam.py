@@ -68,3 +68,15 @@ def test_names_by_code_points():
     data, offsets = as_bytes(pa.array(["von Élan ÉONLEEAU ÉÉ Éa Ωμέγα ΩΜΕΓΑ Журнал ЖУРНАЛ O'Neil USA-made éa 𐐀𐐨 Ab2 AB2"]))
     _, starts, ends, _, kinds = templates(data, offsets)
     assert [data[s:e].tobytes().decode() for s, e, k in zip(starts, ends, kinds, strict=True) if KINDS[k] == "name"] == ["Élan", "Éa", "Ωμέγα", "Журнал", "O'Neil", "USA-made", "𐐀𐐨", "Ab2"]
+
+
+def test_names_that_begin_sentences_and_windows_of_placeholders(spark):
+    tom = "Tom has 5 apples. Tom gives 2 to Mary. Tom then buys 4 more apples. Tom eats 1 of them. How many are left?"
+    sara = tom.replace("Tom", "Sara").replace("Mary", "Bill").replace("5", "7").replace("4", "9")
+    broken = sara.replace("Sara eats", "Bill eats").replace("Sara then", "Zoe then").replace("Sara gives", "Ann gives")
+    rich = "mix 5 kg 3 g 20 ml 7 Smith 9 Jones 4 cm 8 days 6 weeks 11 Baker 12 hours"
+    docs = [(1, "Look at this one. " + sara), (2, broken), (3, "so we go and " + rich.upper()), (4, "some other words that hold nothing of the items")]
+    found = {(x.doc_id, x.item_id): x for x in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, tom), (2, rich)], "item_id long, text string")).collect()}
+    assert set(found) == {(1, 1), (3, 2)}
+    # One window of 17 has fewer than half plain words in the reading with names.
+    assert found[1, 1].n_matched == 16 and found[1, 1].n_windows == 17 and not found[1, 1].same_slots and found[3, 2].coverage == 1
