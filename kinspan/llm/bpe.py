@@ -8,6 +8,14 @@ compatible with the token before, else tries the next shorter one, and steps
 back where none is left; places from which no sequence goes on are marked and
 never visited again, which keeps the work linear. Decoding copies bytes by an
 offset table over one blob of all tokens' bytes.
+
+All pieces that a batch of texts brings are encoded side by side: automaton,
+pair-compatibility table and backtracking work on arrays with an entry a piece.
+The automaton reads pieces from their ends, so that its one output at a place is
+the longest token that begins there.
+
+Memory: the tables of a vocabulary (a few dozen MB) stay in a worker; runs between
+spaces that were met are kept up to KNOWN_BYTES within a task and go with it.
 """
 
 from __future__ import annotations
@@ -15,31 +23,40 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import read_table
-from .words import ranges
+from .words import mix, ranges
 
 #: The pattern by which byte-level BPE cuts a text before merging.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Chunks of a text (runs between spaces) whose ids are kept, and their longest length.
-CACHE_CHUNKS = 300_000
-CACHE_LENGTH = 64
-#: Pairs of tokens whose compatibility is kept.
-CACHE_PAIRS = 2_000_000
+#: Bytes of runs between spaces (with their ids) that a task keeps; half of them are
+#: those met lately. Longer runs than KNOWN_LENGTH are not kept.
+KNOWN_BYTES = 96 << 20
+KNOWN_LENGTH = 64
+#: What an entry takes beside its key and value.
+ENTRY_BYTES = 200
+#: Bytes of text that are encoded at once.
+ENCODE_BYTES = 1 << 19
+#: Pieces up to this many bytes are encoded side by side, longer ones alone.
+LONG_PIECE = 160
+#: Slots of the table of known pairs.
+PAIR_SLOTS = 1 << 17
 #: Stands for a word's end after its last byte, where a vocabulary has such tokens.
 END = "Ā"
+_NEVER = np.int32(1 << 30)
 
 _single_space = re.compile(r"(?<=\S) (?=\S)")
+_odd_space = re.compile(r" (?:(?=\s)|(?<=\s ))")
 
 
 def byte_characters() -> dict[str, int]:
@@ -49,6 +66,84 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Lookup:
+    """Non-negative 64-bit keys to 32-bit values, -1 for absent ones; arrays in and out."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys) + 1).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] < 0]
+            self.keys[slot[free]] = keys[free]
+            self.values[slot[free]] = values[free]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.values[slot], np.int32(-1))
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        at = slot[left]
+        while len(left):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            held = self.keys[at]
+            hit = held == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            go = ~hit & (held >= 0)
+            left, at = left[go], at[go]
+        return out
+
+
+class Automaton:
+    """Aho-Corasick automaton over byte strings; steps are taken for many texts at once."""
+
+    def __init__(self, patterns: list[bytes]):
+        nodes: dict[tuple[int, int], int] = {}
+        self.node_of: list[int] = []
+        for p in patterns:
+            at = 0
+            for b in p:
+                at = nodes.setdefault((at, b), len(nodes) + 1)
+            self.node_of.append(at)
+        parent, byte = (np.array([k[i] for k in nodes], np.int64) for i in (0, 1))
+        self.goto = Lookup(parent << 8 | byte, np.arange(1, len(nodes) + 1, dtype=np.int32))
+        depth = np.zeros(len(nodes) + 1, np.int32)
+        for child, up in enumerate(parent.tolist(), 1):
+            depth[child] = depth[up] + 1
+        self.fail = np.zeros(len(nodes) + 1, np.int32)
+        self.by_depth = [np.flatnonzero(depth == d) for d in range(1, int(depth.max()) + 1)]
+        for level in self.by_depth[1:]:
+            self.fail[level] = self.step(self.fail[parent[level - 1]], byte[level - 1])
+
+    def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The states after a byte each."""
+        byte = byte.astype(np.int64)
+        out = self.goto(state.astype(np.int64) << 8 | byte)
+        left = np.flatnonzero((out < 0) & (state > 0))
+        at = state[left]
+        while len(left):
+            at = self.fail[at]
+            found = self.goto(at.astype(np.int64) << 8 | byte[left])
+            out[left] = found
+            go = (found < 0) & (at > 0)
+            left, at = left[go], at[go]
+        return np.maximum(out, 0)
+
+    def longest(self, of_node: np.ndarray) -> np.ndarray:
+        """``of_node`` (a pattern or -1 for each node) handed on along failure links, so
+        that a node has the longest pattern that its string ends with."""
+        out = of_node.copy()
+        for level in self.by_depth:
+            lacks = level[out[level] < 0]
+            out[lacks] = out[self.fail[lacks]]
+        return out
+
+
 class MergeTable:
     """Tokens, their merges and the pair-compatibility table of a tokenizer file.
 
@@ -74,82 +169,261 @@ class MergeTable:
         self.text: list[str] = [""] * n
         for s, i in self.ids.items():
             self.text[i] = s
-        self.length = [len(s) for s in self.text]
-        self.left, self.right, self.born = [-1] * n, [-1] * n, [-1] * n
-        self.rank: dict[tuple[int, int], int] = {}
+        self.length = np.array([len(s) for s in self.text], np.int32)
+        self.left, self.right, self.born = (np.full(n, -1, np.int32) for _ in range(3))
+        pairs, ranks = [], []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             whole = a[: -len(suffix)] + b if suffix and a.endswith(suffix) else a + b
             left, right, made = named[a][1], named[b][1], named[whole][1]
-            self.rank[left, right] = rank
+            pairs.append(left << 20 | right)
+            ranks.append(rank)
             if self.born[made] < 0:
                 self.left[made], self.right[made], self.born[made] = left, right, rank
-        self.shorter = [-1] * n
-        for s, i in self.ids.items():
-            self.shorter[i] = next((self.ids[s[:k]] for k in range(len(s) - 1, 0, -1) if s[:k] in self.ids), -1)
-        self.automaton = ahocorasick.Automaton()
-        for s, i in self.ids.items():
-            self.automaton.add_word(s, i)
-        self.automaton.make_automaton()
-        self._compatible: dict[tuple[int, int], bool] = {}
-
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether token ``b`` can follow ``a``: no merge crosses their border.
+        self.rank = Lookup(np.array(pairs, np.int64), np.array(ranks, np.int32))
+        self._pair, self._fits = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool)
+
+    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether each token ``b`` can follow ``a``: no merge crosses their border."""
+        pair = a.astype(np.int64) << 20 | b
+        slot = (mix(pair.astype(np.uint64)) & np.uint64(PAIR_SLOTS - 1)).astype(np.int64)
+        fits = self._fits[slot]
+        new = np.flatnonzero(self._pair[slot] != pair)
+        if len(new):
+            asked, where = np.unique(pair[new], return_inverse=True)
+            found = self._compatible(asked >> 20, asked & ((1 << 20) - 1))
+            fits[new] = found[where]
+            at = slot[new]
+            self._fits[at], self._pair[at] = found[where], pair[new]
+            # Of two pairs in one slot the last one stays: key and answer are set alike.
+            self._fits[at] = np.where(self._pair[at] == pair[new], found[where], self._fits[at])
+        return fits
 
-        Undoes the merges of both sides, latest first. A pair that stands at the
+    def _compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Undoes the merges of both sides, latest first. A pair that stands at the
         border would merge if its rank comes before either part's own merge; of
-        equal ranks the left one is merged first.
-        """
-        known = self._compatible.get((a, b))
-        if known is not None:
-            return known
-        left, right, left_goes, right_goes, fits = a, b, float("inf"), float("inf"), True
-        while True:
-            rank = self.rank.get((left, right))
-            if rank is not None and rank < left_goes and rank <= right_goes:
-                fits = False
-                break
-            if self.born[left] < 0 and self.born[right] < 0:
-                break
-            if self.born[right] >= self.born[left]:
-                right_goes, right = self.born[right], self.left[right]
-            else:
-                left_goes, left = self.born[left], self.right[left]
-        if len(self._compatible) >= CACHE_PAIRS:
-            self._compatible.clear()
-        self._compatible[a, b] = fits
+        equal ranks the left one is merged first."""
+        fits = np.ones(len(left), bool)
+        live = np.arange(len(left))
+        left, right = left.astype(np.int32), right.astype(np.int32)
+        left_goes, right_goes = (np.full(len(left), _NEVER) for _ in range(2))
+        while len(live):
+            rank = self.rank(left.astype(np.int64) << 20 | right)
+            merges = (rank >= 0) & (rank < left_goes) & (rank <= right_goes)
+            fits[live[merges]] = False
+            born_left, born_right = self.born[left], self.born[right]
+            go = ~merges & ((born_left >= 0) | (born_right >= 0))
+            live, left, right, left_goes, right_goes, born_left, born_right = (x[go] for x in (live, left, right, left_goes, right_goes, born_left, born_right))
+            on_right = born_right >= born_left
+            right_goes, left_goes = np.where(on_right, born_right, right_goes), np.where(on_right, left_goes, born_left)
+            left, right = np.where(on_right, left, self.right[left]), np.where(on_right, self.left[right], right)
         return fits
 
-    def encode_piece(self, piece: str) -> list[int]:
-        """Token ids of one piece (a character a byte, END included where words have it)."""
-        n = len(piece)
-        longest = [-1] * (n + 1)
-        length, shorter, compatible = self.length, self.shorter, self.compatible
-        for end, token in self.automaton.iter(piece):
-            start = end + 1 - length[token]
-            if longest[start] < 0 or length[token] > length[longest[start]]:
-                longest[start] = token
-        dead = bytearray(n + 1)
+
+class Backtracker:
+    """The encoder proper: token ids of pieces under a vocabulary without word ends."""
+
+    def __init__(self, table: MergeTable):
+        self.table = table
+        words = [(s.encode("latin-1"), i) for s, i in table.ids.items() if not s.endswith(END)]
+        ids = np.array([i for _, i in words])
+        self.reader = Automaton([w[::-1] for w, _ in words])
+        of_node = np.full(len(self.reader.fail), -1, np.int32)
+        of_node[self.reader.node_of] = ids
+        self.longest = self.reader.longest(of_node)
+        # The next shorter token with which a token begins: the reversed one's proper suffix.
+        self.shorter = np.full(len(table.text), -1, np.int32)
+        self.shorter[ids] = self.longest[self.reader.fail[self.reader.node_of]]
+
+    def encode(self, pieces: list[str], kind: np.dtype) -> dict[str, bytes]:
+        """The ids of each piece as bytes of numbers of a kind."""
+        raw = [p.encode() for p in pieces]
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        short = np.flatnonzero(length <= LONG_PIECE)
+        short = short[np.argsort(-length[short], kind="stable")]
+        order = short.tolist()
+        tokens, ends = self._side_by_side([raw[i] for i in order], length[short])
+        flat, ends = tokens.astype(kind).tobytes(), (ends * kind.itemsize).tolist()
+        out = {pieces[i]: flat[lo:hi] for i, lo, hi in zip(order, [0, *ends][: len(ends)], ends, strict=True)}
+        for i in np.flatnonzero(length > LONG_PIECE).tolist():
+            out[pieces[i]] = self._alone(raw[i]).astype(kind).tobytes()
+        return out
+
+    def _longest_at(self, data: np.ndarray, base: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The longest token that begins at each place; pieces come longest first."""
+        out = np.full(len(data), -1, np.int32)
+        state = np.zeros(len(base), np.int32)
+        last = base + length - 1
+        for k in range(int(length[0])):
+            n = int(np.searchsorted(-length, -k, "left"))  # pieces with more than k bytes
+            at = last[:n] - k
+            state = self.reader.step(state[:n], data[at])
+            out[at] = self.longest[state]
+        return out
+
+    def _side_by_side(self, pieces: list[bytes], length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens, and where those of each piece end. ``pieces`` come longest first."""
+        if not pieces or not length[0]:
+            return np.zeros(0, np.int32), np.zeros(len(pieces), np.int64)
+        table = self.table
+        base = np.cumsum(length) - length
+        longest = self._longest_at(np.frombuffer(b"".join(pieces), np.uint8), base, length)
+        longest = np.append(longest, np.int32(-1))
+        dead = np.zeros(len(longest) + len(pieces), bool)  # a place after each piece's end too
+        mark = base + np.arange(len(pieces))
+        tokens, count = np.zeros(len(longest), np.int32), np.zeros(len(pieces), np.int64)
+        live = np.flatnonzero(length > 0)
+        at, token = np.zeros(len(live), np.int64), longest[base[live]]
+        while len(live):
+            stuck = token < 0
+            back = np.flatnonzero(stuck)
+            if len(back):
+                who = live[back]
+                if (count[who] == 0).any():
+                    raise ValueError("the vocabulary cannot spell this text")
+                dead[mark[who] + at[back]] = True
+                count[who] -= 1
+                token[back] = tokens[base[who] + count[who]]
+                at[back] -= table.length[token[back]]
+            end = at + table.length[token]
+            fits = ~dead[mark[live] + end]
+            tried = np.flatnonzero(fits & (count[live] > 0))
+            before = tokens[base[live[tried]] + count[live[tried]] - 1]
+            fits[tried] = table.compatible(before, token[tried])
+            go = np.flatnonzero(fits)
+            who = live[go]
+            tokens[base[who] + count[who]] = token[go]
+            count[who] += 1
+            at[go] = end[go]
+            other = np.flatnonzero(~fits)
+            token[other] = self.shorter[token[other]]
+            token[go] = longest[base[who] + end[go]]
+            left = ~(fits & (end == length[live]))
+            live, at, token = live[left], at[left], token[left]
+        return tokens[np.repeat(base, count) + ranges(count)], np.cumsum(count)
+
+    def _alone(self, piece: bytes) -> np.ndarray:
+        """A long piece: its tokens in the same way, place by place."""
+        table, n = self.table, len(piece)
+        data = np.frombuffer(piece, np.uint8)
+        longest = self._longest_at_alone(data)
+        length, shorter, dead = table.length.tolist(), self.shorter, bytearray(n + 1)
+        fits: dict[tuple[int, int], bool] = {}
         tokens: list[int] = []
-        at, token = 0, longest[0]
+        at, token = 0, int(longest[0])
         while at < n:
-            last = tokens[-1] if tokens else -1
             while token >= 0:
                 end = at + length[token]
-                if not dead[end] and (last < 0 or compatible(last, token)):
-                    break
-                token = shorter[token]
+                if not dead[end]:
+                    if not tokens:
+                        break
+                    pair = tokens[-1], token
+                    if pair not in fits:
+                        fits[pair] = bool(table.compatible(np.array(pair[:1]), np.array(pair[1:]))[0])
+                    if fits[pair]:
+                        break
+                token = int(shorter[token])
             if token >= 0:
                 tokens.append(token)
                 at = end
-                token = longest[at]
+                token = int(longest[at]) if at < n else -1
             else:
                 dead[at] = 1
                 if not tokens:
                     raise ValueError("the vocabulary cannot spell this text")
                 token = tokens.pop()
                 at -= length[token]
-        return tokens
+        return np.array(tokens, np.int32)
+
+    def _longest_at_alone(self, data: np.ndarray) -> np.ndarray:
+        """As _longest_at, for one piece in parts: the automaton's state after a part's end
+        and as many bytes more as its deepest node is that of the whole piece."""
+        deep, width = len(self.reader.by_depth), 512
+        n = len(data)
+        starts = np.arange(0, n, width)
+        stops = np.minimum(starts + width + deep, n)
+        length = stops - starts
+        flat = data[np.repeat(starts, length) + ranges(length)]
+        order = np.argsort(-length, kind="stable")
+        found = self._longest_at(flat, (np.cumsum(length) - length)[order], length[order])
+        return np.concatenate([found[b : b + min(width, n - s)] for b, s in zip((np.cumsum(length) - length).tolist(), starts.tolist(), strict=True)])
+
+
+class Known:
+    """Runs between spaces and what they encode to, bounded in bytes: those met lately,
+    and those met before, which are dropped when there are too many of the others."""
+
+    def __init__(self, limit: int | None = None):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
+        self.size, self.limit = 0, (KNOWN_BYTES if limit is None else limit) // 2
+
+    def missing(self, runs: set[str]) -> list[str]:
+        """Those of ``runs`` that are not known; the others are from now on met lately."""
+        runs = runs.difference(self.new)
+        old = {r: self.old[r] for r in runs if r in self.old} if self.old else {}
+        self.add(old)
+        return [r for r in runs if r not in old]
+
+    def add(self, found: dict[str, bytes]) -> None:
+        self.long += [r for r in found if len(r) > KNOWN_LENGTH]
+        self.new.update(found)
+        self.size += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
+
+    def turn(self) -> None:
+        """After some texts: forgets long runs, and the older half if the newer one is full."""
+        for r in self.long:
+            self.size -= len(r) + len(self.new.pop(r)) + ENTRY_BYTES
+        self.long = []
+        if self.size > self.limit:
+            self.old, self.new, self.size = self.new, {}, 0
+
+
+def runs_of(text: str) -> list[str]:
+    """A text cut at spaces that stand between two visible characters.
+
+    Such a space always begins a piece, so that each run can be encoded on its own with
+    the space; before the first one there is none.
+    """
+    if text[:1] == " " or text[-1:] == " " or _odd_space.search(text):
+        return _single_space.split(text)
+    return text.split(" ")
+
+
+def encode_run_wise(texts: list[str], known: Known, encode_strings: Callable, kind: np.dtype) -> list[np.ndarray]:
+    """Ids of each text; each run between spaces is encoded once. ``encode_strings`` takes
+    strings and what is known of runs, and gives the ids of each as bytes."""
+    split = [runs_of(t) for t in texts]
+    heads = [runs.pop(0) for runs in split]
+    seen: set[str] = set()
+    for runs in split:
+        seen.update(runs)
+    missing = known.missing(seen)
+    found = encode_strings([" " + r for r in missing] + heads, known.new)
+    known.add(dict(zip(missing, found, strict=False)))
+    get = known.new.__getitem__
+    out = [np.frombuffer(head + b"".join(map(get, runs)), kind) for head, runs in zip(found[len(missing) :], split, strict=True)]
+    known.turn()
+    return out
+
+
+def stands_alone(text: str) -> bool:
+    """Whether a string begins with its only space and ends visibly, so that many of them
+    put together fall into the same pieces."""
+    return text[:1] == " " and " " not in text[1:] and text[1:2].strip() != "" and not text[-1].isspace()
+
+
+def batches_of(column: pa.Array, size: int | None = None) -> Iterator[list[str]]:
+    """The texts of a column (null is empty) in lists of about ``size`` bytes."""
+    size = ENCODE_BYTES if size is None else size
+    lengths = np.array([x or 0 for x in pc.binary_length(column.cast(pa.large_string())).to_pylist()], np.int64)
+    ends, at = np.cumsum(lengths), 0
+    while at < len(lengths):
+        done = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield [t or "" for t in column.slice(at, to - at).to_pylist()]
+        at = to
 
 
 class ByteLevelBpe:
@@ -157,76 +431,63 @@ class ByteLevelBpe:
 
     def __init__(self, path: str):
         self.table = MergeTable(path)
+        self.tracker = Backtracker(self.table)
         self.pieces = regex.compile(BYTE_LEVEL_PATTERN)
         self.special = re.compile("(" + "|".join(map(re.escape, self.table.specials)) + ")") if self.table.specials else None
         words = [s.encode("latin-1") for s in self.table.text]
         for s, i in self.table.specials.items():
             words[i] = s.encode()
+        self.kind = np.dtype("<u2" if len(words) <= 1 << 16 else "<u4")
+        self.decimal = [str(i) for i in range(len(words))]
         self.blob = np.frombuffer(b"".join(words), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-        self._chunks: dict[str, tuple[bytes, bytes]] = {}
-
-    def _encode_part(self, text: str) -> list[int]:
-        out: list[int] = []
-        parts = self.special.split(text) if self.special else [text]
-        for part in parts:
-            if part in self.table.specials:
-                out.append(self.table.specials[part])
-            else:
-                for piece in self.pieces.findall(part):
-                    out += self.table.encode_piece(piece.encode().decode("latin-1"))
+
+    def _pieces_of(self, texts: list[str]) -> list[list[str]]:
+        """The pieces of each text; special tokens are pieces of their own."""
+        special = self.table.specials
+        found = [self.special is not None and self.special.search(t) for t in texts]
+        plain = [i for i, t in enumerate(texts) if not found[i] and stands_alone(t)]
+        out: list = [None] * len(texts)
+        pieces = self.pieces.findall("".join([texts[i] for i in plain]))
+        at = [k for k, p in enumerate(pieces) if p[0] == " "]
+        for i, lo, hi in zip(plain, at, [*at[1:], len(pieces)][: len(at)], strict=True):
+            out[i] = pieces[lo:hi]
+        for i, t in enumerate(texts):
+            if out[i] is None:
+                parts = self.special.split(t) if found[i] else [t]
+                out[i] = [p for part in parts for p in ([part] if part in special else self.pieces.findall(part))]
         return out
 
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes] | None:
-        """Ids of " " + chunk as bytes and as decimals; None if the border is not one of pieces."""
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            return None
-        ids = self._encode_part(" " + chunk)
-        found = np.array(ids, np.uint32).tobytes(), ",".join(map(str, ids)).encode()
-        if len(chunk) <= CACHE_LENGTH:
-            if len(self._chunks) >= CACHE_CHUNKS:
-                self._chunks.clear()
-            self._chunks[chunk] = found
-        return found
-
-    def encode_bytes(self, text: str) -> tuple[bytes, bytes]:
-        """Ids of a text as 32-bit little-endian numbers and as decimals with commas.
-
-        A single space between two visible characters always begins a piece, so
-        that the runs between such spaces are encoded on their own, each once.
-        """
-        if not text:
-            return b"", b""
-        chunks = text.split(" ")
-        known = self._chunks
-        found = []
-        first = self._encode_part(chunks[0])
-        if len(chunks) > 1 and (not chunks[0] or chunks[0][-1].isspace()):
-            found = None
-        else:
-            for chunk in chunks[1:]:
-                x = known.get(chunk) or self._chunk(chunk)
-                if x is None:
-                    found = None
-                    break
-                found.append(x)
-        if found is None:
-            whole = _single_space.split(text)
-            first = self._encode_part(whole[0])
-            found = [known.get(x) or self._chunk(x) or self._plain(" " + x) for x in whole[1:]]
-        head = np.array(first, np.uint32).tobytes(), ",".join(map(str, first)).encode()
-        return b"".join([head[0], *[x[0] for x in found]]), b",".join([head[1], *[x[1] for x in found]])
-
-    def _plain(self, text: str) -> tuple[bytes, bytes]:
-        ids = self._encode_part(text)
-        return np.array(ids, np.uint32).tobytes(), ",".join(map(str, ids)).encode()
+    def encode_strings(self, texts: list[str], known: dict[str, bytes]) -> list[bytes]:
+        """Ids of each string, piece by piece; " x" is looked up as the known run "x"."""
+        # A word, with or without a space before it, is a piece.
+        other = [t for t in texts if not (t.isalpha() or t[:1] == " " and t[1:].isalpha())]
+        cut = self._pieces_of(other)
+        ids = {s: np.array([i], self.kind).tobytes() for s, i in self.table.specials.items()}
+        pieces = {p for x in cut for p in x}.difference(ids)
+        ids.update((p, known[p[1:]]) for p in pieces if p[0] == " " and p[1:] in known and len(p) > 1)
+        pieces.update(texts)
+        pieces.difference_update(other, ids)
+        # (an odd string that is one piece of another one is encoded as the latter)
+        ids |= self.tracker.encode(list(pieces | {p for x in cut for p in x}.difference(ids)), self.kind)
+        ids.update((t, b"".join([ids[p] for p in x])) for t, x in zip(other, cut, strict=True))
+        return [ids[t] for t in texts]
+
+    def encode_texts(self, texts: list[str], known: Known) -> list[np.ndarray]:
+        """Ids of each text."""
+        return encode_run_wise(texts, known, self.encode_strings, self.kind)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.encode_bytes(text)[0], np.uint32)
+        return self.encode_texts([text], Known())[0].astype(np.uint32)
+
+    def decimals(self, ids: np.ndarray) -> bytes:
+        """Decimal ids with commas between them."""
+        return ",".join(map(self.decimal.__getitem__, ids.tolist())).encode()
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
+        ids = np.asarray(ids, np.int64)
         starts = self.offsets[ids]
-        lengths = self.offsets[np.asarray(ids, np.int64) + 1] - starts
+        lengths = self.offsets[ids + 1] - starts
         return self.blob[ranges(lengths) + np.repeat(starts, lengths)].tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
@@ -234,21 +495,27 @@ class ByteLevelBpe:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def encoder(path: str) -> ByteLevelBpe:
-    """One encoder a file and worker process."""
+    """One encoder a file and worker process; it keeps nothing of the texts."""
     return ByteLevelBpe(path)
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) of every text; null counts as empty and has no ids."""
+    """(id, ids array<int>) of every text; null counts as empty and has no ids.
+
+    Texts of any length are encoded whole; repeated rows and null ids stay rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe, known = encoder(path), Known()
         for batch in batches:
-            ids = [bpe.encode(t or "").astype(np.int32) for t in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *ids]))], ["id", "ids"])
+            at = 0
+            for texts in batches_of(batch.column(1)):
+                ids = [x.astype(np.int32) for x in bpe.encode_texts(texts, known)]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *ids]))], ["id", "ids"])
+                at += len(texts)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
@@ -270,20 +537,21 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
     """Per row of documents: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     Null text counts as empty; repeated rows give repeated results; a null
-    doc_id stays null. Columns beside doc_id and text are not read.
+    doc_id stays null; an empty table gives no rows. Texts of any length are taken
+    whole. Columns beside doc_id and text are not read.
     """
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe, known = encoder(path), Known()
         for batch in batches:
             rows: tuple[list, list, list] = ([], [], [])
-            for text in batch.column("text"):
-                ids, decimals = bpe.encode_bytes(text.as_py() or "")
-                decoded = bpe.decode(np.frombuffer(ids, np.uint32))
-                rows[0].append(len(ids) // 4)
-                rows[1].append(hashlib.sha256(decimals).hexdigest())
-                rows[2].append(hashlib.sha256(decoded.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for texts in batches_of(batch.column("text")):
+                for ids in bpe.encode_texts(texts, known):
+                    rows[0].append(len(ids))
+                    rows[1].append(hashlib.sha256(bpe.decimals(ids)).hexdigest())
+                    rows[2].append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, f.type) for x, f in zip(rows, list(schema)[1:], strict=True))], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

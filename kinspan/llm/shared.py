@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,15 +14,27 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``.
 
     On a cluster the session names the shared store. Only where the setting is
-    absent (tests, one machine) is a local folder taken.
+    absent and Spark runs on one machine (tests) is a local folder taken.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def arrow_folder(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The Arrow file system of a folder as Spark spells it, and the path there."""
+    scheme, mark, rest = folder.partition(":")
+    if mark and scheme in ("s3a", "s3n"):
+        folder = "s3:" + rest
+    elif scheme == "file" and not rest.startswith("//"):
+        folder = "file://" + rest
+    return pafs.FileSystem.from_uri(folder)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: its lineage
     ends there, so a lost executor costs a read and not a recomputation."""
@@ -34,6 +47,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores behind it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -25,12 +25,11 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import n_partitions, read_table, shared_folder, written
+from .shared import arrow_folder, n_partitions, read_table, shared_folder, written
 
 LEAST_REVISIT_BYTES = 1000
 BLOCK_ENTRIES = 256
@@ -113,7 +112,7 @@ class ArchiveWriter:
     """One archive and its index, written side by side in key order."""
 
     def __init__(self, folder: str, shard: int):
-        self.fs, root = pafs.FileSystem.from_uri(folder)
+        self.fs, root = arrow_folder(folder)
         self.fs.create_dir(root, recursive=True)
         self.shard, self.stem = shard, f"{root}/pages-{shard:08d}-{uuid.uuid4().hex}"
         self.archive = self.fs.open_output_stream(self.stem + ".warc.gz", compression=None)
@@ -153,7 +152,7 @@ class ArchiveWriter:
 
 class ArchiveReader:
     def __init__(self, folder: str, stem: str):
-        fs, _ = pafs.FileSystem.from_uri(folder)
+        fs, _ = arrow_folder(folder)
         self.archive, self.index = fs.open_input_file(stem + ".warc.gz"), fs.open_input_file(stem + ".idx")
         size = self.index.size()
         length = int.from_bytes(self.index.read_at(8, size - 8), "little")
