@@ -14,8 +14,9 @@ pair-compatibility table and backtracking work on arrays with an entry a piece.
 The automaton reads pieces from their ends, so that its one output at a place is
 the longest token that begins there.
 
-Memory: the tables of a vocabulary (a few dozen MB) stay in a worker; runs between
-spaces that were met are kept up to KNOWN_BYTES within a task and go with it.
+Memory: a worker process keeps the tables of a vocabulary (a few dozen MB) and runs
+between spaces that it met, with their ids, up to KNOWN_BYTES. What is known changes the
+time that a text takes and nothing else.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -39,9 +40,9 @@ from .words import mix, ranges
 
 #: The pattern by which byte-level BPE cuts a text before merging.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Bytes of runs between spaces (with their ids) that a task keeps; half of them are
+#: Bytes of runs between spaces (with their ids) that a worker keeps; half of them are
 #: those met lately. Longer runs than KNOWN_LENGTH are not kept.
-KNOWN_BYTES = 96 << 20
+KNOWN_BYTES = 64 << 20
 KNOWN_LENGTH = 64
 #: What an entry takes beside its key and value.
 ENTRY_BYTES = 200
@@ -350,12 +351,13 @@ class Backtracker:
 
 
 class Known:
-    """Runs between spaces and what they encode to, bounded in bytes: those met lately,
-    and those met before, which are dropped when there are too many of the others."""
+    """What runs between spaces (behind their space) and bare pieces encode to, bounded in
+    bytes: those met lately, and those met before, which go when the others are too many."""
 
     def __init__(self, limit: int | None = None):
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
         self.long: list[str] = []
         self.size, self.limit = 0, (KNOWN_BYTES if limit is None else limit) // 2
 
@@ -371,47 +373,19 @@ class Known:
         self.new.update(found)
         self.size += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
 
+    def add_bare(self, found: dict[str, bytes]) -> None:
+        short = {p: x for p, x in found.items() if len(p) <= KNOWN_LENGTH}
+        self.bare.update(short)
+        self.size += sum(map(len, short)) + sum(map(len, short.values())) + ENTRY_BYTES * len(short)
+
     def turn(self) -> None:
         """After some texts: forgets long runs, and the older half if the newer one is full."""
         for r in self.long:
-            self.size -= len(r) + len(self.new.pop(r)) + ENTRY_BYTES
+            if r in self.new:
+                self.size -= len(r) + len(self.new.pop(r)) + ENTRY_BYTES
         self.long = []
         if self.size > self.limit:
-            self.old, self.new, self.size = self.new, {}, 0
-
-
-def runs_of(text: str) -> list[str]:
-    """A text cut at spaces that stand between two visible characters.
-
-    Such a space always begins a piece, so that each run can be encoded on its own with
-    the space; before the first one there is none.
-    """
-    if text[:1] == " " or text[-1:] == " " or _odd_space.search(text):
-        return _single_space.split(text)
-    return text.split(" ")
-
-
-def encode_run_wise(texts: list[str], known: Known, encode_strings: Callable, kind: np.dtype) -> list[np.ndarray]:
-    """Ids of each text; each run between spaces is encoded once. ``encode_strings`` takes
-    strings and what is known of runs, and gives the ids of each as bytes."""
-    split = [runs_of(t) for t in texts]
-    heads = [runs.pop(0) for runs in split]
-    seen: set[str] = set()
-    for runs in split:
-        seen.update(runs)
-    missing = known.missing(seen)
-    found = encode_strings([" " + r for r in missing] + heads, known.new)
-    known.add(dict(zip(missing, found, strict=False)))
-    get = known.new.__getitem__
-    out = [np.frombuffer(head + b"".join(map(get, runs)), kind) for head, runs in zip(found[len(missing) :], split, strict=True)]
-    known.turn()
-    return out
-
-
-def stands_alone(text: str) -> bool:
-    """Whether a string begins with its only space and ends visibly, so that many of them
-    put together fall into the same pieces."""
-    return text[:1] == " " and " " not in text[1:] and text[1:2].strip() != "" and not text[-1].isspace()
+            self.old, self.new, self.bare, self.size = self.new, {}, {}, 0
 
 
 def batches_of(column: pa.Array, size: int | None = None) -> Iterator[list[str]]:
@@ -426,56 +400,104 @@ def batches_of(column: pa.Array, size: int | None = None) -> Iterator[list[str]]
         at = to
 
 
-class ByteLevelBpe:
+class RunWise:
+    """Encodes texts of a byte-level vocabulary by the runs between their spaces, each once.
+
+    A single space between two visible characters always begins a piece, so that each run
+    can be encoded on its own with the space before it. Subclasses encode pieces.
+    """
+
+    kind: np.dtype
+
+    def __init__(self, specials: dict[str, int]):
+        self.pieces = regex.compile(BYTE_LEVEL_PATTERN)
+        self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
+        self.special_ids = {s: np.array([i], self.kind).tobytes() for s, i in specials.items()}
+
+    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        raise NotImplementedError
+
+    def _pieces_of(self, text: str) -> list[str]:
+        """Pieces of any text; special tokens are pieces of their own."""
+        if text.isalpha():
+            return [text]
+        if self.special is None or not self.special.search(text):
+            return self.pieces.findall(text)
+        return [p for part in self.special.split(text) for p in ([part] if part in self.special_ids else self.pieces.findall(part))]
+
+    def _pieces_of_runs(self, runs: list[str]) -> list[list[str]]:
+        """Pieces of visible runs without inner spaces, each with the space before it."""
+        joined = " " + " ".join(runs) if runs else ""
+        if self.special is not None and self.special.search(joined):
+            return [self._pieces_of(" " + r) for r in runs]
+        pieces = self.pieces.findall(joined)
+        at = [k for k, p in enumerate(pieces) if p[0] == " "]
+        return [pieces[lo:hi] for lo, hi in zip(at, [*at[1:], len(pieces)][: len(at)], strict=True)]
+
+    def _learn(self, runs: list[str], odd: list[str], heads: list[str], known: Known) -> list[bytes]:
+        """Makes runs known (``odd`` ones have spaces in them); ids of the heads of texts."""
+        words = [r for r in runs if r.isalpha()]
+        others = [r for r in runs if not r.isalpha()]
+        cut = [*self._pieces_of_runs(others), *(self._pieces_of(" " + r) for r in odd), *map(self._pieces_of, heads)]
+        ids, new = dict(self.special_ids), []
+        for p in {p for x in cut for p in x}.difference(ids):
+            held = known.new.get(p[1:]) if p[0] == " " and len(p) > 1 else known.bare.get(p)
+            if held is None:
+                new.append(p)
+            else:
+                ids[p] = held
+        fresh = set(new)
+        fresh.update([" " + w for w in words])
+        found = self.encode_pieces(list(fresh))
+        ids |= found
+        whole = [ids[x[0]] if len(x) == 1 else b"".join([ids[p] for p in x]) for x in cut]
+        # A word met with marks behind it is known without them too.
+        learnt = {p[1:]: ids[p] for p in fresh if p[0] == " " and p[1:].isalpha()}
+        learnt.update(zip([*others, *odd], whole, strict=False))
+        known.add(learnt)
+        known.add_bare({p: found[p] for p in new if p[0] != " " or len(p) == 1})
+        return whole[len(others) + len(odd) :]
+
+    def encode_texts(self, texts: list[str], known: Known) -> list[np.ndarray]:
+        """Ids of each text."""
+        split, heads, seen, odd = [], [], set(), set()
+        for text in texts:
+            runs = text.split(" ")
+            if len(runs) > 1 and (not runs[0] or not runs[-1] or _odd_space.search(text)):
+                # Spaces that are no borders of pieces: at an end, or beside white space.
+                runs = _single_space.split(text)
+                heads.append(runs.pop(0))
+                odd.update([r for r in runs if " " in r or r[-1].isspace()])
+            else:
+                heads.append(runs.pop(0))
+            split.append(runs)
+            seen.update(runs)
+        missing = known.missing(seen)
+        starts = self._learn([r for r in missing if r not in odd], [r for r in missing if r in odd], heads, known)
+        get = known.new.__getitem__
+        out = [np.frombuffer(head + b"".join(map(get, runs)), self.kind) for head, runs in zip(starts, split, strict=True)]
+        known.turn()
+        return out
+
+
+class ByteLevelBpe(RunWise):
     """Encoder and decoder of a byte-level BPE file (no word ends)."""
 
     def __init__(self, path: str):
         self.table = MergeTable(path)
         self.tracker = Backtracker(self.table)
-        self.pieces = regex.compile(BYTE_LEVEL_PATTERN)
-        self.special = re.compile("(" + "|".join(map(re.escape, self.table.specials)) + ")") if self.table.specials else None
         words = [s.encode("latin-1") for s in self.table.text]
         for s, i in self.table.specials.items():
             words[i] = s.encode()
         self.kind = np.dtype("<u2" if len(words) <= 1 << 16 else "<u4")
+        super().__init__(self.table.specials)
+        self.known = Known()
         self.decimal = [str(i) for i in range(len(words))]
         self.blob = np.frombuffer(b"".join(words), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])])
 
-    def _pieces_of(self, texts: list[str]) -> list[list[str]]:
-        """The pieces of each text; special tokens are pieces of their own."""
-        special = self.table.specials
-        found = [self.special is not None and self.special.search(t) for t in texts]
-        plain = [i for i, t in enumerate(texts) if not found[i] and stands_alone(t)]
-        out: list = [None] * len(texts)
-        pieces = self.pieces.findall("".join([texts[i] for i in plain]))
-        at = [k for k, p in enumerate(pieces) if p[0] == " "]
-        for i, lo, hi in zip(plain, at, [*at[1:], len(pieces)][: len(at)], strict=True):
-            out[i] = pieces[lo:hi]
-        for i, t in enumerate(texts):
-            if out[i] is None:
-                parts = self.special.split(t) if found[i] else [t]
-                out[i] = [p for part in parts for p in ([part] if part in special else self.pieces.findall(part))]
-        return out
-
-    def encode_strings(self, texts: list[str], known: dict[str, bytes]) -> list[bytes]:
-        """Ids of each string, piece by piece; " x" is looked up as the known run "x"."""
-        # A word, with or without a space before it, is a piece.
-        other = [t for t in texts if not (t.isalpha() or t[:1] == " " and t[1:].isalpha())]
-        cut = self._pieces_of(other)
-        ids = {s: np.array([i], self.kind).tobytes() for s, i in self.table.specials.items()}
-        pieces = {p for x in cut for p in x}.difference(ids)
-        ids.update((p, known[p[1:]]) for p in pieces if p[0] == " " and p[1:] in known and len(p) > 1)
-        pieces.update(texts)
-        pieces.difference_update(other, ids)
-        # (an odd string that is one piece of another one is encoded as the latter)
-        ids |= self.tracker.encode(list(pieces | {p for x in cut for p in x}.difference(ids)), self.kind)
-        ids.update((t, b"".join([ids[p] for p in x])) for t, x in zip(other, cut, strict=True))
-        return [ids[t] for t in texts]
-
-    def encode_texts(self, texts: list[str], known: Known) -> list[np.ndarray]:
-        """Ids of each text."""
-        return encode_run_wise(texts, known, self.encode_strings, self.kind)
+    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        return self.tracker.encode(pieces, self.kind)
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_texts([text], Known())[0].astype(np.uint32)
@@ -497,7 +519,7 @@ class ByteLevelBpe:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ByteLevelBpe:
-    """One encoder a file and worker process; it keeps nothing of the texts."""
+    """One encoder a file and worker process, with what it knows of earlier texts."""
     return ByteLevelBpe(path)
 
 
@@ -508,11 +530,11 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, known = encoder(path), Known()
+        bpe = encoder(path)
         for batch in batches:
             at = 0
             for texts in batches_of(batch.column(1)):
-                ids = [x.astype(np.int32) for x in bpe.encode_texts(texts, known)]
+                ids = [x.astype(np.int32) for x in bpe.encode_texts(texts, bpe.known)]
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *ids]))], ["id", "ids"])
                 at += len(texts)
@@ -543,11 +565,11 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, known = encoder(path), Known()
+        bpe = encoder(path)
         for batch in batches:
             rows: tuple[list, list, list] = ([], [], [])
             for texts in batches_of(batch.column("text")):
-                for ids in bpe.encode_texts(texts, known):
+                for ids in bpe.encode_texts(texts, bpe.known):
                     rows[0].append(len(ids))
                     rows[1].append(hashlib.sha256(bpe.decimals(ids)).hexdigest())
                     rows[2].append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())

@@ -1,18 +1,22 @@
 """Exact token counts at every prefix of a text, by dynamic programming.
 
-For each place of a piece (a word, in bytes) the encoding of the prefix that ends
-there has one last token; it is the one token ending there that is compatible
-with the last token of what comes before it. So ``count[end] = count[start] + 1``
-fills the counts of all prefixes in one pass over the Aho-Corasick matches, and
-any question about truncation or a budget reads the table: nothing is encoded
-again. Pieces are independent, so a text's table is the running sum over pieces; it
-is kept at the ends of runs between spaces, and the prefixes of pieces are filled in
-for the run that crosses a budget.
+For each place of a piece (a word, in bytes) the encoding of the bytes up to there
+has one last token; it is the one token ending there that is compatible with the last
+token of what comes before it. So ``count[end] = count[start] + 1`` fills the counts of
+all prefixes in one pass over the Aho-Corasick matches. A vocabulary with word ends asks
+the same of the tokens that close a word: they give the count of the prefix as a text of
+its own. Pieces are independent, so a text's table, with an entry for every code point,
+is the running sum over its pieces with the counts within each; the tokens of the text,
+whether it exceeds a budget, and where it has to be cut are read from that table and
+nothing is encoded again.
+
+The pieces that a batch of texts brings are filled in side by side, an array step a byte.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,187 +28,297 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import CACHE_CHUNKS, CACHE_LENGTH, END, MergeTable
+from .bpe import END, LONG_PIECE, Automaton, Known, MergeTable, batches_of
 from .shared import read_table
+from .words import ranges
 
 TOKEN_LIMIT = 2048
 #: The pattern of the pieces of a vocabulary that marks word ends.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+#: Runs between spaces of a text whose table is held at once.
+TABLE_RUNS = 1 << 17
 
 
 class PrefixCounter:
     """Token counts of texts under a BPE file with word ends (white space is dropped)."""
 
     def __init__(self, path: str):
-        self.table = MergeTable(path)
-        if not self.table.marks_ends:
+        self.table = table = MergeTable(path)
+        if not table.marks_ends:
             raise ValueError("a vocabulary with word ends is needed")
         self.pieces = regex.compile(WORD_PATTERN)
-        self.characters = regex.compile(r"\s+|\X")
-        self.special = re.compile("(" + "|".join(map(re.escape, self.table.specials)) + ")")
+        self.pieces_and_spaces = regex.compile(WORD_PATTERN + r"|\p{White_Space}+")
+        self.special = re.compile("(" + "|".join(map(re.escape, table.specials)) + ")")
         self.normalizer = Tokenizer.from_file(path).normalizer
-        self._chunks: dict[str, int] = {}
-
-    def _fill(self, piece: str) -> tuple[list[int], list[int]]:
-        """Counts and last tokens of all prefixes of a piece (END may be its last character)."""
-        n = len(piece)
-        last, count = [-1] * (n + 1), [0] * (n + 1)
-        length, compatible = self.table.length, self.table.compatible
-        for end, token in self.table.automaton.iter(piece):
-            end += 1
-            if last[end] >= 0:
+        inner = [(s.encode("latin-1"), i) for s, i in table.ids.items() if not s.endswith(END)]
+        final = [(s[:-1].encode("latin-1"), i) for s, i in table.ids.items() if s.endswith(END)]
+        self.reader = Automaton([w for w, _ in inner + final])
+        nodes = np.array(self.reader.node_of)
+        self.known = Known()
+        self.size = np.zeros(len(table.text), np.int32)  # bytes of a token, its end mark not counted
+        self.shorter = np.full(len(table.text), -1, np.int32)  # the next shorter token that ends there too
+        self.ending: list[np.ndarray] = []
+        for words, own in ((inner, nodes[: len(inner)]), (final, nodes[len(inner) :])):
+            ids = np.array([i for _, i in words])
+            of_node = np.full(len(self.reader.fail), -1, np.int32)
+            of_node[own] = ids
+            longest = self.reader.longest(of_node)
+            self.ending.append(longest)
+            self.size[ids] = [len(w) for w, _ in words]
+            self.shorter[ids] = longest[self.reader.fail[own]]
+
+    def prefix_counts(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of each prefix of each piece (in code points, from one on) as a word of its
+        own, in one array; where each piece begins there, and its code points."""
+        raw = [p.encode() for p in pieces]
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        order = np.argsort(-length, kind="stable")
+        counts, ends, sizes = [np.zeros(0, np.int32)], [np.zeros(0, bool)], np.zeros(len(raw), np.int64)
+        # Long ones apart, so that the others are filled in side by side with their like.
+        for part in (order[length[order] > LONG_PIECE], order[length[order] <= LONG_PIECE]):
+            if len(part):
+                own = [raw[i] for i in part.tolist()]
+                counts.append(self._fill(own, length[part]))
+                data = np.frombuffer(b"".join(own), np.uint8)
+                # Code points end before each byte that begins one.
+                ends.append(np.append((data[1:] & 0xC0) != 0x80, True))
+        ends_flat = np.concatenate(ends)
+        stops = np.cumsum(length[order])
+        points = np.concatenate([[0], np.cumsum(ends_flat)])
+        sizes[order] = points[stops] - points[stops - length[order]]
+        base = np.zeros(len(raw), np.int64)
+        base[order] = points[stops - length[order]]
+        return np.concatenate(counts)[ends_flat], base, sizes
+
+    def _fill(self, raw: list[bytes], length: np.ndarray) -> np.ndarray:
+        """Counts at the end of each byte of the pieces; longest pieces first."""
+        base = np.cumsum(length) - length
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        last, inner = np.full(len(data), -1, np.int32), np.zeros(len(data), np.int32)
+        final = np.zeros(len(data), np.int32)
+        state = np.zeros(len(raw), np.int32)
+        for k in range(int(length[0])):
+            n = int(np.searchsorted(-length, -k, "left"))  # pieces with more than k bytes
+            at = base[:n] + k
+            state = self.reader.step(state[:n], data[at])
+            token, count = self._closing(self.ending[0][state], k, at, last, inner)
+            last[at], inner[at] = token, count
+            final[at] = self._closing(self.ending[1][state], k, at, last, inner)[1]
+        return final
+
+    def _closing(self, token: np.ndarray, k: int, at: np.ndarray, last: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The token that ends after byte k of each piece and fits what comes before it
+        (-1: none), and the count there. ``token`` holds the longest ones ending there."""
+        token, count = token.copy(), np.zeros(len(token), np.int32)
+        live = np.flatnonzero(token >= 0)
+        while len(live):
+            size = self.size[token[live]]
+            whole = size == k + 1
+            before = at[live] - size
+            prior = np.where(whole, -1, last[np.where(whole, 0, before)])
+            fits = whole.copy()
+            ask = np.flatnonzero(prior >= 0)
+            fits[ask] = self.table.compatible(prior[ask], token[live[ask]])
+            done = live[fits]
+            count[done] = np.where(whole[fits], 1, inner[np.where(whole[fits], 0, before[fits])] + 1)
+            live = live[~fits]
+            token[live] = self.shorter[token[live]]
+            live = live[token[live] >= 0]
+        return token, count
+
+    def run_tables(self, runs: list[str], known: dict[str, bytes]) -> list[bytes]:
+        """Of each run between spaces: tokens of each of its prefixes (32-bit numbers, a code
+        point each) and, for the space after it, those of the whole."""
+        out: list = [None] * len(runs)
+        lowered = [self._folded(r) for r in runs]
+        plain = [i for i, r in enumerate(lowered) if r is not None]
+        pieces = self.pieces_and_spaces.findall(" ".join([lowered[i] for i in plain]) + " ") if plain else []
+        number = {p: k for k, p in enumerate(set(pieces))}
+        width = np.fromiter(map(len, number), np.int64, len(number))
+        names, table = [], [np.zeros(0, np.int32)]
+        held, base, size = 0, np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        for p, k in number.items():
+            own = known.get(p)
+            if p in CONTRACTIONS:
+                own = np.array([*range(1, len(p)), self._tokens_of(p)], np.int32)
+            elif own is not None and p.isalpha():  # met as a run of one piece
+                own = np.frombuffer(own, "<u4")[:-1].astype(np.int32)
+            elif self.pieces.match(p):
+                names.append(p)
                 continue
-            start = end - length[token]
-            if start == 0 or (last[start] >= 0 and compatible(last[start], token)):
-                last[end], count[end] = token, count[start] + 1
-        return count, last
-
-    def piece_prefix_counts(self, word: str) -> list[int]:
-        """Tokens of each prefix of a word's bytes, the prefix being a word of its own."""
-        piece = word.encode().decode("latin-1")
-        count, last = self._fill(piece)
-        out = [0]
-        longest = max(self.table.length)
-        for end in range(1, len(piece) + 1):
-            for start in range(max(0, end - longest), end):
-                token = self.table.ids.get(piece[start:end] + END, -1)
-                if token >= 0 and (start == 0 or (last[start] >= 0 and self.table.compatible(last[start], token))):
-                    out.append(count[start] + 1)
-                    break
+            else:
+                continue
+            base[k], size[k] = held, len(own)
+            held += len(own)
+            table.append(own)
+        if names:
+            found, at, n = self.prefix_counts(names)
+            where = np.fromiter(map(number.__getitem__, names), np.int64, len(names))
+            base[where], size[where] = at + held, n
+            table.append(found)
+        counts = np.concatenate(table).astype(np.int64)
+        total = np.zeros(len(number), np.int64)
+        total[size > 0] = counts[(base + size - 1)[size > 0]]
+        each = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+        before = np.cumsum(total[each]) - total[each]
+        flat = np.repeat(before, width[each])
+        flat[np.repeat(size[each] > 0, width[each])] += counts[np.repeat(base[each], size[each]) + ranges(size[each])]
+        ends = np.cumsum([len(runs[i]) + 1 for i in plain])
+        if plain:
+            starts = np.append(0, flat[ends[:-1] - 1])
+            flat -= np.repeat(starts, np.diff(ends, prepend=0))
+        raw = flat.astype("<u4").tobytes()
+        for i, lo, hi in zip(plain, [0, *(4 * ends).tolist()], (4 * ends).tolist(), strict=False):
+            out[i] = raw[lo:hi]
+        for i, r in enumerate(lowered):
+            if r is None:
+                out[i] = self._odd_run(runs[i]).astype("<u4").tobytes()
         return out
 
-    def pieces_of(self, chunk: str) -> Iterator[str | None]:
-        """Pieces of a run without spaces; None stands for a special token."""
-        for part in self.special.split(chunk):
+    def _folded(self, run: str) -> str | None:
+        """A run as the vocabulary's normaliser leaves it, if a code point stays one and on
+        its own; None for special tokens and for characters that change one another."""
+        if run.isascii():
+            return None if "<|" in run and self.special.search(run) else run.lower()
+        if self.special.search(run) or not unicodedata.is_normalized("NFC", run):
+            return None
+        low = run.replace("Σ", "σ").lower()
+        if len(low) != len(run):
+            return None
+        solid = "".join(low.split())
+        return low if solid == "".join(self.normalizer.normalize_str(run).split()) and " " not in low else None
+
+    def _pieces_of(self, run: str) -> Iterator[str | None]:
+        """Pieces of a run; None stands for a special token."""
+        for part in self.special.split(run):
             if part in self.table.specials:
                 yield None
             elif part:
-                part = part.lower() if part.isascii() else self.normalizer.normalize_str(part)
-                yield from self.pieces.findall(part)
-
-    def _count_chunk(self, chunk: str) -> int:
-        total = 0
-        for piece in self.pieces_of(chunk):
-            total += 1 if piece is None else self._count_piece(piece)
-        if len(chunk) <= CACHE_LENGTH:
-            if len(self._chunks) >= 2 * CACHE_CHUNKS:
-                self._chunks.clear()
-            self._chunks[chunk] = total
-        return total
-
-    def chunk_counts(self, text: str) -> list[int]:
-        """Tokens of each run between spaces (no piece holds a space)."""
-        known, count = self._chunks, self._count_chunk
-        return [n if (n := known.get(c)) is not None else count(c) for c in text.split(" ")]
+                yield from self.pieces.findall(part.lower() if part.isascii() else self.normalizer.normalize_str(part))
+
+    def _tokens_of(self, piece: str) -> int:
+        """Tokens of a piece taken whole."""
+        raw = piece.encode()
+        return int(self._fill([raw], np.array([len(raw)]))[-1])
+
+    def _odd_run(self, run: str) -> np.ndarray:
+        """The table of a run in which code points change one another or special tokens stand.
+
+        Up to the last place that nothing after it changes (a piece's begin, where a visible
+        ASCII character stands) counts are kept; from there each prefix is cut into pieces anew.
+        """
+        out = np.zeros(len(run) + 1, np.int64)
+        known: dict[str, int] = {}
+
+        def tokens(text: str) -> int:
+            total = 0
+            for p in self._pieces_of(text):
+                if p is not None and p not in known:
+                    known[p] = self._tokens_of(p)
+                total += 1 if p is None else known[p]
+            return total
+
+        safe = [m.start() for m in _safe_place.finditer(run)]
+        start, held, nxt = 0, 0, 0
+        for end in range(1, len(run) + 1):
+            if nxt < len(safe) and safe[nxt] < end:
+                held, start, nxt = int(out[safe[nxt] - 1]), safe[nxt], nxt + 1
+            out[end - 1] = held + tokens(run[start:end])
+        out[len(run)] = out[len(run) - 1] if run else 0
+        return out
 
-    def count(self, text: str) -> int:
-        return sum(self.chunk_counts(text))
-
-    def prefix_table(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Code points at the ends of the runs between spaces, and the tokens up to there."""
-        chunks = text.split(" ")
-        return np.cumsum([len(c) + 1 for c in chunks]) - 1, np.cumsum(self.chunk_counts(text))
-
-    def fitting(self, text: str, budget: int, table: tuple[np.ndarray, np.ndarray] | None = None) -> int:
-        """Code points of the longest prefix, cut between characters (with their marks),
-        that is a text of at most ``budget`` tokens; ``table`` is the text's, if at hand."""
-        ends, counts = table or self.prefix_table(text)
-        k = int(np.searchsorted(counts, budget, "right"))
-        if k == len(ends):
-            return len(text)
-        at, held = (int(ends[k - 1]) + 1, int(counts[k - 1])) if k else (0, 0)
-        return at + self._fitting_run(text[at : int(ends[k])], budget - held)
-
-    def _fitting_run(self, run: str, budget: int) -> int:
-        specials = self.table.specials
-        parts = [p for p in self.special.split(run) if p]
-        at = held = 0
-        for i, part in enumerate(parts):
-            fits, n = (len(part) * (held < budget), 1) if part in specials else self._fitting_part(part, budget - held)
-            if fits < len(part):
-                # A special token that is cut falls into pieces, which can join those before it.
-                cut, begin = (i, at) if part in specials else (i + 1, at + len(part))
-                if cut < len(parts) and parts[cut] in specials:
-                    for end in range(begin + len(parts[cut]) - 1, begin, -1):
-                        if self._count_chunk(run[:end]) <= budget:
-                            return end
-                return at + fits
-            at, held = at + len(part), held + n
-        return at
-
-    def _fitting_part(self, part: str, budget: int) -> tuple[int, int]:
-        """Of a run without special tokens: code points that fit, and the tokens of them if these are all."""
-        if part.isascii():
-            units, plain, text = list(part), list(part.lower()), part.lower()
-        else:
-            units = self.characters.findall(part)
-            plain, text = [u.lower() if u.isascii() and not u.isspace() else self.normalizer.normalize_str(u) for u in units], self.normalizer.normalize_str(part)
-        own, tops = np.cumsum([len(u) for u in units]), np.cumsum([len(u) for u in plain])
-        if "".join(plain) != text:  # characters that change one another: count every prefix
-            n = self._count_chunk(part)
-            return (len(part), n) if n <= budget else (next((int(e) for e in own[-2::-1] if self._count_chunk(part[:e]) <= budget), 0), 0)
+    def tables(self, texts: list[str], known: Known) -> Iterator[Iterator[np.ndarray]]:
+        """Of each text its table in parts: tokens of the prefixes of 1, 2, ... code points."""
+        split = [t.split(" ") for t in texts]
+        seen: set[str] = set()
+        for runs in split:
+            seen.update(runs)
+        missing = known.missing(seen)
+        known.add(dict(zip(missing, self.run_tables(missing, known.new), strict=True)))
+        for runs in split:
+            yield self._table(runs, known.new)
+        known.turn()
+
+    @staticmethod
+    def _table(runs: list[str], known: dict[str, bytes]) -> Iterator[np.ndarray]:
         held = 0
-        for match in self.pieces.finditer(text):
-            piece, begin = match.group(), match.start()
-            n = self._count_piece(piece)
-            if held + n > budget:
-                break
-            held += n
-        else:
-            return len(part), held
-        inner = None
-        for k in range(int(np.searchsorted(tops, match.end())) - 1, -1, -1):
-            top = int(tops[k])
-            if top <= begin or piece in CONTRACTIONS:
-                n = sum(map(self._count_piece, self.pieces.findall(text[:top])))
-            else:
-                if inner is None:
-                    inner, sizes = self.piece_prefix_counts(piece), np.cumsum([len(c.encode()) for c in piece])
-                n = held + inner[sizes[top - begin - 1]]
-            if n <= budget:
-                return int(own[k]), 0
-        return 0, 0
+        for lo in range(0, len(runs), TABLE_RUNS):
+            part = runs[lo : lo + TABLE_RUNS]
+            flat = np.frombuffer(b"".join(map(known.__getitem__, part)), "<u4")
+            # A run's width is that up to the space after it; the last one's space is none.
+            points = np.frombuffer(" ".join(part).encode("utf-32-le", "surrogatepass"), "<u4")
+            ends = np.append(np.flatnonzero(points == 32), len(points))
+            totals = flat[ends]
+            flat = flat + np.repeat((held + np.cumsum(totals) - totals).astype("<u4"), np.diff(ends, prepend=-1))
+            held += int(totals.sum())
+            yield flat if lo + TABLE_RUNS < len(runs) else flat[:-1]
+
+    def count(self, text: str) -> int:
+        last = [part[-1] for part in next(self.tables([text], Known())) if len(part)]
+        return int(last[-1]) if last else 0
+
+    def table_of(self, text: str) -> np.ndarray:
+        """Tokens of the prefixes of 0, 1, 2, ... code points."""
+        return np.concatenate([[0], *next(self.tables([text], Known()))])
+
 
-    def _count_piece(self, piece: str) -> int:
-        return self._fill(piece.encode().decode("latin-1") + END)[0][-1]
+#: A visible ASCII character behind white space begins a piece, and nothing before it changes it.
+_safe_place = re.compile(r"(?<=[\t\n\r\f\v])[!-~]")
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
 def prefix_tables(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ends array<int>, counts array<int>): the prefix table of every text."""
+    """(doc_id, counts array<int>): tokens of each text's prefixes of 0, 1, 2, ... code points.
+
+    Null text counts as empty (counts is [0]); a null doc_id stays null; repeated rows stay.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prefixes = counter(path)
         for batch in batches:
-            tables = [counter(path).prefix_table(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([x[k] for x in tables], pa.list_(pa.int32())) for k in (0, 1))], ["doc_id", "ends", "counts"])
+            at = 0
+            for texts in batches_of(batch.column("text")):
+                found = [np.concatenate([[0], *parts]).astype(np.int32) for parts in prefixes.tables(texts, prefixes.known)]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *found]))], ["doc_id", "counts"])
+                at += len(texts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ends array<int>, counts array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, counts array<int>")
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFrame:
     """Per row of documents: doc_id, n_bytes, n_tokens, over_limit, fitting_chars.
 
-    fitting_chars is the code points of the longest prefix, cut between characters, of
-    at most ``limit`` tokens. Null text counts as empty; a null doc_id stays null.
+    All are read from the text's prefix table; fitting_chars is the code points of the
+    longest prefix of at most ``limit`` tokens. Null text counts as empty; a null doc_id
+    stays null; repeated rows give repeated results; texts of any length are taken whole,
+    with a bounded part of their table at once; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = counter(path)
         for batch in batches:
             bytes_, tokens, fits = [], [], []
-            for value in batch.column("text"):
-                text = value.as_py() or ""
-                table = prefixes.prefix_table(text)
-                n = int(table[1][-1])
-                tokens.append(n)
-                bytes_.append(len(text.encode()))
-                fits.append(len(text) if n <= limit else prefixes.fitting(text, limit, table))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (bytes_, tokens)), pa.array([n > limit for n in tokens]), pa.array(fits, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fitting_chars"])
+            for texts in batches_of(batch.column("text")):
+                for text, parts in zip(texts, prefixes.tables(texts, prefixes.known), strict=True):
+                    n = fitting = done = 0
+                    for part in parts:
+                        if len(part):
+                            n = int(part[-1])
+                            if n <= limit:
+                                fitting = done + len(part)
+                            elif len(inside := np.flatnonzero(part <= limit)):
+                                fitting = done + int(inside[-1]) + 1
+                            done += len(part)
+                    bytes_.append(len(text.encode()))
+                    tokens.append(n)
+                    fits.append(fitting)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (bytes_, tokens)), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(fits, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fitting_chars"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fitting_chars long")

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -5,8 +6,9 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from kinspan.llm.bpe import ByteLevelBpe, decode_ids, encode_texts, round_trips
-from kinspan.llm.prefix_counts import PrefixCounter, token_counts
+from kinspan.llm import prefix_counts
+from kinspan.llm.bpe import ByteLevelBpe, Known, decode_ids, encode_texts, round_trips
+from kinspan.llm.prefix_counts import PrefixCounter, prefix_tables, token_counts
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", " ", "  ", "\n", " a", "a ", "a  b", "a \n b\n\n", "don't we'll 'S's", "<|endoftext|>", "a <|endoftext|> b<|endoftext|>", "x<|startoftext|>Y", "ΣΑΣ ÉÀ é ́x İ", "aaaaaaaaaaaaaaaaaaa", "1234567890 3.14", "日本語 テキスト", " x y　", "tab\tx", "\x1c a \x1f", "🙂🙃 👩‍👩‍👧", "!!!???...", "a" * 3000, "ab" * 1500 + " " + "9" * 500, "the.\nAnd x", "\r\n x"]
@@ -28,7 +30,7 @@ def test_ids_equal_the_librarys(bpe):
     for text in some_texts():
         ids = library.encode(text, add_special_tokens=False).ids
         assert bpe.encode(text).tolist() == ids, text
-        assert bpe.encode_bytes(text)[1] == ",".join(map(str, ids)).encode()
+        assert bpe.decimals(bpe.encode(text)) == ",".join(map(str, ids)).encode()
         assert bpe.decode(np.array(ids, np.int64)) == library.decode(ids, skip_special_tokens=False)
 
 
@@ -39,42 +41,80 @@ def test_any_ids_decode_as_the_librarys_do(bpe):
         assert bpe.decode(np.array(ids, np.int64)) == library.decode(ids, skip_special_tokens=False)
 
 
-def test_counts_equal_the_librarys():
+def test_ids_do_not_depend_on_what_was_encoded_before(bpe):
+    library, texts = Tokenizer.from_file(BYTE), some_texts(1200, 12) + ["x\nbar", "foo \nbar", "foo\nbar", "\0. a \0. \0.\0", "a \0b"] * 3
+    for limit in (1, 30_000, 10_000_000):
+        known = Known(limit)
+        random.Random(limit).shuffle(texts)
+        for lo in range(0, len(texts), 31):
+            for text, ids in zip(texts[lo : lo + 31], bpe.encode_texts(texts[lo : lo + 31], known), strict=True):
+                assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+        assert known.size <= 2 * limit + 100_000
+
+
+def test_long_pieces_are_encoded_as_short_ones_are(bpe):
+    library, r = Tokenizer.from_file(BYTE), random.Random(2)
+    for n in (150, 159, 160, 161, 600, 3000):
+        text = "".join(r.choice(["a", "b", "the", "in", "é", "th"]) for _ in range(n))
+        assert bpe.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_pairs_are_compatible_where_the_library_keeps_them_apart(bpe):
+    library, r = Tokenizer.from_file(BYTE), np.random.default_rng(3)
+    for _ in range(200):
+        word = " " + "".join(r.choice(list("aetinhors"), 7))
+        ids = np.array(library.encode(word, add_special_tokens=False).ids)
+        assert bpe.table.compatible(ids[:-1], ids[1:]).all()
+    a, b = r.integers(0, 50000, (2, 3000))
+    both = bpe.table.compatible(a, b)
+    assert (both == bpe.table._compatible(a, b)).all() and (both == bpe.table.compatible(a, b)).all() and 0 < both.sum() < len(both)
+
+
+def test_round_trip_query_equals_the_library(spark):
+    library = Tokenizer.from_file(BYTE)
+    rows = [(i, t) for i, t in enumerate(some_texts(80, 4))] + [(-1, None), (-2, "long " * 40000), (-2, "again"), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'z' as ids", "1 as n_tokens", "'q' as known")
+    want = []
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        shas = (hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), library.decode(ids, skip_special_tokens=False)))
+        want.append((i, len(ids), *shas))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in round_trips(docs, BYTE).collect())
+
+
+def prefixes_by_library(library, text):
+    return [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+
+
+def test_every_prefix_of_every_text():
     library, counter = Tokenizer.from_file(WORD), PrefixCounter(WORD)
-    for text in some_texts():
-        assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids), text
+    r = random.Random(8)
+    parts = ["the", "ing", " ", "日本語", "テキスト", "\n", "\n\n", "é", "ß", "'re", "'", "!!", "<|endoftext|>", "\t", "aGVsbG8", "🙂", "e\u0301", "İ", "Σ", "12", "hello", "\u1100\u1161", "\xa0", "\0"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(250)] + ["thonderinging", "internationalisation", "x'll", "a'l", "the." * 30, "z" * 300]
+    for text in texts + [t for t in some_texts(60, 6) if len(t) < 200]:
+        assert counter.table_of(text).tolist() == prefixes_by_library(library, text), text
 
 
-def test_every_prefix_of_a_word():
+def test_prefix_table_of_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(prefix_counts, "TABLE_RUNS", 3)
     library, counter = Tokenizer.from_file(WORD), PrefixCounter(WORD)
-    for word in ("thonderinging", "internationalisation", "zzzzzzz", "loweischaft"):
-        assert counter.piece_prefix_counts(word) == [len(library.encode(word[:k], add_special_tokens=False).ids) for k in range(len(word) + 1)]
-
-
-def test_prefix_table_answers_budgets():
-    counter = PrefixCounter(WORD)
-    text = "the quick brown foxes' jump over thonderinging dogs"
-    for budget in range(20):
-        cut = counter.fitting(text, budget)
-        assert counter.count(text[:cut]) <= budget
-        longer = text.find(" ", cut + 1)
-        longer = len(text) if longer < 0 else longer
-        assert cut == len(text) or counter.count(text[:longer]) > budget
-
-
-def test_longest_prefix_of_a_budget():
-    import regex
-
-    counter, r = PrefixCounter(WORD), random.Random(8)
-    parts = ["the", "ing", "日本語", "テキスト", "\n", "\n\n", "é", "ß", "'re", "'", "!!", "<|endoftext|>", "\t", "aGVsbG8", "🙂", "e\u0301", "İ", "12", "hello"]
-    texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(120)] + [t for t in some_texts(40, 6) if len(t) < 200]
-    for text in texts:
-        borders = [0, *(m.end() for m in regex.finditer(r"\X", text))]
-        counts = [counter.count(text[:k]) for k in borders]
-        for budget in {0, 1, 2, 3, 5, 8, max(counts) - 1, max(counts)} - {-1}:
-            cut = counter.fitting(text, budget)
-            assert counter.count(text[:cut]) <= budget, (text, budget, cut)
-            assert cut >= max(k for k, n in zip(borders, counts, strict=True) if n <= budget), (text, budget, cut)
+    for text in ("one two  three four. Five\nsix seven eight ", " a b c", "a b c", ""):
+        assert counter.table_of(text).tolist() == prefixes_by_library(library, text)
+    rows = [(1, "the cat"), (None, None), (1, "the cat")]
+    found = prefix_tables(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as counts"), WORD).collect()
+    assert sorted(map(str, found)) == sorted(str(x.__class__(doc_id=i, counts=prefixes_by_library(library, t or ""))) for x, (i, t) in zip(found, rows, strict=True))
+
+
+def test_counts_and_budget_equal_the_librarys(spark):
+    library, limit = Tokenizer.from_file(WORD), 12
+    rows = [(i, t) for i, t in enumerate(some_texts(120, 5))] + [(-1, None), (-2, "a " * 12), (-3, "a " * 12 + "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "true as over_limit", "7 as n_bytes")
+    found = {r.doc_id: r for r in token_counts(docs, WORD, limit).collect()}
+    for i, t in rows:
+        counts = prefixes_by_library(library, (t or "")[:400])
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        fits = len(t or "") if n <= limit else max(k for k, c in enumerate(counts) if c <= limit)
+        assert tuple(found[i]) == (i, len((t or "").encode()), n, n > limit, fits), (t, found[i])
 
 
 def test_texts_without_spaces_fit_in_part(spark):
