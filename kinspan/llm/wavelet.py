@@ -2,15 +2,16 @@
 
 A wavelet matrix keeps the bits of the ids plane by plane, highest first; within
 a plane the ids stand in the order that sorting stably by the planes above gives.
-With counts of ones per 512 bits every plane answers rank and select, hence the
-matrix answers "the id at i", "how often does t occur before i" and "where is the
-k-th t" without the ids themselves being stored.
-
-A shard file holds blocks of at most BLOCK_TOKENS ids, each a wavelet matrix
-compressed by itself, then the directory (documents' ends, blocks' places and
-the counts of ones). Files are written through ``pyarrow.fs`` so that any store
-it knows can be the shared folder; a file's name is new for each attempt of a
-task and only names in the returned index count, so a repeated task does no harm.
+With counts of ones every plane answers rank and select, hence the matrix answers
+"the id at i", "how often does t occur before i" and "where is the k-th t" without
+the ids themselves being stored.
+
+A shard file is one wavelet matrix. Its planes are cut into frames of FRAME_BITS bits
+that are compressed one by one; the directory behind them holds each frame's place
+and the ones before it, the planes' zeros and the documents' ends. A look-up reads
+one or two frames a plane by range. Files are written through ``pyarrow.fs`` so that
+any store it knows can be the shared folder; a file's name is new for each attempt
+of a task and only names in the returned index count, so a repeated task does no harm.
 """
 
 from __future__ import annotations
@@ -19,248 +20,224 @@ import json
 import os
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.fs as pafs
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import CACHE_LENGTH, _single_space
-from .shared import n_partitions, range_bounds, range_bucket, read_table, shared_folder, written
-
-BLOCK_TOKENS = 1 << 18
-#: Runs between spaces whose ids an encoder keeps, twice: those met lately, and those before.
-KNOWN_CHUNKS = 800_000
-#: Texts that are encoded at once; few, so that what was looked up is still near when joined.
-ENCODE_TEXTS = 48
-#: Marks that close a run of letters.
-CLOSING = ".,;:!?"
-RANK_BITS = 512
+from .bpe import Known, RunWise, batches_of
+from .shared import arrow_folder, n_partitions, read_table, shared_folder, written
+
+#: Ids after which a shard ends (with the document that reaches them).
+SHARD_TOKENS = 1 << 22
+FRAME_BITS = 1 << 16
+#: Decompressed frames that a reader keeps.
+FRAMES_KEPT = 256
+#: Bytes of runs that a worker keeps: the library takes long over a new word.
+LIBRARY_KNOWN_BYTES = 256 << 20
 END_ID = 2
-MAGIC = b"WAVELET1"
+MAGIC = b"WAVELET2"
 _word = np.uint32
 
 
+def _kind(bits: int) -> type:
+    return np.uint16 if bits <= 16 else _word
+
+
 class WaveletMatrix:
-    """The ids of one block. ``bits`` planes over ``n`` ids."""
+    """The planes of some ids (packed bits, lowest bit first) and the zeros of each."""
 
     def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
         self.n, self.planes, self.zeros = n, planes, zeros
-        self._ranks: list[np.ndarray | None] = [None] * len(planes)
 
     @classmethod
     def of(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
-        ids = ids.astype(np.uint16 if bits <= 16 else _word)
+        ids = ids.astype(_kind(bits))
         planes, zeros = [], []
         for k in range(bits - 1, -1, -1):
             ones = (ids & ids.dtype.type(1 << k)).astype(bool)
-            low, high = np.flatnonzero(~ones), np.flatnonzero(ones)
             planes.append(np.packbits(ones, bitorder="little"))
+            low = ids[~ones]
             zeros.append(len(low))
-            ids = np.concatenate([ids.take(low), ids.take(high)])
+            ids = np.concatenate([low, ids[ones]])
         return cls(len(ids), planes, zeros)
 
-    def _ones_before(self, plane: int, i: int) -> int:
-        packed = self.planes[plane]
-        if self._ranks[plane] is None:
-            step = RANK_BITS // 8
-            ends = np.add.reduceat(np.bitwise_count(packed).astype(np.int64), np.arange(0, max(len(packed), 1), step)) if len(packed) else np.zeros(0, np.int64)
-            self._ranks[plane] = np.concatenate([[0], np.cumsum(ends)])
-        big = i // RANK_BITS
-        found = int(self._ranks[plane][big])
-        at, last = big * RANK_BITS // 8, i // 8
-        found += int(np.bitwise_count(packed[at:last]).sum())
-        if i % 8:
-            found += (int(packed[last]) & ((1 << i % 8) - 1)).bit_count()
-        return found
-
-    def _bit(self, plane: int, i: int) -> int:
-        return int(self.planes[plane][i // 8]) >> (i % 8) & 1
-
-    def access(self, i: int) -> int:
-        value = 0
-        for plane, zeros in enumerate(self.zeros):
-            bit, ones = self._bit(plane, i), self._ones_before(plane, i)
-            value = value << 1 | bit
-            i = zeros + ones if bit else i - ones
-        return value
-
-    def _range(self, token: int, i: int) -> tuple[int, int]:
-        """Where the ids equal to ``token`` of the first i stand below the last plane."""
-        lo, hi, top = 0, i, len(self.planes) - 1
-        for plane, zeros in enumerate(self.zeros):
-            a, b = self._ones_before(plane, lo), self._ones_before(plane, hi)
-            lo, hi = (zeros + a, zeros + b) if token >> (top - plane) & 1 else (lo - a, hi - b)
-        return lo, hi
-
-    def rank(self, token: int, i: int) -> int:
-        """Occurrences of ``token`` before place i."""
-        if token >> len(self.planes):
-            return 0
-        lo, hi = self._range(token, i)
-        return hi - lo
-
-    def select(self, token: int, k: int) -> int:
-        """Place of the k-th (from 0) occurrence, or -1."""
-        if token >> len(self.planes):
-            return -1
-        lo, hi = self._range(token, self.n)
-        if not 0 <= k < hi - lo:
-            return -1
-        at, top = lo + k, len(self.planes) - 1
-        for plane in range(top, -1, -1):
-            one = token >> (top - plane) & 1
-            at = self._place(plane, one, at - self.zeros[plane] if one else at)
-        return at
-
-    def _place(self, plane: int, bit: int, k: int) -> int:
-        """Place of the k-th bit of this kind in a plane, by bisection over the counts."""
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = self._ones_before(plane, mid + 1)
-            if (ones if bit else mid + 1 - ones) > k:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
-
     def ids(self) -> np.ndarray:
         """All ids, from the lowest plane up."""
-        kind = np.uint16 if len(self.planes) <= 16 else _word
+        kind = _kind(len(self.planes))
         value = np.zeros(self.n, kind)
         for k, (packed, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1], strict=True)):
             ones = np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
             value[zeros:] |= kind(1 << k)
             out = np.empty(self.n, kind)
-            out[np.flatnonzero(~ones)] = value[:zeros]
-            out[np.flatnonzero(ones)] = value[zeros:]
+            out[~ones] = value[:zeros]
+            out[ones] = value[zeros:]
             value = out
         return value
 
-    def to_bytes(self) -> bytes:
-        head = np.array([self.n, len(self.planes), *self.zeros], "<u4").tobytes()
-        return head + b"".join(p.tobytes() for p in self.planes)
-
-    @classmethod
-    def from_bytes(cls, raw: bytes) -> WaveletMatrix:
-        n, bits = np.frombuffer(raw, "<u4", 2).tolist()
-        zeros = np.frombuffer(raw, "<u4", bits, 8).tolist()
-        step, at = (n + 7) // 8, 8 + 4 * bits
-        return cls(n, [np.frombuffer(raw, np.uint8, step, at + k * step) for k in range(bits)], zeros)
-
 
 class ShardWriter:
-    """Writes ids document by document; memory is one block and the documents' ends."""
-
-    def __init__(self, folder: str, shard: int, bits: int):
-        self.fs, root = pafs.FileSystem.from_uri(folder)
-        self.fs.create_dir(root, recursive=True)
-        self.path = f"{root}/shard-{shard:08d}-{uuid.uuid4().hex}.wm"
-        self.out = self.fs.open_output_stream(self.path, compression=None)
-        self.bits, self.shard = bits, shard
+    """Collects the documents of one shard and writes its matrix; memory grows with
+    SHARD_TOKENS (or the one document that is longer)."""
+
+    def __init__(self, folder: str, part: int, number: int, bits: int):
+        self.folder, self.part, self.number, self.bits = folder, part, number, bits
         self.waiting: list[np.ndarray] = []
-        self.n_waiting = self.n_tokens = self.at = 0
         self.docs: list[int | None] = []
-        self.ends: list[int] = []
-        self.blocks: list[tuple[int, int, int]] = []
+        self.lengths: list[int] = []
+        self.n_tokens = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append(doc_id)
-        self.n_tokens += len(ids)
-        self.ends.append(self.n_tokens)
+        self.lengths.append(len(ids))
         self.waiting.append(ids)
-        self.n_waiting += len(ids)
-        if self.n_waiting >= BLOCK_TOKENS:
-            self._flush(False)
-
-    def _flush(self, last: bool) -> None:
-        ids = np.concatenate(self.waiting) if self.waiting else np.zeros(0, _word)
-        stop = len(ids) if last else len(ids) // BLOCK_TOKENS * BLOCK_TOKENS
-        for lo in range(0, stop, BLOCK_TOKENS):
-            block = ids[lo : min(stop, lo + BLOCK_TOKENS)]
-            raw = zstandard.compress(WaveletMatrix.of(block, self.bits).to_bytes(), 1)
-            self.out.write(raw)
-            self.blocks.append((self.at, len(raw), len(block)))
-            self.at += len(raw)
-        self.waiting, self.n_waiting = [ids[stop:]], len(ids) - stop
+        self.n_tokens += len(ids)
 
     def close(self) -> dict:
-        self._flush(True)
-        foot = zstandard.compress(json.dumps({"bits": self.bits, "shard": self.shard, "docs": self.docs, "ends": self.ends, "blocks": self.blocks}).encode(), 1)
-        self.out.write(foot + len(foot).to_bytes(8, "little") + MAGIC)
-        self.out.close()
-        return {"shard": self.shard, "path": self.path, "n_tokens": self.n_tokens, "n_docs": len(self.docs)}
+        fs, root = arrow_folder(self.folder)
+        fs.create_dir(root, recursive=True)
+        path = f"{root}/shard-{self.part:06d}-{self.number:06d}-{uuid.uuid4().hex}.wm"
+        matrix = WaveletMatrix.of(np.concatenate([np.zeros(0, _kind(self.bits)), *self.waiting]), self.bits)
+        self.waiting = []
+        pack, step, at = zstandard.ZstdCompressor(1), FRAME_BITS // 8, 0
+        places, before = [], []
+        with fs.open_output_stream(path, compression=None) as out:
+            for plane in matrix.planes:
+                ones = 0
+                for lo in range(0, len(plane), step):
+                    frame = plane[lo : lo + step]
+                    raw = pack.compress(frame.tobytes())
+                    out.write(raw)
+                    places.append(at)
+                    before.append(ones)
+                    at += len(raw)
+                    ones += int(np.bitwise_count(frame).sum())
+            known = [d is not None for d in self.docs]
+            arrays = [("places", [*places, at]), ("before", before), ("zeros", matrix.zeros), ("docs", [d or 0 for d in self.docs]), ("known", known), ("lengths", self.lengths)]
+            head = json.dumps({"n": matrix.n, "bits": self.bits, "arrays": [(name, len(x)) for name, x in arrays]}).encode()
+            foot = pack.compress(len(head).to_bytes(4, "little") + head + b"".join(np.array(x, "<i8").tobytes() for _, x in arrays))
+            out.write(foot + len(foot).to_bytes(8, "little") + MAGIC)
+        return {"part": self.part, "number": self.number, "path": path, "n_tokens": self.n_tokens, "n_docs": len(self.docs)}
 
 
 class ShardReader:
-    """Look-ups in one shard file; blocks are read by range and a few of them kept."""
+    """Look-ups in one shard file; frames are read by range and some of them kept."""
 
     def __init__(self, folder: str, path: str):
-        fs, _ = pafs.FileSystem.from_uri(folder)
+        fs, _ = arrow_folder(folder)
         self.file = fs.open_input_file(path)
         size = self.file.size()
         tail = self.file.read_at(16, size - 16)
         if tail[8:] != MAGIC:
             raise ValueError(f"{path} is no shard file")
         length = int.from_bytes(tail[:8], "little")
-        foot = json.loads(zstandard.decompress(self.file.read_at(length, size - 16 - length)))
-        self.docs, self.ends, self.blocks = foot["docs"], foot["ends"], foot["blocks"]
-        self.starts = np.concatenate([[0], np.cumsum([b[2] for b in self.blocks])]).astype(np.int64)
-        self.n_tokens = int(self.starts[-1])
-        self.block = lru_cache(maxsize=8)(self._block)
+        foot = zstandard.decompress(self.file.read_at(length, size - 16 - length))
+        at = 4 + int.from_bytes(foot[:4], "little")
+        head = json.loads(foot[4:at])
+        held = {}
+        for name, n in head["arrays"]:
+            held[name] = np.frombuffer(foot, "<i8", n, at)
+            at += 8 * n
+        self.n_tokens, self.bits = head["n"], head["bits"]
+        self.places, self.before, self.zeros = held["places"], held["before"], held["zeros"].tolist()
+        self.docs = [d if k else None for d, k in zip(held["docs"].tolist(), held["known"].tolist(), strict=True)]
+        self.ends = np.cumsum(held["lengths"]).tolist()
+        self.frames = -(-self.n_tokens // FRAME_BITS)
+        self.frame = lru_cache(maxsize=FRAMES_KEPT)(self._frame)
+
+    def _frame(self, k: int) -> np.ndarray:
+        at, end = int(self.places[k]), int(self.places[k + 1])
+        return np.frombuffer(zstandard.decompress(self.file.read_at(end - at, at)), np.uint8)
 
-    def _block(self, k: int) -> WaveletMatrix:
-        at, length, _ = self.blocks[k]
-        return WaveletMatrix.from_bytes(zstandard.decompress(self.file.read_at(length, at)))
+    def _ones_before(self, plane: int, i: int) -> int:
+        """Ones of a plane before place i, from the stored counts and one frame."""
+        if i == self.n_tokens:
+            return self.n_tokens - self.zeros[plane]
+        k = plane * self.frames + i // FRAME_BITS
+        i %= FRAME_BITS
+        found = int(self.before[k])
+        if i:
+            frame = self.frame(k)
+            found += int(np.bitwise_count(frame[: i // 8]).sum())
+            if i % 8:
+                found += (int(frame[i // 8]) & ((1 << i % 8) - 1)).bit_count()
+        return found
 
     def access(self, i: int) -> int:
-        k = int(np.searchsorted(self.starts, i, "right")) - 1
-        return self.block(k).access(i - int(self.starts[k]))
+        """The id at place i."""
+        value = 0
+        for plane, zeros in enumerate(self.zeros):
+            at = i % FRAME_BITS
+            bit = int(self.frame(plane * self.frames + i // FRAME_BITS)[at // 8]) >> (at % 8) & 1
+            ones = self._ones_before(plane, i)
+            value = value << 1 | bit
+            i = zeros + ones if bit else i - ones
+        return value
+
+    def _range(self, token: int, i: int) -> tuple[int, int]:
+        """Where the ids equal to ``token`` of the first i stand below the last plane."""
+        lo, hi, top = 0, i, self.bits - 1
+        for plane, zeros in enumerate(self.zeros):
+            a, b = self._ones_before(plane, lo), self._ones_before(plane, hi)
+            lo, hi = (zeros + a, zeros + b) if token >> (top - plane) & 1 else (lo - a, hi - b)
+        return lo, hi
 
     def count(self, token: int, i: int | None = None) -> int:
         """Occurrences of a token before place i, or in all."""
-        i = self.n_tokens if i is None else i
-        return sum(self.block(k).rank(token, min(n, i - int(s))) for k, (s, (_, _, n)) in enumerate(zip(self.starts, self.blocks, strict=False)) if s < i)
+        if token >> self.bits:
+            return 0
+        lo, hi = self._range(token, self.n_tokens if i is None else i)
+        return hi - lo
 
     def select(self, token: int, k: int) -> int:
-        for b in range(len(self.blocks)):
-            matrix = self.block(b)
-            n = matrix.rank(token, matrix.n)
-            if k < n:
-                return int(self.starts[b]) + matrix.select(token, k)
-            k -= n
-        return -1
+        """Place of the k-th (from 0) occurrence of a token, or -1."""
+        if token >> self.bits:
+            return -1
+        lo, hi = self._range(token, self.n_tokens)
+        if not 0 <= k < hi - lo:
+            return -1
+        at = lo + k
+        for plane in range(self.bits - 1, -1, -1):
+            one = token >> (self.bits - 1 - plane) & 1
+            at = self._place(plane, one, at - self.zeros[plane] if one else at)
+        return at
+
+    def _place(self, plane: int, bit: int, k: int) -> int:
+        """Place of the k-th bit of this kind in a plane: the frame by the stored counts, then within it."""
+        first = plane * self.frames
+        ones = self.before[first : first + self.frames]
+        before = ones if bit else np.arange(self.frames) * FRAME_BITS - ones
+        f = int(np.searchsorted(before, k, "right")) - 1
+        size = min(FRAME_BITS, self.n_tokens - f * FRAME_BITS)
+        bits = np.unpackbits(self.frame(first + f), count=size, bitorder="little")
+        return f * FRAME_BITS + int(np.flatnonzero(bits == bit)[k - int(before[f])])
+
+    def ids(self) -> np.ndarray:
+        """All ids of the shard."""
+        planes = [np.concatenate([np.zeros(0, np.uint8), *(self._frame(p * self.frames + k) for k in range(self.frames))]) for p in range(self.bits)]
+        return WaveletMatrix(self.n_tokens, planes, self.zeros).ids()
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """Every document in order: id, tokens before it in the shard, its ids."""
-        waiting, have, b, start = [], 0, 0, 0
+        ids, start = self.ids(), 0
         for doc, end in zip(self.docs, self.ends, strict=True):
-            while start + have < end:
-                ids = self._block(b).ids()
-                waiting.append(ids)
-                have += len(ids)
-                b += 1
-            ids = np.concatenate(waiting) if len(waiting) > 1 else waiting[0] if waiting else np.zeros(0, np.uint16)
-            yield doc, start, ids[: end - start]
-            waiting, have = [ids[end - start :]], have - (end - start)
+            yield doc, start, ids[start:end]
             start = end
 
 
-class LibraryEncoder:
-    """Encodes with the tokenizers library, each run between spaces once.
+class LibraryEncoder(RunWise):
+    """Encodes with the tokenizers library; texts of a byte-level vocabulary by their pieces,
+    each once, of other vocabularies as they stand.
 
-    A byte-level vocabulary always begins a piece at a single space between two
-    visible characters, so that the runs can be encoded apart; texts of other
-    vocabularies, and texts with other spacing, are encoded whole.
+    New pieces go to the library in long strings: those that begin with a space one behind
+    the other, words without one with a line feed before each. Neither joins what follows
+    it, so that the ids can be cut at tokens that begin with a space, or are a line feed.
     """
 
     def __init__(self, path: str):
@@ -274,83 +251,38 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.bits = max(1, (self.library.get_vocab_size(True) - 1).bit_length())
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _irregular(chunk: str) -> bool:
-        return not chunk or chunk[0].isspace() or chunk[-1].isspace()
-
-    def _units(self, chunk: str) -> list[str]:
-        """Parts of a run between spaces that the pattern never joins: lines (a line
-        feed goes with what follows it) and, after letters only, closing marks. A part
-        that starts with neither stands for itself with a space before it, marks for
-        themselves with a NUL before them."""
-        lines, out = chunk.split("\n"), []
-        if len(lines) > 1 and any(map(self._irregular, lines)):
-            return [chunk]
-        for k, line in enumerate(lines):
-            base = line.rstrip(CLOSING)
-            start = "\n" if k else ""
-            out += [start + base, "\0" + line[len(base) :]] if base != line and base.isalpha() else [start + line]
+        vocabulary = self.library.get_vocab(True)
+        n = 1 + max(vocabulary.values())
+        self.bits = max(1, (n - 1).bit_length())
+        self.kind = np.dtype(_kind(self.bits))
+        self.spaced = np.zeros(n, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token[0] == "Ġ"]] = True
+        self.feed = np.zeros(n, bool)
+        self.feed[vocabulary.get("Ċ", 0)] = "Ċ" in vocabulary
+        super().__init__({t["content"]: t["id"] for t in spec["added_tokens"]})
+        self.known = Known(LIBRARY_KNOWN_BYTES)
+
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        out = {}
+        spaced = [p for p in pieces if p[0] == " " and len(p) > 1 and not p[1].isspace()]
+        words = [p for p in pieces if p.isalpha()] if self.feed.any() else []
+        for group, text, marks, skip in ((spaced, "".join(spaced), self.spaced, 0), (words, "".join(["\n" + w for w in words]), self.feed, 1)):
+            ids = self._each([text])[0]
+            raw, size = ids.tobytes(), self.kind.itemsize
+            at = (np.flatnonzero(marks[ids]) * size).tolist()
+            out.update((p, raw[lo + skip * size : hi]) for p, lo, hi in zip(group, at, [*at[1:], len(raw)][: len(at)], strict=True))
+        rest = [p for p in pieces if p not in out]
+        out.update((p, ids.tobytes()) for p, ids in zip(rest, self._each(rest), strict=True))
         return out
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Makes ``known`` hold the chunks, old ones moved on and new ones encoded."""
-        known, older = self.known, self.older
-        plain, plans = [], {}
-        for chunk in chunks:
-            if (old := older.get(chunk)) is not None:
-                known[chunk] = old
-            elif chunk.isalpha():
-                plain.append(chunk)
-            else:
-                plans[chunk] = self._units(chunk) if "\0" not in chunk else [chunk]
-        known.update(zip(plain, self._encode([" " + c for c in plain]), strict=True))
-        units = {u for plan in plans.values() for u in plan if u not in known}
-        known.update((u, older[u]) for u in units if u in older)
-        fresh = [u for u in units if u not in known]
-        known.update(zip(fresh, self._encode([u[1:] if u[0] == "\0" else u if u[0] == "\n" else " " + u for u in fresh]), strict=True))
-        for chunk, plan in plans.items():
-            if len(plan) > 1:
-                known[chunk] = b"".join([known[u] for u in plan])
-        for unit in fresh:
-            if len(unit) > CACHE_LENGTH and unit not in chunks:
-                del known[unit]
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.apart:
-            return [np.frombuffer(x, _word) for x in self._encode(texts)]
-        split = [t.split(" ") for t in texts]
-        found = [list(map(self.known.get, chunks)) for chunks in split]
-        missing = [set(compress(chunks[1:], map(is_, x[1:], repeat(None)))) for chunks, x in zip(split, found, strict=True)]
-        for i, chunks in enumerate(split):
-            # Spaces that are not a border of pieces: beside white space, or at an end.
-            if len(chunks) > 1 and (self._irregular(chunks[0]) or any(map(self._irregular, missing[i]))):
-                split[i] = _single_space.split(texts[i])
-                found[i] = list(map(self.known.get, split[i]))
-                missing[i] = set(compress(split[i][1:], map(is_, found[i][1:], repeat(None))))
-        new = set().union(*missing)
-        self._learn(new)
-        heads = self._encode([chunks[0] for chunks in split])
-        get = self.known.__getitem__
-        out = []
-        for head, chunks, x, lacks in zip(heads, split, found, missing, strict=True):
-            parts = [get(c) if y is None else y for c, y in zip(chunks[1:], x[1:], strict=True)] if lacks else x[1:]
-            out.append(np.frombuffer(b"".join([head, *parts]), _word))
-        for chunk in new:
-            if len(chunk) > CACHE_LENGTH:
-                del self.known[chunk]
-        if len(self.known) >= KNOWN_CHUNKS:
-            self.older, self.known = self.known, {}
-        return out
+        return self.encode_texts(texts, self.known) if self.apart else self._each(texts)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
@@ -358,51 +290,59 @@ def library_encoder(path: str) -> LibraryEncoder:
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = END_ID) -> DataFrame:
     """Writes the ids of ``docs`` (doc_id, text) in ascending doc_id order.
 
-    Shards are ranges of doc_id of about equal row counts. Returns the index:
-    shard, path, n_tokens, n_docs, base (tokens of all shards before). Null text
-    counts as empty; null ids come first; repeated ids stand in order of text.
+    Returns the index: part, number, path, n_tokens, n_docs, base (tokens of all shards
+    before). Parts are ranges of doc_id, and each is cut into shards by SHARD_TOKENS.
+    Null text counts as empty; null ids come first; rows of one id, or without one, stand
+    in order of a hash of their texts, by which they are dealt over tasks too. A text of
+    any length is one document of one shard. An empty table gives no shards.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bounds = range_bounds(rows, "doc_id", 2 * n_partitions(spark))
-    rows = rows.withColumn("shard", range_bucket(F.col("doc_id"), bounds))
-    rows = rows.repartition(n_partitions(spark), "shard").sortWithinPartitions("shard", "doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = rows.repartitionByRange(n_partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, done = library_encoder(tokenizer), None, []
-        tail = np.array([] if end_id is None else [end_id], _word)
+        encoder, writer, done = library_encoder(tokenizer), None, 0
+        part = TaskContext.get().partitionId()
+        tail = np.array([] if end_id is None else [end_id], encoder.kind)
         for batch in batches:
-            shards, ids = batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist()
-            for lo in range(0, batch.num_rows, ENCODE_TEXTS):
-                texts = batch.column("text").slice(lo, ENCODE_TEXTS).to_pylist()
-                for k, tokens in enumerate(encoder.encode(texts), lo):
-                    if writer is None or writer.shard != shards[k]:
-                        if writer:
-                            done.append(writer.close())
-                        writer = ShardWriter(folder, shards[k], encoder.bits)
-                    writer.add(ids[k], np.concatenate([tokens, tail]))
+            at, ids = 0, batch.column("doc_id").to_pylist()
+            for texts in batches_of(batch.column("text")):
+                for tokens in encoder.encode(texts):
+                    if writer and writer.n_tokens >= SHARD_TOKENS:
+                        yield pa.RecordBatch.from_pylist([writer.close()])
+                        writer, done = None, done + 1
+                    writer = writer or ShardWriter(folder, part, done, encoder.bits)
+                    writer.add(ids[at], np.concatenate([tokens, tail]))
+                    at += 1
         if writer:
-            done.append(writer.close())
-        if done:
-            yield pa.RecordBatch.from_pylist(done)
+            yield pa.RecordBatch.from_pylist([writer.close()])
 
-    index = written(rows.select("shard", "doc_id", "text").mapInArrow(run, "shard long, path string, n_tokens long, n_docs long"), "shards")
-    # A row a shard: as many as the job has ranges, whatever the input.
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return index.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    index = written(rows.select("doc_id", "text").mapInArrow(run, "part long, number long, path string, n_tokens long, n_docs long"), "shards")
+    # Tokens before a part (a row a task), then before a shard within its part.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = index.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("part_base"))
+    within = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    index = index.withColumn("own_base", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(parts, "part")
+    return index.withColumn("base", F.col("part_base") + F.col("own_base")).drop("part_base", "own_base")
 
 
 def read_shards(index: DataFrame, folder: str) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32."""
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard in batch.to_pylist():
-                rows = [(doc, shard["base"] + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for doc, start, ids in ShardReader(folder, shard["path"]).documents()]
-                columns = zip(*rows, strict=True) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    spread = index.select("shard", "path", "base").repartition(2 * n_partitions(index.sparkSession), "path")
+                rows: list[tuple] = []
+                for doc, start, ids in ShardReader(folder, shard["path"]).documents():
+                    rows.append((doc, shard["base"] + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    if len(rows) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+
+    spread = index.select("path", "base").repartition(2 * n_partitions(index.sparkSession), "path")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
