@@ -2,7 +2,10 @@
 
 Patterns propose spans. Checks confirm them: parts of an address at most 255,
 Luhn's sum for card numbers, the remainder 1 modulo 97 for account numbers, the
-number of digits for phones. Words just before a span raise its score.
+number of digits for phones, the ranges in use for social security numbers. Words near
+a span raise its score. Spans of the base kinds stay whatever their score; the others
+need LEAST_SCORE: an account number has it by its remainder, a social security number
+reaches it only with a word that speaks for it.
 
 The patterns are written so that Java's matcher needs no recursion and each byte
 is looked at a bounded number of times: repetitions are possessive where what
@@ -19,9 +22,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read_table
+from .shared import fresh, read_table
 
+#: Code points before a span, and behind it, in which context words count.
 CONTEXT_CHARS = 40
+CONTEXT_BEHIND = 24
 CONTEXT_BONUS = 0.2
 #: Spans beside the base kinds need this score.
 LEAST_SCORE = 0.6
@@ -57,6 +62,7 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", 0.7, r"(?i)\b(?:card|credit|visa|debit|karte|carte|tarjeta)\b"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, r"(?i)\b(?:phone|tel|call|mobile|fax|telefon|appel)\b"),
     Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))[A-Z]", "", 0.7, r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b", base=False, ahead=True),
+    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.5, r"(?i)\b(?:ssn|social security|social insurance)\b", base=False),
 )
 
 
@@ -106,6 +112,8 @@ def _valid(kind: str, match: Column) -> Column:
         return F.length(digits).between(14, 19) & _luhn(digits)
     if kind == "phone":
         return F.length(_digits(match)).between(10, 15)
+    if kind == "ssn":
+        return ~F.rlike(match, F.lit("^(?:000|666|9)|-00-|-0000$"))
     return F.lit(True)
 
 
@@ -141,7 +149,9 @@ def _spans(text: Column, pairs: Column, kind: Kind, number: int) -> Column:
 
     def scored(s: Column) -> Column:
         before = F.substring(text, F.greatest(s.start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s.start, F.lit(CONTEXT_CHARS)))
-        score = F.lit(kind.score) + F.when(F.rlike(before, F.lit(kind.context)), CONTEXT_BONUS).otherwise(0.0)
+        behind = F.substring(text, s.stop + 1, F.lit(CONTEXT_BEHIND))
+        near = F.rlike(before, F.lit(kind.context)) | F.rlike(behind, F.lit(kind.context))
+        score = F.lit(kind.score) + F.when(near, CONTEXT_BONUS).otherwise(0.0)
         return F.struct(s.start.alias("start"), F.lit(number).alias("kind_no"), s.stop.alias("stop"), F.lit(kind.name).alias("kind"), F.round(score, 2).alias("score"))
 
     spans = F.transform(found, scored)
@@ -150,23 +160,26 @@ def _spans(text: Column, pairs: Column, kind: Kind, number: int) -> Column:
     return F.coalesce(spans, F.array().cast(f"array<{SPAN}>"))
 
 
-def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def find_pii(docs: DataFrame, text_col: str = "text", name: str = "pii_spans") -> DataFrame:
     """``docs`` and pii_spans: array of (start, kind_no, stop, kind, score), by start and kind.
 
-    Null text counts as empty and has no spans; other columns pass unchanged
-    (a column named pii_spans is replaced).
+    Null and empty texts have no spans; texts of any length are searched whole; repeated
+    rows give repeated results. Other columns pass unchanged, whatever their names (but a
+    column named as the result, ``name``, is replaced).
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    names = [f"pii_{k.name}" for k in KINDS]
+    names = [fresh(docs.columns, f"pii_{k.name}") for k in KINDS]
     found = docs.withColumns({name: _proposals(text, kind) for name, kind in zip(names, KINDS, strict=True)})
     found = found.withColumns({name: _spans(text, F.col(name), kind, i) for i, (name, kind) in enumerate(zip(names, KINDS, strict=True))})
-    return found.withColumn("pii_spans", F.array_sort(F.concat(*names))).drop(*names)
+    return found.withColumn(name, F.array_sort(F.concat(*names))).drop(*names)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans
-    give one replacement, named by the first. Null text stays null."""
+    give one replacement, named by the first. Null text stays null; all other columns
+    pass unchanged, whatever their names."""
     text = F.col(text_col).cast("string")
+    spans = fresh(docs.columns, "pii_spans")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -174,13 +187,16 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         after = F.struct(s.stop.alias("at"), F.concat(acc.out, F.substring(text, acc.at + 1, s.start - acc.at), tag).alias("out"))
         return F.when(s.start >= acc.at, after).otherwise(F.struct(F.greatest(acc.at, s.stop).alias("at"), acc.out.alias("out")))
 
-    clean = F.aggregate("pii_spans", start, step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text))))
-    out = find_pii(docs, text_col)
-    return out.withColumn(text_col, F.when(F.size("pii_spans") > 0, clean).otherwise(F.col(text_col))).drop("pii_spans")
+    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text))))
+    out = find_pii(docs, text_col, spans)
+    return out.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(F.col(text_col))).drop(spans)
 
 
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per row of documents: doc_id, counts of the base kinds, base_sha256, spans, scores."""
+    """Per row of documents: doc_id, counts of the base kinds, base_sha256, spans, scores.
+
+    A null doc_id stays null; an empty table gives no rows.
+    """
     found = find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii_spans")
 
     def joined(spans: Column) -> Column:

@@ -63,6 +63,31 @@ def test_account_numbers_and_context(spark):
     assert spans[2][0].score > spans[3][0].score
 
 
+def test_context_decides(spark):
+    texts = ["my social security number 212-09-9999 here", "order 212-09-9999 shipped", "212-09-9999 (SSN)", "ssn 000-12-3456", "ssn 912-12-3456 ssn 212-00-1234 ssn 212-09-0000", "ssn 1212-09-9999", "x" * 60 + " ssn" + " y" * 40 + " 212-09-9999"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.stop) for s in r.pii_spans if s.kind == "ssn"] for r in find_pii(docs).collect()}
+    assert found == {0: [(26, 37)], 1: [], 2: [(0, 11)], 3: [], 4: [], 5: [], 6: []}
+    behind = find_pii(spark.createDataFrame([("4111111111111111 on my visa card",)], "text string")).first().pii_spans[0]
+    assert behind.score == 0.9
+
+
+def test_clashing_names_pass_unchanged(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.cd"), (1, "mail a@b.cd"), (None, "")], "doc_id long, text string").selectExpr("*", *[f"'kept' as {c}" for c in ("pii_email", "PII_spans", "pii_spans_", "pii_iban", "kind", "score")])
+    out = redact(docs)
+    assert out.columns == docs.columns
+    rows = [tuple(r) for r in out.collect()]
+    assert sorted(rows, key=str) == sorted([(1, "mail [EMAIL]", *["kept"] * 6)] * 2 + [(None, "", *["kept"] * 6)], key=str)
+
+
+def test_query_on_an_empty_table_and_a_very_long_text(spark, tmp_path):
+    rows = [(1, "word " * 300_000 + "a@b.cd")]
+    for name, table in (("full", spark.createDataFrame(rows, "doc_id long, text string")), ("empty", spark.createDataFrame([], "doc_id long, text string"))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+    assert op9_pii_spans(spark, str(tmp_path / "full")).first().spans == "email:1500000:1500006"
+    assert op9_pii_spans(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "é mail a@b.cd or 1.2.3.4!"), (2, None), (3, "+1 234 567 8901 end"), (4, "clean")], "doc_id long, text string")
     out = {r.doc_id: r.text for r in redact(docs).collect()}
