@@ -36,6 +36,20 @@ def test_chat_views_and_masks(spark, monkeypatch):
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+def test_turns_without_number_and_rows_without_dialogue(spark):
+    rows = [(1, None, "bob", "b"), (1, None, "ann", "a"), (1, None, "ann", "a"), (1, 2, "bob", "c"), (None, 1, "ann", "x"), (None, 1, "ann", "x"), (None, None, "system", "y"), (2, 1, "ann", "z" * 1_000_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat.rotate(df).collect()
+    ann = next(r for r in found if r.conv_id == 1 and r.segment == -1 and r.perspective == "ann")
+    assert ann.n_turns == 3 and ann.rendered.index("user name=bob") > ann.rendered.rindex("assistant")
+    assert [(r.n_turns, r.segment, r.mask) for r in found if r.conv_id is None] == [(1, 0, "22:34")] * 2
+    assert next(len(r.rendered) for r in found if r.conv_id == 2) == 1_000_033
+    con = duckdb.connect()
+    con.register("conversations", df.toArrow())
+    expected = con.sql(chat.ORACLE_SQL).fetchall()
+    assert sorted(map(str, expected)) == sorted(str(tuple(r)) for r in found)
+
+
 def test_warc_equals_sql(spark):
     same(warc.op8_warc_capture_index(spark, DATA), warc.ORACLE_SQL, "pages", "pages")
 
