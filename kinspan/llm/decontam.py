@@ -7,8 +7,10 @@ at their ends. A capitalised word that begins a sentence
 may be a name or not: windows with one are read both ways. Windows of WINDOW
 template tokens of the documents are hash-joined to those of the benchmark, and
 windows of the folded words without placeholders beside them. A document holds an
-item if, along one alignment, enough of the item's windows match: as plain words,
-or as templates whose placeholders map to one value each (the slots are consistent).
+item if enough of the item's windows match: as plain words, or, along one passage, as
+templates whose placeholders map to one value each (the slots are consistent). Windows
+of one alignment, or of alignments that a few inserted or missing words shift against
+each other, are one passage.
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import read_table
+from .shared import fresh, read_table
 from .words import LOWER, Words, chunks, mix, powers, ranges, words_of
 
 WINDOW = 8
 #: Share of an item's windows that a document must hold.
 LEAST_COVERAGE = 0.5
+#: Words that may be put in or left out between two windows of one passage.
+MOST_SHIFT = 8
 #: Windows of the benchmark up to which their hashes go to every task as a filter
 #: (8 bytes each); beyond it all windows of the documents are shuffled to the join.
 MAX_FILTER = 1_000_000
@@ -196,12 +200,14 @@ def _rows(ids: pa.Array, texts: pa.Array, sizes: list[int] | None, known: np.nda
                 yield ids[at + i].as_py(), h, p - int(words.first[i]), k, size, slots
 
 
-_SCHEMA = "id long, hash long, place int, role int, size int, slots array<string>"
-_ARROW = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("place", pa.int32()), ("role", pa.int32()), ("size", pa.int32()), ("slots", pa.list_(pa.string()))])
+def _arrow(id_type: str) -> pa.Schema:
+    return pa.schema([("id", pa.string() if id_type == "string" else pa.int64()), ("hash", pa.int64()), ("place", pa.int32()), ("role", pa.int32()), ("size", pa.int32()), ("slots", pa.list_(pa.string()))])
 
 
 def template_windows(table: DataFrame, sizes: list[int] | None = None, known: np.ndarray | None = None) -> DataFrame:
     """Windows of ``table`` (id, text); a null text has none."""
+    id_type = dict(table.dtypes)["id"]
+    schema = _arrow(id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,28 +215,31 @@ def template_windows(table: DataFrame, sizes: list[int] | None = None, known: np
             for row in _rows(batch.column("id"), batch.column("text"), sizes, known):
                 waiting.append(row)
                 if len(waiting) == 20_000:
-                    yield _batch(waiting)
+                    yield _batch(waiting, schema)
                     waiting = []
-            yield _batch(waiting)
+            yield _batch(waiting, schema)
 
-    return table.select("id", "text").mapInArrow(run, _SCHEMA)
+    return table.select("id", "text").mapInArrow(run, f"id {id_type}, hash long, place int, role int, size int, slots array<string>")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[]] * len(_ARROW)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least_coverage: float = LEAST_COVERAGE, id_col: str = "doc_id") -> DataFrame:
     """Pairs doc_id, item_id of documents that hold an item, with n_matched and
     n_windows (of the item), coverage, same_slots (no placeholder has another value).
+    ``id_col`` names the documents' id, a number or a string.
+
     The windows are those of which half the words are plain, or all windows of the
     item, whichever are covered better.
 
     Rows with a null id or text match nothing. Rows of one doc_id count as one
     document; items of one item_id but different texts are held by their windows
     together. Windows of which less than half the words are plain match as they
-    stand only.
+    stand only. Texts of any length are searched whole; empty texts hold nothing, and an
+    empty table of either kind gives no pairs.
     """
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     held = template_windows(items).select(F.col("id").alias("item_id"), "hash", F.col("place").alias("item_place"), "role", "size", F.col("slots").alias("item_slots"))
@@ -240,7 +249,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_coverage: float =
     known = None
     if held.count() <= MAX_FILTER:
         known = np.unique(np.array([r.hash for r in held.select("hash").distinct().collect()], np.int64).view(np.uint64))
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    kind = "string" if dict(docs.dtypes)[id_col] == "string" else "long"
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast(kind).alias("id"), F.col("text").cast("string").alias("text"))
     if not sizes:
         texts, sizes, known = texts.limit(0), [WINDOW], None
     found = template_windows(texts, sizes, known).select(F.col("id").alias("doc_id"), "hash", "place", "slots", (F.col("role") == 3).alias("second"))
@@ -262,15 +272,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_coverage: float =
     def same(values: str) -> Column:
         return F.forall(values, lambda v: v["item_slots"] == v["slots"])
 
-    # Windows that match as plain words count whatever the slots of others are; those
-    # of the second reading count where they agree with all others.
+    # Windows that match as plain words count whatever the slots of others are. Those of
+    # the second reading count where they agree with all others of their alignment.
     first, both = consistent("values"), consistent("all_values")
-    with_first = F.array_union("plain_places", "typed_places")
-    places = F.when(both, F.array_union(with_first, F.col("second_places"))).when(first, with_first).otherwise(F.col("plain_places"))
-    kept_same = F.when(both, same("all_values")).when(first, same("values")).otherwise(True)
-    sound = aligned.select("doc_id", "item_id", "n_typed", "n_all", places.alias("places"), "lone_places", kept_same.alias("same")).where((F.size("places") > 0) | (F.size("lone_places") > 0))
-    n = {name: F.size(F.array_distinct(F.flatten(F.collect_set(name)))) for name in ("places", "lone_places")}
-    whole = sound.groupBy("doc_id", "item_id", "n_typed", "n_all").agg(n["places"].alias("typed"), n["lone_places"].alias("lone"), F.every("same").alias("same_slots"))
+    own = F.when(both, F.array_union("typed_places", "second_places")).when(first, F.col("typed_places")).otherwise(F.array().cast("array<int>"))
+    aligned = aligned.select("doc_id", "item_id", "n_typed", "n_all", "diagonal", "plain_places", "lone_places", "typed_places", "second_places", own.alias("own"), F.when(both, same("all_values")).otherwise(same("values")).alias("own_same"), "values", "all_values")
+    # A word put in or left out moves the alignment: neighbouring ones are one passage,
+    # and its placeholders have to agree from end to end, or its best alignment counts alone.
+    over = Window.partitionBy("doc_id", "item_id").orderBy("diagonal")
+    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(over) > MOST_SHIFT).cast("int"), F.lit(0))
+    chained = aligned.withColumn("apart", apart).withColumn("passage", F.sum("apart").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def all_of(name: str) -> Column:
+        return F.array_distinct(F.flatten(F.collect_list(name)))
+
+    best = F.struct(F.size("own").alias("n"), (-F.abs("diagonal")).alias("near"), "own", "own_same")
+    passages = chained.groupBy("doc_id", "item_id", "n_typed", "n_all", "passage").agg(
+        *[all_of(n).alias(n) for n in ("plain_places", "lone_places", "typed_places", "second_places", "values", "all_values")], F.max(best).alias("best")
+    )
+    typed = F.when(both, F.array_union("typed_places", "second_places")).when(first, F.col("typed_places")).otherwise(F.col("best.own"))
+    kept_same = F.when(both, same("all_values")).when(first, same("values")).otherwise(F.col("best.own_same"))
+    passages = passages.select("doc_id", "item_id", "n_typed", "n_all", "plain_places", "lone_places", typed.alias("typed"), kept_same.alias("same"))
+    whole = passages.groupBy("doc_id", "item_id", "n_typed", "n_all").agg(all_of("plain_places").alias("plain"), all_of("lone_places").alias("lone"), F.collect_list(F.struct("typed", "same")).alias("passages"))
+    # Plain words from anywhere, and the placeholders of the passage that adds most.
+    counted = F.transform("passages", lambda p: F.struct(F.size(F.array_union("plain", p["typed"])).alias("n"), (p["same"] | (F.size(p["typed"]) == 0)).alias("same")))
+    whole = whole.withColumns({"top": F.array_max(counted), "lone": F.size("lone")}).select("doc_id", "item_id", "n_typed", "n_all", "lone", F.col("top.n").alias("typed"), F.col("top.same").alias("same_slots")).where("typed + lone > 0")
     # Of the windows that have a template, or of all windows: whichever share is greater.
     by_typed = (F.col("n_typed") > 0) & (F.col("typed") * F.col("n_all") >= (F.col("typed") + F.col("lone")) * F.col("n_typed"))
     whole = whole.select(
@@ -279,7 +305,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_coverage: float =
         F.when(by_typed, F.col("n_typed")).otherwise(F.col("n_all")).alias("n_windows"),
     )
     whole = whole.withColumn("coverage", F.round(F.col("n_matched") / F.col("n_windows"), 6))
-    return whole.where(F.col("coverage") >= least_coverage).select("doc_id", "item_id", "n_matched", "n_windows", "coverage", "same_slots")
+    return whole.where(F.col("coverage") >= least_coverage).select(F.col("doc_id").alias(id_col), "item_id", "n_matched", "n_windows", "coverage", "same_slots")
 
 
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,5 +313,12 @@ def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without documents that hold a benchmark item; rows without doc_id stay."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without documents that hold a benchmark item.
+
+    Rows of one doc_id are one document; a row without doc_id is judged by its own text.
+    """
+    key = fresh(docs.columns, "document")
+    name = F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.concat(F.lit("text "), F.sha2(F.col("text").cast("string"), 256)))
+    named = docs.withColumn(key, name)
+    found = contaminated(named.select(F.col(key).alias("document"), "text"), benchmark, id_col="document")
+    return named.join(found.select(F.col("document").alias(key)).distinct(), key, "left_anti").select(*docs.columns)
