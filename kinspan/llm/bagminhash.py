@@ -40,13 +40,17 @@ LONGS = COMPONENTS // 64
 SIMILARITY = 0.8
 #: A bit of each component is kept beside the bands. Unequal components differ in
 #: it half the time, so that texts of likeness J differ in (1 - J) / 2 of the bits.
-#: Candidates that differ in more than MOST_UNEQUAL bits are not verified: at a
-#: likeness of 0.8 that is 3.8 standard deviations above the mean of 25.6.
-MOST_UNEQUAL = 44
+#: Candidates that differ in more than MOST_UNEQUAL bits are not verified. A pair at a
+#: likeness of 0.8 differs in 25.6 bits on average, and in more than 72 (which stand for
+#: a likeness below 0.44) with a probability below 1e-14. With COMPONENTS every
+#: candidate is verified.
+MOST_UNEQUAL = 72
 #: Centres that each band is tried against before its classes are compared.
 CENTRES = 3
-#: Texts of a bucket that one task compares with as many others.
-BLOCK_TEXTS = 2048
+#: Bytes of the texts of a bucket that one task compares with as many others.
+BLOCK_BYTES = 8 << 20
+#: What a text takes beside its bytes.
+ROW_BYTES = 512
 #: Shingles of pairs that are compared at once.
 PAIR_ELEMENTS = 1 << 20
 #: 50 bits of a shingle's hash beside 14 bits of the text's number in its chunk.
@@ -109,7 +113,7 @@ def _codes(times: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, bands array<long>, bits array<long>: a bit of each component)."""
+    """(id, text) -> (id, bands array<long>, bits array<long>: a bit of each component, bytes)."""
     seeds = mix(np.arange(COMPONENTS, dtype=np.uint64)) | np.uint64(1)
     for batch in batches:
         for at, to, data, offsets in chunks(batch.column("text")):
@@ -125,8 +129,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         batch.column("id").slice(at + lo, hi - lo),
                         pa.ListArray.from_arrays(np.arange(0, (hi - lo) * BANDS + 1, BANDS, dtype=np.int32), bands.view(np.int64).reshape(-1)),
                         pa.ListArray.from_arrays(np.arange(0, (hi - lo) * LONGS + 1, LONGS, dtype=np.int32), np.packbits((codes & np.uint64(1)).astype(bool), axis=1).view(np.int64).reshape(-1)),
+                        pa.array(np.diff(cut)),
                     ],
-                    ["id", "bands", "bits"],
+                    ["id", "bands", "bits", "size"],
                 )
 
 
@@ -175,7 +180,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("a").take(keep), part.column("b").take(keep), pa.array(likeness[likeness >= SIMILARITY])], ["a", "b", "likeness"])
 
 
-def _links_of_bucket(key: tuple, bucket: pa.Table) -> pa.Table:
+def _links_of_bucket(key: tuple, bucket: pa.Table, most_unequal: int) -> pa.Table:
     """Links between the classes of a band's bucket, of pairs that agree enough and
     share no earlier band; of two blocks of a large bucket, the pairs across them."""
     band, blocks = key[0].as_py(), (key[2].as_py(), key[3].as_py())
@@ -186,7 +191,7 @@ def _links_of_bucket(key: tuple, bucket: pa.Table) -> pa.Table:
     for x in range(bucket.num_rows - 1):
         rest = np.arange(x + 1, bucket.num_rows)
         rest = rest[(root[rest] != root[x]) & ((blocks[0] == blocks[1]) | (own[rest] != own[x]))]
-        rest = rest[np.bitwise_count((bits[rest] ^ bits[x]).view(np.uint64)).sum(axis=1) <= MOST_UNEQUAL]
+        rest = rest[np.bitwise_count((bits[rest] ^ bits[x]).view(np.uint64)).sum(axis=1) <= most_unequal]
         rest = rest[(bands[rest, :band] != bands[x, :band]).all(axis=1)]
         one.append(np.full(len(rest), x))
         two.append(rest)
@@ -204,11 +209,11 @@ def _unequal(one: str, two: str) -> Column:
     return reduce(add, (F.bit_count(F.col(one)[i].bitwiseXOR(F.col(two)[i])) for i in range(LONGS)))
 
 
-def _agreeing(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+def _agreeing(pairs: DataFrame, bits: DataFrame, most_unequal: int) -> DataFrame:
     """The pairs (a, b) whose signatures agree enough, and in how many bits they don't."""
     one = bits.select(F.col("id").alias("a"), F.col("bits").alias("bits_a"))
     two = bits.select(F.col("id").alias("b"), F.col("bits").alias("bits_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", _unequal("bits_a", "bits_b").alias("unequal")).where(F.col("unequal") <= MOST_UNEQUAL)
+    return pairs.join(one, "a").join(two, "b").select("a", "b", _unequal("bits_a", "bits_b").alias("unequal")).where(F.col("unequal") <= most_unequal)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -247,32 +252,39 @@ def _apart(pairs: DataFrame, root: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def _across(shared: DataFrame, signed: DataFrame, texts: DataFrame, root: DataFrame) -> DataFrame:
+def _across(shared: DataFrame, signed: DataFrame, texts: DataFrame, root: DataFrame, most_unequal: int) -> DataFrame:
     """Links between texts that share a band but are of two classes so far.
 
-    A bucket is compared within one task, without its pairs becoming rows; a large
-    one is dealt into blocks, and every two blocks are compared in a task.
+    A bucket is compared within one task, without its pairs becoming rows; one with more
+    than BLOCK_BYTES of texts is dealt into blocks, and every two blocks are compared in
+    a task.
     """
-    named = shared.join(root, "id", "left").select("band", "value", "id", F.coalesce("root", "id").alias("root"))
-    mixed = named.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    mixed = mixed.select("band", "value", F.ceil(F.col("n") / BLOCK_TEXTS).alias("blocks"))
-    named = named.join(mixed, ["band", "value"]).join(signed, "id").join(texts, "id")
+    sized = signed.join(root, "id", "left").select("id", "size", F.coalesce("root", "id").alias("root"))
+    named = shared.select("band", "value", "id").join(sized, "id")
+    mixed = named.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.col("size") + ROW_BYTES).alias("bytes")).where("lo < hi")
+    mixed = mixed.select("band", "value", F.ceil(F.col("bytes") / BLOCK_BYTES).alias("blocks"))
+    named = named.drop("size").join(mixed, ["band", "value"]).join(signed.select("id", "bands", "bits"), "id").join(texts, "id")
     named = named.withColumn("own", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     named = named.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
     rows = named.select("band", "value", "lo", "hi", "id", "root", "own", "bits", "bands", "text")
-    return rows.groupBy("band", "value", "lo", "hi").applyInArrow(_links_of_bucket, "a long, b long")
 
 
-def _stars(shared: DataFrame, signed: DataFrame, k: int) -> DataFrame:
+    def links(key: tuple, bucket: pa.Table) -> pa.Table:
+        return _links_of_bucket(key, bucket, most_unequal)
+
+    return rows.groupBy("band", "value", "lo", "hi").applyInArrow(links, "a long, b long")
+
+
+def _stars(shared: DataFrame, signed: DataFrame, k: int, most_unequal: int) -> DataFrame:
     """Each text with the k-th centres of its bands, if they agree enough."""
     centre = f"centre_{k}"
     pairs = shared.where(F.col("id") != F.col(centre)).select(F.greatest("id", centre).alias("a"), F.least("id", centre).alias("b")).distinct()
-    return written(_agreeing(pairs, signed.select("id", "bits")), "stars")
+    return written(_agreeing(pairs, signed.select("id", "bits"), most_unequal), "stars")
 
 
-def _classes(exact: DataFrame, rows: DataFrame) -> DataFrame:
+def _classes(exact: DataFrame, rows: DataFrame, most_unequal: int) -> DataFrame:
     """(id, root) of the different texts that have a near duplicate among the others."""
-    signed = rows.select("id", "text").mapInArrow(_sign, "id long, bands array<long>, bits array<long>")
+    signed = rows.select("id", "text").mapInArrow(_sign, "id long, bands array<long>, bits array<long>, size long")
     signed = written(signed.dropDuplicates(["id"]), "signed")
     buckets = signed.select("id", F.posexplode("bands").alias("band", "value"))
     # Another centre in each band: a text that one centre doesn't catch meets others.
@@ -283,35 +295,36 @@ def _classes(exact: DataFrame, rows: DataFrame) -> DataFrame:
     same = (rows["id"] == wanted["id"]) & rows["doc"].eqNullSafe(wanted["doc"])
     texts = written(rows.join(wanted, same).select(rows["id"], rows["doc"], "text").dropDuplicates(["id", "doc"]).select("id", "text"), "texts")
 
-    stars = _stars(shared, signed, 0)
+    stars = _stars(shared, signed, 0, most_unequal)
     # First each text with the centre that it agrees with most, then what this leaves apart.
     root = components(verified(stars.groupBy("a").agg(F.min_by("b", "unequal").alias("b")), texts))
     tried = stars.select("a", "b")
     root = _joined(root, verified(_apart(tried, root), texts))
     for k in range(1, CENTRES):
-        more = _stars(shared, signed, k).select("a", "b")
+        more = _stars(shared, signed, k, most_unequal).select("a", "b")
         root = _joined(root, verified(_apart(more.join(tried, ["a", "b"], "left_anti"), root), texts))
         tried = tried.union(more)
-    return _joined(root, _across(shared, signed, texts, root))
+    return _joined(root, _across(shared, signed, texts, root, most_unequal))
 
 
 def _joined(root: DataFrame, links: DataFrame) -> DataFrame:
     return components(root.select(F.col("id").alias("a"), F.col("root").alias("b")).union(links.select("a", "b")))
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_unequal: int = MOST_UNEQUAL) -> DataFrame:
     """One row per row of ``docs``: id, class_id (the least id of its class), class_size.
 
     Null text counts as empty; empty texts (and texts of white space only, which
     have no shingle) are a class only with texts equal to them. A row that repeats
     an id, or has none, gets the class of its text; class_id is null where no row
-    of the class has an id. Other columns are not looked at.
+    of the class has an id. Texts of any length are compared whole; an empty table
+    gives no rows. Other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("id", F.xxhash64(F.sha2("text", 256)))
     keyed = written(rows.select("doc", "id"), "keyed")
     exact = keyed.groupBy("id").agg(F.min("doc").alias("least"), F.count("*").alias("n"))
-    named = exact.join(_classes(exact, rows), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = exact.join(_classes(exact, rows, most_unequal), "id", "left").withColumn("root", F.coalesce("root", "id"))
     classes = named.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
     named = named.join(classes, "root").select("id", "class_id", "class_size")
     return keyed.join(named, "id").select(F.col("doc").alias(id_col), "class_id", "class_size")

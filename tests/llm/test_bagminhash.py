@@ -77,9 +77,9 @@ def test_multisets_compare_as_counters_do():
         assert x == pytest.approx(jaccard(multiset(texts[i]), multiset(texts[j])))
 
 
-@pytest.mark.parametrize("block", [2048, 3])
+@pytest.mark.parametrize("block", [8 << 20, 2000])
 def test_classes_equal_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(bagminhash, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(bagminhash, "BLOCK_BYTES", block)
     rows = corpus(2) + [(1000, None), (1001, ""), (1002, " "), (1003, "two words"), (1004, "two words"), (1004, "two words"), (None, "two words"), (None, "alone here"), (1005, "word " * 3000), (1006, "word " * 3100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "'x' as root", "2 as a")
     assert found_classes(docs) == brute_classes(rows)
@@ -95,3 +95,20 @@ def test_one_of_each_class_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted((r.doc_id or -1) for r in keep_first_of_each(docs).collect())
     assert kept == sorted({c for _, c in brute_classes(rows) if c >= 0} | {-1}) or kept == sorted([-1 if c == 0 else c for c in {c for _, c in brute_classes(rows)}])
+
+
+def test_every_candidate_verified_gives_the_same_classes(spark):
+    docs = spark.createDataFrame(corpus(7, 8), "doc_id long, text string")
+
+    def classes(**setting):
+        return sorted(map(tuple, near_duplicate_classes(docs, **setting).collect()))
+
+    assert classes() == classes(most_unequal=bagminhash.COMPONENTS)
+
+
+def test_unlike_signatures_of_like_texts_are_out_of_reach():
+    from math import comb
+
+    # Bits of a pair at the least likeness differ with probability 0.1 each.
+    beyond = sum(comb(256, k) * 0.1**k * 0.9 ** (256 - k) for k in range(bagminhash.MOST_UNEQUAL + 1, 257))
+    assert beyond < 1e-14
