@@ -90,11 +90,13 @@ def one_of_copies(toxic: np.ndarray, sketches: np.ndarray) -> np.ndarray:
     return keep
 
 
-def fit_non_negative_pu(rows: list[np.ndarray], toxic: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_non_negative_pu(rows: list[np.ndarray], toxic: np.ndarray, prior: float, least_purity: float = LEAST_PURITY, non_negative: bool = True) -> tuple[np.ndarray, np.ndarray, float]:
     """Features (sorted), their weights and the intercept.
 
     ``rows`` holds the feature hashes of each text; ``toxic`` says which texts
-    are the confirmed ones. Without any of either kind the model is the prior.
+    are the confirmed ones. Without any of either kind the model is the prior. A
+    ``least_purity`` of 0 takes features whatever their share of toxic texts; without
+    ``non_negative`` the risk is the plain unbiased one, which may fall below zero.
     """
     bias = float(np.log(prior / (1 - prior)))
     n_toxic, n_other = int(toxic.sum()), int((~toxic).sum())
@@ -113,7 +115,7 @@ def fit_non_negative_pu(rows: list[np.ndarray], toxic: np.ndarray, prior: float)
     chance = n_toxic * (other + 1.0) / (n_other + 2.0)
     evidence = np.where(counts > chance, counts * np.log(counts / chance) - counts + chance, 0.0)
     toxic_among_other = prior * counts / n_toxic * n_other
-    pure = other <= toxic_among_other / LEAST_PURITY + TOLERANCE * np.sqrt(toxic_among_other)
+    pure = other * least_purity <= toxic_among_other + least_purity * TOLERANCE * np.sqrt(toxic_among_other)
     good = pure & (evidence >= np.log(len(names)) + MARGIN)
     chosen = np.sort(np.argsort(-np.where(good, evidence, -1.0), kind="stable")[: min(MAX_FEATURES, int(good.sum()))])
     if not len(chosen):
@@ -132,7 +134,7 @@ def fit_non_negative_pu(rows: list[np.ndarray], toxic: np.ndarray, prior: float)
         soft = np.logaddexp(0, g)
         rest = minus @ soft - prior * (plus @ soft)
         correction = (minus - prior * plus) * s
-        slope = prior * plus * (s - 1) + correction if rest >= 0 else -correction
+        slope = prior * plus * (s - 1) + correction if rest >= 0 or not non_negative else -correction
         gradient = np.append(np.bincount(column, slope[row], len(chosen)) + DECAY * w, slope.sum())
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.999 * square + 0.001 * gradient**2
@@ -146,8 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_un
 
     Rows without doc_id or text are not trained on; an id labelled both ways, or
     with a null label, has no label. The sample is at most ``max_toxic`` confirmed
-    and ``max_unlabelled`` other texts, by the hash of the id; labels of 0 serve
-    only to estimate the class prior.
+    and ``max_unlabelled`` other texts, by the hash of the id. The class prior is the
+    share of toxic ones among all labelled rows: there, and nowhere else, labels of 0 are
+    used. The model has MAX_FEATURES features at most, those with the most evidence.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("lo"), F.max("toxic").alias("toxic")).where("lo = toxic").select("doc_id", "toxic")
     counted = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(known, "doc_id", "left").withColumn("order", F.xxhash64("doc_id"))
@@ -220,7 +223,9 @@ def bucket(column="doc_id"):
 def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of documents.
 
-    A null doc_id is in no training fold and counts as held out.
+    A null doc_id is in no training fold and counts as held out. Null and empty texts
+    have the intercept's score; texts of any length are scored whole; repeated rows give
+    repeated scores; an empty table gives no rows.
     """
     docs = read_table(spark, sf_dir, "documents")
     held = F.coalesce(bucket() == 0, F.lit(True))
@@ -230,7 +235,8 @@ def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that score 0.5 or more."""
+    """``docs`` without the rows that score 0.5 or more; other columns, whatever their
+    names, pass unchanged. Null and empty texts score as the intercept does."""
     model = train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
     text = docs.schema["text"]
     others = [c for c in docs.columns if c != "text"]

@@ -17,7 +17,7 @@ import pyarrow as pa
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Bytes of text that are taken at once; a longer text is taken alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 SHINGLE_WORDS = 5
 
 SPACES = np.zeros(256, bool)
@@ -44,13 +44,17 @@ BYTE_VALUES = mix(np.arange(256, dtype=np.uint64)) | np.uint64(1)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i below n at least."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((BASE, INVERSE)):
-            steps = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0], _powers[1]
+    """BASE**i and BASE**-i for i below n at least; those of a chunk are kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    found = []
+    for base in (BASE, INVERSE):
+        steps = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
+        steps[0] = 1
+        found.append(np.cumprod(steps))
+    if n <= CHUNK_BYTES + 1:
+        _powers[:] = found
+    return found[0], found[1]
 
 
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
