@@ -1,7 +1,10 @@
 """Half-open intervals on keyed axes: overlaps, tilings, islands and runs.
 
 Functions take tables with ``start_pos`` and ``end_pos`` and the names of the key
-columns that identify an axis (family, chromosome, ...).
+columns that identify an axis (family, chromosome, ...); rows without a key are on no
+axis. What runs along a whole axis (running sums, unions, breakpoints) is dealt into
+ranges of it, and what a range needs from those before it is carried over as one row a
+range, so that a long axis is no task of its own.
 """
 
 from __future__ import annotations
@@ -10,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Default width of the ranges that an axis is dealt into.
+RANGE_WIDTH = 1 << 20
+
+
 def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     """Length of the common part, 0 if there is none."""
     return F.greatest(F.least(e1, e2) - F.greatest(s1, s2), F.lit(0))
@@ -54,30 +61,86 @@ def merge_runs(df: DataFrame, keys: list[str], values: list[str], order: list[st
     return runs.groupBy(*keys, "_run", *values).agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.count("*").alias("n_rows")).drop("_run")
 
 
-def merge_overlaps(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Union of the intervals of each key as disjoint ones (touching ones join)."""
-    over = Window.partitionBy(*keys).orderBy("start_pos", "end_pos")
-    reach = F.max("end_pos").over(over.rowsBetween(Window.unboundedPreceding, -1))
-    parts = islands(df.withColumn("_reach", reach), keys, ["start_pos", "end_pos"], F.col("start_pos") > F.col("_reach"), "_part")
-    return parts.groupBy(*keys, "_part").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos")).drop("_part")
+def _before(keys: list[str]) -> Window:
+    """All ranges of an axis before one."""
+    return Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def tiles(df: DataFrame, keys: list[str]) -> DataFrame:
+def running(df: DataFrame, keys: list[str], pos: str, values: list[str], width: int = RANGE_WIDTH) -> DataFrame:
+    """``df`` and, for each of the numbers ``values``, its sums over the rows of the axis
+    before ``pos`` (name_before) and up to and with it (name_upto). ``pos`` is whole."""
+    parts = df.withColumn("_range", F.floor(F.col(pos) / width))
+    totals = parts.groupBy(*keys, "_range").agg(*[F.sum(v).alias(v) for v in values])
+    carried = totals.select(*keys, "_range", *[F.coalesce(F.sum(v).over(_before(keys)), F.lit(0)).alias(f"_{v}") for v in values])
+    within = Window.partitionBy(*keys, "_range").orderBy(pos)
+    sums = {}
+    for v in values:
+        for name, last in (("before", -1), ("upto", 0)):
+            own = F.sum(v).over(within.rangeBetween(Window.unboundedPreceding, last))
+            sums[f"{v}_{name}"] = F.coalesce(own, F.lit(0)) + F.col(f"_{v}")
+    return parts.join(carried, [*keys, "_range"]).withColumns(sums).drop("_range", *[f"_{v}" for v in values])
+
+
+def merge_overlaps(df: DataFrame, keys: list[str], width: int = RANGE_WIDTH) -> DataFrame:
+    """Union of the intervals of each key as disjoint ones (touching ones join)."""
+    parts = df.select(*keys, "start_pos", "end_pos").withColumn("_range", F.floor(F.col("start_pos") / width))
+    ends = parts.groupBy(*keys, "_range").agg(F.max("end_pos").alias("_end"))
+    reach = ends.select(*keys, "_range", F.max("_end").over(_before(keys)).alias("_reach"))
+    inner = Window.partitionBy(*keys, "_range").orderBy("start_pos", "end_pos")
+    earlier = inner.rowsBetween(Window.unboundedPreceding, -1)
+    marked = parts.join(reach, [*keys, "_range"]).withColumn("_reach", F.greatest("_reach", F.max("end_pos").over(earlier)))
+    # The union that a row belongs to, by its first start.
+    marked = marked.withColumn("_first", F.when(F.col("_reach").isNull() | (F.col("start_pos") > F.col("_reach")), F.col("start_pos")))
+    firsts = marked.groupBy(*keys, "_range").agg(F.max("_first").alias("_last"))
+    last = firsts.select(*keys, "_range", F.max("_last").over(_before(keys)).alias("_last"))
+    named = marked.join(last, [*keys, "_range"]).withColumn("_first", F.coalesce(F.max("_first").over(inner.rowsBetween(Window.unboundedPreceding, 0)), F.col("_last")))
+    return named.groupBy(*keys, F.col("_first").alias("start_pos")).agg(F.max("end_pos").alias("end_pos"))
+
+
+def _with_next(points: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Different start_pos of an axis and, as end_pos, the one after; the last one has none."""
+    parts = points.withColumn("_range", F.floor(F.col("start_pos") / width))
+    firsts = parts.groupBy(*keys, "_range").agg(F.min("start_pos").alias("_first"))
+    after = firsts.select(*keys, "_range", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_range")).alias("_next"))
+    inner = Window.partitionBy(*keys, "_range").orderBy("start_pos")
+    out = parts.join(after, [*keys, "_range"]).withColumn("end_pos", F.coalesce(F.lead("start_pos").over(inner), F.col("_next")))
+    return out.where("end_pos is not null").drop("_range", "_next")
+
+
+def tiles(df: DataFrame, keys: list[str], width: int = RANGE_WIDTH) -> DataFrame:
     """Elementary intervals between all neighbouring breakpoints of each key."""
     points = df.select(*keys, F.explode(F.array("start_pos", "end_pos")).alias("start_pos")).distinct()
-    over = Window.partitionBy(*keys).orderBy("start_pos")
-    return points.withColumn("end_pos", F.lead("start_pos").over(over)).where("end_pos is not null")
+    return _with_next(points, keys, width).select(*keys, "start_pos", "end_pos")
 
 
-def sweep(df: DataFrame, keys: list[str], weights: dict[str, Column]) -> DataFrame:
+def sweep(df: DataFrame, keys: list[str], weights: dict[str, Column], width: int = RANGE_WIDTH) -> DataFrame:
     """Sums of weights over the intervals that cover each elementary interval."""
     begin = df.select(*keys, F.col("start_pos").alias("start_pos"), *[w.alias(n) for n, w in weights.items()])
     end = df.select(*keys, F.col("end_pos").alias("start_pos"), *[(-w).alias(n) for n, w in weights.items()])
     steps = begin.unionByName(end).groupBy(*keys, "start_pos").agg(*[F.sum(n).alias(n) for n in weights])
-    over = Window.partitionBy(*keys).orderBy("start_pos")
-    running = over.rowsBetween(Window.unboundedPreceding, 0)
-    out = steps.select(*keys, "start_pos", F.lead("start_pos").over(over).alias("end_pos"), *[F.sum(n).over(running).alias(n) for n in weights])
-    return out.where("end_pos is not null")
+    summed = running(steps, keys, "start_pos", list(weights), width)
+    out = summed.select(*keys, "start_pos", *[F.col(f"{n}_upto").alias(n) for n in weights])
+    return _with_next(out, keys, width).select(*keys, "start_pos", "end_pos", *weights)
+
+
+def points_within(intervals: DataFrame, points: DataFrame, keys: list[str], width: int = RANGE_WIDTH) -> DataFrame:
+    """(iv_id, n): how many of ``points`` (keys, pos) lie in each interval, from the points
+    before its two ends; no pairs are formed."""
+    ends = F.explode(F.array(F.struct(F.col("start_pos").alias("pos"), F.lit(-1).alias("_sign")), F.struct(F.col("end_pos").alias("pos"), F.lit(1).alias("_sign"))))
+    asked = intervals.select(*keys, "iv_id", ends.alias("_e")).select(*keys, "iv_id", "_e.*", F.lit(0).alias("n"))
+    given = points.select(*keys, F.lit(None).cast(dict(intervals.dtypes)["iv_id"]).alias("iv_id"), "pos", F.lit(0).alias("_sign"), F.lit(1).alias("n"))
+    summed = running(asked.unionByName(given), keys, "pos", ["n"], width).where("_sign <> 0")
+    return summed.groupBy("iv_id").agg(F.sum(F.col("_sign") * F.col("n_before")).alias("n"))
+
+
+def covered_points(points: DataFrame, intervals: DataFrame, keys: list[str], width: int = RANGE_WIDTH) -> DataFrame:
+    """The ``points`` (keys, pos) that lie in an interval, both of its bounds included."""
+    rest = [c for c in points.columns if c not in [*keys, "pos"]]
+    types = dict(points.dtypes)
+    bounds = F.explode(F.array(F.struct(F.col("start_pos").alias("pos"), F.lit(1).alias("_open"), F.lit(0).alias("_shut")), F.struct(F.col("end_pos").alias("pos"), F.lit(0).alias("_open"), F.lit(1).alias("_shut"))))
+    given = intervals.select(*keys, bounds.alias("_b")).select(*keys, "_b.*", *[F.lit(None).cast(types[c]).alias(c) for c in rest], F.lit(False).alias("_asked"))
+    asked = points.select(*keys, "pos", F.lit(0).alias("_open"), F.lit(0).alias("_shut"), *rest, F.lit(True).alias("_asked"))
+    return running(given.unionByName(asked), keys, "pos", ["_open", "_shut"], width).where("_asked and _open_upto > _shut_before").select(*points.columns)
 
 
 def as_of(points: DataFrame, table: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -187,27 +187,34 @@ def welch(df: DataFrame, value: str, group: str) -> DataFrame:
     return out.select("n0", "n1", "t", "dof")
 
 
+def whole_order(df: DataFrame, value: str, sums: list[str], pieces: int = 64) -> DataFrame:
+    """``df`` (one row a value) and, for each of ``sums``, its sum over the rows with values
+    up to the row's (name_upto), all over the table.
+
+    Values are dealt into ranges of about equal rows; only a row a range passes one task.
+    """
+    cuts = df.agg(F.percentile_approx(value, [i / pieces for i in range(1, pieces)])).first()[0] or []
+    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    dealt = df.withColumn("_block", F.size(F.filter(bounds, lambda c: c < F.col(value))))
+    totals = dealt.groupBy("_block").agg(*[F.sum(c).alias(c) for c in sums])  # ``pieces`` rows at most
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("_block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in sums])
+    inner = Window.partitionBy("_block").orderBy(value)
+    steps = dealt.join(F.broadcast(carried), "_block").withColumns({f"{c}_upto": F.sum(c).over(inner) + F.col(f"_{c}") for c in sums})
+    return steps.drop("_block", *[f"_{c}" for c in sums])
+
+
 def ks_statistic(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Largest distance of two groups' distribution functions, from counts per value;
-    the running sums go over value ranges, so no task holds all values."""
+    """Largest distance of two groups' distribution functions, from counts per value."""
     counts = df.groupBy(value).agg(F.count_if(F.col(group) == 0).alias("a"), F.count_if(F.col(group) == 1).alias("b"))
-    cuts = df.agg(F.percentile_approx(value, [i / 64 for i in range(1, 64)])).first()[0] or []
-    block = F.lit(0)
-    for c in sorted(set(cuts)):
-        block = block + (F.col(value) > c).cast("int")
-    dealt = counts.withColumn("block", block)
-    sums = dealt.groupBy("block").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))  # 64 rows at most
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"before_{c}") for c in "ab"])
-    total = dealt.agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
-    inner = Window.partitionBy("block").orderBy(value)
-    steps = dealt.join(F.broadcast(sums), "block").crossJoin(F.broadcast(total))  # one row
-    away = F.abs((F.sum("a").over(inner) + F.col("before_a")) / F.col("n_a") - (F.sum("b").over(inner) + F.col("before_b")) / F.col("n_b"))
+    total = counts.agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+    steps = whole_order(counts, value, ["a", "b"]).crossJoin(F.broadcast(total))  # one row
+    away = F.abs(F.col("a_upto") / F.col("n_a") - F.col("b_upto") / F.col("n_b"))
     return steps.select(away.alias("d")).agg(F.max("d").alias("ks"))
 
 
 def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:
     """True and false positives at each score as threshold, highest first."""
-    counts = df.groupBy(score).agg(F.sum(label).alias("tp"), F.sum(1 - F.col(label)).alias("fp"))
-    over = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(score, F.sum("tp").over(over).alias("tp"), F.sum("fp").over(over).alias("fp"))
+    counts = df.groupBy((F.lit(0.0) - F.col(score)).alias("_turned")).agg(F.sum(label).alias("tp"), F.sum(1 - F.col(label)).alias("fp"))
+    steps = whole_order(counts, "_turned", ["tp", "fp"])
+    return steps.select((F.lit(0.0) - F.col("_turned")).alias(score), F.col("tp_upto").alias("tp"), F.col("fp_upto").alias("fp"))

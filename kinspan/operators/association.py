@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.intervals import islands, overlap_join, tiles
+from ..functions.intervals import islands, overlap_join, sweep
 
 
 def weighted_bins(found: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -22,9 +22,8 @@ def tile_consensus(segments: DataFrame, keys: list[str], code: str, width: int,
     ``code`` is 1, 0 or null for each segment; a value needs the given share of all
     entities with a segment there.
     """
-    parts = tiles(segments, keys)
-    pairs = overlap_join(parts, segments.select(*keys, "start_pos", "end_pos", code), keys, width)
-    counts = pairs.groupBy(*keys, "start_pos", "end_pos").agg(F.count("*").alias("n"), *[F.count_if(F.col(f"r_{code}") == v).alias(f"n_{v}") for v in (0, 1)])
+    value = F.col(code)
+    counts = sweep(segments, keys, {"n": F.lit(1), "n_0": F.coalesce((value == 0).cast("int"), F.lit(0)), "n_1": F.coalesce((value == 1).cast("int"), F.lit(0))}, width).where("n > 0")
     return counts.withColumn("consensus", F.when(F.col("n_1") >= share * F.col("n"), 1).when(F.col("n_0") >= share * F.col("n"), 0).otherwise(-1))
 
 
@@ -52,7 +51,7 @@ def histogram(df: DataFrame, value: Column, low: float, high: float, n: int) ->
 def moving_average(df: DataFrame, value: str, keys: list[str], order: list[str], half: int) -> DataFrame:
     """Centred sum over 2 half + 1 rows by that number: rows beyond the ends count as 0."""
     frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-half, half)
-    return df.withColumn("average", F.round(F.sum(value).over(frame) / (2 * half + 1), 6))
+    return df.withColumn("average", F.sum(value).over(frame) / (2 * half + 1))
 
 
 def fill_unknown(df: DataFrame, value: str, keys: list[str], order: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.intervals import islands, overlap_join
+from ..functions.intervals import islands, overlap_join, running
 
 HTS_SHARE = 0.9
 
@@ -56,11 +56,29 @@ def overlapping_pairs(intervals: DataFrame, keys: list[str], width: int) -> Data
 
 
 def collection_sizes(intervals: DataFrame, keys: list[str], width: int, least_share: float = 0.0) -> DataFrame:
-    """Partners of each interval that overlap it by ``least_share`` of its own length."""
-    common = F.least("end_pos", "r_end_pos") - F.greatest("start_pos", "r_start_pos")
-    pairs = overlapping_pairs(intervals, keys, width).where(common >= least_share * (F.col("end_pos") - F.col("start_pos")))
-    counts = pairs.groupBy("iv_id").agg(F.count("*").alias("n_matches"), F.sum(common).alias("common_bases"))
-    return intervals.select("iv_id").join(counts, "iv_id", "left").na.fill(0, ["n_matches", "common_bases"])
+    """Partners of each interval that overlap it by ``least_share`` of its own length, and
+    the bases in common with them.
+
+    Without a share no pairs are formed: partners are the intervals that start before the
+    end less those that end before the start, and the bases are the difference of the
+    summed coverage at both ends, which follows from running sums over all bounds.
+    """
+    if least_share:
+        common = F.least("end_pos", "r_end_pos") - F.greatest("start_pos", "r_start_pos")
+        pairs = overlapping_pairs(intervals, keys, width).where(common >= least_share * (F.col("end_pos") - F.col("start_pos")))
+        counts = pairs.groupBy("iv_id").agg(F.count("*").alias("n_matches"), F.sum(common).alias("common_bases"))
+        return intervals.select("iv_id").join(counts, "iv_id", "left").na.fill(0, ["n_matches", "common_bases"])
+    begin = F.struct(F.col("start_pos").alias("pos"), F.lit(1).alias("start"), F.lit(0).alias("stop"), F.col("start_pos").alias("start_sum"), F.lit(0).cast("long").alias("stop_sum"), F.lit(True).alias("begins"))
+    end = F.struct(F.col("end_pos").alias("pos"), F.lit(0).alias("start"), F.lit(1).alias("stop"), F.lit(0).cast("long").alias("start_sum"), F.col("end_pos").alias("stop_sum"), F.lit(False).alias("begins"))
+    own = intervals.select(*keys, "iv_id", *[F.col(c).cast("long").alias(c) for c in ("start_pos", "end_pos")])
+    bounds = own.select(*keys, "iv_id", F.explode(F.array(begin, end)).alias("b")).select(*keys, "iv_id", "b.*")
+    sums = running(bounds, keys, "pos", ["start", "stop", "start_sum", "stop_sum"], width)
+    # Bases of all intervals before a place.
+    before = F.col("pos") * (F.col("start_before") - F.col("stop_before")) - (F.col("start_sum_before") - F.col("stop_sum_before"))
+    n = F.when(F.col("begins"), -F.col("stop_upto")).otherwise(F.col("start_before"))
+    sign = F.when(F.col("begins"), -1).otherwise(1)
+    found = sums.groupBy("iv_id").agg((F.sum(n) - 1).alias("n_matches"), (F.sum(sign * before) - F.sum(sign * F.col("pos"))).alias("common_bases"))
+    return found.select("iv_id", "n_matches", "common_bases")
 
 
 def reciprocal(start1: Column, end1: Column, start2: Column, end2: Column, share: float = 0.5) -> Column:
