@@ -33,12 +33,17 @@ def allele_frequency(genotypes: DataFrame) -> DataFrame:
 
 
 def hardy_weinberg(genotypes: DataFrame) -> DataFrame:
-    """Expected class counts and the chi-square statistic; null where an expectation is 0."""
-    n = F.col("n_ref") + F.col("n_het") + F.col("n_hom")
-    p = (2 * F.col("n_ref") + F.col("n_het")) / (2 * n)
-    expected = class_counts(genotypes).where(n > 0).withColumns({"e_ref": p * p * n, "e_het": 2 * p * (1 - p) * n, "e_hom": (1 - p) * (1 - p) * n})
-    terms = [F.try_divide((F.col(f"n_{k}") - F.col(f"e_{k}")) ** 2, F.col(f"e_{k}")) for k in ("ref", "het", "hom")]
-    return expected.select(*SITE_KEYS, "n_ref", "n_het", "n_hom", *[F.round(f"e_{k}", 4).alias(f"e_{k}") for k in ("ref", "het", "hom")], (terms[0] + terms[1] + terms[2]).alias("chi2"))
+    """Expected class counts and the chi-square statistic, null where an expectation is 0.
+
+    With a and b the alleles of both kinds among n calls, all three squared differences
+    are those of 4 ref hom - het**2, so that chi2 = n (4 ref hom - het**2)**2 / (a b)**2:
+    whole numbers up to the one division.
+    """
+    counts = class_counts(genotypes).withColumns({"_n": F.col("n_ref") + F.col("n_het") + F.col("n_hom"), "_a": 2 * F.col("n_ref") + F.col("n_het"), "_b": F.col("n_het") + 2 * F.col("n_hom")}).where("_n > 0")
+    n, a, b = F.col("_n"), F.col("_a"), F.col("_b")
+    away = 4 * F.col("n_ref") * F.col("n_hom") - F.col("n_het") * F.col("n_het")
+    expected = {"e_ref": a * a / (4.0 * n), "e_het": a * b / (2.0 * n), "e_hom": b * b / (4.0 * n)}
+    return counts.withColumns({**expected, "chi2": F.try_divide(n * (away * away).cast("double"), a * a * b * b)}).select(*SITE_KEYS, "n_ref", "n_het", "n_hom", *expected, "chi2")
 
 
 def family_variant_sites(genotypes: DataFrame, families: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.intervals import islands
-
 
 def each_member_once(pairs: DataFrame) -> DataFrame:
     """Pairs of a family taken in order as long as neither sibling was taken before.
@@ -28,34 +28,40 @@ def each_member_once(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("family").applyInPandas(pick, pairs.schema)
 
 
-def overlap_islands(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` and the number of its island of overlapping intervals within ``keys``."""
-    over = Window.partitionBy(*keys).orderBy("start_pos", "end_pos", "iv_id")
-    reach = F.max("end_pos").over(over.rowsBetween(Window.unboundedPreceding, -1))
-    return islands(df.withColumn("_reach", reach), keys, ["start_pos", "end_pos", "iv_id"], F.col("start_pos") > F.col("_reach"), "island").drop("_reach")
-
-
 def first_fit_clusters(intervals: DataFrame, keys: list[str], share: float = 0.5) -> DataFrame:
-    """Each interval (iv_id), in order of start, joins the first cluster whose first
-    member it overlaps by ``share`` of both lengths, or begins one. Only overlapping
-    intervals can meet, so that an island of them is a group of its own."""
-
-    def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        heads: list[tuple[int, int, int]] = []
-        names = []
-        ordered = group.sort_values(["start_pos", "end_pos", "iv_id"])
-        for row in ordered.itertuples():
-            for start, end, name in heads:
-                common = min(row.end_pos, end) - max(row.start_pos, start)
-                if common >= share * (row.end_pos - row.start_pos) and common >= share * (end - start):
-                    names.append(name)
-                    break
-            else:
-                heads.append((row.start_pos, row.end_pos, row.iv_id))
-                names.append(row.iv_id)
-        return ordered[["iv_id"]].assign(cluster=names)
-
-    return overlap_islands(intervals, keys).groupBy(*keys, "island").applyInPandas(cluster, "iv_id long, cluster long")
+    """(iv_id, cluster): each interval, in order of start and end, joins the first cluster
+    whose first member it overlaps by ``share`` of both lengths, or begins one.
+
+    Equal intervals are one; clusters are named by the least iv_id of their first ones.
+    Intervals pass in order of start as a stream, an axis a task, and only first members
+    that reach beyond the current start are held: those differ in length by half or more
+    where they overlap, so that they are few.
+    """
+    different = intervals.groupBy(*keys, "start_pos", "end_pos").agg(F.min("iv_id").alias("name"))
+    dealt = different.repartition(*keys).sortWithinPartitions(*keys, "start_pos", "end_pos")
+    types = dict(different.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in [*keys, "start_pos", "end_pos"]) + ", cluster long"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        axis, heads = None, []
+        for batch in batches:
+            names = []
+            for row in batch.itertuples(index=False):
+                here = tuple(getattr(row, k) for k in keys)
+                heads = [h for h in heads if h[1] > row.start_pos] if here == axis else []
+                axis = here
+                for start, end, name in heads:
+                    common = min(row.end_pos, end) - max(row.start_pos, start)
+                    if common >= share * (row.end_pos - row.start_pos) and common >= share * (end - start):
+                        names.append(name)
+                        break
+                else:
+                    heads.append((row.start_pos, row.end_pos, row.name))
+                    names.append(row.name)
+            yield batch[[*keys, "start_pos", "end_pos"]].assign(cluster=names)
+
+    found = dealt.mapInPandas(run, schema)
+    return intervals.select(*keys, "start_pos", "end_pos", "iv_id").join(found, [*keys, "start_pos", "end_pos"]).select("iv_id", "cluster")
 
 
 def widened_mask(segments: DataFrame, keys: list[str], mask, by: int) -> DataFrame:

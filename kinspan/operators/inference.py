@@ -9,37 +9,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def gaussian_density(points: DataFrame, x: str, y: str, bandwidth: float) -> DataFrame:
-    """Kernel density at each different pair of whole numbers (x, y), with its count n.
+def gaussian_density(points: DataFrame, x: str, y: str, bandwidth: float, at: DataFrame | None = None) -> DataFrame:
+    """Kernel density of ``points`` at each different pair of whole numbers (x, y) of ``at``
+    (of the points themselves), with the count n of the points there.
 
     Equal points are counted first; the Gaussian is applied along one axis and then
     along the other, out to four bandwidths, so that no pairs of points are formed.
     """
     reach = int(4 * bandwidth) + 1
-    counts = points.groupBy(F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y")).agg(F.count("*").alias("n"))
+    pair = [F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y")]
+    counts = points.groupBy(*pair).agg(F.count("*").alias("n"))
+    wanted = counts.select("x", "y") if at is None else at.select(*pair).distinct()
     weights = [exp(-0.5 * (k / bandwidth) ** 2) for k in range(-reach, reach + 1)]
     kernel = F.array(*[F.struct(F.lit(k - reach).alias("step"), F.lit(w).alias("w")) for k, w in enumerate(weights)])
     rows = counts.select("x", "y", "n", F.explode(kernel).alias("k")).groupBy((F.col("x") + F.col("k.step")).alias("x"), "y").agg(F.sum(F.col("n") * F.col("k.w")).alias("m"))
-    rows = rows.join(counts.select("x").distinct(), "x", "left_semi")
+    rows = rows.join(wanted.select("x").distinct(), "x", "left_semi")
     cells = rows.select("x", "y", "m", F.explode(kernel).alias("k")).groupBy("x", (F.col("y") + F.col("k.step")).alias("y")).agg(F.sum(F.col("m") * F.col("k.w")).alias("d"))
     total = counts.agg(F.sum("n").alias("total"))
-    scaled = counts.join(cells, ["x", "y"]).crossJoin(F.broadcast(total))  # one row
-    return scaled.select("x", "y", "n", (F.col("d") / (F.col("total") * 2 * np.pi * bandwidth**2)).alias("density"))
+    scaled = wanted.join(counts, ["x", "y"], "left").join(cells, ["x", "y"], "left").crossJoin(F.broadcast(total))  # one row
+    density = F.coalesce(F.col("d"), F.lit(0.0)) / (F.col("total") * 2 * np.pi * bandwidth**2)
+    return scaled.select("x", "y", F.coalesce("n", F.lit(0)).alias("n"), density.alias("density"))
 
 
-def density_outliers(points: DataFrame, x: str, y: str, bandwidth: float, bins: int = 10) -> DataFrame:
+def density_outliers(points: DataFrame, x: str, y: str, bandwidth: float, bins: int = 10, at: DataFrame | None = None) -> DataFrame:
     """Pairs whose log density lies below where a line through the log counts of an
-    equal-width histogram of log densities meets zero; none if the line doesn't fall to it."""
-    density = gaussian_density(points, x, y, bandwidth).withColumn("log_density", F.log10("density"))
-    low, high = density.agg(F.min("log_density"), F.max("log_density")).first()
+    equal-width histogram of the points' log densities (at the bins' left edges) meets
+    zero. Pairs out of reach of all points have no log density and are outliers."""
+    density = gaussian_density(points, x, y, bandwidth, at).withColumn("log_density", F.when(F.col("density") > 0, F.log10("density")))
+    own = gaussian_density(points, x, y, bandwidth).withColumn("log_density", F.log10("density"))
+    low, high = own.agg(F.min("log_density"), F.max("log_density")).first()
     if low is None or low == high:
         return density.withColumn("is_outlier", F.lit(False))
     step = (high - low) / bins
     number = F.least(F.floor((F.col("log_density") - low) / step), F.lit(bins - 1))
-    counts = density.groupBy(number.alias("bin")).agg(F.sum("n").alias("n"))
-    fit = counts.select((F.lit(low) + (F.col("bin") + 0.5) * step).alias("mid"), F.log10("n").alias("log_n")).agg(F.expr("regr_slope(log_n, mid)").alias("m"), F.expr("regr_intercept(log_n, mid)").alias("b")).first()
-    cutoff = -fit.b / fit.m if fit.m and fit.m > 0 else None
-    return density.withColumn("is_outlier", F.lit(False) if cutoff is None else F.col("log_density") < cutoff)
+    counts = own.groupBy(number.alias("bin")).agg(F.sum("n").alias("n"))
+    fit = counts.select((F.lit(low) + F.col("bin") * step).alias("edge"), F.log10("n").alias("log_n")).agg(F.expr("regr_slope(log_n, edge)").alias("m"), F.expr("regr_intercept(log_n, edge)").alias("b")).first()
+    cutoff = -fit.b / fit.m if fit.m else None
+    return density.withColumn("is_outlier", F.lit(False) if cutoff is None else F.coalesce(F.col("log_density") < cutoff, F.lit(True)))
+
+
+def crossover_outliers(counts: DataFrame) -> DataFrame:
+    """Pairs of maternal and paternal crossover counts and whether they are outliers.
+
+    Counts of fewer than five or more than three times the median on a side don't enter
+    the density; its bandwidth is 10 where the maternal median exceeds 10, else 1. With
+    five rows or fewer there are no outliers.
+    """
+    n, mat, pat = counts.agg(F.count("*"), F.median("maternal_crossovers"), F.median("paternal_crossovers")).first()
+    usual = counts.where((F.col("maternal_crossovers") >= 5) & (F.col("paternal_crossovers") >= 5) & (F.col("maternal_crossovers") <= 3 * F.lit(mat)) & (F.col("paternal_crossovers") <= 3 * F.lit(pat)))
+    found = density_outliers(usual, "maternal_crossovers", "paternal_crossovers", 10.0 if (mat or 0) > 10 else 1.0, at=counts)
+    return found.select("x", "y", F.lit(n > 5) & F.col("is_outlier").alias("is_outlier")).toDF("maternal_crossovers", "paternal_crossovers", "is_outlier")
 
 
 def permutation_test(people: DataFrame, replicates: int, seed: int = 0) -> DataFrame:

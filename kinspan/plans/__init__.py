@@ -1 +1,5 @@
-"""Registered queries over the driver tables, and their SQL."""
+"""The registered queries over the driver tables."""
+
+from . import registry, selections
+
+__all__ = ["registry", "selections"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import PhaseConfig
 from ..functions import intervals, stats
-from ..operators import association, deletions, genotypes, greedy, hmm, ibd, inference, recombination
+from ..operators import association, deletions, genotypes, greedy, hmm, ibd, inference, matching, recombination
 from . import projections as p
 
 CUTOFF = 20000
@@ -163,7 +163,7 @@ def deletion_burden(spark, sf_dir):
 
 @query("WITH " + p.INTERVAL_SQL + ", pairs AS (SELECT a.iv_id, count(*) AS n, sum(least(a.end_pos, b.end_pos) - greatest(a.start_pos, b.start_pos)) AS c FROM interval_ a JOIN interval_ b ON a.chrom = b.chrom AND a.start_pos < b.end_pos AND b.start_pos < a.end_pos AND a.iv_id <> b.iv_id GROUP BY a.iv_id) SELECT i.iv_id, coalesce(n, 0) AS n_matches, CAST(coalesce(c, 0) AS BIGINT) AS common_bases FROM interval_ i LEFT JOIN pairs USING (iv_id)")
 def deletion_collections(spark, sf_dir):
-    return deletions.collection_sizes(p.interval(spark, sf_dir), ["chrom"], 32)
+    return deletions.collection_sizes(p.interval(spark, sf_dir), ["chrom"], 256)
 
 
 @query("WITH " + p.INTERVAL_SQL + ", pairs AS (SELECT a.iv_id, count(*) AS n, sum(least(a.end_pos, b.end_pos) - greatest(a.start_pos, b.start_pos)) AS c FROM interval_ a JOIN interval_ b ON a.chrom = b.chrom AND a.start_pos < b.end_pos AND b.start_pos < a.end_pos AND a.iv_id <> b.iv_id AND least(a.end_pos, b.end_pos) - greatest(a.start_pos, b.start_pos) >= 0.8 * (a.end_pos - a.start_pos) GROUP BY a.iv_id) SELECT i.iv_id, coalesce(n, 0) AS n_matches, CAST(coalesce(c, 0) AS BIGINT) AS common_bases FROM interval_ i LEFT JOIN pairs USING (iv_id)")
@@ -188,10 +188,8 @@ def private_deletions(spark, sf_dir):
 
 @query("WITH " + p.INTERVAL_SQL + ", marker AS (SELECT DISTINCT CAST(l_suppkey % 22 + 1 AS INT) AS chrom, CAST(floor(epoch_us(l_shipdate) / 86400000000.0) AS BIGINT) AS pos FROM lineitem) SELECT i.iv_id, count(m.pos) AS n_markers FROM interval_ i LEFT JOIN marker m ON i.chrom = m.chrom AND m.pos >= i.start_pos AND m.pos < i.end_pos GROUP BY i.iv_id")
 def markers_in_interval(spark, sf_dir):
-    markers = p.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 22 + 1).cast("int").alias("chrom"), p.day("l_shipdate").alias("start_pos")).distinct().withColumn("end_pos", F.col("start_pos") + 1)
-    own = p.interval(spark, sf_dir)
-    counts = intervals.overlap_join(own, markers, ["chrom"], 32).groupBy("iv_id").agg(F.count("*").alias("n_markers"))
-    return own.select("iv_id").join(counts, "iv_id", "left").na.fill(0, ["n_markers"])
+    markers = p.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 22 + 1).cast("int").alias("chrom"), p.day("l_shipdate").alias("pos")).distinct()
+    return intervals.points_within(p.interval(spark, sf_dir), markers, ["chrom"], 256).withColumnRenamed("n", "n_markers")
 
 
 POINT_SQL = "point AS (SELECT o_orderkey AS point_id, o_custkey AS family, concat('chr', CAST(o_orderkey % 3 + 1 AS VARCHAR)) AS chrom, (o_orderkey * 7919) % 2592000 AS pos FROM orders)"
@@ -224,37 +222,36 @@ def excluded_regions(spark, sf_dir):
     return kept.where("covered <= 0.66 * (end_pos - start_pos)").select("iv_id", "chrom", "start_pos", "end_pos")
 
 
-@query("WITH " + p.INTERVAL_SQL + """, reach AS (
-  SELECT *, max(end_pos) OVER (PARTITION BY chrom ORDER BY start_pos, end_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM interval_ WHERE is_mat = 0 AND iv_id % 9 = 0
+COVERAGE_SQL = "WITH " + p.INTERVAL_SQL + """, reach AS (
+  SELECT *, max(end_pos) OVER (PARTITION BY chrom ORDER BY start_pos, end_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM interval_ WHERE is_mat = 0
 ), numbered AS (SELECT *, sum(CASE WHEN start_pos > r THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start_pos, end_pos ROWS UNBOUNDED PRECEDING) AS g FROM reach
 ), merged AS (SELECT chrom, min(start_pos) AS s, max(end_pos) AS e FROM numbered GROUP BY chrom, g
 ), sums AS (SELECT i.iv_id, sum(least(i.end_pos, m.e) - greatest(i.start_pos, m.s)) AS c FROM interval_ i JOIN merged m ON i.chrom = m.chrom AND i.start_pos < m.e AND m.s < i.end_pos WHERE i.is_mat = 1 GROUP BY i.iv_id)
-SELECT i.iv_id, CAST(coalesce(c, 0) AS BIGINT) AS covered, round(coalesce(c, 0) / CAST(i.end_pos - i.start_pos AS DOUBLE), 6) AS share FROM interval_ i LEFT JOIN sums USING (iv_id) WHERE i.is_mat = 1""")
+SELECT i.iv_id, CAST(coalesce(c, 0) AS BIGINT) AS covered, round(coalesce(c, 0) / CAST(i.end_pos - i.start_pos AS DOUBLE), 6) AS share FROM interval_ i LEFT JOIN sums USING (iv_id) WHERE i.is_mat = 1"""
+
+
+@query(COVERAGE_SQL)
 def union_coverage(spark, sf_dir):
     own = p.interval(spark, sf_dir)
-    other = intervals.merge_overlaps(own.where("is_mat = 0 and iv_id % 9 = 0"), ["chrom"])
+    other = intervals.merge_overlaps(own.where("is_mat = 0"), ["chrom"], 256)
     return association.covered_share(own.where("is_mat = 1"), other, ["chrom"], 64).select("iv_id", "covered", "share")
 
 
-@query()
+@query(COVERAGE_SQL)
 def union_coverage_all(spark, sf_dir):
-    """As union_coverage, over all partners; union_coverage and its SQL take every ninth."""
-    own = p.interval(spark, sf_dir)
-    other = intervals.merge_overlaps(own.where("is_mat = 0"), ["chrom"])
-    return association.covered_share(own.where("is_mat = 1"), other, ["chrom"], 64).select("iv_id", "covered", "share")
+    """The name under which union_coverage over all partners was registered first."""
+    return union_coverage(spark, sf_dir)
 
 
-MATCH_SQL = EVENT_SQL + ", called AS (SELECT *, row_number() OVER (PARTITION BY family, chrom, side ORDER BY start_pos, end_pos) AS k FROM event WHERE n % 2 = 1), truth AS (SELECT * FROM event WHERE n % 2 = 0), hit AS (SELECT DISTINCT c.family, c.chrom, c.side, c.k FROM called c JOIN truth t ON c.family = t.family AND c.chrom = t.chrom AND c.side = t.side AND c.start_pos < t.end_pos + 50000 AND t.start_pos - 50000 < c.end_pos), judged AS (SELECT c.side, CASE WHEN h.k IS NULL THEN 0 ELSE 1 END AS m FROM called c LEFT JOIN hit h ON c.family = h.family AND c.chrom = h.chrom AND c.side = h.side AND c.k = h.k)"
+MATCH_SQL = EVENT_SQL + """, named AS (SELECT *, row_number() OVER () AS k FROM event), called AS (SELECT * FROM named WHERE n % 2 = 1), truth AS (SELECT * FROM named WHERE n % 2 = 0), pairs AS (SELECT c.k AS ck, t.k AS tk FROM called c JOIN truth t ON c.family = t.family AND c.chrom = t.chrom AND c.side = t.side AND c.start_pos < t.end_pos + 50000 AND t.start_pos - 50000 < c.end_pos
+), judged AS (SELECT side, 1 AS is_call, CASE WHEN k IN (SELECT ck FROM pairs) THEN 1 ELSE 0 END AS m FROM called UNION ALL SELECT side, 0, CASE WHEN k IN (SELECT tk FROM pairs) THEN 1 ELSE 0 END FROM truth
+), sums AS (SELECT CAST(side AS INT) AS is_mat, sum(is_call) AS n_called, sum(is_call * m) AS n_matched, sum(1 - is_call) AS n_truth, sum((1 - is_call) * m) AS n_truth_matched FROM judged GROUP BY ROLLUP (side))"""
 
 
-@query(MATCH_SQL + " SELECT CAST(side AS INT) AS is_mat, count(*) AS n_called, CAST(sum(m) AS BIGINT) AS n_matched, round(avg(m), 6) AS precision_ FROM judged GROUP BY side UNION ALL SELECT NULL, count(*), CAST(sum(m) AS BIGINT), round(avg(m), 6) FROM judged")
+@query(MATCH_SQL + " SELECT is_mat, CAST(n_called AS BIGINT) AS n_called, CAST(n_matched AS BIGINT) AS n_matched, CAST(n_truth AS BIGINT) AS n_truth, CAST(n_truth_matched AS BIGINT) AS n_truth_matched, round(n_matched / nullif(CAST(n_called AS DOUBLE), 0), 6) AS precision_, round(n_truth_matched / nullif(CAST(n_truth AS DOUBLE), 0), 6) AS recall FROM sums")
 def precision_recall(spark, sf_dir):
     found = _events(spark, sf_dir).withColumn("side", F.col("is_mat").cast("int")).drop("recombinations")
-    called, truth = found.where("not is_gene_conversion"), found.where("is_gene_conversion").select("family", "chrom", "side", "start_pos", "end_pos")
-    keys = ["family", "chrom", "side"]
-    hit = intervals.overlap_join(called, truth, keys, 100_000, slop=50_000).select(*keys, "start_pos", "end_pos").distinct().withColumn("m", F.lit(1))
-    judged = called.join(hit, [*keys, "start_pos", "end_pos"], "left").na.fill(0, ["m"])
-    return judged.rollup(F.col("side").alias("is_mat")).agg(F.count("*").alias("n_called"), F.sum("m").alias("n_matched"), F.round(F.avg("m"), 6).alias("precision_"))
+    return matching.match_rates(found.where("not is_gene_conversion"), found.where("is_gene_conversion"), ["family", "chrom", "side"], 100_000, 50_000, F.col("side")).withColumnRenamed("by", "is_mat")
 
 
 @query(RECOMBINATION_SQL + ", spread AS (SELECT side, chrom, start_pos, end_pos, unnest(range(CAST(floor(start_pos / 100000.0) AS BIGINT), CAST(ceil(end_pos / 100000.0) AS BIGINT))) AS bin FROM recombination WHERE end_pos > start_pos) SELECT CAST(side AS INT) AS side, chrom, bin, round(sum((least(end_pos, (bin + 1) * 100000) - greatest(start_pos, bin * 100000)) / CAST(end_pos - start_pos AS DOUBLE)), 6) AS weight, count(*) AS n_events FROM spread GROUP BY side, chrom, bin")
@@ -264,12 +261,12 @@ def window_binning(spark, sf_dir):
 
 @query("WITH " + p.INTERVAL_SQL + ", steps AS (SELECT chrom, pos, sum(n) AS n, sum(m) AS m FROM (SELECT chrom, start_pos AS pos, 1 AS n, is_mat AS m FROM interval_ UNION ALL SELECT chrom, end_pos, -1, -is_mat FROM interval_) x GROUP BY chrom, pos) SELECT chrom, start_pos, end_pos, n, n_mat FROM (SELECT chrom, pos AS start_pos, lead(pos) OVER (PARTITION BY chrom ORDER BY pos) AS end_pos, CAST(sum(n) OVER (PARTITION BY chrom ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n, CAST(sum(m) OVER (PARTITION BY chrom ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n_mat FROM steps) y WHERE end_pos IS NOT NULL")
 def sweep_counts(spark, sf_dir):
-    return intervals.sweep(p.interval(spark, sf_dir), ["chrom"], {"n": F.lit(1), "n_mat": F.col("is_mat")})
+    return intervals.sweep(p.interval(spark, sf_dir), ["chrom"], {"n": F.lit(1), "n_mat": F.col("is_mat")}, 256)
 
 
 @query("WITH " + p.INTERVAL_SQL + ", point AS (SELECT chrom, start_pos AS pos FROM interval_ UNION SELECT chrom, end_pos FROM interval_), tile AS (SELECT chrom, pos AS start_pos, lead(pos) OVER (PARTITION BY chrom ORDER BY pos) AS end_pos FROM point), counts AS (SELECT t.chrom, t.start_pos, t.end_pos, count(*) AS n, CAST(sum(1 - is_mat) AS BIGINT) AS n_0, CAST(sum(is_mat) AS BIGINT) AS n_1 FROM tile t JOIN interval_ i ON t.chrom = i.chrom AND i.start_pos <= t.start_pos AND t.end_pos <= i.end_pos GROUP BY t.chrom, t.start_pos, t.end_pos) SELECT *, CASE WHEN n_1 >= 0.6 * n THEN 1 WHEN n_0 >= 0.6 * n THEN 0 ELSE -1 END AS consensus FROM counts")
 def tiling_consensus(spark, sf_dir):
-    return association.tile_consensus(p.interval(spark, sf_dir), ["chrom"], "is_mat", 32, 0.6)
+    return association.tile_consensus(p.interval(spark, sf_dir), ["chrom"], "is_mat", 256, 0.6)
 
 
 @query("SELECT o_orderstatus, o_orderpriority, o_custkey % 5 AS grp, count(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority, o_custkey % 5 UNION ALL SELECT NULL, o_orderpriority, o_custkey % 5, count(*) FROM orders GROUP BY o_orderpriority, o_custkey % 5")
@@ -299,10 +296,9 @@ def allele_frequency(spark, sf_dir):
     return genotypes.allele_frequency(p.genotype(spark, sf_dir))
 
 
-@query(AF_SQL + ", e AS (SELECT *, CAST(n_ref + n_het + n_hom AS DOUBLE) AS n, (2 * n_ref + n_het) / (2 * CAST(n_ref + n_het + n_hom AS DOUBLE)) AS f FROM counts WHERE n_ref + n_het + n_hom > 0), x AS (SELECT *, f * f * n AS e_ref, 2 * f * (1 - f) * n AS e_het, (1 - f) * (1 - f) * n AS e_hom FROM e) SELECT chrom, pos, n_ref, n_het, n_hom, round(e_ref, 4) AS e_ref, round(e_het, 4) AS e_het, round(e_hom, 4) AS e_hom, floor(1000 * ((n_ref - e_ref) * (n_ref - e_ref) / nullif(e_ref, 0) + (n_het - e_het) * (n_het - e_het) / nullif(e_het, 0) + (n_hom - e_hom) * (n_hom - e_hom) / nullif(e_hom, 0)) + 0.123456789) / 1000 AS chi2 FROM x")
+@query(AF_SQL + ", t AS (SELECT *, n_ref + n_het + n_hom AS n, 2 * n_ref + n_het AS a, n_het + 2 * n_hom AS b FROM counts WHERE n_ref + n_het + n_hom > 0) SELECT chrom, pos, n_ref, n_het, n_hom, round(a * a / (4.0::DOUBLE * n), 4) AS e_ref, round(a * b / (2.0::DOUBLE * n), 4) AS e_het, round(b * b / (4.0::DOUBLE * n), 4) AS e_hom, round(n * CAST((4 * n_ref * n_hom - n_het * n_het) * (4 * n_ref * n_hom - n_het * n_het) AS DOUBLE) / nullif(a * a * b * b, 0), 5) AS chi2 FROM t")
 def hardy_weinberg(spark, sf_dir):
-    # Cut away from the halves that fractions of small counts fall on.
-    return genotypes.hardy_weinberg(p.genotype(spark, sf_dir)).withColumn("chi2", F.floor(1000 * F.col("chi2") + 0.123456789) / 1000)
+    return genotypes.hardy_weinberg(p.genotype(spark, sf_dir)).withColumns({"chi2": F.round("chi2", 5), **{f"e_{k}": F.round(f"e_{k}", 4) for k in ("ref", "het", "hom")}})
 
 
 @query("WITH " + p.GENOTYPE_SQL + " SELECT sample, count(*) AS n_calls, CAST(sum(CASE WHEN gt = -1 THEN 1 ELSE 0 END) AS BIGINT) AS n_missing FROM genotype GROUP BY sample")
@@ -339,9 +335,9 @@ def tdt_counts(spark, sf_dir):
     return genotypes.transmission_counts(p.genotype(spark, sf_dir), p.trios(spark, sf_dir))
 
 
-@query("WITH a AS (SELECT o_orderpriority, median(o_totalprice) AS median FROM orders GROUP BY 1), b AS (SELECT o.o_orderkey, o.o_orderpriority, abs(o_totalprice - median) AS d FROM orders o JOIN a USING (o_orderpriority)), c AS (SELECT o_orderpriority, median(d) AS mad FROM b GROUP BY 1) SELECT b.o_orderkey, round(0.6745 * d / nullif(mad, 0), 6) AS score FROM b JOIN c USING (o_orderpriority) WHERE round(0.6745 * d / nullif(mad, 0), 6) > 1.5")
+@query("WITH a AS (SELECT o_orderpriority, median(o_totalprice) AS median FROM orders GROUP BY 1), b AS (SELECT o.o_orderkey, o.o_orderpriority, abs(o_totalprice - median) AS d FROM orders o JOIN a USING (o_orderpriority)), c AS (SELECT o_orderpriority, median(d) AS mad FROM b GROUP BY 1) SELECT b.o_orderkey, round(0.6745 * d / nullif(mad, 0), 6) AS score FROM b JOIN c USING (o_orderpriority) WHERE round(0.6745 * d / nullif(mad, 0), 6) > 1.2")
 def mad_outliers(spark, sf_dir):
-    return association.robust_outliers(p.table(spark, sf_dir, "orders"), "o_totalprice", ["o_orderpriority"], 1.5).select("o_orderkey", "score")
+    return association.robust_outliers(p.table(spark, sf_dir, "orders"), "o_totalprice", ["o_orderpriority"], 1.2).select("o_orderkey", "score")
 
 
 @query("SELECT CAST(CASE WHEN o_totalprice = 500000 THEN 49 ELSE floor(o_totalprice / 10000.0) END AS INT) AS bin, count(*) AS n FROM orders WHERE o_totalprice BETWEEN 0 AND 500000 GROUP BY 1")
@@ -349,7 +345,7 @@ def histogram(spark, sf_dir):
     return association.histogram(p.table(spark, sf_dir, "orders"), F.col("o_totalprice"), 0.0, 500000.0, 50)
 
 
-@query("WITH w AS (SELECT event_id, user_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) AS average FROM events) SELECT event_id, user_id, round(average, 4) AS average FROM w")
+@query("WITH w AS (SELECT event_id, user_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS average FROM events) SELECT event_id, user_id, round(average, 4) AS average FROM w")
 def moving_average(spark, sf_dir):
     return association.moving_average(p.table(spark, sf_dir, "events"), "value", ["user_id"], ["ts", "event_id"], 2).select("event_id", "user_id", F.round("average", 4).alias("average"))
 
@@ -433,13 +429,18 @@ def proportion_intervals(spark, sf_dir):
     return rows.select("l_suppkey", "a", "n", F.round(low, 5).alias("low"), F.round(high, 5).alias("high"))
 
 
-@query()
+@query(TABLE_SQL + """, b AS (SELECT a, n, unnest(range(0, n + 1)) AS i FROM (SELECT DISTINCT a, a + b AS n FROM t) z
+), bm AS (SELECT a, n, i, lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2) AS l, lgamma(n + 1) - lgamma(a + 1) - lgamma(n - a + 1) - n * ln(2) AS own FROM b
+), bp AS (SELECT a, n, least(sum(CASE WHEN l <= own + 1e-7 THEN exp(l) ELSE 0 END), 1) AS binomial_p FROM bm GROUP BY a, n
+), f AS (SELECT a, b, c, d, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS i FROM (SELECT DISTINCT a, b, c, d FROM t) z
+), fm AS (SELECT a, b, c, d, i, lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) + lgamma(c + d + 1) - lgamma(a + c - i + 1) - lgamma(d - a + i + 1) AS l, lgamma(a + b + 1) - lgamma(a + 1) - lgamma(b + 1) + lgamma(c + d + 1) - lgamma(c + 1) - lgamma(d + 1) AS own, lgamma(a + b + c + d + 1) - lgamma(a + c + 1) - lgamma(b + d + 1) AS whole FROM f
+), fp AS (SELECT a, b, c, d, least(sum(CASE WHEN l <= own + 1e-7 THEN exp(l - whole) ELSE 0 END), 1) AS fisher_p FROM fm GROUP BY a, b, c, d
+) SELECT l_suppkey, t.a, t.b, t.c, t.d, bp.n, round(binomial_p, 6) AS binomial_p, round(fisher_p, 6) AS fisher_p FROM t JOIN bp ON t.a = bp.a AND t.a + t.b = bp.n JOIN fp ON t.a = fp.a AND t.b = fp.b AND t.c = fp.c AND t.d = fp.d""")
 def exact_tests(spark, sf_dir):
-    """Exact p-values have no SQL; they are held against enumeration in the tests."""
     rows = _tables(spark, sf_dir).withColumn("n", F.col("a") + F.col("b")).withColumn("half", F.lit(0.5))
     rows = stats.on_distinct(rows, ["a", "n", "half"], "binomial_p", stats.binomial_p)
     rows = stats.on_distinct(rows, ["a", "b", "c", "d"], "fisher_p", stats.fisher_p)
-    return rows.drop("half")
+    return rows.drop("half").withColumns({c: F.round(c, 6) for c in ("binomial_p", "fisher_p")})
 
 
 @query()
@@ -480,9 +481,26 @@ def bayes_tdt(spark, sf_dir):
     return inference.transmission_posterior(counts)
 
 
-@query()
+def _density_sql(bandwidth: float, fit: str, out: str) -> str:
+    reach, w = int(4 * bandwidth) + 1, f"{2 * bandwidth * bandwidth}"
+    return EVENT_SQL + f""", counts AS (SELECT f.family, CAST(coalesce(m, 0) AS BIGINT) AS x, CAST(coalesce(p, 0) AS BIGINT) AS y FROM (SELECT DISTINCT user_id AS family FROM events) f LEFT JOIN (SELECT family, sum(side) AS m, sum(1 - side) AS p FROM event WHERE n % 2 = 1 GROUP BY family) c ON f.family = c.family
+), usual AS (SELECT x, y, count(*) AS n FROM counts WHERE {fit} GROUP BY x, y), wanted AS (SELECT DISTINCT x, y FROM counts
+), dens AS (SELECT w.x, w.y, max(CASE WHEN u.x = w.x AND u.y = w.y THEN u.n ELSE 0 END) AS n, sum(CASE WHEN abs(u.x - w.x) <= {reach} AND abs(u.y - w.y) <= {reach} THEN u.n * exp(-((u.x - w.x) * (u.x - w.x) + (u.y - w.y) * (u.y - w.y)) / {w}) ELSE 0 END) / ((SELECT sum(n) FROM usual) * 2 * pi() * {bandwidth * bandwidth}) AS density FROM wanted w CROSS JOIN usual u GROUP BY w.x, w.y
+), logs AS (SELECT *, CASE WHEN density > 0 THEN log10(density) END AS l FROM dens), ends AS (SELECT min(l) AS lo, (max(l) - min(l)) / 10 AS step FROM logs WHERE n > 0
+), hist AS (SELECT lo + b * step AS edge, log10(sum(n)) AS log_n FROM (SELECT n, lo, step, least(floor((l - lo) / step), 9) AS b FROM logs, ends WHERE n > 0) z GROUP BY b, lo, step
+), line AS (SELECT regr_slope(log_n, edge) AS m, regr_intercept(log_n, edge) AS b FROM hist), found AS (SELECT x, y, n, density, l, coalesce(l < -b / m, true) AS is_outlier FROM logs, line) {out}"""
+
+
+@query(_density_sql(1.0, "true", "SELECT x, y, CAST(n AS BIGINT) AS n, round(density, 8) AS density, round(l, 6) AS log_density, is_outlier FROM found"))
 def kde_outliers(spark, sf_dir):
-    return inference.density_outliers(crossover_counts(spark, sf_dir), "maternal_crossovers", "paternal_crossovers", 1.0)
+    found = inference.density_outliers(crossover_counts(spark, sf_dir), "maternal_crossovers", "paternal_crossovers", 1.0)
+    return found.withColumns({"density": F.round("density", 8), "log_density": F.round("log_density", 6)})
+
+
+@query(_density_sql(10.0, "x >= 5 AND y >= 5 AND x <= 3 * (SELECT median(x) FROM counts) AND y <= 3 * (SELECT median(y) FROM counts)", "SELECT x AS maternal_crossovers, y AS paternal_crossovers, is_outlier FROM found"))
+def crossover_outliers(spark, sf_dir):
+    """The SQL knows the bandwidth of 10 only, which a maternal median above 10 asks for."""
+    return inference.crossover_outliers(crossover_counts(spark, sf_dir))
 
 
 @query()
@@ -503,13 +521,20 @@ def linear_fit(spark, sf_dir):
     return p.table(spark, sf_dir, "orders").agg(F.expr("round(regr_slope(o_totalprice, o_custkey), 6)").alias("slope"), F.expr("round(regr_intercept(o_totalprice, o_custkey), 4)").alias("intercept"), F.expr("round(regr_r2(o_totalprice, o_custkey), 8)").alias("r2"))
 
 
-@query()
+@query("WITH RECURSIVE " + p.INTERVAL_SQL + """, d AS (SELECT chrom, start_pos, end_pos, min(iv_id) AS name, row_number() OVER (PARTITION BY chrom ORDER BY start_pos, end_pos) AS rn FROM interval_ GROUP BY chrom, start_pos, end_pos
+), r AS (SELECT chrom, rn, name, name AS cluster, [{'s': start_pos, 'e': end_pos, 'n': name}] AS heads FROM d WHERE rn = 1
+  UNION ALL SELECT chrom, rn, name, coalesce(hit.n, name), CASE WHEN hit IS NULL THEN list_append(heads, {'s': start_pos, 'e': end_pos, 'n': name}) ELSE heads END
+  FROM (SELECT d.chrom, d.rn, d.name, d.start_pos, d.end_pos, list_filter(r.heads, lambda h: h.e > d.start_pos) AS heads,
+          list_filter(r.heads, lambda h: 2 * (least(h.e, d.end_pos) - greatest(h.s, d.start_pos)) >= d.end_pos - d.start_pos AND 2 * (least(h.e, d.end_pos) - greatest(h.s, d.start_pos)) >= h.e - h.s)[1] AS hit
+        FROM r JOIN d ON d.chrom = r.chrom AND d.rn = r.rn + 1) z
+) SELECT i.iv_id, r.cluster FROM interval_ i JOIN d ON i.chrom = d.chrom AND i.start_pos = d.start_pos AND i.end_pos = d.end_pos JOIN r ON r.chrom = d.chrom AND r.rn = d.rn""")
 def deletion_clusters(spark, sf_dir):
-    return greedy.first_fit_clusters(p.interval(spark, sf_dir), ["chrom", "sample"])
+    return greedy.first_fit_clusters(p.interval(spark, sf_dir), ["chrom"])
 
 
-@query()
+@query("WITH " + p.PEDIGREE_SQL + ", q AS (SELECT a.family, a.individual AS sibling1, b.individual AS sibling2, (a.individual + b.individual) % 3 AS priority FROM pedigree a JOIN pedigree b ON a.family = b.family AND a.individual < b.individual), f AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY priority, sibling1, sibling2) AS k FROM q), one AS (SELECT * FROM f WHERE k = 1), rest AS (SELECT f.*, row_number() OVER (PARTITION BY f.family ORDER BY f.k) AS j FROM f JOIN one o ON f.family = o.family AND f.sibling1 NOT IN (o.sibling1, o.sibling2) AND f.sibling2 NOT IN (o.sibling1, o.sibling2)) SELECT family, sibling1, sibling2, priority FROM one UNION ALL SELECT family, sibling1, sibling2, priority FROM rest WHERE j = 1")
 def disjoint_sibpairs(spark, sf_dir):
+    """The SQL takes two pairs at most, as families have four members."""
     pairs = ibd.sibling_pairs(p.pedigree(spark, sf_dir).select("family", "individual")).withColumn("priority", (F.col("sibling1") + F.col("sibling2")) % 3)
     return greedy.each_member_once(pairs)
 
