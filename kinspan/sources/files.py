@@ -68,15 +68,15 @@ def genotype_table(cells: DataFrame, sites: DataFrame, samples: DataFrame) -> Da
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """Long calls of a VCF file: chrom, pos, ref, alt, filter, info (map), sample, gt, dp.
+    """Long calls of VCF files: chrom, pos, ref, alt, filter, info (map), sample, gt, dp.
 
-    A missing field is null; the chromosome loses its "chr".
+    A missing field is null; the chromosome loses its "chr". Each file's own header names
+    its samples, so that several files with different ones can be read together.
     """
-    lines = spark.read.text(path)
-    header = lines.where(F.startswith("value", F.lit("#CHROM"))).first()
-    names = header.value.rstrip("\n").split("\t")[9:] if header else []
-    cols = F.split("value", "\t")
-    rows = lines.where(~F.startswith("value", F.lit("#"))).select(cols.alias("c"))
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("_file"))
+    # A row a file, with the names of its samples.
+    headers = lines.where(F.startswith("value", F.lit("#CHROM"))).select("_file", F.slice(F.split("value", "\t"), 10, 1 << 30).alias("_names"))
+    rows = lines.where(~F.startswith("value", F.lit("#"))).select("_file", F.split("value", "\t").alias("c")).join(headers, "_file")
     fixed = rows.select(
         F.regexp_replace(F.col("c")[0], "^chr", "").alias("chrom"),
         F.col("c")[1].try_cast("int").alias("pos"),
@@ -85,16 +85,79 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
         F.col("c")[6].alias("filter"),
         F.str_to_map(F.col("c")[7], F.lit(";"), F.lit("=")).alias("info"),
         F.split(F.col("c")[8], ":").alias("format"),
-        F.posexplode(F.slice("c", 10, max(len(names), 1))).alias("k", "call"),
+        "_names",
+        F.posexplode(F.slice("c", 10, 1 << 30)).alias("k", "call"),
     )
     codes = F.create_map(*[F.lit(x) for pair in GENOTYPE_CODES.items() for x in pair])
-    names_column = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
 
     def part(field: str) -> Column:
         return F.get(F.split("call", ":"), F.array_position("format", field).cast("int") - 1)
 
-    calls = fixed.withColumns({"sample": F.get(names_column, F.col("k")), "gt": F.try_element_at(codes, part("GT")), "dp": part("DP").try_cast("int")})
-    return calls.drop("format", "k", "call")
+    calls = fixed.withColumns({"sample": F.get("_names", F.col("k")), "gt": F.try_element_at(codes, part("GT")), "dp": part("DP").try_cast("int")})
+    return calls.drop("format", "k", "call", "_names")
+
+
+def capped_depths(calls: DataFrame, cap: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Depths cut at ``cap`` (chrom, pos, sample, dp; -1 missing), and missing ones by site."""
+    capped = calls.select("chrom", "pos", "sample", F.coalesce(F.least(F.col("dp"), F.lit(cap)), F.lit(-1)).alias("dp"))
+    return capped, calls.groupBy("chrom", "pos").agg(F.count_if(F.col("dp").isNull()).alias("n_failed"))
+
+
+def read_variants(spark: SparkSession, path: str) -> DataFrame:
+    """Variant lists (the first nine columns of VCF lines, no header): chrom, pos, ref, alt, info."""
+    cells = spark.read.text(path).where(~F.startswith("value", F.lit("#"))).select(F.split("value", "\t").alias("c"))
+    return cells.select(F.regexp_replace(F.col("c")[0], "^chr", "").alias("chrom"), F.col("c")[1].try_cast("int").alias("pos"), F.col("c")[3].alias("ref"), F.col("c")[4].alias("alt"), F.str_to_map(F.col("c")[7], F.lit(";"), F.lit("=")).alias("info"))
+
+
+def frequencies_in_range(variants: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
+    """(chrom, pos, ref, alt, af) of variants at start .. end, of files that write the
+    chromosome with or without "chr"; several alternative alleles have no single frequency."""
+    here = variants.where(F.regexp_replace("chrom", "^chr", "") == chrom.removeprefix("chr")).where(F.col("pos").between(start, end))
+    return here.select(F.regexp_replace("chrom", "^chr", "").alias("chrom"), "pos", "ref", "alt", F.try_element_at("info", F.lit("AF")).try_cast("double").alias("af"))
+
+
+def read_array_genotypes(spark: SparkSession, path: str, reference: DataFrame) -> DataFrame:
+    """Consumer-array text (rsid, chromosome, position, genotype; # comments) as codes by the
+    ``reference`` base (chrom, pos, base): the letters that differ from it, -1 if unread."""
+    raw = spark.read.csv(path, sep="\t", schema="rsid string, chrom string, pos int, letters string", comment="#")
+    known = raw.join(reference, ["chrom", "pos"])
+    unlike = F.size(F.filter(F.split("letters", ""), lambda c: c != F.col("base")))
+    code = F.when(F.col("letters").rlike("^[ACGT]{2}$") & F.col("base").rlike("^[ACGT]$"), unlike).otherwise(-1)
+    return known.select("rsid", "chrom", "pos", code.alias("gt"))
+
+
+def read_family_list(spark: SparkSession, path: str) -> DataFrame:
+    """Tab-separated lists with a header: family and the ids behind it."""
+    lines = spark.read.csv(path, sep="\n", header=True, schema="line string").select(F.split("line", "\t").alias("c"))
+    return lines.select(F.col("c")[0].alias("family"), F.filter(F.slice("c", 2, 1 << 30), lambda m: m != "").alias("members"))
+
+
+def phased_families(spark: SparkSession, folder: str) -> DataFrame:
+    """Families of a folder that have both a phase file and an info file."""
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.{phased.bed,info.json}").load(folder).select("path")
+    one, two = (paths.select(F.regexp_extract("path", rf"([^/]+)\.{kind}$", 1).alias("family")).where("family <> ''") for kind in (r"phased\.bed", r"info\.json"))
+    return one.intersect(two)
+
+
+def read_transmissions(spark: SparkSession, path: str) -> DataFrame:
+    """Transmission tables (chrom, start, end, two letters a child; with header): chrom,
+    start_pos, end_pos, letters."""
+    raw = spark.read.csv(path, sep="\t", header=True)
+    chrom, start, end, *children = raw.columns
+    return raw.select(F.regexp_replace(chrom, "^chr", "").alias("chrom"), F.col(start).try_cast("int").alias("start_pos"), F.col(end).try_cast("int").alias("end_pos"), F.array(*[F.col(f"`{c}`") for c in children]).alias("letters"))
+
+
+def read_runtimes(spark: SparkSession, path: str) -> DataFrame:
+    """Seconds that log lines tell: path, sweep (Forward or Backward), seconds."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("path"), "value")
+    found = F.regexp_extract("value", r"(Forward|Backward) sweep complete\D*([0-9.]+) sec", 1)
+    return lines.select("path", found.alias("sweep"), F.regexp_extract("value", r"sweep complete\D*([0-9.]+) sec", 1).try_cast("double").alias("seconds")).where("sweep <> ''")
+
+
+def keyed_variants(df: DataFrame, column: str) -> DataFrame:
+    """``df`` and chrom, pos, ref, alt, build of a key like 1_1000_A_G_b38."""
+    cells = F.split(column, "_")
+    return df.withColumns({"chrom": F.regexp_replace(cells[0], "^chr", ""), "pos": cells[1].try_cast("int"), "ref": cells[2], "alt": cells[3], "build": cells[4]})
 
 
 def depth_cells(calls: DataFrame, cutoff: int) -> DataFrame:
@@ -120,10 +183,15 @@ def read_error_profiles(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_phase_bed(spark: SparkSession, path: str, chroms: list[str] | None = None) -> DataFrame:
-    """Segments of .phased.bed files: family, chrom, seg_idx, start_pos, end_pos, dels,
-    phases (individual, mat, pat), loss_region. -1 becomes null; every file has its header."""
-    lines = spark.read.text(path).select("value", F.regexp_extract(F.input_file_name(), r"([^/]+)\.phased\.bed$", 1).alias("family"))
-    headers = lines.where(F.startswith("value", F.lit("#"))).select("family", F.split(F.regexp_replace("value", "^#", ""), "\t").alias("names"))
+    """Segments of <family>.phased.bed files, or of what write_phase_bed wrote: family, chrom,
+    seg_idx, start_pos, end_pos, dels, phases (individual, mat, pat), loss_region. -1
+    becomes null; every file has its header."""
+    # Paths come as URIs; folder names that Spark wrote are escaped once more.
+    path_ = F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))
+    folder = F.regexp_extract(path_, r"/family=([^/]+)/[^/]+$", 1)
+    family = F.when(folder != "", F.url_decode(F.replace(F.url_decode(folder), F.lit("+"), F.lit("%2B")))).otherwise(F.url_decode(F.regexp_extract(path_, r"([^/]+)\.phased\.bed$", 1)))
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select("value", family.alias("family"))
+    headers = lines.where(F.startswith("value", F.lit("#"))).distinct().select("family", F.split(F.regexp_replace("value", "^#", ""), "\t").alias("names"))
     rows = lines.where(~F.startswith("value", F.lit("#")))
     if chroms:
         rows = rows.where(F.substring_index("value", "\t", 1).isin([f"chr{c}" for c in chroms]))
@@ -149,15 +217,37 @@ def read_phase_bed(spark: SparkSession, path: str, chroms: list[str] | None = No
 
 
 def write_phase_bed(segments: DataFrame, path: str) -> None:
-    """Text lines of segments (family, chrom, start_pos, end_pos, dels, mat, pat,
-    loss_region), a folder a family; null entries become -1."""
+    """Segments (family, chrom, start_pos, end_pos, dels of four, phases, loss_region) as text
+    files with a header, a folder a family; null entries become -1."""
+    people = F.transform("phases", lambda x: x.individual)
+    columns = F.flatten(F.transform(people, lambda n: F.array(F.concat(n, F.lit("_mat")), F.concat(n, F.lit("_pat")))))
+    fixed = [F.lit(n) for n in ("#chrom", "chrom_start", "chrom_end", "m1_del", "m2_del", "p1_del", "p2_del")]
+    header = F.concat(F.array(*fixed), columns, F.array(F.lit("loss_region")))
+
+    def number(x: Column) -> Column:
+        return F.coalesce(x, F.lit(-1)).cast("string")
+
+    phases = F.flatten(F.transform("phases", lambda x: F.array(number(x.mat), number(x.pat))))
+    cells = F.concat(F.array(F.concat(F.lit("chr"), "chrom"), F.col("start_pos").cast("string"), F.col("end_pos").cast("string")), F.transform("dels", number), phases, F.array(number(F.col("loss_region"))))
+    body = segments.select("family", F.lit(1).alias("_order"), "chrom", "start_pos", F.array_join(cells, "\t").alias("value"))
+    heads = segments.groupBy("family").agg(F.first(F.array_join(header, "\t")).alias("value")).select("family", F.lit(0).alias("_order"), F.lit("").alias("chrom"), F.lit(0).alias("start_pos"), "value")
+    lines = heads.unionByName(body).repartition("family").sortWithinPartitions("family", "_order", "chrom", "start_pos")
+    lines.select("family", "value").write.partitionBy("family").text(path)
 
-    def numbers(name: str) -> Column:
-        return F.transform(name, lambda x: F.coalesce(x, F.lit(-1)).cast("string"))
 
-    phases = F.flatten(F.zip_with(numbers("mat"), numbers("pat"), lambda m, p: F.array(m, p)))
-    cells = F.concat(F.array(F.concat(F.lit("chr"), "chrom"), F.col("start_pos").cast("string"), F.col("end_pos").cast("string")), numbers("dels"), phases, F.array(F.coalesce("loss_region", F.lit(-1)).cast("string")))
-    segments.select("family", F.array_join(cells, "\t").alias("value")).sortWithinPartitions("family").write.partitionBy("family").text(path)
+def write_denovo(candidates: DataFrame, path: str) -> None:
+    """De-novo candidates (child and the site's columns) as tab-separated lines."""
+    candidates.select("child", *[c for c in candidates.columns if c != "child"]).write.csv(path, sep="\t")
+
+
+def write_run_info(spark: SparkSession, settings: dict, path: str) -> None:
+    """The settings of a run as one JSON object."""
+    spark.createDataFrame([{k: str(v) for k, v in settings.items()}]).coalesce(1).write.json(path)
+
+
+def with_frequencies(sites: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """Sites and their allele frequency, null where none is known."""
+    return sites.join(frequencies.select("chrom", "pos", "af").dropDuplicates(["chrom", "pos"]), ["chrom", "pos"], "left")
 
 
 def read_regions(spark: SparkSession, path: str, category: str, one_based: bool = False) -> DataFrame:
@@ -172,12 +262,19 @@ def chromosome_arms(cytobands: DataFrame) -> DataFrame:
     return cytobands.groupBy("chrom").agg(F.max(F.when(F.startswith("name", F.lit("p")), F.col("end_pos"))).alias("p_end"), F.max("end_pos").alias("q_end"))
 
 
-def read_fasta_bases(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
-    """The reference base at each (chrom, pos), 1-based."""
+def read_fasta_bases(spark: SparkSession, path: str, positions: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """The reference base at each (chrom, pos), 1-based, null beyond a sequence's end.
+
+    Sequences are cut into blocks of ``block`` bases, and positions are joined to theirs.
+    """
     records = spark.read.text(path, lineSep=">").where("length(value) > 0")
     name = F.regexp_replace(F.split(F.substring_index("value", "\n", 1), r"\s")[0], "^chr", "")
     bases = records.select(name.alias("chrom"), F.regexp_replace(F.expr("substring(value, instr(value, '\n') + 1)"), r"\s", "").alias("sequence"))
-    return positions.join(bases, "chrom").select(*positions.columns, F.upper(F.expr("substring(sequence, pos, 1)")).alias("base"))
+    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.length("sequence") - 1) / block), F.lit(0)))
+    blocks = bases.select("chrom", "sequence", F.explode(starts).alias("_block")).select("chrom", "_block", F.substring("sequence", F.col("_block").cast("int") * block + 1, F.lit(block)).alias("_bases"))
+    asked = positions.withColumn("_block", F.floor((F.col("pos") - 1) / block))
+    base = F.upper(F.substring("_bases", ((F.col("pos") - 1) % block + 1).cast("int"), F.lit(1)))
+    return asked.join(blocks, ["chrom", "_block"]).select(*positions.columns, F.when(base != "", base).alias("base"))
 
 
 def read_results(spark: SparkSession, path: str, kind: str) -> DataFrame:

@@ -52,12 +52,25 @@ def shuffled_children(pedigree: DataFrame, seed: int = 0) -> DataFrame:
     return children_of(pedigree).withColumn("child_order", F.row_number().over(over) - 1)
 
 
+def with_descendants(pedigree: DataFrame) -> DataFrame:
+    """Members of families with a child of both parents at least."""
+    return pedigree.join(children_of(pedigree).select("family").distinct(), "family", "left_semi")
+
+
+def attributes(pedigree: DataFrame) -> DataFrame:
+    """Sex and phenotype of each individual, one row each."""
+    return pedigree.groupBy("individual").agg(F.max("sex").alias("sex"), F.max("phenotype").alias("phenotype"))
+
+
 def disjoint_pairs(children: DataFrame, seed: int = 0) -> DataFrame:
-    """Random disjoint pairs of children of one family and phenotype."""
+    """Random disjoint pairs of children of one family and phenotype, and of two children
+    of different phenotypes that are left over (phenotype is null then)."""
     over = Window.partitionBy("family", "phenotype").orderBy(F.xxhash64("family", "individual", F.lit(seed)), "individual")
     dealt = children.withColumn("pair", F.floor((F.row_number().over(over) - 1) / 2))
     pairs = dealt.groupBy("family", "phenotype", "pair").agg(F.array_sort(F.collect_list("individual")).alias("members"))
-    return pairs.where("size(members) = 2").select("family", "phenotype", F.col("members")[0].alias("sibling1"), F.col("members")[1].alias("sibling2"))
+    left = pairs.where("size(members) = 1").groupBy("family").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("members")).where("size(members) = 2")
+    whole = pairs.where("size(members) = 2").select("family", "phenotype", "members").unionByName(left.withColumn("phenotype", F.lit(None).cast(dict(children.dtypes)["phenotype"])))
+    return whole.select("family", "phenotype", F.col("members")[0].alias("sibling1"), F.col("members")[1].alias("sibling2"))
 
 
 def quads(pedigree: DataFrame) -> DataFrame:
