@@ -414,7 +414,8 @@ class RunWise:
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         self.special_ids = {s: np.array([i], self.kind).tobytes() for s, i in specials.items()}
 
-    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+    def encode_pieces(self, words: list[str], pieces: list[str]) -> tuple[list[bytes], dict[str, bytes]]:
+        """Ids of words with a space before each, and of other pieces."""
         raise NotImplementedError
 
     def _pieces_of(self, text: str) -> list[str]:
@@ -446,16 +447,19 @@ class RunWise:
                 new.append(p)
             else:
                 ids[p] = held
-        fresh = set(new)
-        fresh.update([" " + w for w in words])
-        found = self.encode_pieces(list(fresh))
+        # A word met with marks behind it is known without them too.
+        inner = [p[1:] for p in new if p[0] == " " and p[1:].isalpha()]
+        words = list({*words, *inner})
+        spaced = [" " + w for w in words]
+        rest = [p for p in new if not (p[0] == " " and p[1:].isalpha())]
+        of_words, found = self.encode_pieces(spaced, rest)
+        learnt = dict(zip(words, of_words, strict=True))
         ids |= found
+        ids.update((" " + w, learnt[w]) for w in inner)
         whole = [ids[x[0]] if len(x) == 1 else b"".join([ids[p] for p in x]) for x in cut]
-        # A word met with marks behind it is known without them too.
-        learnt = {p[1:]: ids[p] for p in fresh if p[0] == " " and p[1:].isalpha()}
         learnt.update(zip([*others, *odd], whole, strict=False))
         known.add(learnt)
-        known.add_bare({p: found[p] for p in new if p[0] != " " or len(p) == 1})
+        known.add_bare({p: found[p] for p in rest if p[0] != " " or len(p) == 1})
         return whole[len(others) + len(odd) :]
 
     def encode_texts(self, texts: list[str], known: Known) -> list[np.ndarray]:
@@ -496,8 +500,9 @@ class ByteLevelBpe(RunWise):
         self.blob = np.frombuffer(b"".join(words), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])])
 
-    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        return self.tracker.encode(pieces, self.kind)
+    def encode_pieces(self, words: list[str], pieces: list[str]) -> tuple[list[bytes], dict[str, bytes]]:
+        found = self.tracker.encode(words + pieces, self.kind)
+        return [found[w] for w in words], found
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_texts([text], Known())[0].astype(np.uint32)

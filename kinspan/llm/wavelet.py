@@ -30,8 +30,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
-from .bpe import Known, RunWise, batches_of
+from .bpe import Known, RunWise, batches_of, byte_characters
 from .shared import arrow_folder, n_partitions, read_table, shared_folder, written
 
 #: Ids after which a shard ends (with the document that reaches them).
@@ -238,12 +239,12 @@ class LibraryEncoder(RunWise):
     New pieces go to the library in long strings: those that begin with a space one behind
     the other, words without one with a line feed before each. Neither joins what follows
     it, so that the ids can be cut at tokens that begin with a space, or are a line feed.
+    As these strings are cut already, the library has only to cut them at that character,
+    and gets them in the vocabulary's own characters for bytes.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         cut = spec["pre_tokenizer"] or {}
@@ -260,23 +261,35 @@ class LibraryEncoder(RunWise):
         self.feed = np.zeros(n, bool)
         self.feed[vocabulary.get("Ċ", 0)] = "Ċ" in vocabulary
         super().__init__({t["content"]: t["id"] for t in spec["added_tokens"]})
+        self.spelled = str.maketrans({b: c for c, b in byte_characters().items()})
+        self.cutters = []
+        for mark, behaviour in (("Ġ", "merged_with_next"), ("Ċ", "isolated")):
+            cutter = Tokenizer(self.library.model)
+            cutter.pre_tokenizer = pre_tokenizers.Split(mark, behaviour)
+            self.cutters.append(cutter)
         self.known = Known(LIBRARY_KNOWN_BYTES)
 
     def _each(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        out = {}
+    def _cut(self, text: str, cutter: Tokenizer, marks: np.ndarray, skip: int) -> list[bytes]:
+        """Ids of the pieces of a text, each of which begins with a token of ``marks``, of
+        which ``skip`` (0 or 1) is left out."""
+        spelled = text.encode().decode("latin-1").translate(self.spelled)
+        ids = np.array(cutter.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, self.kind)
+        raw, size = ids.tobytes(), self.kind.itemsize
+        at = (np.flatnonzero(marks[ids]) * size).tolist()
+        return [raw[lo + skip * size : hi] for lo, hi in zip(at, [*at[1:], len(raw)][: len(at)], strict=True)]
+
+    def encode_pieces(self, words: list[str], pieces: list[str]) -> tuple[list[bytes], dict[str, bytes]]:
         spaced = [p for p in pieces if p[0] == " " and len(p) > 1 and not p[1].isspace()]
-        words = [p for p in pieces if p.isalpha()] if self.feed.any() else []
-        for group, text, marks, skip in ((spaced, "".join(spaced), self.spaced, 0), (words, "".join(["\n" + w for w in words]), self.feed, 1)):
-            ids = self._each([text])[0]
-            raw, size = ids.tobytes(), self.kind.itemsize
-            at = (np.flatnonzero(marks[ids]) * size).tolist()
-            out.update((p, raw[lo + skip * size : hi]) for p, lo, hi in zip(group, at, [*at[1:], len(raw)][: len(at)], strict=True))
+        bare = [p for p in pieces if p.isalpha()] if self.feed.any() else []
+        found = self._cut("".join(words) + "".join(spaced), self.cutters[0], self.spaced, 0)
+        out = dict(zip(spaced, found[len(words) :], strict=True))
+        out.update(zip(bare, self._cut("".join(["\n" + w for w in bare]), self.cutters[1], self.feed, 1), strict=True))
         rest = [p for p in pieces if p not in out]
         out.update((p, ids.tobytes()) for p, ids in zip(rest, self._each(rest), strict=True))
-        return out
+        return found[: len(words)], out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.encode_texts(texts, self.known) if self.apart else self._each(texts)
