@@ -43,6 +43,8 @@ TOLERANCE = 2.0
 SKETCH = 4
 STEPS, STEP_SIZE, DECAY = 400, 0.1, 1e-5
 FILTER_BITS = 22
+#: Bytes of text whose features are held at once (six of 16 bytes a word and more).
+FEATURE_BYTES = 1 << 19
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +63,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at, to, data, offsets in chunks(batch.column("text")):
+        for at, to, data, offsets in chunks(batch.column("text"), FEATURE_BYTES):
             text, feature = features(data, offsets)
             order = np.lexsort((feature, text))
             text, feature = text[order], feature[order]
@@ -143,7 +145,7 @@ def fit_non_negative_pu(rows: list[np.ndarray], toxic: np.ndarray, prior: float,
     return names[chosen], w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_unlabelled: int = MAX_UNLABELLED) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_unlabelled: int = MAX_UNLABELLED, least_purity: float = LEAST_PURITY) -> tuple[np.ndarray, np.ndarray, float]:
     """The model of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
     Rows without doc_id or text are not trained on; an id labelled both ways, or
@@ -174,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_un
             rows += [values[a:b].copy() for a, b in zip(ends[:-1], ends[1:], strict=True)]
         marked = np.array(toxic, bool)
         keep = np.flatnonzero(one_of_copies(marked, np.array(sketches, np.int64).reshape(len(rows), SKETCH)))
-        names, weights, bias = fit_non_negative_pu([rows[i] for i in keep], marked[keep], prior)
+        names, weights, bias = fit_non_negative_pu([rows[i] for i in keep], marked[keep], prior, least_purity)
         model = [pa.array([x], pa.list_(t)) for x, t in ((names.view(np.int64), pa.int64()), (weights, pa.float64()))]
         yield pa.RecordBatch.from_arrays([*model, pa.array([bias])], ["names", "weights", "bias"])
 
@@ -209,7 +211,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], columns:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*model)
         for batch in batches:
-            found = [scorer.scores(data, offsets) for _, _, data, offsets in chunks(batch.column(batch.num_columns - 1))]
+            found = [scorer.scores(data, offsets) for _, _, data, offsets in chunks(batch.column(batch.num_columns - 1), FEATURE_BYTES)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate([np.zeros(0), *found]))], schema.names)
 
     return docs.select(*columns, F.col("text").cast("string").alias("text_")).mapInArrow(run, schema)
@@ -245,7 +247,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*model)
         for batch in batches:
-            found = [scorer.scores(data, offsets) for _, _, data, offsets in chunks(batch.column(batch.num_columns - 1))]
+            found = [scorer.scores(data, offsets) for _, _, data, offsets in chunks(batch.column(batch.num_columns - 1), FEATURE_BYTES)]
             yield batch.filter(pa.array(np.concatenate([np.zeros(0), *found]) < 0.5))
 
     return docs.select(*others, F.col("text").cast(text.dataType).alias("text")).mapInArrow(run, schema).select(*docs.columns)

@@ -247,8 +247,10 @@ def read_archives(catalogue: DataFrame, folder: str) -> DataFrame:
 def look_up(catalogue: DataFrame, folder: str, urls: DataFrame) -> DataFrame:
     """Captures of ``urls`` (url): url, page_id, record_type, payload_digest.
 
-    URLs go to the archives whose key range holds them; an archive's look-ups are
-    done by one task at most, in parts of 1024.
+    URLs go to the archives whose key range holds them; those of one archive are dealt
+    into up to 1024 parts by their key, each a group of its own that reads the archive's
+    directory, the index blocks it needs and the records. Keys that no archive's range
+    holds, null URLs and empty tables give no rows; repeated URLs repeat their captures.
     """
     wanted = urls.select("url", url_key(F.col("url")).alias("key")).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(1024)))
     dealt = wanted.join(F.broadcast(catalogue.select("stem", "first_key", "last_key")), (F.col("key") >= F.col("first_key")) & (F.col("key") <= F.col("last_key")))

@@ -17,7 +17,7 @@ import pyarrow as pa
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Bytes of text that are taken at once; a longer text is taken alone.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 2 << 20
 SHINGLE_WORDS = 5
 
 SPACES = np.zeros(256, bool)
@@ -103,12 +103,13 @@ def words_of(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPA
     return Words(data, starts, ends, np.searchsorted(starts, offsets), sums)
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of texts of about CHUNK_BYTES: first, last + 1, bytes, offsets."""
+def chunks(column: pa.Array, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of texts of about ``size`` (CHUNK_BYTES) bytes: first, last + 1, bytes, offsets."""
     data, offsets = as_bytes(column)
+    size = CHUNK_BYTES if size is None else size
     at, n = 0, len(offsets) - 1
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 

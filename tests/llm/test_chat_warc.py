@@ -78,3 +78,15 @@ def test_warc_revisits_index_and_look_up(spark):
     keys = {r.url: r.key for r in urls.select("url", warc.url_key(urls.url).alias("key")).collect()}
     assert all(warc.url_key_of(u) == k for u, k in keys.items())
     assert warc.read_archives(warc.write_archives(pages.limit(0), folder), folder).count() == 0
+
+
+def test_revisits_joined_by_shuffle_are_the_same(spark, monkeypatch):
+    def records(name):
+        folder = shared_folder(spark, name)
+        return sorted(map(str, warc.read_archives(warc.write_archives(pages, folder), folder).collect()))
+
+    rows = [(i, f"http://a.b/{i % 9}", ["x" * 1500, "y" * 999, None, "", "z" * 4000 + str(i)][i % 5]) for i in range(60)] + [(1, "http://a.b/1", "y" * 999), (None, None, "x" * 1500), (99, "http://a.b/long", "é" * 2_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one = records("test-warc-broadcast")
+    monkeypatch.setattr(warc, "MAX_BROADCAST_REVISITS", 0)
+    assert records("test-warc-shuffle") == one and len(one) == len(rows)

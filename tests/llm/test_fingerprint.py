@@ -54,3 +54,48 @@ def test_small_tables(spark, tmp_path, rows):
     assert len(found) == len(rows)
     if len(rows) == 1:
         assert found[0].near_next == 1.0
+
+
+def plain_fingerprint(text):
+    """Bins, least hashes, borrowed values and packing in plain Python."""
+    import re
+    import struct
+
+    import xxhash
+
+    def chained(parts):
+        seed = 42
+        for p in parts:
+            seed = xxhash.xxh64_intdigest(p, seed=seed)
+        return seed >> 1
+
+    words = [struct.pack("<Q", xxhash.xxh64_intdigest(w.encode(), seed=42)) for w in re.split(r"[ \t\n\x0B\f\r]+", text) if w]
+    found = [chained(words[i : i + 5]) for i in range(len(words) - 4)] if len(words) >= 5 else [chained(words)] if words else []
+    least = {}
+    for v in found:
+        least[v >> 56] = min(v, least.get(v >> 56, v))
+    out = []
+    for i in range(128):
+        if i in least:
+            out.append(least[i] & 255)
+        else:
+            ranks = [(chained([struct.pack("<i", i), struct.pack("<i", b)]) & ~255) | (v & 255) for b, v in least.items()]
+            out.append(min(ranks) & 255 if ranks else 0)
+    return "".join(f"{v:02X}" for v in out)
+
+
+def test_fingerprints_equal_a_plain_version(spark, tmp_path):
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choice(["aa", "bé", "c", "dd", "日本"]) + str(r.randrange(40)) for _ in range(r.choice([0, 1, 4, 5, 6, 12, 60, 400])))) for i in range(60)] + [(60, "x  y\t\nz" * 9), (61, None), (62, "w " * 50_000)]
+    found, edited = {x.doc_id: x for x in run(spark, tmp_path, rows)}, brute(rows)
+    order = sorted((i for i, _ in rows), reverse=True)
+    prints = {i: plain_fingerprint(t or "") for i, t in rows}
+
+    def alike(a, b):
+        share = sum(a[k : k + 2] == b[k : k + 2] for k in range(0, 256, 2)) / 128
+        return max(0.0, (share - 1 / 256) / (1 - 1 / 256))
+
+    for k, i in enumerate(order):
+        assert found[i].fingerprint == prints[i] and found[i].edited_fingerprint == plain_fingerprint(edited[i][1])
+        assert found[i].near_edited == pytest.approx(alike(prints[i], found[i].edited_fingerprint))
+        assert found[i].near_next == pytest.approx(alike(prints[i], prints[order[(k + 1) % len(order)]]))
