@@ -87,11 +87,31 @@ def reciprocal(start1: Column, end1: Column, start2: Column, end2: Column, share
     return (common >= share * (end1 - start1 + 1)) & (common >= share * (end2 - start2 + 1))
 
 
-def private(intervals: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Intervals that no other one matches reciprocally by half."""
+def reciprocal_pairs(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """(iv_id, r_iv_id): ordered pairs of different intervals that overlap by half of both lengths.
+
+    Such intervals differ in length by a factor of two at most, so that an interval meets
+    only those of its own size class (powers of two) and the two beside it, in bins as wide
+    as the partner's class: long intervals fall into as few bins as short ones.
+    """
+    size = F.length(F.bin(F.col("end_pos") - F.col("start_pos") + 1))
+    own = intervals.select(*keys, "iv_id", "start_pos", "end_pos", size.alias("_size"))
+
+    def dealt(df: DataFrame, start: str, end: str) -> DataFrame:
+        df = df.withColumn("_width", F.expr("shiftleft(1L, _class)"))
+        return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / F.col("_width")), F.floor(F.col(end) / F.col("_width")))))
+
+    one = dealt(own.withColumn("_class", F.explode(F.array(F.col("_size") - 1, F.col("_size"), F.col("_size") + 1))), "start_pos", "end_pos")
+    two = dealt(own.select(*keys, F.col("iv_id").alias("r_iv_id"), F.col("start_pos").alias("r_start_pos"), F.col("end_pos").alias("r_end_pos"), F.col("_size").alias("_class")), "r_start_pos", "r_end_pos").drop("_width")
+    first = F.col("_bin") == F.greatest(F.floor(F.col("start_pos") / F.col("_width")), F.floor(F.col("r_start_pos") / F.col("_width")))
+    meets = (F.col("start_pos") < F.col("r_end_pos")) & (F.col("r_start_pos") < F.col("end_pos"))
     columns = (F.col(c) for c in ("start_pos", "end_pos", "r_start_pos", "r_end_pos"))
-    matched = overlapping_pairs(intervals, keys, width).where(reciprocal(*columns)).select("iv_id").distinct()
-    return intervals.join(matched, "iv_id", "left_anti")
+    return one.join(two, [*keys, "_class", "_bin"]).where((F.col("iv_id") != F.col("r_iv_id")) & first & meets & reciprocal(*columns)).select("iv_id", "r_iv_id")
+
+
+def private(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """Intervals that no other one matches reciprocally by half."""
+    return intervals.join(reciprocal_pairs(intervals, keys).select("iv_id").distinct(), "iv_id", "left_anti")
 
 
 def transmission_contingency(deletions_: DataFrame, people: DataFrame, by: list[str]) -> DataFrame:

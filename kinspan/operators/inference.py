@@ -121,3 +121,32 @@ def logistic(df: DataFrame, features: list[str], label: str, steps: int = 25) ->
             break
     error = np.sqrt(np.maximum(np.diag(np.linalg.pinv(information)), 0))
     return [{"term": n, "coefficient": float(b), "std_error": float(e), "p": erfc(abs(b / e) / sqrt(2)) if e else float("nan")} for n, b, e in zip(names, beta, error, strict=True)]
+
+
+def emission_costs(profiles: DataFrame, members: DataFrame, n_regions: int) -> DataFrame:
+    """Costs (individual, region, true_gt, obs_gt, cost) of each member (family, individual).
+
+    A profile is looked up as family.individual, then as individual; hemizygous true
+    genotypes (-/0, -/1) cost what the homozygous ones do. A member without a profile was
+    not sequenced: nothing but an unseen call costs nothing for it.
+    """
+    keyed = profiles.select(F.col("individual").alias("_name"), "region", "true_gt", "obs_gt", "cost")
+    both = members.withColumn("_full", F.concat_ws(".", "family", "individual"))
+    names = keyed.select("_name").distinct()
+    full = both.join(names.withColumnRenamed("_name", "_full"), "_full", "left_semi").withColumn("_name", F.col("_full"))
+    plain = both.join(names.withColumnRenamed("_name", "_full"), "_full", "left_anti").withColumn("_name", F.col("individual"))
+    found = full.unionByName(plain).join(keyed, "_name", "left").drop("_full", "_name")
+    known = found.where("cost is not null")
+    half = known.where("true_gt in ('0/0', '1/1')").withColumn("true_gt", F.when(F.col("true_gt") == "0/0", "-/0").otherwise("-/1"))
+    silent = found.where("cost is null").select("family", "individual").distinct().select("family", "individual", F.explode(F.sequence(F.lit(0), F.lit(n_regions - 1))).alias("region"))
+    calls = F.explode(F.array(*[F.struct(F.lit(o).alias("obs_gt"), F.lit(0.0 if o == "0/0" else float("inf")).alias("cost")) for o in ("0/0", "0/1", "1/1", "./.")]))
+    trues = F.explode(F.array(*[F.lit(t) for t in ("0/0", "0/1", "1/1", "-/0", "-/1")]))
+    silent = silent.withColumn("true_gt", trues).select("*", calls.alias("_c")).select("family", "individual", "region", "true_gt", "_c.*")
+    columns = ["family", "individual", "region", "true_gt", "obs_gt", "cost"]
+    return known.select(*columns).unionByName(half.select(*columns)).unionByName(silent.select(*columns))
+
+
+def unsound_profiles(profiles: DataFrame, tolerance: float = 0.001) -> DataFrame:
+    """(individual, region, true_gt) whose probabilities don't add up to one."""
+    total = F.sum(F.pow(F.lit(10.0), -F.col("cost")))
+    return profiles.groupBy("individual", "region", "true_gt").agg(total.alias("total")).where(F.abs(F.col("total") - 1) > tolerance)

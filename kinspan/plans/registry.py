@@ -176,14 +176,13 @@ RECIPROCAL_SQL = "WITH " + p.INTERVAL_SQL + ", pairs AS (SELECT a.iv_id, b.iv_id
 
 @query(RECIPROCAL_SQL + " SELECT iv_id, count(*) AS n_partners, min(r_iv_id) AS first_partner FROM pairs GROUP BY iv_id")
 def reciprocal_overlap(spark, sf_dir):
-    columns = (F.col(c) for c in ("start_pos", "end_pos", "r_start_pos", "r_end_pos"))
-    pairs = deletions.overlapping_pairs(p.interval(spark, sf_dir), ["chrom"], 32).where(deletions.reciprocal(*columns))
+    pairs = deletions.reciprocal_pairs(p.interval(spark, sf_dir), ["chrom"])
     return pairs.groupBy("iv_id").agg(F.count("*").alias("n_partners"), F.min("r_iv_id").alias("first_partner"))
 
 
 @query(RECIPROCAL_SQL + " SELECT iv_id, sample, chrom, start_pos, end_pos, is_mat FROM interval_ WHERE iv_id NOT IN (SELECT iv_id FROM pairs)")
 def private_deletions(spark, sf_dir):
-    return deletions.private(p.interval(spark, sf_dir), ["chrom"], 32)
+    return deletions.private(p.interval(spark, sf_dir), ["chrom"])
 
 
 @query("WITH " + p.INTERVAL_SQL + ", marker AS (SELECT DISTINCT CAST(l_suppkey % 22 + 1 AS INT) AS chrom, CAST(floor(epoch_us(l_shipdate) / 86400000000.0) AS BIGINT) AS pos FROM lineitem) SELECT i.iv_id, count(m.pos) AS n_markers FROM interval_ i LEFT JOIN marker m ON i.chrom = m.chrom AND m.pos >= i.start_pos AND m.pos < i.end_pos GROUP BY i.iv_id")
