@@ -32,7 +32,14 @@ def recombinations(segments: DataFrame, phase: str, keys: list[str] = TRACK, har
     return changed.select(*keys, (F.col("_end_pos_before") - 1).alias("start_pos"), F.col("start_pos").alias("end_pos"), (F.col("_hard") > F.col("__hard_before")).alias("is_hts"))
 
 
-def events(found: DataFrame, cutoff: int, keys: list[str] = TRACK) -> DataFrame:
+def by_side(segments: DataFrame, keys: list[str] = TRACK) -> DataFrame:
+    """Segments once for the maternal and once for the paternal track: is_mat and phase, so
+    that both are read, dealt and sorted together."""
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("is_mat"), F.col("mat_phase").alias("phase")), F.struct(F.lit(False).alias("is_mat"), F.col("pat_phase").alias("phase"))))
+    return segments.select(*keys, "start_pos", "end_pos", "seg_id", "is_hard", sides.alias("_s")).select("*", "_s.*").drop("_s")
+
+
+def events(found: DataFrame, cutoff: int | Column, keys: list[str] = TRACK) -> DataFrame:
     """Recombinations at most ``cutoff`` apart as one event.
 
     An even number is a gene conversion (complex above two), an odd number a
@@ -54,9 +61,8 @@ def events(found: DataFrame, cutoff: int, keys: list[str] = TRACK) -> DataFrame:
 
 def both_sides(segments: DataFrame, maternal_cutoff: int = MATERNAL_CUTOFF, paternal_cutoff: int = PATERNAL_CUTOFF, keys: list[str] = TRACK) -> DataFrame:
     """Events of the maternal (mat_phase) and paternal (pat_phase) track, with is_mat."""
-    sides = [("mat_phase", maternal_cutoff, True), ("pat_phase", paternal_cutoff, False)]
-    mat, pat = (events(recombinations(segments, phase, keys), cutoff, keys).withColumn("is_mat", F.lit(flag)) for phase, cutoff, flag in sides)
-    return mat.unionByName(pat)
+    cutoff = F.when(F.col("is_mat"), maternal_cutoff).otherwise(paternal_cutoff)
+    return events(recombinations(by_side(segments, keys), "phase", [*keys, "is_mat"]), cutoff, [*keys, "is_mat"])
 
 
 def crossover_counts(found: DataFrame, owners: DataFrame, keys: list[str]) -> DataFrame:

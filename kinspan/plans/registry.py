@@ -62,9 +62,7 @@ EVENT_SQL = (
 
 @query(RECOMBINATION_SQL + " SELECT family, chrom, side = 1 AS is_mat, start_pos, end_pos, is_hts FROM recombination")
 def recombinations(spark, sf_dir):
-    s = _tracks(spark, sf_dir)
-    mat, pat = (recombination.recombinations(s, f"{side}_phase").withColumn("is_mat", F.lit(side == "mat")) for side in ("mat", "pat"))
-    return mat.unionByName(pat)
+    return recombination.recombinations(recombination.by_side(_tracks(spark, sf_dir)), "phase", ["family", "chrom", "is_mat"])
 
 
 def _events(spark, sf_dir):
