@@ -48,6 +48,8 @@ KNOWN_LENGTH = 64
 ENTRY_BYTES = 200
 #: Bytes of text that are encoded at once.
 ENCODE_BYTES = 1 << 19
+#: Longer texts (in code points) are taken in parts of about this length.
+LONG_TEXT = 4 << 20
 #: Pieces up to this many bytes are encoded side by side, longer ones alone.
 LONG_PIECE = 160
 #: Slots of the table of known pairs.
@@ -388,6 +390,18 @@ class Known:
             self.old, self.new, self.bare, self.size = self.new, {}, {}, 0
 
 
+def parts_of(text: str) -> list[str]:
+    """A text in parts of about LONG_TEXT: each but the first begins with a single space
+    between two visible characters, where pieces begin anew."""
+    cuts = [0]
+    while len(text) - cuts[-1] > LONG_TEXT:
+        border = _single_space.search(text, cuts[-1] + LONG_TEXT)
+        if border is None:
+            break
+        cuts.append(border.start())
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+
 def batches_of(column: pa.Array, size: int | None = None) -> Iterator[list[str]]:
     """The texts of a column (null is empty) in lists of about ``size`` bytes."""
     size = ENCODE_BYTES if size is None else size
@@ -464,6 +478,8 @@ class RunWise:
 
     def encode_texts(self, texts: list[str], known: Known) -> list[np.ndarray]:
         """Ids of each text."""
+        if len(texts) == 1 and len(texts[0]) > LONG_TEXT and len(parts := parts_of(texts[0])) > 1:
+            return [np.concatenate([self.encode_texts([part], known)[0] for part in parts])]
         split, heads, seen, odd = [], [], set(), set()
         for text in texts:
             runs = text.split(" ")

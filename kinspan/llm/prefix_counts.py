@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import END, LONG_PIECE, Automaton, Known, MergeTable, batches_of
+from .bpe import END, LONG_PIECE, Automaton, Known, MergeTable, batches_of, parts_of
 from .shared import read_table
 from .words import ranges
 
@@ -230,6 +230,9 @@ class PrefixCounter:
 
     def tables(self, texts: list[str], known: Known) -> Iterator[Iterator[np.ndarray]]:
         """Of each text its table in parts: tokens of the prefixes of 1, 2, ... code points."""
+        if len(texts) == 1 and len(parts := parts_of(texts[0])) > 1:
+            yield self._long_table(parts, known)
+            return
         split = [t.split(" ") for t in texts]
         seen: set[str] = set()
         for runs in split:
@@ -240,6 +243,15 @@ class PrefixCounter:
             yield self._table(runs, known.new)
         known.turn()
 
+    def _long_table(self, parts: list[str], known: Known) -> Iterator[np.ndarray]:
+        held = np.uint32(0)
+        for part in parts:
+            for counts in next(self.tables([part], known)):
+                last = counts[-1] if len(counts) else np.uint32(0)
+                yield counts + held
+            held = held + last
+            known.turn()
+
     @staticmethod
     def _table(runs: list[str], known: dict[str, bytes]) -> Iterator[np.ndarray]:
         held = 0

@@ -52,6 +52,22 @@ def test_ids_do_not_depend_on_what_was_encoded_before(bpe):
         assert known.size <= 2 * limit + 100_000
 
 
+def test_long_texts_are_taken_in_parts(bpe, monkeypatch):
+    from kinspan.llm import bpe as module
+
+    monkeypatch.setattr(module, "LONG_TEXT", 40)
+    library, words = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    counter = PrefixCounter(WORD)
+    texts = [t for t in some_texts(150, 21) if len(t) > 40] + ["a b " * 60, " x" * 50, "y" * 100, "z  " * 60, "ab\n cd " * 20]
+    assert sum(len(module.parts_of(t)) > 1 for t in texts) > 50
+    for text in texts:
+        assert "".join(module.parts_of(text)) == text
+        assert bpe.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, text
+        assert counter.count(text) == len(words.encode(text, add_special_tokens=False).ids), text
+    for text in texts[:25]:
+        assert counter.table_of(text).tolist() == prefixes_by_library(words, text), text
+
+
 def test_long_pieces_are_encoded_as_short_ones_are(bpe):
     library, r = Tokenizer.from_file(BYTE), random.Random(2)
     for n in (150, 159, 160, 161, 600, 3000):
