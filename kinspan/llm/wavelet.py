@@ -16,6 +16,7 @@ of a task and only names in the returned index count, so a repeated task does no
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import uuid
@@ -41,7 +42,7 @@ FRAME_BITS = 1 << 16
 #: Decompressed frames that a reader keeps.
 FRAMES_KEPT = 256
 #: Bytes of runs that a worker keeps: the library takes long over a new word.
-LIBRARY_KNOWN_BYTES = 256 << 20
+LIBRARY_KNOWN_BYTES = 384 << 20
 END_ID = 2
 MAGIC = b"WAVELET2"
 _word = np.uint32
@@ -316,6 +317,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer, done = library_encoder(tokenizer), None, 0
         part = TaskContext.get().partitionId()
+        # Millions of strings and no cycles among them: nothing for the collector to find.
+        gc.disable()
         tail = np.array([] if end_id is None else [end_id], encoder.kind)
         for batch in batches:
             at, ids = 0, batch.column("doc_id").to_pylist()
@@ -327,6 +330,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
                     writer = writer or ShardWriter(folder, part, done, encoder.bits)
                     writer.add(ids[at], np.concatenate([tokens, tail]))
                     at += 1
+        gc.enable()
         if writer:
             yield pa.RecordBatch.from_pylist([writer.close()])
 
