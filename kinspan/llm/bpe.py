@@ -101,6 +101,15 @@ class Lookup:
             left, at = left[go], at[go]
         return out
 
+    def one(self, key: int) -> int:
+        """The value of one key."""
+        slot = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
+        while (held := self.keys[slot]) != key:
+            if held < 0:
+                return -1
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+        return int(self.values[slot])
+
 
 class Automaton:
     """Aho-Corasick automaton over byte strings; steps are taken for many texts at once."""
@@ -137,6 +146,31 @@ class Automaton:
             left, at = left[go], at[go]
         return np.maximum(out, 0)
 
+    def step_one(self, state: int, byte: int) -> int:
+        """The state after a byte."""
+        while (found := self.goto.one(state << 8 | byte)) < 0 and state:
+            state = int(self.fail[state])
+        return max(found, 0)
+
+    def states(self, data: np.ndarray, length: np.ndarray, width: int = 128) -> np.ndarray:
+        """The state after each byte of some long texts (one behind the other), in parts that
+        are stepped side by side: a state depends on as many bytes before as the deepest node
+        has, with which a part begins."""
+        deep = len(self.by_depth)
+        n = -(-length // width)
+        inside = ranges(n) * width  # where each part begins in its text
+        starts = np.repeat(np.cumsum(length) - length, n) + inside
+        lead = np.minimum(inside, deep)
+        steps = np.minimum(width, np.repeat(length, n) - inside) + lead
+        out, state = np.zeros(len(data), np.int32), np.zeros(len(starts), np.int32)
+        for k in range(int(steps.max(initial=0))):
+            live = np.flatnonzero(steps > k)
+            at = starts[live] - lead[live] + k
+            state[live] = self.step(state[live], data[at])
+            own = k >= lead[live]
+            out[at[own]] = state[live[own]]
+        return out
+
     def longest(self, of_node: np.ndarray) -> np.ndarray:
         """``of_node`` (a pattern or -1 for each node) handed on along failure links, so
         that a node has the longest pattern that its string ends with."""
@@ -185,6 +219,7 @@ class MergeTable:
                 self.left[made], self.right[made], self.born[made] = left, right, rank
         self.rank = Lookup(np.array(pairs, np.int64), np.array(ranks, np.int32))
         self._pair, self._fits = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool)
+        self._one: dict[int, bool] = {}
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether each token ``b`` can follow ``a``: no merge crosses their border."""
@@ -223,6 +258,31 @@ class MergeTable:
         return fits
 
 
+    def compatible_one(self, left: int, right: int) -> bool:
+        """As compatible, of one pair."""
+        pair = left << 20 | right
+        found = self._one.get(pair)
+        if found is None:
+            if len(self._one) >= PAIR_SLOTS:
+                self._one.clear()
+            found = self._one[pair] = self._fits_one(left, right)
+        return found
+
+    def _fits_one(self, left: int, right: int) -> bool:
+        left_goes = right_goes = int(_NEVER)
+        while True:
+            rank = self.rank.one(left << 20 | right)
+            if 0 <= rank < left_goes and rank <= right_goes:
+                return False
+            born_left, born_right = int(self.born[left]), int(self.born[right])
+            if born_left < 0 and born_right < 0:
+                return True
+            if born_right >= born_left:
+                right_goes, right = born_right, int(self.left[right])
+            else:
+                left_goes, left = born_left, int(self.right[left])
+
+
 class Backtracker:
     """The encoder proper: token ids of pieces under a vocabulary without word ends."""
 
@@ -311,19 +371,13 @@ class Backtracker:
         data = np.frombuffer(piece, np.uint8)
         longest = self._longest_at_alone(data)
         length, shorter, dead = table.length.tolist(), self.shorter, bytearray(n + 1)
-        fits: dict[tuple[int, int], bool] = {}
         tokens: list[int] = []
         at, token = 0, int(longest[0])
         while at < n:
             while token >= 0:
                 end = at + length[token]
                 if not dead[end]:
-                    if not tokens:
-                        break
-                    pair = tokens[-1], token
-                    if pair not in fits:
-                        fits[pair] = bool(table.compatible(np.array(pair[:1]), np.array(pair[1:]))[0])
-                    if fits[pair]:
+                    if not tokens or table.compatible_one(tokens[-1], token):
                         break
                 token = int(shorter[token])
             if token >= 0:

@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -36,10 +38,72 @@ TOKEN_LIMIT = 2048
 #: The pattern of the pieces of a vocabulary that marks word ends.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+#: Code points up to which a piece is taken anew rather than gone on with.
+SHORT_TAIL = 8
 #: Runs between spaces of a text whose table is held at once.
 TABLE_RUNS = 1 << 17
 
 
+@dataclass
+class Filled:
+    """Tables of some pieces, an entry a byte: piece i has ``length[i]`` from ``base[i]`` on.
+
+    ``last`` and ``inner`` are the last token and the count of the bytes up to there as part
+    of a word, ``final`` their count as a word of their own, ``state`` the automaton's;
+    ``ends`` tells bytes that end a code point, ``points`` how many did before each byte.
+    """
+
+    base: np.ndarray
+    length: np.ndarray
+    last: np.ndarray
+    inner: np.ndarray
+    final: np.ndarray
+    state: np.ndarray
+    ends: np.ndarray
+    points: np.ndarray
+
+
+class Growing:
+    """Counts of a piece that goes on in this way or that: behind the first bytes of a piece
+    of ``filled``, or from nothing. What two ways have in common is not filled in twice."""
+
+    def __init__(self, counter: PrefixCounter, filled: Filled | None = None, base: int = 0, n: int = 0):
+        self.counter, self.filled, self.base, self.n = counter, filled, base, n
+        self.held = b""
+        self.steps: list[tuple[int, int, int, int]] = []  # state, last token, count, count as a word
+
+    def _before(self, k: int) -> tuple[int, int]:
+        if k >= self.n:
+            return self.steps[k - self.n][1:3]
+        return int(self.filled.last[self.base + k]), int(self.filled.inner[self.base + k])
+
+    def _closing(self, token: int, k: int) -> tuple[int, int]:
+        counter = self.counter
+        while token >= 0:
+            before = k - counter.sizes[token]
+            if before < 0:
+                return token, 1
+            prior, count = self._before(before)
+            if prior >= 0 and counter.table.compatible_one(prior, token):
+                return token, count + 1
+            token = counter.shorters[token]
+        return -1, 0
+
+    def count(self, more: bytes) -> int:
+        """Tokens of the piece's first bytes and ``more``."""
+        if not more:
+            return int(self.filled.final[self.base + self.n - 1])
+        keep = len(more) if self.held.startswith(more) else next((i for i, (x, y) in enumerate(zip(self.held, more, strict=False)) if x != y), len(self.held))
+        del self.steps[keep:]
+        self.held = more
+        for k in range(self.n + keep, self.n + len(more)):
+            state = self.steps[-1][0] if self.steps else int(self.filled.state[self.base + self.n - 1]) if self.n else 0
+            state = self.counter.reader.step_one(state, more[k - self.n])
+            final = self._closing(int(self.counter.ending[1][state]), k)[1]
+            self.steps.append((state, *self._closing(int(self.counter.ending[0][state]), k), final))
+        return self.steps[len(more) - 1][3]
+
+
 class PrefixCounter:
     """Token counts of texts under a BPE file with word ends (white space is dropped)."""
 
@@ -67,45 +131,74 @@ class PrefixCounter:
             self.ending.append(longest)
             self.size[ids] = [len(w) for w, _ in words]
             self.shorter[ids] = longest[self.reader.fail[own]]
+        self.sizes, self.shorters = self.size.tolist(), self.shorter.tolist()
 
     def prefix_counts(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of each prefix of each piece (in code points, from one on) as a word of its
         own, in one array; where each piece begins there, and its code points."""
+        filled = self.fill(pieces)
+        sizes = filled.points[filled.base + filled.length] - filled.points[filled.base]
+        return filled.final[filled.ends], filled.points[filled.base], sizes
+
+    def fill(self, pieces: list[str]) -> Filled:
+        """The tables of some pieces."""
         raw = [p.encode() for p in pieces]
         length = np.fromiter(map(len, raw), np.int64, len(raw))
         order = np.argsort(-length, kind="stable")
-        counts, ends, sizes = [np.zeros(0, np.int32)], [np.zeros(0, bool)], np.zeros(len(raw), np.int64)
-        # Long ones apart, so that the others are filled in side by side with their like.
-        for part in (order[length[order] > LONG_PIECE], order[length[order] <= LONG_PIECE]):
-            if len(part):
-                own = [raw[i] for i in part.tolist()]
-                counts.append(self._fill(own, length[part]))
-                data = np.frombuffer(b"".join(own), np.uint8)
-                # Code points end before each byte that begins one.
-                ends.append(np.append((data[1:] & 0xC0) != 0x80, True))
-        ends_flat = np.concatenate(ends)
-        stops = np.cumsum(length[order])
-        points = np.concatenate([[0], np.cumsum(ends_flat)])
-        sizes[order] = points[stops] - points[stops - length[order]]
         base = np.zeros(len(raw), np.int64)
-        base[order] = points[stops - length[order]]
-        return np.concatenate(counts)[ends_flat], base, sizes
-
-    def _fill(self, raw: list[bytes], length: np.ndarray) -> np.ndarray:
-        """Counts at the end of each byte of the pieces; longest pieces first."""
+        base[order] = np.cumsum(length[order]) - length[order]
+        data = np.frombuffer(b"".join([raw[i] for i in order.tolist()]), np.uint8)
+        # Long ones apart, so that the others are filled in side by side with their like.
+        n = int((length > LONG_PIECE).sum())
+        ends = np.cumsum(length[order[:n]]).tolist()
+        held = ends[-1] if n else 0
+        states = self.reader.states(data[:held], length[order[:n]])
+        parts = [self._fill_alone(states[lo:hi]) for lo, hi in zip([0, *ends], ends, strict=False)]
+        if n < len(raw):
+            parts.append(self._fill(data[held:], length[order[n:]]))
+        columns = (np.concatenate([np.zeros(0, np.int32), *own]) for own in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32),) * 4
+        # Code points end before each byte that begins one.
+        ends = np.append((data[1:] & 0xC0) != 0x80, True) if len(data) else np.zeros(0, bool)
+        return Filled(base, length, *columns, ends, np.concatenate([[0], np.cumsum(ends)]))
+
+    def _fill_alone(self, state: np.ndarray) -> tuple[np.ndarray, ...]:
+        """As _fill, of one long piece with its states, place by place."""
+        size, shorter, fits = self.sizes, self.shorters, self.table.compatible_one
+        last, inner, final = [], [], []
+        for k, (token, closing) in enumerate(zip(self.ending[0][state].tolist(), self.ending[1][state].tolist(), strict=True)):
+            for kind, token in ((0, token), (1, closing)):
+                count = 0
+                while token >= 0:
+                    before = k - size[token]
+                    if before < 0:
+                        count = 1
+                        break
+                    if last[before] >= 0 and fits(last[before], token):
+                        count = inner[before] + 1
+                        break
+                    token = shorter[token]
+                if kind:
+                    final.append(count)
+                else:
+                    last.append(token)
+                    inner.append(count)
+        return tuple(np.array(x, np.int32) for x in (last, inner, final)) + (state,)
+
+    def _fill(self, data: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Last tokens, inner and closing counts and states at the end of each byte of the
+        pieces; longest pieces first."""
         base = np.cumsum(length) - length
-        data = np.frombuffer(b"".join(raw), np.uint8)
         last, inner = np.full(len(data), -1, np.int32), np.zeros(len(data), np.int32)
-        final = np.zeros(len(data), np.int32)
-        state = np.zeros(len(raw), np.int32)
+        final, states = np.zeros(len(data), np.int32), np.zeros(len(data), np.int32)
+        state = np.zeros(len(length), np.int32)
         for k in range(int(length[0])):
             n = int(np.searchsorted(-length, -k, "left"))  # pieces with more than k bytes
             at = base[:n] + k
-            state = self.reader.step(state[:n], data[at])
+            state = states[at] = self.reader.step(state[:n], data[at])
             token, count = self._closing(self.ending[0][state], k, at, last, inner)
             last[at], inner[at] = token, count
             final[at] = self._closing(self.ending[1][state], k, at, last, inner)[1]
-        return final
+        return last, inner, final, states
 
     def _closing(self, token: np.ndarray, k: int, at: np.ndarray, last: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The token that ends after byte k of each piece and fits what comes before it
@@ -189,43 +282,104 @@ class PrefixCounter:
         solid = "".join(low.split())
         return low if solid == "".join(self.normalizer.normalize_str(run).split()) and " " not in low else None
 
-    def _pieces_of(self, run: str) -> Iterator[str | None]:
-        """Pieces of a run; None stands for a special token."""
-        for part in self.special.split(run):
-            if part in self.table.specials:
-                yield None
-            elif part:
-                yield from self.pieces.findall(part.lower() if part.isascii() else self.normalizer.normalize_str(part))
-
     def _tokens_of(self, piece: str) -> int:
         """Tokens of a piece taken whole."""
-        raw = piece.encode()
-        return int(self._fill([raw], np.array([len(raw)]))[-1])
+        return Growing(self).count(piece.encode())
 
     def _odd_run(self, run: str) -> np.ndarray:
         """The table of a run in which code points change one another or special tokens stand.
 
-        Up to the last place that nothing after it changes (a piece's begin, where a visible
-        ASCII character stands) counts are kept; from there each prefix is cut into pieces anew.
+        A special token only splits the run; what stands before it goes on up to its last
+        code point but one, as long as it isn't complete.
         """
-        out = np.zeros(len(run) + 1, np.int64)
+        texts, marks, at = [], [*self.special.finditer(run)], 0
+        for m in marks:
+            texts.append(run[at : m.end() - 1])
+            at = m.end()
+        found = self._prefixes([*texts, run[at:]])
+        out, held, at = [], 0, 0
+        for m, counts in zip(marks, found, strict=False):
+            out.append(counts + held)
+            before = m.start() - at
+            held += (int(counts[before - 1]) if before else 0) + 1
+            out.append(np.array([held]))
+            at = m.end()
+        out.append(found[-1] + held)
+        flat = np.concatenate(out)
+        return np.append(flat, flat[-1] if len(flat) else 0)
+
+    def _prefixes(self, texts: list[str]) -> list[np.ndarray]:
+        """Tokens of the prefixes of 1, 2, ... code points of texts without special tokens.
+
+        A text falls into clusters, before each of which nothing that comes later changes
+        what the normaliser made of the code points before (see ``_begins``). So the whole
+        normalised text's table tells the prefixes that end with a cluster. Within one, the
+        table goes on from the cluster's begin over what the normaliser makes of its part.
+        """
+        cuts = [[k for k, c in enumerate(t) if k == 0 or _begins(c)] for t in texts]
+        seen: dict[str, str] = {}
+
+        def normal(part: str) -> str:
+            if part not in seen:
+                seen[part] = self.normalizer.normalize_str(part)
+            return seen[part]
+
+        parts = [[normal(t[a:b]) for a, b in zip(c, [*c, len(t)][1:], strict=True)] for t, c in zip(texts, cuts, strict=True)]
+        whole = ["".join(p) for p in parts]
+        split = [[(m.start(), m.group()) for m in self.pieces.finditer(w)] for w in whole]
+        names = list({p for own in split for _, p in own})
+        filled, number = self.fill(names), {p: k for k, p in enumerate(names)}
+        ends = [np.flatnonzero(filled.ends[b : b + n]) for b, n in zip(filled.base.tolist(), filled.length.tolist(), strict=True)]
         known: dict[str, int] = {}
 
-        def tokens(text: str) -> int:
-            total = 0
-            for p in self._pieces_of(text):
-                if p is not None and p not in known:
+        def tokens(text: str, last: Growing) -> int:
+            *names, tail = self.pieces.findall(text) or [""]
+            for p in names:
+                if p not in known:
                     known[p] = self._tokens_of(p)
-                total += 1 if p is None else known[p]
-            return total
-
-        safe = [m.start() for m in _safe_place.finditer(run)]
-        start, held, nxt = 0, 0, 0
-        for end in range(1, len(run) + 1):
-            if nxt < len(safe) and safe[nxt] < end:
-                held, start, nxt = int(out[safe[nxt] - 1]), safe[nxt], nxt + 1
-            out[end - 1] = held + tokens(run[start:end])
-        out[len(run)] = out[len(run) - 1] if run else 0
+            return sum(known[p] for p in names) + (last.count(tail.encode()) if tail else 0)
+
+        out = []
+        for text, cut, part, normed, pieces in zip(texts, cuts, parts, whole, split, strict=True):
+            counts, held, reached = np.zeros(len(normed) + 1, np.int64), 0, 0
+            for start, p in pieces:
+                k = number[p]
+                counts[reached + 1 : start + 1] = held
+                own = filled.final[filled.base[k] + ends[k]].astype(np.int64)
+                if p in CONTRACTIONS:
+                    own[:-1] = range(1, len(p))
+                reached = start + len(p)
+                counts[start + 1 : reached + 1] = held + own
+                held += int(own[-1])
+            counts[reached + 1 :] = held
+            places = np.cumsum([0, *map(len, part)])
+            starts = [start for start, _ in pieces]
+            table = np.zeros(len(text), np.int64)
+            for k, begin in enumerate(cut):
+                end, place = cut[k + 1] if k + 1 < len(cut) else len(text), int(places[k])
+                table[end - 1] = counts[places[k + 1]]
+                last, grown = Growing(self), None
+                for inside in range(begin + 1, end):
+                    other = normal(text[begin:inside])
+                    if normed.startswith(other, place):
+                        table[inside - 1] = counts[place + len(other)]
+                        continue
+                    j = bisect_left(starts, place) - 1  # the last piece that begins before the cluster
+                    if j < 0 or starts[j] + len(pieces[j][1]) < place:
+                        table[inside - 1] = counts[place] + tokens(other, last)
+                        continue
+                    if j and pieces[j - 1][1] == "'" and starts[j] == starts[j - 1] + 1 and place - starts[j - 1] < 3:
+                        j -= 1  # with what follows it may become a contraction
+                    start = starts[j]
+                    if place - start <= SHORT_TAIL:
+                        table[inside - 1] = counts[start] + tokens(normed[start:place] + other, last)
+                    else:
+                        kind = _letters if _letters.match(normed, place - 1) else _marks
+                        more = kind.match(other).group()
+                        piece = number[pieces[j][1]]
+                        grown = grown or Growing(self, filled, int(filled.base[piece]), int(ends[piece][place - start - 1]) + 1)
+                        table[inside - 1] = counts[start] + grown.count(more.encode()) + tokens(other[len(more) :], last)
+            out.append(table)
         return out
 
     def tables(self, texts: list[str], known: Known) -> Iterator[Iterator[np.ndarray]]:
@@ -275,8 +429,21 @@ class PrefixCounter:
         return np.concatenate([[0], *next(self.tables([text], Known()))])
 
 
-#: A visible ASCII character behind white space begins a piece, and nothing before it changes it.
-_safe_place = re.compile(r"(?<=[\t\n\r\f\v])[!-~]")
+_letters, _marks = regex.compile(r"\p{L}*"), regex.compile(r"[^\p{White_Space}\p{L}\p{N}]*")
+
+
+@lru_cache(maxsize=1)
+def _joining() -> frozenset[str]:
+    """Code points of class 0 that can combine with one before them: the second ones of
+    canonical pairs, and the vowels and finals of Hangul."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x20000))  # none beyond
+    seconds = {chr(int(x[1], 16)) for x in pairs if len(x) == 2 and x[0][0] != "<"}
+    return frozenset(seconds) | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+
+
+def _begins(c: str) -> bool:
+    """Whether normalising never changes what stands before ``c`` for what comes from it on."""
+    return c < "\u0300" or not unicodedata.combining(c) and c not in _joining() and not unicodedata.combining((unicodedata.normalize("NFD", c))[0])
 
 
 @lru_cache(maxsize=2)
@@ -308,8 +475,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFr
 
     All are read from the text's prefix table; fitting_chars is the code points of the
     longest prefix of at most ``limit`` tokens. Null text counts as empty; a null doc_id
-    stays null; repeated rows give repeated results; texts of any length are taken whole,
-    with a bounded part of their table at once; other columns are not read.
+    stays null; repeated rows give repeated results; an empty table gives no rows; texts of
+    any length are taken whole, with a bounded part of their table at once; other columns
+    are not read. Time grows with the text, whatever its script, special tokens and marks;
+    only thousands of marks on one letter take time with the square of their number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -151,3 +151,28 @@ def test_queries_on_odd_rows(spark):
     encoded = encode_texts(docs, BYTE)
     assert {(r.doc_id, r.text) for r in decode_ids(encoded, BYTE).collect()} == {(i, t or "") for i, t in rows}
     assert round_trips(docs.limit(0), BYTE).count() == 0
+
+
+def test_prefix_tables_of_unspaced_texts_with_marks_and_special_tokens():
+    import time
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    counts, library = PrefixCounter(path), Tokenizer.from_file(path)
+    r = random.Random(3)
+
+    def han(n):
+        return "".join(chr(0x4E00 + r.randint(0, 8000)) for _ in range(n))
+
+    pool = ["'", "s", "re", "'ll", "ſ", "é", "́", "̣", "か", "゙", "ᄀ", "ᅡ", "ᆨ", "가", "İ", "Σ", "ς", "1", "２", "!", "<|endoftext|>", "<|", "|>", "<|end", "\t", "\n", " ", "\x1c", "漢", "😀", "‍", "̧", "न", "़", "ে", "া", "Ω", "Å", "̈́", "x", "Ab", "\x00"]
+    for k in range(120):
+        text = "".join(r.choice(pool) for _ in range(r.choice([1, 3, 8, 20, 60])))
+        text = (han(60) if k % 5 == 0 else "x" * 70 if k % 7 == 0 else "") + text
+        expected = [len(library.encode(text[:e], add_special_tokens=False).ids) for e in range(len(text) + 1)]
+        assert counts.table_of(text).tolist() == expected
+    text = "".join(r.choice([han(50), han(30), "ạ̈", "<|startoftext|>", "が"]) for _ in range(9000))
+    began = time.process_time()
+    table = counts.table_of(text)
+    # In proportion to the text: minutes if every prefix were cut anew.
+    assert time.process_time() - began < 30
+    for e in [1, len(text), *r.sample(range(len(text)), 8)]:
+        assert table[e] == len(library.encode(text[:e], add_special_tokens=False).ids)
