@@ -25,9 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import batches_of
 from .shared import read_table, written
-from .wavelet import library_encoder
+from .wavelet import collector_at_rest, library_encoder
 
 WINDOW = 1024
 #: The id that ends a document, and pads a sequence.
@@ -108,20 +107,21 @@ def cut_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
         encoder = library_encoder(path)
         number = TaskContext.get().partitionId() << 33
         tail = np.array([] if end_id is None else [end_id], "<u4")
-        for batch in batches:
-            at, names = 0, batch.column("doc_id").to_pylist()
-            for texts in batches_of(batch.column("text")):
-                columns: list[list] = [[] for _ in schema]
-                for ids in encoder.encode(texts):
-                    ids = np.concatenate([ids, tail], dtype="<u4")
-                    for start in range(0, len(ids), window):
-                        own = ids[start : start + window]
-                        row = (number, names[at], start, len(own), zlib.crc32(own), len(ids), own.view("<i4"))
-                        for c, v in zip(columns, row, strict=False):
-                            c.append(v)
-                        number += 1
-                    at += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        with collector_at_rest():
+            for batch in batches:
+                at, names = 0, batch.column("doc_id").to_pylist()
+                for texts in encoder.encode_column(batch.column("text")):
+                    columns: list[list] = [[] for _ in schema]
+                    for ids in texts:
+                        ids = np.concatenate([ids, tail], dtype="<u4")
+                        for start in range(0, len(ids), window):
+                            own = ids[start : start + window]
+                            row = (number, names[at], start, len(own), zlib.crc32(own), len(ids), own.view("<i4"))
+                            for c, v in zip(columns, row, strict=False):
+                                c.append(v)
+                            number += 1
+                        at += 1
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kinds = "piece long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids

@@ -22,6 +22,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -35,14 +36,15 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from .bpe import Known, RunWise, batches_of, byte_characters
 from .shared import arrow_folder, n_partitions, read_table, shared_folder, written
+from .words import CHUNK_BYTES, chunks, mix, powers, ranges
 
 #: Ids after which a shard ends (with the document that reaches them).
 SHARD_TOKENS = 1 << 22
 FRAME_BITS = 1 << 16
 #: Decompressed frames that a reader keeps.
 FRAMES_KEPT = 256
-#: Bytes of runs that a worker keeps: the library takes long over a new word.
-LIBRARY_KNOWN_BYTES = 384 << 20
+#: Runs that a worker keeps (about 50 bytes each): the library takes long over a new word.
+KNOWN_RUNS = 1 << 21
 END_ID = 2
 MAGIC = b"WAVELET2"
 _word = np.uint32
@@ -233,15 +235,95 @@ class ShardReader:
             start = end
 
 
+class RunTable:
+    """Ids of runs by two 64-bit hashes of their bytes, as arrays; bounded in entries."""
+
+    def __init__(self, kind: np.dtype, entries: int):
+        self.bits = (2 * entries - 1).bit_length()
+        self.keys, self.entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.check, self.start, self.size = np.zeros(entries, np.uint64), np.zeros(entries + 1, np.int64), np.zeros(entries, np.int32)
+        self.ids = np.zeros(4 * entries, kind)
+        self.n = 0
+
+    def find(self, keys: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The entries of different runs, -1 where one isn't known."""
+        out = np.full(len(keys), -1, np.int32)
+        left, slot = np.arange(len(keys)), (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(left):
+            held, entry = self.keys[slot], self.entry[slot]
+            hit = (held == keys[left]) & (self.check[entry] == check[left])
+            out[left[hit]] = entry[hit]
+            go = ~hit & (held != 0)
+            left, slot = left[go], (slot[go] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, keys: np.ndarray, check: np.ndarray, ids: list[bytes]) -> np.ndarray:
+        """Enters runs that are not known; their entries."""
+        flat = np.frombuffer(b"".join(ids), self.ids.dtype)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.ids.itemsize
+        at = int(self.start[self.n])
+        if at + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(flat), self.ids.dtype)])
+        new = np.arange(self.n, self.n + len(ids), dtype=np.int32)
+        self.ids[at : at + len(flat)] = flat
+        self.size[new], self.check[new] = sizes, check
+        self.start[self.n + 1 : self.n + 1 + len(ids)] = at + np.cumsum(sizes)
+        self.n += len(ids)
+        left, slot = np.arange(len(ids)), (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(left):
+            free = self.keys[slot] == 0
+            # Of several for one slot the last one written stays.
+            self.entry[slot[free]] = new[left[free]]
+            mine = free & (self.entry[slot] == new[left])
+            self.keys[slot[mine]] = keys[left[mine]]
+            left, slot = left[~mine], (slot[~mine] + 1) & ((1 << self.bits) - 1)
+        return new
+
+    def gather(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of runs one behind the other, and how many each has."""
+        size = self.size[entry].astype(np.int64)
+        return self.ids[np.repeat(self.start[entry], size) + ranges(size)], size
+
+
+def run_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the runs of some texts (UTF-8 bytes and their n + 1 offsets) begin: at each
+    text's begin and at single spaces between two visible characters of a text."""
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True
+    at = np.flatnonzero(data == 32)
+    at = at[~first[at] & ~first[at + 1]]
+    before, after = data[at - 1], data[at + 1]
+    hidden = _BLANK[before] | _BLANK[after]
+    # White space of two or three bytes, before or after.
+    for lo, mask in ((-3, before >= 0x80), (1, after >= 0x80)):
+        some = np.flatnonzero(mask)
+        x = [data[np.clip(at[some] + lo + k, 0, len(data) - 1)] for k in range(3)]
+        two = (x[1], x[2]) if lo < 0 else (x[0], x[1])
+        blank = (two[0] == 0xC2) & ((two[1] == 0x85) | (two[1] == 0xA0))
+        blank |= (x[0] == 0xE2) & (x[1] == 0x80) & ((x[2] <= 0x8A) | (x[2] == 0xA8) | (x[2] == 0xA9) | (x[2] == 0xAF))
+        blank |= (x[0] == 0xE2) & (x[1] == 0x81) & (x[2] == 0x9F) | (x[0] == 0xE1) & (x[1] == 0x9A) & (x[2] == 0x80) | (x[0] == 0xE3) & (x[1] == 0x80) & (x[2] == 0x80)
+        hidden[some] |= blank
+    cuts = np.zeros(len(data) + 1, bool)
+    cuts[at[~hidden]] = True
+    cuts[offsets[:-1]] = True
+    return np.flatnonzero(cuts[: len(data)])
+
+
+#: Bytes that are, alone, white space (or may be taken for it).
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+
+
 class LibraryEncoder(RunWise):
-    """Encodes with the tokenizers library; texts of a byte-level vocabulary by their pieces,
-    each once, of other vocabularies as they stand.
-
-    New pieces go to the library in long strings: those that begin with a space one behind
-    the other, words without one with a line feed before each. Neither joins what follows
-    it, so that the ids can be cut at tokens that begin with a space, or are a line feed.
-    As these strings are cut already, the library has only to cut them at that character,
-    and gets them in the vocabulary's own characters for bytes.
+    """Encodes with the tokenizers library; texts of a byte-level vocabulary by the runs between
+    their spaces, each once, of other vocabularies as they stand.
+
+    Runs are found, hashed and looked up as arrays over a batch's bytes; strings are made of
+    new ones alone, which the library encodes. New pieces go to it in long strings: those that
+    begin with a space one behind the other, words without one with a line feed before each.
+    Neither joins what follows it, so that the ids can be cut at tokens that begin with a
+    space, or are a line feed. As these strings are cut already, the library has only to cut
+    them at that character, and gets them in the vocabulary's own characters for bytes.
     """
 
     def __init__(self, path: str):
@@ -268,7 +350,8 @@ class LibraryEncoder(RunWise):
             cutter = Tokenizer(self.library.model)
             cutter.pre_tokenizer = pre_tokenizers.Split(mark, behaviour)
             self.cutters.append(cutter)
-        self.known = Known(LIBRARY_KNOWN_BYTES)
+        self.known = RunTable(self.kind, KNOWN_RUNS)
+        self.values = [mix(np.arange(256, dtype=np.uint64) + np.uint64(k << 8)) | np.uint64(1) for k in (1, 2)]
 
     def _each(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -293,7 +376,69 @@ class LibraryEncoder(RunWise):
         return found[: len(words)], out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return self.encode_texts(texts, self.known) if self.apart else self._each(texts)
+        return [ids for batch in self.encode_column(pa.array(texts, pa.large_string())) for ids in batch]
+
+    def encode_column(self, column: pa.Array) -> Iterator[list[np.ndarray]]:
+        """The ids of a column's texts (null is empty), some texts at a time."""
+        if not self.apart:
+            yield from map(self._each, batches_of(column))
+            return
+        for _, _, data, offsets in chunks(column):
+            starts = run_starts(data, offsets)
+            ends = np.append(starts[1:], len(data))[: len(starts)]
+            sizes, parts = np.zeros(len(starts), np.int64), [np.zeros(0, self.kind)]
+            # A text that is longer than a chunk comes in blocks of runs.
+            for lo, hi in _blocks(starts, ends, CHUNK_BYTES):
+                flat, sizes[lo:hi] = self._runs(data[starts[lo] : ends[hi - 1]], starts[lo:hi] - starts[lo], ends[lo:hi] - starts[lo])
+                parts.append(flat)
+            ids = np.concatenate(parts)
+            before = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, offsets)].tolist()
+            yield [ids[a:b] for a, b in zip(before, before[1:], strict=False)]
+
+    def _runs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs one behind the other, and how many each has."""
+        forward, back = powers(len(data) + 1)
+        hashes = []
+        for values in self.values:
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(values[data] * forward[: len(data)], out=sums[1:])
+            hashes.append(mix((sums[ends] - sums[starts]) * back[starts]))
+        key, check = hashes[0] | np.uint64(1), hashes[1]
+        _, at, which = np.unique(key ^ check, return_index=True, return_inverse=True)
+        key, check = key[at], check[at]
+        if self.known.n + len(at) > KNOWN_RUNS:
+            self.known = RunTable(self.kind, max(KNOWN_RUNS, len(at)))
+        entry = self.known.find(key, check)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            raw = data.tobytes()
+            texts = [raw[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
+            simple = [t[0] == " " and t[1:].split() == [t[1:]] for t in texts]
+            runs = [t[1:] for t, s in zip(texts, simple, strict=True) if s]
+            known = Known(1 << 40)
+            others = iter(self._learn(runs, [], [t for t, s in zip(texts, simple, strict=True) if not s], known))
+            ids = [known.new[t[1:]] if s else next(others) for t, s in zip(texts, simple, strict=True)]
+            entry[new] = self.known.add(key[new], check[new], ids)
+        return self.known.gather(entry[which])
+
+
+def _blocks(starts: np.ndarray, ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of runs of about ``size`` bytes each."""
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + size, "right")))
+        yield at, to
+        at = to
+
+
+@contextmanager
+def collector_at_rest() -> Iterator[None]:
+    """No garbage collection meanwhile: millions of strings and no cycles among them."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
 
 
 @lru_cache(maxsize=2)
@@ -317,20 +462,18 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer, done = library_encoder(tokenizer), None, 0
         part = TaskContext.get().partitionId()
-        # Millions of strings and no cycles among them: nothing for the collector to find.
-        gc.disable()
         tail = np.array([] if end_id is None else [end_id], encoder.kind)
-        for batch in batches:
-            at, ids = 0, batch.column("doc_id").to_pylist()
-            for texts in batches_of(batch.column("text")):
-                for tokens in encoder.encode(texts):
-                    if writer and writer.n_tokens >= SHARD_TOKENS:
-                        yield pa.RecordBatch.from_pylist([writer.close()])
-                        writer, done = None, done + 1
-                    writer = writer or ShardWriter(folder, part, done, encoder.bits)
-                    writer.add(ids[at], np.concatenate([tokens, tail]))
-                    at += 1
-        gc.enable()
+        with collector_at_rest():
+            for batch in batches:
+                at, ids = 0, batch.column("doc_id").to_pylist()
+                for texts in encoder.encode_column(batch.column("text")):
+                    for tokens in texts:
+                        if writer and writer.n_tokens >= SHARD_TOKENS:
+                            yield pa.RecordBatch.from_pylist([writer.close()])
+                            writer, done = None, done + 1
+                        writer = writer or ShardWriter(folder, part, done, encoder.bits)
+                        writer.add(ids[at], np.concatenate([tokens, tail]))
+                        at += 1
         if writer:
             yield pa.RecordBatch.from_pylist([writer.close()])
 

@@ -74,3 +74,20 @@ def test_parts_are_cut_into_shards(monkeypatch, tmp_path):
     monkeypatch.setattr(wavelet, "SHARD_TOKENS", 10)
     encoder = LibraryEncoder(BYTE)
     assert encoder.apart and encoder.bits == 16 and encoder.spaced[220] and encoder.feed[198]
+
+
+def test_runs_between_all_kinds_of_white_space_equal_the_library(monkeypatch):
+    import pyarrow as pa
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    monkeypatch.setattr(wavelet, "KNOWN_RUNS", 256)  # forgets often
+    monkeypatch.setattr(wavelet, "CHUNK_BYTES", 50)  # blocks within texts
+    encoder = wavelet.LibraryEncoder(path)
+    r = random.Random(9)
+    white = [" ", " ", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x1f", "\x85", " ", " ", " ", " ", " ", " ", "　", "​", "’"]
+    words = ["a", "word", "don't", "it's", "x,", "(y)", "12", "é", "é", "漢字", "😀", "<|endoftext|>", "<|end", "…", "\x00", "Â", "â€", "ã€"]
+    texts = ["".join(r.choice(white) if r.random() < 0.5 else r.choice(words) for _ in range(r.choice([0, 1, 2, 5, 30, 200]))) for _ in range(600)]
+    column = pa.array([*texts, None, " ", "a ", " a"])
+    found = [x.tolist() for batch in encoder.encode_column(column) for x in batch]
+    assert found == [library.encode(t or "", add_special_tokens=False).ids for t in column.to_pylist()]
