@@ -151,3 +151,33 @@ def as_of(points: DataFrame, table: DataFrame, keys: list[str], value: str) -> D
     over = Window.partitionBy(*keys).orderBy("pos", "_point", "_value").rowsBetween(Window.unboundedPreceding, 0)
     both = marks.unionByName(asked).withColumn(value, F.last("_value", ignorenulls=True).over(over))
     return both.where("_point = 1").drop("_value", "_point")
+
+
+def stabbed(points: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of a row of ``points`` (keys, pos) and one of ``intervals`` that holds its place.
+
+    Intervals are dealt by their size class (powers of two) into bins as wide as the class,
+    two at most, and a point is looked up once in each class that there is: no row is dealt
+    into many bins, however long, and a pair arises once. The intervals' columns but the
+    keys get the prefix ``r_``.
+    """
+    width = F.expr("shiftleft(1L, _class)")
+    named = intervals.select(*keys, *[F.col(c).alias(f"r_{c}") for c in intervals.columns if c not in keys]).where("r_end_pos > r_start_pos")
+    named = named.withColumn("_class", F.length(F.bin(F.col("r_end_pos") - F.col("r_start_pos"))))
+    dealt = named.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("r_start_pos") / width), F.floor((F.col("r_end_pos") - 1) / width))))
+    # A class a row, 63 at most.
+    classes = named.agg(F.array_sort(F.collect_set("_class")).alias("_classes"))
+    asked = points.crossJoin(F.broadcast(classes)).withColumn("_class", F.explode("_classes")).drop("_classes").withColumn("_bin", F.floor(F.col("pos") / width))
+    return asked.join(dealt, [*keys, "_class", "_bin"]).where("r_start_pos <= pos and pos < r_end_pos").drop("_class", "_bin")
+
+
+def last_known(track: DataFrame, keys: list[str], value: str, width: int = RANGE_WIDTH) -> DataFrame:
+    """Rows of ``track`` with a known ``value``, and value and end of the known row before
+    (before_value, before_end), by start_pos; ranges of an axis hand their last row on."""
+    known = track.where(F.col(value).isNotNull()).withColumn("_range", F.floor(F.col("start_pos") / width))
+    mine = F.struct(F.col(value).alias("v"), F.col("end_pos").alias("e"))
+    lasts = known.groupBy(*keys, "_range").agg(F.max_by(mine, F.struct("start_pos", "end_pos", value)).alias("_last"))
+    handed = lasts.select(*keys, "_range", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range")).alias("_handed"))
+    inner = Window.partitionBy(*keys, "_range").orderBy("start_pos", "end_pos", value)
+    both = known.join(handed, [*keys, "_range"]).withColumn("_before", F.coalesce(F.lag(mine).over(inner), F.col("_handed")))
+    return both.withColumns({"before_value": F.col("_before.v"), "before_end": F.col("_before.e")}).drop("_range", "_handed", "_before")

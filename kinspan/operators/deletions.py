@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.intervals import islands, overlap_join, running
+from ..functions.intervals import islands, overlap_join, running, stabbed
 
 HTS_SHARE = 0.9
 
@@ -87,8 +87,9 @@ def reciprocal(start1: Column, end1: Column, start2: Column, end2: Column, share
     return (common >= share * (end1 - start1 + 1)) & (common >= share * (end2 - start2 + 1))
 
 
-def reciprocal_pairs(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """(iv_id, r_iv_id): ordered pairs of different intervals that overlap by half of both lengths.
+def reciprocal_pairs(intervals: DataFrame, keys: list[str], share: float = 0.5) -> DataFrame:
+    """(iv_id, r_iv_id): ordered pairs of different intervals that overlap by half of both
+    lengths, or by a larger ``share``.
 
     Such intervals differ in length by a factor of two at most, so that an interval meets
     only those of its own size class (powers of two) and the two beside it, in bins as wide
@@ -106,7 +107,7 @@ def reciprocal_pairs(intervals: DataFrame, keys: list[str]) -> DataFrame:
     first = F.col("_bin") == F.greatest(F.floor(F.col("start_pos") / F.col("_width")), F.floor(F.col("r_start_pos") / F.col("_width")))
     meets = (F.col("start_pos") < F.col("r_end_pos")) & (F.col("r_start_pos") < F.col("end_pos"))
     columns = (F.col(c) for c in ("start_pos", "end_pos", "r_start_pos", "r_end_pos"))
-    return one.join(two, [*keys, "_class", "_bin"]).where((F.col("iv_id") != F.col("r_iv_id")) & first & meets & reciprocal(*columns)).select("iv_id", "r_iv_id")
+    return one.join(two, [*keys, "_class", "_bin"]).where((F.col("iv_id") != F.col("r_iv_id")) & first & meets & reciprocal(*columns, share)).select("iv_id", "r_iv_id")
 
 
 def private(intervals: DataFrame, keys: list[str]) -> DataFrame:
@@ -131,3 +132,24 @@ def context(carriers: DataFrame) -> DataFrame:
     shared = (F.col("n_mat") > 0) & (F.col("n_pat") > 0)
     kind = F.when(shared & (F.col("n_children") < F.col("n_mat") + F.col("n_pat")), "double").when(shared, "doublehet").otherwise("het")
     return sides.withColumn("context", kind)
+
+
+def imprinting_partners(upds: DataFrame, deletions_: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each uniparental disomy, how many others and how many deletions agree with it.
+
+    ``upds`` has upd_id, start_pos, end_pos, is_mat and is_iso, ``deletions_`` iv_id, start_pos,
+    end_pos and is_mat. A later one (by upd_id) agrees if it is of the same parent, a
+    deletion if it is of the other one, and if more than half of the disomy is common. Such
+    a partner holds the disomy's middle, so that each disomy is one place to look up. Columns:
+    upd_id, n_iso and n_het (disomies, itself among them if it has any partner), n_deletions.
+    """
+    own = upds.select(*keys, "upd_id", "start_pos", "end_pos", "is_mat", "is_iso", F.floor((F.col("start_pos") + F.col("end_pos")) / 2).alias("pos"))
+    common = F.least("end_pos", "r_end_pos") - F.greatest("start_pos", "r_start_pos")
+    agrees = 2 * common > F.col("end_pos") - F.col("start_pos")
+    partners = upds.select(*keys, F.col("upd_id").alias("id"), "start_pos", "end_pos", "is_mat", F.when(F.col("is_iso"), "iso").otherwise("het").alias("kind"))
+    both = partners.unionByName(deletions_.select(*keys, F.col("iv_id").alias("id"), "start_pos", "end_pos", "is_mat", F.lit("del").alias("kind")))
+    pairs = stabbed(own, both, keys).where(agrees)
+    is_deletion = F.col("r_kind") == "del"
+    right = (is_deletion & (F.col("is_mat") != F.col("r_is_mat"))) | (~is_deletion & (F.col("is_mat") == F.col("r_is_mat")) & (F.col("r_id") > F.col("upd_id")))
+    counts = pairs.where(right).groupBy("upd_id", "is_iso").agg(*[F.count_if(F.col("r_kind") == k).alias(k) for k in ("iso", "het", "del")])
+    return counts.select("upd_id", (F.col("iso") + F.col("is_iso").cast("int")).alias("n_iso"), (F.col("het") + (~F.col("is_iso")).cast("int")).alias("n_het"), F.col("del").alias("n_deletions"))

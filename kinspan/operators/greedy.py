@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stores import settled
+
 
 def each_member_once(pairs: DataFrame) -> DataFrame:
     """Pairs of a family taken in order as long as neither sibling was taken before.
@@ -70,3 +72,62 @@ def widened_mask(segments: DataFrame, keys: list[str], mask, by: int) -> DataFra
 
     wide = segments.where(mask).select(*keys, F.greatest(F.col("start_pos") - by, F.lit(0)).alias("start_pos"), (F.col("end_pos") + by).alias("end_pos"))
     return merge_overlaps(wide, keys)
+
+
+def similar_collections(members: DataFrame, share: float = 0.8) -> DataFrame:
+    """(one, two): pairs of collections of which one holds the other's deletion, and whose
+    common members are at least ``share`` of either.
+
+    ``members`` has collection and member, of the same ids. Sizes that differ by more than
+    the share are out at once. Members are ranked by how many collections hold them, rare
+    ones first: two similar collections share one of the first few of each (as many as may
+    be missing, and one), so that only such pairs have all their members compared. Members
+    are compared as rows; no collection is gathered into one.
+    """
+    rows = settled(members.select("collection", "member").distinct().where("collection is not null and member is not null"), "members")
+    sizes = rows.groupBy("collection").agg(F.count("*").alias("n"))
+    spread = rows.groupBy("member").agg(F.count("*").alias("_spread"))
+    order = Window.partitionBy("collection").orderBy("_spread", "member")
+    ranked = rows.join(spread, "member").join(sizes, "collection").withColumn("_rank", F.row_number().over(order))
+    heads = ranked.where(F.col("_rank") <= F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1).select("collection", "member")
+    low, high = F.least("collection", "member"), F.greatest("collection", "member")
+    pairs = rows.where("collection <> member").select(low.alias("one"), high.alias("two")).distinct()
+    for side, n in (("one", "n_one"), ("two", "n_two")):
+        pairs = pairs.join(sizes.select(F.col("collection").alias(side), F.col("n").alias(n)), side)
+    pairs = pairs.where((F.col("n_one") >= share * F.col("n_two")) & (F.col("n_two") >= share * F.col("n_one")))
+
+    def common(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+        """A row for each common member of each pair."""
+        one = pairs.join(rows.withColumnRenamed("collection", "one"), "one")
+        return one.join(rows.withColumnRenamed("collection", "two"), ["two", "member"])
+
+    likely = pairs.join(common(heads, pairs).select("one", "two").distinct(), ["one", "two"], "left_semi")
+    counted = common(rows, likely).groupBy("one", "two", "n_one", "n_two").agg(F.count("*").alias("n"))
+    return counted.where((F.col("n") >= share * F.col("n_one")) & (F.col("n") >= share * F.col("n_two"))).select("one", "two")
+
+
+def dedupe_collections(collections: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``collections`` (collection, weight) with is_kept: taken by falling weight (of equal
+    ones the lower id first), a collection stays unless a similar one (``pairs``) stayed before.
+
+    A round keeps all undecided collections none of whose undecided neighbours comes before
+    them, and drops the neighbours of those; what comes out is what the loop gives. Rounds
+    are as many as the longest chain of decisions that wait for one another.
+    """
+    weights = collections.select("collection", "weight")
+    ends = pairs.join(weights.select(F.col("collection").alias("one"), F.col("weight").alias("w1")), "one").join(weights.select(F.col("collection").alias("two"), F.col("weight").alias("w2")), "two")
+    first = (F.col("w1") > F.col("w2")) | ((F.col("w1") == F.col("w2")) & (F.col("one") < F.col("two")))
+    edges = settled(ends.select(F.when(first, F.col("one")).otherwise(F.col("two")).alias("before"), F.when(first, F.col("two")).otherwise(F.col("one")).alias("after")), "edges")
+    dropped = None
+    while not edges.isEmpty():
+        waiting = edges.select(F.col("after").alias("before")).distinct()
+        kept = edges.select("before").distinct().join(waiting, "before", "left_anti")
+        gone = settled(edges.join(kept, "before", "left_semi").select(F.col("after").alias("collection")).distinct(), "dropped")
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        # Edges of dropped ones bind nobody; those of kept ones have done their work.
+        left = edges.join(gone.withColumnRenamed("collection", "after"), "after", "left_anti").join(gone.withColumnRenamed("collection", "before"), "before", "left_anti")
+        edges = settled(left, "edges")
+    if dropped is None:
+        return collections.withColumn("is_kept", F.lit(True))
+    marked = collections.join(dropped.withColumn("_gone", F.lit(True)), "collection", "left")
+    return marked.withColumn("is_kept", F.col("_gone").isNull()).drop("_gone")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MATERNAL_CUTOFF, PATERNAL_CUTOFF
-from ..functions.intervals import islands
+from ..functions.intervals import islands, last_known, sweep
 
 TRACK = ["family", "chrom"]
 
@@ -80,3 +80,27 @@ def switch_smoothing(found: DataFrame, least_run: int, keys: list[str]) -> DataF
     runs = runs.groupBy(*keys, "run").agg(F.first("phase").alias("phase"), F.min("pos").alias("pos"), F.max("pos").alias("last_pos"), F.count("*").alias("n")).where(F.col("n") >= least_run)
     kept = runs.select(*keys, "phase", "pos", "last_pos", F.lag("phase").over(over).alias("phase_before"), F.lag("last_pos").over(over).alias("start_pos"))
     return kept.where("phase <> phase_before").select(*keys, "start_pos", F.col("pos").alias("end_pos"))
+
+
+def known_state_changes(track: DataFrame, keys: list[str], state: str, width: int) -> DataFrame:
+    """Changes between successive known states: start_pos is where the last one was known to
+    end, end_pos where the next one begins; before and after are the states.
+
+    A known state goes on over unknown segments, and each segment with it moves its end on.
+    What is known last is handed from range to range of the axis.
+    """
+    found = last_known(track, keys, state, width).where(F.col(state) != F.col("before_value"))
+    return found.select(*keys, F.col("before_end").alias("start_pos"), F.col("start_pos").alias("end_pos"), F.col("before_value").alias("before"), F.col(state).alias("after"))
+
+
+def spread_evenly(changes: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Expected changes in each elementary interval of the axis (``keys``): each change counts
+    as one, spread over its bases; weight is the sum of the parts that fall there.
+
+    Changes without bases (where the next state begins at the last one's end) have no place
+    and are left out. One sweep of densities; no pairs of changes and intervals are made.
+    """
+    placed = changes.where("end_pos > start_pos")
+    density = 1 / (F.col("end_pos") - F.col("start_pos"))
+    tiles = sweep(placed, keys, {"n": F.lit(1), "density": density}, width)
+    return tiles.where("n > 0").select(*keys, "start_pos", "end_pos", "n", (F.col("density") * (F.col("end_pos") - F.col("start_pos"))).alias("weight"))

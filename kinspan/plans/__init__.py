@@ -1,5 +1,5 @@
 """The registered queries over the driver tables."""
 
-from . import registry, selections
+from . import families, registry, selections
 
-__all__ = ["registry", "selections"]
+__all__ = ["families", "registry", "selections"]
