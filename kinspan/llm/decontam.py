@@ -272,9 +272,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_coverage: float =
     def same(values: str) -> Column:
         return F.forall(values, lambda v: v["item_slots"] == v["slots"])
 
+    # A placeholder of the item that has several values in the document, and its own never.
+    def contradicted(values: str) -> Column:
+        alike = lambda v: F.filter(values, lambda u: u["item_slots"] == v["item_slots"])
+        return F.exists(values, lambda v: (F.size(alike(v)) > 1) & ~F.exists(alike(v), lambda u: u["item_slots"] == u["slots"]))
+
     # Windows that match as plain words count whatever the slots of others are. Those of
-    # the second reading count where they agree with all others of their alignment.
-    first, both = consistent("values"), consistent("all_values")
+    # the second reading count where they agree with all others of their alignment; names
+    # at sentence starts that stand for several others refuse it as a whole. A word that
+    # is also kept as it stands may be no name, and refuses nothing.
+    first, both = consistent("values") & ~contradicted("all_values"), consistent("all_values")
     own = F.when(both, F.array_union("typed_places", "second_places")).when(first, F.col("typed_places")).otherwise(F.array().cast("array<int>"))
     aligned = aligned.select("doc_id", "item_id", "n_typed", "n_all", "diagonal", "plain_places", "lone_places", "typed_places", "second_places", own.alias("own"), F.when(both, same("all_values")).otherwise(same("values")).alias("own_same"), "values", "all_values")
     # A word put in or left out moves the alignment: neighbouring ones are one passage,

@@ -19,6 +19,8 @@ from .words import SHINGLE_WORDS
 
 BINS_LOG2 = 7
 BINS = 1 << BINS_LOG2
+#: White space, in the whole of Unicode.
+SPACES = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 BITS = 8
 _VALUE_BITS = 63 - BINS_LOG2
 
@@ -35,7 +37,7 @@ def with_fingerprint(df: DataFrame, text: Column, name: str) -> DataFrame:
     which no other text is given on purpose.
     """
     words, hashes, least = f"{name}_words", f"{name}_hashes", f"{name}_least"
-    df = df.withColumn(words, F.transform(F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    df = df.withColumn(words, F.transform(F.filter(F.split(text, SPACES), lambda w: w != ""), lambda w: F.xxhash64(w)))
     n = F.size(words)
     rolled = F.transform(words, lambda w, i: F.shiftrightunsigned(F.xxhash64(w, *[F.get(words, i + k) for k in range(1, SHINGLE_WORDS)]), 1))
     whole = F.array(F.shiftrightunsigned(F.xxhash64(F.col(words)), 1))

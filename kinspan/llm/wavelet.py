@@ -63,26 +63,28 @@ class WaveletMatrix:
     @classmethod
     def of(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         ids = ids.astype(_kind(bits))
+        other = np.empty_like(ids)
         planes, zeros = [], []
         for k in range(bits - 1, -1, -1):
             ones = (ids & ids.dtype.type(1 << k)).astype(bool)
             planes.append(np.packbits(ones, bitorder="little"))
-            low = ids[~ones]
-            zeros.append(len(low))
-            ids = np.concatenate([low, ids[ones]])
+            n = len(ids) - int(np.count_nonzero(ones))
+            zeros.append(n)
+            np.compress(~ones, ids, out=other[:n])
+            np.compress(ones, ids, out=other[n:])
+            ids, other = other, ids
         return cls(len(ids), planes, zeros)
 
     def ids(self) -> np.ndarray:
         """All ids, from the lowest plane up."""
         kind = _kind(len(self.planes))
-        value = np.zeros(self.n, kind)
+        value, other = np.zeros(self.n, kind), np.empty(self.n, kind)
         for k, (packed, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1], strict=True)):
             ones = np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
             value[zeros:] |= kind(1 << k)
-            out = np.empty(self.n, kind)
-            out[~ones] = value[:zeros]
-            out[ones] = value[zeros:]
-            value = out
+            other[np.flatnonzero(~ones)] = value[:zeros]
+            other[np.flatnonzero(ones)] = value[zeros:]
+            value, other = other, value
         return value
 
 

@@ -1,7 +1,7 @@
 """Words of a batch of texts as NumPy arrays, without a Python loop over them.
 
 An Arrow string column already holds its texts as one UTF-8 buffer. Words are
-runs of bytes that are not separators; each gets a 64-bit hash from prefix sums
+runs of bytes that are no separators (Unicode white space, and marks if asked); each gets a 64-bit hash from prefix sums
 of ``table[byte] * BASE**position`` (modulo 2**64), so any word, prefix or suffix
 of a word costs two look-ups and a multiplication.
 """
@@ -89,9 +89,23 @@ class Words:
         return np.diff(self.first)
 
 
+def wide_blanks(data: np.ndarray) -> np.ndarray:
+    """Places of the bytes of Unicode white space that takes two or three of them."""
+    lead = np.flatnonzero((data == 0xC2) | (data >= 0xE1) & (data <= 0xE3))
+    one, two = (data[np.minimum(lead + k, max(len(data) - 1, 0))] for k in (1, 2))
+    lead_byte = data[lead]
+    short = (lead_byte == 0xC2) & ((one == 0x85) | (one == 0xA0))
+    long = (lead_byte == 0xE2) & ((one == 0x80) & ((two <= 0x8A) | (two == 0xA8) | (two == 0xA9) | (two == 0xAF)) | (one == 0x81) & (two == 0x9F))
+    long |= (lead_byte == 0xE1) & (one == 0x9A) & (two == 0x80) | (lead_byte == 0xE3) & (one == 0x80) & (two == 0x80)
+    found = [lead[short | long], lead[short | long] + 1, lead[long] + 2]
+    return np.concatenate(found)
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES, fold: np.ndarray = AS_IS) -> Words:
+    """Words between separators; white space beyond ASCII separates too."""
     n = len(data)
     inside = ~separators[data]
+    inside[wide_blanks(data)] = False
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     begins, stops = inside.copy(), inside.copy()

@@ -118,3 +118,23 @@ def test_dropping_keeps_names_and_rows(spark):
     docs = spark.createDataFrame([(1, "clean"), (1, "clean"), (None, None), (None, QUESTION), (2, "x " * 400_000)], "doc_id long, text string").selectExpr("*", "'d' as document", "'h' as hash")
     out = drop_contaminated(docs, spark.createDataFrame([(1, QUESTION)], "item_id long, text string"))
     assert out.columns == docs.columns and sorted(str(x.doc_id) for x in out.collect()) == ["1", "1", "2", "None"]
+
+
+def test_words_between_any_white_space(spark):
+    r = random.Random(13)
+    item = filler(r, 30)
+    blanks = ["\u00a0", "\u2003", "\u3000", "\u0085", "\u1680", "\u202f", "\u205f", "\t"]
+    words = item.split()
+    other = words[0] + "".join(r.choice([" ", *blanks]) + w for w in words[1:])
+    docs = spark.createDataFrame([(1, "so " + other), (2, filler(r, 60))], "doc_id long, text string")
+    (found,) = contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert found.doc_id == 1 and found.coverage == 1
+
+
+def test_one_name_that_stands_for_several_refuses_the_passage(spark):
+    item = "Tom has 12 marbles in a small red box. Tom then buys 8 more marbles from the old shop near the river. Tom wants to know how many marbles there are in 3 boxes of this kind"
+    fresh = item.replace("Tom", "Sara").replace("12", "15").replace("8", "9").replace("3", "4")
+    several = fresh.replace("Sara then", "Bob then").replace("Sara wants", "Carl wants")
+    docs = [(1, fresh), (2, several), (3, item.replace("Tom", "The boy", 1).replace("12", "14"))]
+    found = {x.doc_id: x for x in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert 1 in found and found[1].coverage > 0.9 and 2 not in found
