@@ -63,16 +63,13 @@ class WaveletMatrix:
     @classmethod
     def of(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         ids = ids.astype(_kind(bits))
-        other = np.empty_like(ids)
         planes, zeros = [], []
         for k in range(bits - 1, -1, -1):
             ones = (ids & ids.dtype.type(1 << k)).astype(bool)
             planes.append(np.packbits(ones, bitorder="little"))
-            n = len(ids) - int(np.count_nonzero(ones))
-            zeros.append(n)
-            np.compress(~ones, ids, out=other[:n])
-            np.compress(ones, ids, out=other[n:])
-            ids, other = other, ids
+            low = np.compress(~ones, ids)
+            zeros.append(len(low))
+            ids = np.concatenate([low, np.compress(ones, ids)])
         return cls(len(ids), planes, zeros)
 
     def ids(self) -> np.ndarray:
