@@ -153,3 +153,54 @@ def imprinting_partners(upds: DataFrame, deletions_: DataFrame, keys: list[str])
     right = (is_deletion & (F.col("is_mat") != F.col("r_is_mat"))) | (~is_deletion & (F.col("is_mat") == F.col("r_is_mat")) & (F.col("r_id") > F.col("upd_id")))
     counts = pairs.where(right).groupBy("upd_id", "is_iso").agg(*[F.count_if(F.col("r_kind") == k).alias(k) for k in ("iso", "het", "del")])
     return counts.select("upd_id", (F.col("iso") + F.col("is_iso").cast("int")).alias("n_iso"), (F.col("het") + (~F.col("is_iso")).cast("int")).alias("n_het"), F.col("del").alias("n_deletions"))
+
+
+def transmitted_deletions(segments: DataFrame, keys: list[str], fathers_x: DataFrame | None = None) -> DataFrame:
+    """Deletions of parental haplotypes that a family's children show, with who inherited them.
+
+    ``segments`` has ``keys``, seg_id, start_pos, end_pos, dels (states of the mother's two and the
+    father's two haplotypes: 0 deleted, 1 intact), phases (individual, mat of 0 or 1, pat of 2
+    or 3) and is_hard. A haplotype that no child inherited in a segment is unknown there, but
+    where both of the parent are deleted. A deletion is a run of deleted segments within the
+    track (not at its ends) throughout which all children's phases on that side are known and
+    the same, none of it hard, and which at least one child inherited. With ``fathers_x`` (the
+    keys and haplotype, 2 or 3) only that one of the father's counts.
+
+    Columns: keys, haplotype (0 to 3), start_pos, end_pos, length (end - start + 1), opt_start_pos
+    (where the segment behind the last intact one begins, or the track's second one),
+    is_double (both of the parent are deleted where it begins), trans, notrans.
+    """
+    def inherited(hap: int) -> Column:
+        side = "mat" if hap < 2 else "pat"
+        return F.exists("phases", lambda x: x[side] == hap)
+
+    def own(side: str) -> Column:
+        return F.transform("phases", lambda x: F.struct(x.individual.alias("individual"), x[side].alias("phase")))
+
+    states = []
+    for hap in range(4):
+        pair = (0, 1) if hap < 2 else (2, 3)
+        both = (F.col("dels")[pair[0]] == 0) & (F.col("dels")[pair[1]] == 0)
+        state = F.when(F.coalesce(both, F.lit(False)) | F.coalesce(inherited(hap), F.lit(False)), F.col("dels")[hap])
+        states.append(F.struct(F.lit(hap).alias("haplotype"), state.alias("state"), F.coalesce(both, F.lit(False)).alias("double"), own("mat" if hap < 2 else "pat").alias("own")))
+    rows = segments.select(*keys, "seg_id", "start_pos", "end_pos", "is_hard", F.explode(F.array(*states)).alias("_s")).select("*", "_s.*").drop("_s")
+    if fathers_x is not None:
+        only = fathers_x.select(*[k for k in keys if k in fathers_x.columns], F.col("haplotype").alias("_x"))
+        rows = rows.join(only, [k for k in keys if k in fathers_x.columns]).where("haplotype < 2 or haplotype = _x").drop("_x")
+    track = [*keys, "haplotype"]
+    over = Window.partitionBy(*track).orderBy("start_pos", "seg_id")
+    is_gone = F.coalesce(F.col("state") == 0, F.lit(False))
+    behind = F.when(F.col("state") == 1, F.col("_next"))
+    rows = rows.withColumns({"_gone": is_gone, "_next": F.lead("start_pos").over(over), "_k": F.row_number().over(over), "_n": F.count("*").over(Window.partitionBy(*track))})
+    rows = rows.withColumns({"_opt": F.last(behind, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)), "_second": F.first("_next").over(over.rowsBetween(Window.unboundedPreceding, 0)), "_changed": F.col("_gone") != F.lag("_gone").over(over)})
+    runs = islands(rows, track, ["start_pos", "seg_id"], F.col("_changed"), "_run").where("_gone")
+    first = F.struct("_k", F.struct(F.coalesce("_opt", "_second").alias("opt"), "double", "own").alias("v"))
+    known = F.forall("own", lambda x: x.phase.isNotNull()) & ~F.col("is_hard")
+    found = runs.groupBy(*track, "_run").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.min(first).alias("_first"), F.min("own").alias("_low"), F.max("own").alias("_high"), F.every(known).alias("_known"), F.min("_k").alias("_from"), F.max("_k").alias("_to"), F.first("_n").alias("_n"))
+    found = found.where("_known and _low = _high and _from > 1 and _to < _n").withColumn("_v", F.col("_first.v"))
+
+    def children(has: bool) -> Column:
+        return F.array_sort(F.transform(F.filter("_v.own", lambda x: (x.phase == F.col("haplotype")) == has), lambda x: x.individual))
+
+    out = found.select(*track, "start_pos", "end_pos", (F.col("end_pos") - F.col("start_pos") + 1).alias("length"), F.col("_v.opt").alias("opt_start_pos"), F.col("_v.double").alias("is_double"), children(True).alias("trans"), children(False).alias("notrans"))
+    return out.where(F.size("trans") > 0)

@@ -87,3 +87,22 @@ def transmission_counts(genotypes: DataFrame, trios: DataFrame) -> DataFrame:
     passed = F.col("child_gt") - homs
     sound = calls.where((hets > 0) & passed.between(0, hets))
     return sound.groupBy(*SITE_KEYS).agg(F.sum(passed).alias("n_transmitted"), F.sum(hets - passed).alias("n_not_transmitted"))
+
+
+def null_allele_frequencies(genotypes: DataFrame) -> DataFrame:
+    """Allele frequencies and expected class shares at each site, without and with a null allele.
+
+    Without one (p0, q0) missing calls are left out; with one (p, q, r) they are those of two
+    null alleles, and a reference call may hide one: r = sqrt(missing), p = sqrt(r**2 + ref) - r,
+    q = 1 - r - p, all of shares. Expected shares are e0_ref, e0_het, e0_hom and e_ref, e_het,
+    e_hom, e_missing. Sites without any call have no p0 and q0.
+    """
+    counts = class_counts(genotypes)
+    called = F.col("n_ref") + F.col("n_het") + F.col("n_hom")
+    whole = (called + F.col("n_missing")).cast("double")
+    p0 = F.sqrt(F.try_divide(F.col("n_ref"), called))
+    r = F.sqrt(F.col("n_missing") / whole)
+    named = counts.withColumns({"p0": p0, "q0": 1 - p0, "r": r}).withColumn("p", F.sqrt(F.col("r") * F.col("r") + F.col("n_ref") / whole) - F.col("r")).withColumn("q", 1 - F.col("r") - F.col("p"))
+    p, q, r, p0, q0 = (F.col(n) for n in ("p", "q", "r", "p0", "q0"))
+    expected = {"e0_ref": p0 * p0, "e0_het": 2 * p0 * q0, "e0_hom": q0 * q0, "e_ref": p * p + 2 * p * r, "e_het": 2 * p * q, "e_hom": q * q + 2 * q * r, "e_missing": r * r}
+    return named.withColumns(expected)

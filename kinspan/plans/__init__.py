@@ -1,5 +1,5 @@
 """The registered queries over the driver tables."""
 
-from . import families, registry, selections
+from . import estimates, families, registry, selections
 
-__all__ = ["families", "registry", "selections"]
+__all__ = ["estimates", "families", "registry", "selections"]

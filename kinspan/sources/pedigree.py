@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import PEDIGREE
+from .stores import settled
 
 
 def read_pedigree(spark: SparkSession, path: str) -> DataFrame:
@@ -86,3 +87,21 @@ def quads(pedigree: DataFrame) -> DataFrame:
 def write_pedigree(pedigree: DataFrame, path: str) -> None:
     columns = [c for c in ("family", "individual", "father", "mother", "sex", "phenotype") if c in pedigree.columns]
     pedigree.select(*columns).na.fill("0", ["father", "mother"]).write.csv(path, sep="\t")
+
+
+def prune_generations(pedigree: DataFrame, samples: DataFrame) -> DataFrame:
+    """``pedigree`` without the individuals that have no sample and whose descendants have none
+    either: unsampled leaves go, then parents that have become leaves, and so on.
+
+    Who stays is who has a sample (``samples``: sample) or is an ancestor of one who stays; a
+    round takes one generation of parents upwards. An ancestor without a row of its own in
+    the pedigree ends the way; rows of circular descent are followed once.
+    """
+    up = settled(pedigree.select(F.col("individual").alias("child"), F.explode(F.array("mother", "father")).alias("individual")).where("individual is not null and child is not null").distinct(), "parents")
+    kept = settled(pedigree.select("individual").join(samples.select(F.col("sample").alias("individual")).distinct(), "individual", "left_semi").distinct(), "kept")
+    front = kept
+    while not front.isEmpty():
+        parents = up.join(front.withColumnRenamed("individual", "child"), "child", "left_semi").select("individual").distinct()
+        front = settled(parents.join(kept, "individual", "left_anti"), "front")
+        kept = settled(kept.unionByName(front), "kept")
+    return pedigree.join(kept, "individual", "left_semi").select(*pedigree.columns)
