@@ -81,20 +81,26 @@ def running(df: DataFrame, keys: list[str], pos: str, values: list[str], width:
     return parts.join(carried, [*keys, "_range"]).withColumns(sums).drop("_range", *[f"_{v}" for v in values])
 
 
-def merge_overlaps(df: DataFrame, keys: list[str], width: int = RANGE_WIDTH) -> DataFrame:
-    """Union of the intervals of each key as disjoint ones (touching ones join)."""
-    parts = df.select(*keys, "start_pos", "end_pos").withColumn("_range", F.floor(F.col("start_pos") / width))
+def with_union(df: DataFrame, keys: list[str], width: int = RANGE_WIDTH) -> DataFrame:
+    """``df`` and union_start: where the union of overlapping (or touching) intervals begins
+    that each row belongs to."""
+    parts = df.withColumn("_range", F.floor(F.col("start_pos") / width))
     ends = parts.groupBy(*keys, "_range").agg(F.max("end_pos").alias("_end"))
     reach = ends.select(*keys, "_range", F.max("_end").over(_before(keys)).alias("_reach"))
     inner = Window.partitionBy(*keys, "_range").orderBy("start_pos", "end_pos")
     earlier = inner.rowsBetween(Window.unboundedPreceding, -1)
     marked = parts.join(reach, [*keys, "_range"]).withColumn("_reach", F.greatest("_reach", F.max("end_pos").over(earlier)))
-    # The union that a row belongs to, by its first start.
     marked = marked.withColumn("_first", F.when(F.col("_reach").isNull() | (F.col("start_pos") > F.col("_reach")), F.col("start_pos")))
     firsts = marked.groupBy(*keys, "_range").agg(F.max("_first").alias("_last"))
     last = firsts.select(*keys, "_range", F.max("_last").over(_before(keys)).alias("_last"))
-    named = marked.join(last, [*keys, "_range"]).withColumn("_first", F.coalesce(F.max("_first").over(inner.rowsBetween(Window.unboundedPreceding, 0)), F.col("_last")))
-    return named.groupBy(*keys, F.col("_first").alias("start_pos")).agg(F.max("end_pos").alias("end_pos"))
+    named = marked.join(last, [*keys, "_range"]).withColumn("union_start", F.coalesce(F.max("_first").over(inner.rowsBetween(Window.unboundedPreceding, 0)), F.col("_last")))
+    return named.select(*df.columns, "union_start")
+
+
+def merge_overlaps(df: DataFrame, keys: list[str], width: int = RANGE_WIDTH) -> DataFrame:
+    """Union of the intervals of each key as disjoint ones (touching ones join)."""
+    named = with_union(df.select(*keys, "start_pos", "end_pos"), keys, width)
+    return named.groupBy(*keys, F.col("union_start").alias("start_pos")).agg(F.max("end_pos").alias("end_pos"))
 
 
 def _with_next(points: DataFrame, keys: list[str], width: int) -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.intervals import with_union
 from ..sources.stores import settled
 
 
@@ -35,13 +36,15 @@ def first_fit_clusters(intervals: DataFrame, keys: list[str], share: float = 0.5
     whose first member it overlaps by ``share`` of both lengths, or begins one.
 
     Equal intervals are one; clusters are named by the least iv_id of their first ones.
-    Intervals pass in order of start as a stream, an axis a task, and only first members
-    that reach beyond the current start are held: those differ in length by half or more
-    where they overlap, so that they are few.
+    Intervals that are in no common union cannot meet, so that unions are dealt over tasks.
+    Within one, intervals pass in order of start as a stream, and only first members that
+    reach beyond the current start are held: those differ in length by half or more where
+    they overlap, so that they are few.
     """
     different = intervals.groupBy(*keys, "start_pos", "end_pos").agg(F.min("iv_id").alias("name"))
-    dealt = different.repartition(*keys).sortWithinPartitions(*keys, "start_pos", "end_pos")
     types = dict(different.dtypes)
+    united = with_union(different, keys)
+    dealt = united.repartition(*keys, "union_start").sortWithinPartitions(*keys, "union_start", "start_pos", "end_pos")
     schema = ", ".join(f"{c} {types[c]}" for c in [*keys, "start_pos", "end_pos"]) + ", cluster long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,7 +52,7 @@ def first_fit_clusters(intervals: DataFrame, keys: list[str], share: float = 0.5
         for batch in batches:
             names = []
             for row in batch.itertuples(index=False):
-                here = tuple(getattr(row, k) for k in keys)
+                here = (*(getattr(row, k) for k in keys), row.union_start)
                 heads = [h for h in heads if h[1] > row.start_pos] if here == axis else []
                 axis = here
                 for start, end, name in heads:

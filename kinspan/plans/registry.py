@@ -339,6 +339,7 @@ def mad_outliers(spark, sf_dir):
 
 @query("SELECT CAST(CASE WHEN o_totalprice = 500000 THEN 49 ELSE floor(o_totalprice / 10000.0) END AS INT) AS bin, count(*) AS n FROM orders WHERE o_totalprice BETWEEN 0 AND 500000 GROUP BY 1")
 def histogram(spark, sf_dir):
+    """Bins of a fixed range; what lies outside it is in no bin."""
     return association.histogram(p.table(spark, sf_dir, "orders"), F.col("o_totalprice"), 0.0, 500000.0, 50)
 
 
@@ -383,7 +384,7 @@ def set_ops(spark, sf_dir):
 
 
 SESSION_SQL = """WITH e AS (
-  SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events WHERE event_type = 'click'
+  SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events
 ), s AS (SELECT *, sum(CASE WHEN epoch_us(ts) - epoch_us(before) >= 7200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e)
 SELECT user_id, count(*) AS n_recombinations, CAST(floor(min(epoch_us(ts)) / 1000000.0) AS BIGINT) AS first_second, CAST(floor(max(epoch_us(ts)) / 1000000.0) AS BIGINT) AS last_second, count(*) % 2 = 0 AS is_gene_conversion FROM s GROUP BY user_id, g"""
 
@@ -392,8 +393,8 @@ SELECT user_id, count(*) AS n_recombinations, CAST(floor(min(epoch_us(ts)) / 100
 def session_events(spark, sf_dir):
     from ..streaming.recombination_stream import event_sessions
 
-    clicks = p.table(spark, sf_dir, "events").where("event_type = 'click'").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    sessions = event_sessions(clicks, "2 hours", "1 day", ["user_id"])
+    events = p.table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    sessions = event_sessions(events, "2 hours", "1 day", ["user_id"])
     return sessions.select("user_id", "n_recombinations", F.unix_seconds("first_ts").alias("first_second"), F.unix_seconds("last_ts").alias("last_second"), "is_gene_conversion")
 
 

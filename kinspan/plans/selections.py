@@ -23,9 +23,9 @@ def standard_families(spark, sf_dir):
     return selections.standard_families(rows.withColumn("dels", F.array_repeat("m1_del", F.when(F.col("family") % 7 == 3, 6).otherwise(4))))
 
 
-@query(_sql(p.SEGMENT_SQL, "SELECT family, count(DISTINCT chrom) AS n_chroms, count(DISTINCT chrom) = 3 AS is_fully_phased FROM segment WHERE v % 13 = 0 GROUP BY family"))
+@query(_sql(p.SEGMENT_SQL, "SELECT family, count(DISTINCT chrom) AS n_chroms, count(DISTINCT chrom) = 3 AS is_fully_phased FROM segment GROUP BY family"))
 def fully_phased_families(spark, sf_dir):
-    return selections.fully_phased(p.segment(spark, sf_dir).where("v % 13 = 0"), "family", 3)
+    return selections.fully_phased(p.segment(spark, sf_dir), "family", 3)
 
 
 PAIRS_SQL = "pairs AS (SELECT a.family, a.individual AS sibling1, b.individual AS sibling2, a.individual % 5 <> 0 AS is_fully_phased, a.individual % 7 = 0 AS is_ibd_outlier, b.individual % 11 = 0 AS is_crossover_outlier, CAST(a.phenotype = 2 AS INT) + CAST(b.phenotype = 2 AS INT) AS n_affected FROM pedigree a JOIN pedigree b ON a.family = b.family AND a.individual < b.individual WHERE a.mother IS NOT NULL AND b.mother IS NOT NULL)"
@@ -154,16 +154,16 @@ def peak_positions(spark, sf_dir):
 MARKER_SQL = "marker AS (SELECT DISTINCT CAST(l_suppkey % 22 + 1 AS INT) AS chrom, CAST(floor(epoch_us(l_shipdate) / 86400000000.0) AS BIGINT) AS pos FROM lineitem)"
 
 
-@query(_sql(MARKER_SQL, p.REGION_SQL, "SELECT chrom, pos FROM marker m WHERE EXISTS (SELECT 1 FROM region_ r WHERE r.category < 'Brand#15' AND r.chrom = m.chrom AND m.pos BETWEEN r.start_pos AND r.end_pos)"))
+@query(_sql(MARKER_SQL, p.REGION_SQL, "SELECT chrom, pos FROM marker m WHERE EXISTS (SELECT 1 FROM region_ r WHERE r.chrom = m.chrom AND m.pos BETWEEN r.start_pos AND r.end_pos)"))
 def markers_in_regions(spark, sf_dir):
     markers = p.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 22 + 1).cast("int").alias("chrom"), p.day("l_shipdate").alias("pos")).distinct()
-    return intervals.covered_points(markers, p.region(spark, sf_dir).where("category < 'Brand#15'"), ["chrom"], 256)
+    return intervals.covered_points(markers, p.region(spark, sf_dir), ["chrom"], 256)
 
 
-@query(_sql(p.INTERVAL_SQL, p.REGION_SQL, "c AS (SELECT * FROM interval_ WHERE is_mat = 1), t AS (SELECT * FROM region_ WHERE category < 'Brand#13'), pairs AS (SELECT iv_id, region_id AS truth_id, least(c.end_pos, t.end_pos) - greatest(c.start_pos, t.start_pos) AS n, c.end_pos - c.start_pos AS cl, t.end_pos - t.start_pos AS tl FROM c JOIN t ON c.chrom = t.chrom AND c.start_pos < t.end_pos AND t.start_pos < c.end_pos)", "SELECT iv_id, truth_id, round(n / CAST(cl AS DOUBLE), 6) AS call_share, round(n / CAST(tl AS DOUBLE), 6) AS truth_share FROM pairs UNION ALL SELECT NULL, region_id, NULL, NULL FROM t WHERE region_id NOT IN (SELECT truth_id FROM pairs) UNION ALL SELECT iv_id, NULL, NULL, NULL FROM c WHERE iv_id NOT IN (SELECT iv_id FROM pairs)"))
+@query(_sql(p.INTERVAL_SQL, p.REGION_SQL, "c AS (SELECT * FROM interval_), t AS (SELECT * FROM region_), pairs AS (SELECT iv_id, region_id AS truth_id, least(c.end_pos, t.end_pos) - greatest(c.start_pos, t.start_pos) AS n, c.end_pos - c.start_pos AS cl, t.end_pos - t.start_pos AS tl FROM c JOIN t ON c.chrom = t.chrom AND c.start_pos < t.end_pos AND t.start_pos < c.end_pos)", "SELECT iv_id, truth_id, round(n / CAST(cl AS DOUBLE), 6) AS call_share, round(n / CAST(tl AS DOUBLE), 6) AS truth_share FROM pairs UNION ALL SELECT NULL, region_id, NULL, NULL FROM t WHERE region_id NOT IN (SELECT truth_id FROM pairs) UNION ALL SELECT iv_id, NULL, NULL, NULL FROM c WHERE iv_id NOT IN (SELECT iv_id FROM pairs)"))
 def truth_matches(spark, sf_dir):
-    truth = p.region(spark, sf_dir).where("category < 'Brand#13'").withColumnRenamed("region_id", "truth_id")
-    return matching.truth_matches(p.interval(spark, sf_dir).where("is_mat = 1"), truth, ["chrom"], 64)
+    truth = p.region(spark, sf_dir).withColumnRenamed("region_id", "truth_id")
+    return matching.truth_matches(p.interval(spark, sf_dir), truth, ["chrom"], 64)
 
 
 @query("SELECT c_custkey AS family, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS in_second FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')")
@@ -209,9 +209,9 @@ def track_concordance(spark, sf_dir):
     return matching.track_concordance(one, two, TRACK, 100_000)
 
 
-@query(_sql(p.INTERVAL_SQL, p.REGION_SQL, "c AS (SELECT DISTINCT iv_id, category, CASE WHEN iv_id % 3 = 0 THEN 1 ELSE 0 END AS m FROM interval_ i JOIN region_ r ON i.chrom = r.chrom AND i.start_pos < r.end_pos AND r.start_pos < i.end_pos WHERE is_mat = 1), s AS (SELECT category, count(*) AS n, CAST(sum(m) AS BIGINT) AS k FROM c GROUP BY category), q AS (SELECT *, n + 3.8414588206941245 AS mo, (k + 1.9207294103470622) / (n + 3.8414588206941245) AS ce FROM s)", "SELECT category, n, k, round(k / CAST(n AS DOUBLE), 5) AS precision_, round(greatest(ce - 1.959963984540054 * sqrt(ce * (1 - ce) / mo), 0), 5) AS low, round(least(ce + 1.959963984540054 * sqrt(ce * (1 - ce) / mo), 1), 5) AS high FROM q"))
+@query(_sql(p.INTERVAL_SQL, p.REGION_SQL, "c AS (SELECT DISTINCT iv_id, category, is_mat AS m FROM interval_ i JOIN region_ r ON i.chrom = r.chrom AND i.start_pos < r.end_pos AND r.start_pos < i.end_pos), s AS (SELECT category, count(*) AS n, CAST(sum(m) AS BIGINT) AS k FROM c GROUP BY category), q AS (SELECT *, n + 3.8414588206941245 AS mo, (k + 1.9207294103470622) / (n + 3.8414588206941245) AS ce FROM s)", "SELECT category, n, k, round(k / CAST(n AS DOUBLE), 5) AS precision_, round(greatest(ce - 1.959963984540054 * sqrt(ce * (1 - ce) / mo), 0), 5) AS low, round(least(ce + 1.959963984540054 * sqrt(ce * (1 - ce) / mo), 1), 5) AS high FROM q"))
 def precision_by_class(spark, sf_dir):
-    called = p.interval(spark, sf_dir).where("is_mat = 1").withColumn("is_match", (F.col("iv_id") % 3 == 0).cast("int"))
+    called = p.interval(spark, sf_dir).withColumn("is_match", F.col("is_mat"))
     found = matching.class_rates(called, p.region(spark, sf_dir), ["chrom"], 64)
     return found.withColumns({c: F.round(c, 5) for c in ("precision_", "low", "high")})
 
@@ -270,10 +270,9 @@ def sibling_difference(spark, sf_dir):
     return summaries.sibling_difference(p.genotype(spark, sf_dir), children)
 
 
-@query(_sql(p.INTERVAL_SQL, p.REGION_SQL, "s AS (SELECT iv_id, list_sort(list(DISTINCT region_id)) AS m FROM interval_ i JOIN region_ r ON i.chrom = r.chrom AND i.start_pos < r.end_pos AND r.start_pos < i.end_pos WHERE category < 'Brand#13' GROUP BY iv_id)", "SELECT min(iv_id) AS first_owner, CAST(len(m) AS BIGINT) AS n_members, count(*) AS n_equal FROM s GROUP BY m"))
+@query(_sql(p.INTERVAL_SQL, p.REGION_SQL, "s AS (SELECT iv_id, list_sort(list(DISTINCT region_id)) AS m FROM interval_ i JOIN region_ r ON i.chrom = r.chrom AND i.start_pos < r.end_pos AND r.start_pos < i.end_pos GROUP BY iv_id)", "SELECT min(iv_id) AS first_owner, CAST(len(m) AS BIGINT) AS n_members, count(*) AS n_equal FROM s GROUP BY m"))
 def equal_collections(spark, sf_dir):
-    regions = p.region(spark, sf_dir).where("category < 'Brand#13'")
-    members = intervals.overlap_join(p.interval(spark, sf_dir), regions, ["chrom"], 64)
+    members = intervals.overlap_join(p.interval(spark, sf_dir), p.region(spark, sf_dir), ["chrom"], 64)
     return summaries.equal_collections(members, "iv_id", "r_region_id")
 
 
@@ -379,9 +378,9 @@ def dosage_states(spark, sf_dir):
     return summaries.dosage_states(genotypes.trio_calls(p.genotype(spark, sf_dir), p.trios(spark, sf_dir)), kids)
 
 
-@query(_sql(p.SEGMENT_SQL, "t AS (SELECT family, round(-2 * sum(ln((v % 100 + 1) / 101.0)), 6) AS statistic, count(*) AS k FROM segment WHERE v % 20 < 3 GROUP BY family), s AS (SELECT family, statistic, k, unnest(range(0, k)) AS i FROM t)", "SELECT family, statistic, k, round(sum(exp(i * ln(statistic / 2) - lgamma(i + 1) - statistic / 2)), 6) AS p FROM s GROUP BY family, statistic, k"))
+@query(_sql(p.SEGMENT_SQL, "t AS (SELECT family, round(-2 * sum(ln((v % 100 + 1) / 101.0)), 6) AS statistic, count(*) AS k FROM segment GROUP BY family), s AS (SELECT family, statistic, k, unnest(range(0, k)) AS i FROM t)", "SELECT family, statistic, k, round(sum(exp(i * ln(statistic / 2) - lgamma(i + 1) - statistic / 2)), 6) AS p FROM s GROUP BY family, statistic, k"))
 def combined_p_values(spark, sf_dir):
-    tests = p.segment(spark, sf_dir).where("v % 20 < 3").select("family", ((F.col("v") % 100 + 1) / 101.0).alias("p"))
+    tests = p.segment(spark, sf_dir).select("family", ((F.col("v") % 100 + 1) / 101.0).alias("p"))
     return stats.fisher_combined(tests, "p", ["family"]).withColumn("p", F.round("p", 6))
 
 
