@@ -139,6 +139,20 @@ def points_within(intervals: DataFrame, points: DataFrame, keys: list[str], widt
     return summed.groupBy("iv_id").agg(F.sum(F.col("_sign") * F.col("n_before")).alias("n"))
 
 
+def overlap_counts(intervals: DataFrame, partners: DataFrame, keys: list[str], width: int = RANGE_WIDTH, slop: int = 0) -> DataFrame:
+    """(keys, start_pos, end_pos, n): how many of ``partners`` (widened by ``slop``) overlap each
+    different interval: those that begin before its end less those that end by its begin.
+    No pairs are formed, however many there are."""
+    bound = lambda pos, opens, shuts: F.struct(pos.cast("long").alias("pos"), F.lit(opens).alias("_open"), F.lit(shuts).alias("_shut"))
+    given = partners.select(*keys, F.explode(F.array(bound(F.col("start_pos") - slop, 1, 0), bound(F.col("end_pos") + slop, 0, 1))).alias("_b")).select(*keys, "_b.*")
+    sides = F.explode(F.array(F.struct(F.col("start_pos").cast("long").alias("pos"), F.lit(True).alias("_begins")), F.struct(F.col("end_pos").cast("long").alias("pos"), F.lit(False).alias("_begins"))))
+    own = intervals.select(*keys, "start_pos", "end_pos").distinct().select(*keys, "start_pos", "end_pos", sides.alias("_s")).select(*keys, "start_pos", "end_pos", "_s.*", F.lit(0).alias("_open"), F.lit(0).alias("_shut"))
+    both = own.unionByName(given, allowMissingColumns=True)
+    summed = running(both, keys, "pos", ["_open", "_shut"], width).where("_begins is not null")
+    n = F.when(F.col("_begins"), -F.col("_shut_upto")).otherwise(F.col("_open_before"))
+    return summed.groupBy(*keys, "start_pos", "end_pos").agg(F.sum(n).alias("n"))
+
+
 def covered_points(points: DataFrame, intervals: DataFrame, keys: list[str], width: int = RANGE_WIDTH) -> DataFrame:
     """The ``points`` (keys, pos) that lie in an interval, both of its bounds included."""
     rest = [c for c in points.columns if c not in [*keys, "pos"]]

@@ -102,12 +102,16 @@ def reciprocal_pairs(intervals: DataFrame, keys: list[str], share: float = 0.5)
         df = df.withColumn("_width", F.expr("shiftleft(1L, _class)"))
         return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / F.col("_width")), F.floor(F.col(end) / F.col("_width")))))
 
-    one = dealt(own.withColumn("_class", F.explode(F.array(F.col("_size") - 1, F.col("_size"), F.col("_size") + 1))), "start_pos", "end_pos")
+    # A pair arises once: from the one of the larger class, of one class from the lower iv_id.
+    one = dealt(own.withColumn("_class", F.explode(F.array(F.col("_size") - 1, F.col("_size")))), "start_pos", "end_pos")
     two = dealt(own.select(*keys, F.col("iv_id").alias("r_iv_id"), F.col("start_pos").alias("r_start_pos"), F.col("end_pos").alias("r_end_pos"), F.col("_size").alias("_class")), "r_start_pos", "r_end_pos").drop("_width")
     first = F.col("_bin") == F.greatest(F.floor(F.col("start_pos") / F.col("_width")), F.floor(F.col("r_start_pos") / F.col("_width")))
     meets = (F.col("start_pos") < F.col("r_end_pos")) & (F.col("r_start_pos") < F.col("end_pos"))
     columns = (F.col(c) for c in ("start_pos", "end_pos", "r_start_pos", "r_end_pos"))
-    return one.join(two, [*keys, "_class", "_bin"]).where((F.col("iv_id") != F.col("r_iv_id")) & first & meets & reciprocal(*columns, share)).select("iv_id", "r_iv_id")
+    once = (F.col("_size") > F.col("_class")) | (F.col("iv_id") < F.col("r_iv_id"))
+    pairs = one.join(two, [*keys, "_class", "_bin"]).where(once & first & meets & reciprocal(*columns, share))
+    ways = F.explode(F.array(F.struct("iv_id", "r_iv_id"), F.struct(F.col("r_iv_id").alias("iv_id"), F.col("iv_id").alias("r_iv_id"))))
+    return pairs.select(ways.alias("_w")).select("_w.*")
 
 
 def private(intervals: DataFrame, keys: list[str]) -> DataFrame:

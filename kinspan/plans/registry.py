@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import PhaseConfig
 from ..functions import intervals, stats
 from ..operators import association, deletions, genotypes, greedy, hmm, ibd, inference, matching, recombination
+from ..sources.stores import settled
 from . import projections as p
 
 CUTOFF = 20000
@@ -247,7 +248,7 @@ MATCH_SQL = EVENT_SQL + """, named AS (SELECT *, row_number() OVER () AS k FROM
 
 @query(MATCH_SQL + " SELECT is_mat, CAST(n_called AS BIGINT) AS n_called, CAST(n_matched AS BIGINT) AS n_matched, CAST(n_truth AS BIGINT) AS n_truth, CAST(n_truth_matched AS BIGINT) AS n_truth_matched, round(n_matched / nullif(CAST(n_called AS DOUBLE), 0), 6) AS precision_, round(n_truth_matched / nullif(CAST(n_truth AS DOUBLE), 0), 6) AS recall FROM sums")
 def precision_recall(spark, sf_dir):
-    found = _events(spark, sf_dir).withColumn("side", F.col("is_mat").cast("int")).drop("recombinations")
+    found = settled(_events(spark, sf_dir).withColumn("side", F.col("is_mat").cast("int")).drop("recombinations"), "events")
     return matching.match_rates(found.where("not is_gene_conversion"), found.where("is_gene_conversion"), ["family", "chrom", "side"], 100_000, 50_000, F.col("side")).withColumnRenamed("by", "is_mat")
 
 
