@@ -235,10 +235,20 @@ def union_coverage(spark, sf_dir):
     return association.covered_share(own.where("is_mat = 1"), other, ["chrom"], 64).select("iv_id", "covered", "share")
 
 
-@query(COVERAGE_SQL)
+COVERAGE_ALL_SQL = "WITH " + p.INTERVAL_SQL + """, reach AS (
+  SELECT *, max(end_pos) OVER (PARTITION BY chrom, is_mat ORDER BY start_pos, end_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM interval_
+), numbered AS (SELECT *, sum(CASE WHEN start_pos > r THEN 1 ELSE 0 END) OVER (PARTITION BY chrom, is_mat ORDER BY start_pos, end_pos ROWS UNBOUNDED PRECEDING) AS g FROM reach
+), merged AS (SELECT chrom, is_mat, min(start_pos) AS s, max(end_pos) AS e FROM numbered GROUP BY chrom, is_mat, g
+), sums AS (SELECT i.iv_id, sum(least(i.end_pos, m.e) - greatest(i.start_pos, m.s)) AS c FROM interval_ i JOIN merged m ON i.chrom = m.chrom AND i.is_mat <> m.is_mat AND i.start_pos < m.e AND m.s < i.end_pos GROUP BY i.iv_id)
+SELECT i.iv_id, CAST(coalesce(c, 0) AS BIGINT) AS covered, round(coalesce(c, 0) / CAST(i.end_pos - i.start_pos AS DOUBLE), 6) AS share FROM interval_ i LEFT JOIN sums USING (iv_id)"""
+
+
+@query(COVERAGE_ALL_SQL)
 def union_coverage_all(spark, sf_dir):
-    """The name under which union_coverage over all partners was registered first."""
-    return union_coverage(spark, sf_dir)
+    """Every interval, of either parent, against the union of the other parent's."""
+    own = p.interval(spark, sf_dir)
+    other = intervals.merge_overlaps(own.select("chrom", (1 - F.col("is_mat")).alias("side"), "start_pos", "end_pos"), ["chrom", "side"], 256)
+    return association.covered_share(own.withColumn("side", F.col("is_mat")), other, ["chrom", "side"], 64).select("iv_id", "covered", "share")
 
 
 MATCH_SQL = EVENT_SQL + """, named AS (SELECT *, row_number() OVER () AS k FROM event), called AS (SELECT * FROM named WHERE n % 2 = 1), truth AS (SELECT * FROM named WHERE n % 2 = 0), pairs AS (SELECT c.k AS ck, t.k AS tk FROM called c JOIN truth t ON c.family = t.family AND c.chrom = t.chrom AND c.side = t.side AND c.start_pos < t.end_pos + 50000 AND t.start_pos - 50000 < c.end_pos
