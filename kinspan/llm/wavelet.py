@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from .bpe import Known, RunWise, batches_of, byte_characters
+from .runs import RunTable, blocks_of, different_runs
 from .shared import arrow_folder, n_partitions, read_table, shared_folder, written
-from .words import CHUNK_BYTES, chunks, mix, powers, ranges
+from .words import CHUNK_BYTES, chunks
 
 #: Ids after which a shard ends (with the document that reaches them).
 SHARD_TOKENS = 1 << 22
@@ -234,56 +235,6 @@ class ShardReader:
             start = end
 
 
-class RunTable:
-    """Ids of runs by two 64-bit hashes of their bytes, as arrays; bounded in entries."""
-
-    def __init__(self, kind: np.dtype, entries: int):
-        self.bits = (2 * entries - 1).bit_length()
-        self.keys, self.entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-        self.check, self.start, self.size = np.zeros(entries, np.uint64), np.zeros(entries + 1, np.int64), np.zeros(entries, np.int32)
-        self.ids = np.zeros(4 * entries, kind)
-        self.n = 0
-
-    def find(self, keys: np.ndarray, check: np.ndarray) -> np.ndarray:
-        """The entries of different runs, -1 where one isn't known."""
-        out = np.full(len(keys), -1, np.int32)
-        left, slot = np.arange(len(keys)), (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        while len(left):
-            held, entry = self.keys[slot], self.entry[slot]
-            hit = (held == keys[left]) & (self.check[entry] == check[left])
-            out[left[hit]] = entry[hit]
-            go = ~hit & (held != 0)
-            left, slot = left[go], (slot[go] + 1) & ((1 << self.bits) - 1)
-        return out
-
-    def add(self, keys: np.ndarray, check: np.ndarray, ids: list[bytes]) -> np.ndarray:
-        """Enters runs that are not known; their entries."""
-        flat = np.frombuffer(b"".join(ids), self.ids.dtype)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.ids.itemsize
-        at = int(self.start[self.n])
-        if at + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(flat), self.ids.dtype)])
-        new = np.arange(self.n, self.n + len(ids), dtype=np.int32)
-        self.ids[at : at + len(flat)] = flat
-        self.size[new], self.check[new] = sizes, check
-        self.start[self.n + 1 : self.n + 1 + len(ids)] = at + np.cumsum(sizes)
-        self.n += len(ids)
-        left, slot = np.arange(len(ids)), (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        while len(left):
-            free = self.keys[slot] == 0
-            # Of several for one slot the last one written stays.
-            self.entry[slot[free]] = new[left[free]]
-            mine = free & (self.entry[slot] == new[left])
-            self.keys[slot[mine]] = keys[left[mine]]
-            left, slot = left[~mine], (slot[~mine] + 1) & ((1 << self.bits) - 1)
-        return new
-
-    def gather(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of runs one behind the other, and how many each has."""
-        size = self.size[entry].astype(np.int64)
-        return self.ids[np.repeat(self.start[entry], size) + ranges(size)], size
-
-
 def run_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where the runs of some texts (UTF-8 bytes and their n + 1 offsets) begin: at each
     text's begin and at single spaces between two visible characters of a text."""
@@ -350,7 +301,6 @@ class LibraryEncoder(RunWise):
             cutter.pre_tokenizer = pre_tokenizers.Split(mark, behaviour)
             self.cutters.append(cutter)
         self.known = RunTable(self.kind, KNOWN_RUNS)
-        self.values = [mix(np.arange(256, dtype=np.uint64) + np.uint64(k << 8)) | np.uint64(1) for k in (1, 2)]
 
     def _each(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -387,7 +337,7 @@ class LibraryEncoder(RunWise):
             ends = np.append(starts[1:], len(data))[: len(starts)]
             sizes, parts = np.zeros(len(starts), np.int64), [np.zeros(0, self.kind)]
             # A text that is longer than a chunk comes in blocks of runs.
-            for lo, hi in _blocks(starts, ends, CHUNK_BYTES):
+            for lo, hi in blocks_of(starts, ends, CHUNK_BYTES):
                 flat, sizes[lo:hi] = self._runs(data[starts[lo] : ends[hi - 1]], starts[lo:hi] - starts[lo], ends[lo:hi] - starts[lo])
                 parts.append(flat)
             ids = np.concatenate(parts)
@@ -396,15 +346,7 @@ class LibraryEncoder(RunWise):
 
     def _runs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of runs one behind the other, and how many each has."""
-        forward, back = powers(len(data) + 1)
-        hashes = []
-        for values in self.values:
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(values[data] * forward[: len(data)], out=sums[1:])
-            hashes.append(mix((sums[ends] - sums[starts]) * back[starts]))
-        key, check = hashes[0] | np.uint64(1), hashes[1]
-        _, at, which = np.unique(key ^ check, return_index=True, return_inverse=True)
-        key, check = key[at], check[at]
+        key, check, at, which = different_runs(data, starts, ends)
         if self.known.n + len(at) > KNOWN_RUNS:
             self.known = RunTable(self.kind, max(KNOWN_RUNS, len(at)))
         entry = self.known.find(key, check)
@@ -421,15 +363,6 @@ class LibraryEncoder(RunWise):
         return self.known.gather(entry[which])
 
 
-def _blocks(starts: np.ndarray, ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
-    """Ranges of runs of about ``size`` bytes each."""
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + size, "right")))
-        yield at, to
-        at = to
-
-
 @contextmanager
 def collector_at_rest() -> Iterator[None]:
     """No garbage collection meanwhile: millions of strings and no cycles among them."""
@@ -506,6 +439,7 @@ def read_shards(index: DataFrame, folder: str) -> DataFrame:
 
 
 def op5_wavelet_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all documents as shards and reads every one back; see write_shards for odd rows."""
     folder = shared_folder(spark, "wavelet")
     index = write_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
     return read_shards(index, folder)
