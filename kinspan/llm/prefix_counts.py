@@ -10,7 +10,8 @@ is the running sum over its pieces with the counts within each; the tokens of th
 whether it exceeds a budget, and where it has to be cut are read from that table and
 nothing is encoded again.
 
-The pieces that a batch of texts brings are filled in side by side, an array step a byte.
+Runs between spaces are found, hashed and looked up as arrays. The pieces of those that a
+batch brings anew are filled in side by side, an array step a byte.
 """
 
 from __future__ import annotations
@@ -25,19 +26,26 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import END, LONG_PIECE, Automaton, Known, MergeTable, batches_of, parts_of
+from .bpe import END, Automaton, MergeTable
+from .runs import RunTable, blocks_of, different_runs
 from .shared import read_table
-from .words import ranges
+from .words import CHUNK_BYTES, chunks, ranges
 
 TOKEN_LIMIT = 2048
 #: The pattern of the pieces of a vocabulary that marks word ends.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+#: Runs between spaces whose tables a worker keeps (about 90 bytes each).
+KNOWN_RUNS = 1 << 20
+_ENTRY = np.dtype("<u4")
+#: Bytes of a piece that are filled in alone in the time of a step of many pieces.
+ALONE = 40
 #: Code points up to which a piece is taken anew rather than gone on with.
 SHORT_TAIL = 8
 #: Runs between spaces of a text whose table is held at once.
@@ -119,7 +127,7 @@ class PrefixCounter:
         final = [(s[:-1].encode("latin-1"), i) for s, i in table.ids.items() if s.endswith(END)]
         self.reader = Automaton([w for w, _ in inner + final])
         nodes = np.array(self.reader.node_of)
-        self.known = Known()
+        self.known = RunTable(_ENTRY, KNOWN_RUNS)
         self.size = np.zeros(len(table.text), np.int32)  # bytes of a token, its end mark not counted
         self.shorter = np.full(len(table.text), -1, np.int32)  # the next shorter token that ends there too
         self.ending: list[np.ndarray] = []
@@ -148,8 +156,10 @@ class PrefixCounter:
         base = np.zeros(len(raw), np.int64)
         base[order] = np.cumsum(length[order]) - length[order]
         data = np.frombuffer(b"".join([raw[i] for i in order.tolist()]), np.uint8)
-        # Long ones apart, so that the others are filled in side by side with their like.
-        n = int((length > LONG_PIECE).sum())
+        # A step side by side takes as long as ALONE bytes of a piece alone: the longest ones
+        # go alone as far as the others then have so many fewer steps.
+        falling = np.append(length[order], 0)
+        n = int(np.argmin(np.append(0, np.cumsum(falling[:-1])) + ALONE * falling))
         ends = np.cumsum(length[order[:n]]).tolist()
         held = ends[-1] if n else 0
         states = self.reader.states(data[:held], length[order[:n]])
@@ -382,51 +392,61 @@ class PrefixCounter:
             out.append(table)
         return out
 
-    def tables(self, texts: list[str], known: Known) -> Iterator[Iterator[np.ndarray]]:
-        """Of each text its table in parts: tokens of the prefixes of 1, 2, ... code points."""
-        if len(texts) == 1 and len(parts := parts_of(texts[0])) > 1:
-            yield self._long_table(parts, known)
-            return
-        split = [t.split(" ") for t in texts]
-        seen: set[str] = set()
-        for runs in split:
-            seen.update(runs)
-        missing = known.missing(seen)
-        known.add(dict(zip(missing, self.run_tables(missing, known.new), strict=True)))
-        for runs in split:
-            yield self._table(runs, known.new)
-        known.turn()
-
-    def _long_table(self, parts: list[str], known: Known) -> Iterator[np.ndarray]:
-        held = np.uint32(0)
-        for part in parts:
-            for counts in next(self.tables([part], known)):
-                last = counts[-1] if len(counts) else np.uint32(0)
-                yield counts + held
-            held = held + last
-            known.turn()
+    def tables(self, column: pa.Array) -> Iterator[list[tuple[int, np.ndarray]]]:
+        """Number and table (tokens of the prefixes of 1, 2, ... code points) of the texts of a
+        column, some at a time; the table of a long text comes in several parts."""
+        for first, _, data, offsets in chunks(column):
+            spaces = np.flatnonzero(data == 32)
+            starts, ends = np.sort(np.append(offsets[:-1], spaces + 1)), np.sort(np.append(offsets[1:], spaces))
+            # The runs of text i are those from begins[i] to begins[i + 1].
+            begins = np.arange(len(offsets)) + np.searchsorted(spaces, offsets)
+            held = np.uint32(0)
+            for lo, hi in self._blocks(starts, ends):
+                flat, sizes = self._runs(data[starts[lo] : ends[hi - 1]], starts[lo:hi] - starts[lo], ends[lo:hi] - starts[lo])
+                stops = np.cumsum(sizes)
+                totals = flat[stops - 1]
+                before = np.cumsum(totals, dtype=np.uint32) - totals
+                texts = np.arange(np.searchsorted(begins, lo, "right") - 1, np.searchsorted(begins, hi, "left"))
+                heads = np.maximum(begins[texts], lo) - lo
+                owner = np.repeat(np.arange(len(texts)), np.diff(np.append(heads, hi - lo)))
+                base = before - before[heads][owner]
+                if begins[texts[0]] < lo:
+                    base[owner == 0] += held
+                flat = flat + np.repeat(base, sizes)
+                held = flat[-1]
+                edges = [*(stops[heads] - sizes[heads]).tolist(), len(flat)]
+                out = []
+                for k, (text, a, b) in enumerate(zip(texts.tolist(), edges, edges[1:], strict=False)):
+                    # No space follows a text's last run.
+                    whole = begins[text + 1] <= hi
+                    out.append((first + text, flat[a : b - 1] if whole else flat[a:b]))
+                yield out
 
     @staticmethod
-    def _table(runs: list[str], known: dict[str, bytes]) -> Iterator[np.ndarray]:
-        held = 0
-        for lo in range(0, len(runs), TABLE_RUNS):
-            part = runs[lo : lo + TABLE_RUNS]
-            flat = np.frombuffer(b"".join(map(known.__getitem__, part)), "<u4")
-            # A run's width is that up to the space after it; the last one's space is none.
-            points = np.frombuffer(" ".join(part).encode("utf-32-le", "surrogatepass"), "<u4")
-            ends = np.append(np.flatnonzero(points == 32), len(points))
-            totals = flat[ends]
-            flat = flat + np.repeat((held + np.cumsum(totals) - totals).astype("<u4"), np.diff(ends, prepend=-1))
-            held += int(totals.sum())
-            yield flat if lo + TABLE_RUNS < len(runs) else flat[:-1]
+    def _blocks(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+        for lo, hi in blocks_of(starts, ends, CHUNK_BYTES):
+            for at in range(lo, hi, TABLE_RUNS):
+                yield at, min(hi, at + TABLE_RUNS)
+
+    def _runs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tables of runs one behind the other, and how many entries each has."""
+        key, check, at, which = different_runs(data, starts, ends)
+        if self.known.n + len(at) > self.known.entries:
+            self.known = RunTable(_ENTRY, max(KNOWN_RUNS, len(at)))
+        entry = self.known.find(key, check)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            raw = data.tobytes()
+            runs = [raw[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
+            entry[new] = self.known.add(key[new], check[new], self.run_tables(runs, {}))
+        return self.known.gather(entry[which])
 
     def count(self, text: str) -> int:
-        last = [part[-1] for part in next(self.tables([text], Known())) if len(part)]
-        return int(last[-1]) if last else 0
+        return int(self.table_of(text)[-1])
 
     def table_of(self, text: str) -> np.ndarray:
         """Tokens of the prefixes of 0, 1, 2, ... code points."""
-        return np.concatenate([[0], *next(self.tables([text], Known()))])
+        return np.concatenate([np.zeros(1, np.uint32), *(part for batch in self.tables(pa.array([text])) for _, part in batch)])
 
 
 _letters, _marks = regex.compile(r"\p{L}*"), regex.compile(r"[^\p{White_Space}\p{L}\p{N}]*")
@@ -460,12 +480,27 @@ def prefix_tables(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = counter(path)
         for batch in batches:
-            at = 0
-            for texts in batches_of(batch.column("text")):
-                found = [np.concatenate([[0], *parts]).astype(np.int32) for parts in prefixes.tables(texts, prefixes.known)]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *found]))], ["doc_id", "counts"])
-                at += len(texts)
+            waiting: list[list[np.ndarray]] = []
+            ready = 0
+
+            def rows(upto: int, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                """The rows from ``ready`` on, of the tables that wait."""
+                parts = [np.concatenate(w).astype(np.int32) for w in waiting]
+                ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+                return pa.RecordBatch.from_arrays([batch.column("doc_id").slice(ready, upto - ready), pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *parts]))], ["doc_id", "counts"])
+
+            for found in prefixes.tables(batch.column("text")):
+                for text, part in found:
+                    if text == ready + len(waiting):
+                        waiting.append([np.zeros(1, np.uint32)])
+                    waiting[-1].append(part)
+                # The last one may go on.
+                if len(waiting) > 1:
+                    last = waiting.pop()
+                    yield rows(ready + len(waiting))
+                    ready, waiting = ready + len(waiting), [last]
+            if waiting:
+                yield rows(ready + len(waiting))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, counts array<int>")
 
@@ -484,26 +519,25 @@ def token_counts(docs: DataFrame, path: str, limit: int = TOKEN_LIMIT) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = counter(path)
         for batch in batches:
-            bytes_, tokens, fits = [], [], []
-            for texts in batches_of(batch.column("text")):
-                for text, parts in zip(texts, prefixes.tables(texts, prefixes.known), strict=True):
-                    n = fitting = done = 0
-                    for part in parts:
-                        if len(part):
-                            n = int(part[-1])
-                            if n <= limit:
-                                fitting = done + len(part)
-                            elif len(inside := np.flatnonzero(part <= limit)):
-                                fitting = done + int(inside[-1]) + 1
-                            done += len(part)
-                    bytes_.append(len(text.encode()))
-                    tokens.append(n)
-                    fits.append(fitting)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (bytes_, tokens)), pa.array([n > limit for n in tokens], pa.bool_()), pa.array(fits, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fitting_chars"])
+            n = batch.num_rows
+            bytes_ = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
+            tokens, fits, done = [0] * n, [0] * n, [0] * n
+            for found in prefixes.tables(batch.column("text")):
+                for text, part in found:
+                    if len(part):
+                        tokens[text] = int(part[-1])
+                        # Counts may fall where code points join: the last place within the limit.
+                        if tokens[text] <= limit:
+                            fits[text] = done[text] + len(part)
+                        elif len(inside := np.flatnonzero(part <= limit)):
+                            fits[text] = done[text] + int(inside[-1]) + 1
+                        done[text] += len(part)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), bytes_, pa.array(tokens, pa.int64()), pa.array([t > limit for t in tokens], pa.bool_()), pa.array(fits, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fitting_chars"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fitting_chars long")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text, by token_counts' prefix tables."""
     return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
