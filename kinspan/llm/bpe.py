@@ -655,4 +655,5 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text there and back; see round_trips for odd rows."""
     return round_trips(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

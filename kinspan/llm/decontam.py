@@ -316,6 +316,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_coverage: float =
 
 
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all items; see contaminated for odd rows."""
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
