@@ -68,16 +68,21 @@ def permutation_test(people: DataFrame, replicates: int, seed: int = 0) -> DataF
     (replicate 0) and for phenotypes shuffled within families.
 
     ``people`` has family, individual, phenotype (1, 2) and value. The shuffles follow
-    from hashes, so that they are the same on every run and cluster.
+    from hashes, so that they are the same on every run and cluster. A family is one row
+    that is dealt again within its task for each replicate: replicates are never shuffled,
+    joined or broadcast, and only their sums leave a task.
     """
-    dealt = people.select("family", "individual", "phenotype", "value", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("replicate"))
-    key = F.when(F.col("replicate") == 0, F.lit(0)).otherwise(F.xxhash64("individual", "replicate", F.lit(seed)))
-    shuffled = Window.partitionBy("family", "replicate").orderBy(key, "individual")
-    plain = Window.partitionBy("family", "replicate").orderBy("individual")
-    ranked = dealt.withColumns({"_own": F.row_number().over(plain), "_other": F.row_number().over(shuffled)})
-    phenotypes = ranked.select("family", "replicate", F.col("_own").alias("_place"), "phenotype")
-    values = ranked.select("family", "replicate", F.col("_other").alias("_place"), "value")
-    joined = phenotypes.join(values, ["family", "replicate", "_place"])
+    member = F.struct("individual", "phenotype", "value")
+    families = people.where("family is not null").groupBy("family").agg(F.array_sort(F.collect_list(member)).alias("_members"))
+    dealt = families.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
+
+    def place(m: Column) -> Column:
+        key = F.when(F.col("replicate") == 0, F.lit(0)).otherwise(F.xxhash64(m.individual, F.col("replicate"), F.lit(seed)))
+        return F.struct(key.alias("key"), m.individual.alias("individual"), m.value.alias("value"))
+
+    shuffled = dealt.withColumn("_values", F.array_sort(F.transform("_members", place)))
+    pairs = F.zip_with("_members", "_values", lambda m, v: F.struct(m.phenotype.alias("phenotype"), v.value.alias("value")))
+    joined = shuffled.select("replicate", F.explode(pairs).alias("_p")).select("replicate", "_p.*")
     means = joined.groupBy("replicate").agg(F.avg(F.when(F.col("phenotype") == 2, F.col("value"))).alias("affected"), F.avg(F.when(F.col("phenotype") == 1, F.col("value"))).alias("unaffected"))
     return means.select("replicate", (F.col("affected") - F.col("unaffected")).alias("difference"))
 

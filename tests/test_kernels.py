@@ -128,6 +128,18 @@ def test_permutations_keep_family_totals(spark):
     assert out[0] == 3.0 and set(out.values()) <= {3.0, -3.0, 1.0, -1.0} and len(set(out.values())) > 1
 
 
+def test_replicates_are_neither_joined_nor_broadcast(spark):
+    from kinspan.operators.inference import permutation_test
+
+    rows = [(f, 10 * f + i, 1 + (f + i) % 2, (7 * f + 3 * i) % 11) for f in range(40) for i in range(1 + f % 5)]
+    people = spark.createDataFrame(rows, "family long, individual long, phenotype int, value long")
+    tested = permutation_test(people, 20)
+    assert "Join" not in tested._jdf.queryExecution().optimizedPlan().toString()
+    out = {r.replicate: r.difference for r in tested.collect()}
+    mean = {k: np.mean([v for _, _, p, v in rows if p == k]) for k in (1, 2)}
+    assert len(out) == 21 and out[0] == pytest.approx(mean[2] - mean[1])
+
+
 def test_first_fit_within_islands(spark):
     from kinspan.operators.greedy import first_fit_clusters
 
