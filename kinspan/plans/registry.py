@@ -202,22 +202,19 @@ def asof_segment(spark, sf_dir):
 ANNOTATION_SQL = "WITH " + p.INTERVAL_SQL + ", " + p.REGION_SQL + ", hits AS (SELECT i.iv_id, r.category, sum(least(i.end_pos, r.end_pos) - greatest(i.start_pos, r.start_pos)) AS c FROM interval_ i JOIN region_ r ON i.chrom = r.chrom AND i.start_pos < r.end_pos AND r.start_pos < i.end_pos GROUP BY i.iv_id, r.category)"
 
 
-def _annotated(spark, sf_dir):
-    common = F.least("end_pos", "r_end_pos") - F.greatest("start_pos", "r_start_pos")
-    pairs = intervals.overlap_join(p.interval(spark, sf_dir), p.region(spark, sf_dir), ["chrom"], 32)
-    return pairs.groupBy("iv_id", F.col("r_category").alias("category"), "start_pos", "end_pos").agg(F.sum(common).alias("covered"))
-
-
 @query(ANNOTATION_SQL + " SELECT h.iv_id, category, CAST(c AS BIGINT) AS covered FROM hits h JOIN interval_ i USING (iv_id) WHERE c > 0.25 * (i.end_pos - i.start_pos)")
 def region_annotation(spark, sf_dir):
-    return _annotated(spark, sf_dir).where("covered > 0.25 * (end_pos - start_pos)").select("iv_id", "category", "covered")
+    own = p.interval(spark, sf_dir)
+    found = intervals.overlap_sums(own, p.region(spark, sf_dir), ["chrom"], {"n": F.lit(1)}, 256, by="category").where("n > 0 and n_bases > 0.25 * (end_pos - start_pos)")
+    return own.join(found, ["chrom", "start_pos", "end_pos"]).select("iv_id", "category", F.col("n_bases").alias("covered"))
 
 
 @query(ANNOTATION_SQL + ", total AS (SELECT iv_id, sum(c) AS c FROM hits GROUP BY iv_id) SELECT i.iv_id, i.chrom, i.start_pos, i.end_pos FROM interval_ i LEFT JOIN total t USING (iv_id) WHERE coalesce(c, 0) <= 0.66 * (i.end_pos - i.start_pos)")
 def excluded_regions(spark, sf_dir):
-    total = _annotated(spark, sf_dir).groupBy("iv_id").agg(F.sum("covered").alias("covered"))
-    kept = p.interval(spark, sf_dir).join(total, "iv_id", "left").na.fill(0, ["covered"])
-    return kept.where("covered <= 0.66 * (end_pos - start_pos)").select("iv_id", "chrom", "start_pos", "end_pos")
+    own = p.interval(spark, sf_dir)
+    total = intervals.overlap_sums(own, p.region(spark, sf_dir), ["chrom"], {"n": F.lit(1)}, 256)
+    kept = own.join(total, ["chrom", "start_pos", "end_pos"], "left").na.fill(0, ["n_bases"])
+    return kept.where("n_bases <= 0.66 * (end_pos - start_pos)").select("iv_id", "chrom", "start_pos", "end_pos")
 
 
 COVERAGE_SQL = "WITH " + p.INTERVAL_SQL + """, reach AS (
