@@ -175,8 +175,7 @@ RECIPROCAL_SQL = "WITH " + p.INTERVAL_SQL + ", pairs AS (SELECT a.iv_id, b.iv_id
 
 @query(RECIPROCAL_SQL + " SELECT iv_id, count(*) AS n_partners, min(r_iv_id) AS first_partner FROM pairs GROUP BY iv_id")
 def reciprocal_overlap(spark, sf_dir):
-    pairs = deletions.reciprocal_pairs(p.interval(spark, sf_dir), ["chrom"])
-    return pairs.groupBy("iv_id").agg(F.count("*").alias("n_partners"), F.min("r_iv_id").alias("first_partner"))
+    return deletions.reciprocal_counts(p.interval(spark, sf_dir), ["chrom"])
 
 
 @query(RECIPROCAL_SQL + " SELECT iv_id, sample, chrom, start_pos, end_pos, is_mat FROM interval_ WHERE iv_id NOT IN (SELECT iv_id FROM pairs)")
