@@ -358,7 +358,7 @@ def vector_switches(spark, sf_dir):
     return summaries.vector_switches(rows, TRACK)
 
 
-@query(_sql(p.INTERVAL_SQL, p.REGION_SQL, "steps AS (SELECT chrom, pos, sum(n) AS n FROM (SELECT chrom, start_pos AS pos, 1 AS n FROM interval_ UNION ALL SELECT chrom, end_pos, -1 FROM interval_) x GROUP BY chrom, pos), s AS (SELECT chrom, pos AS start_pos, lead(pos) OVER v AS end_pos, CAST(sum(n) OVER v AS BIGINT) AS score FROM steps WINDOW v AS (PARTITION BY chrom ORDER BY pos)), h AS (SELECT *, lag(end_pos) OVER (PARTITION BY chrom ORDER BY start_pos) AS e FROM s WHERE end_pos IS NOT NULL AND score >= (SELECT quantile_disc(score, 0.9) FROM s WHERE end_pos IS NOT NULL)), r AS (SELECT *, sum(CASE WHEN start_pos <> e THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start_pos ROWS UNBOUNDED PRECEDING) AS g FROM h), k AS (SELECT chrom, min(start_pos) AS start_pos, max(end_pos) AS end_pos, max(score) AS score FROM r GROUP BY chrom, g), a AS (SELECT k.chrom, k.start_pos, max(q.start_pos * 1000000 + q.region_id) AS b FROM k JOIN region_ q ON q.chrom = k.chrom AND q.start_pos <= k.start_pos GROUP BY 1, 2)", "SELECT k.chrom, k.start_pos, k.end_pos, k.score, b % 1000000 AS band FROM k LEFT JOIN a ON k.chrom = a.chrom AND k.start_pos = a.start_pos"))
+@query(_sql(p.INTERVAL_SQL, p.REGION_SQL, "steps AS (SELECT chrom, pos, sum(n) AS n FROM (SELECT chrom, start_pos AS pos, 1 AS n FROM interval_ UNION ALL SELECT chrom, end_pos, -1 FROM interval_) x GROUP BY chrom, pos), s AS (SELECT chrom, pos AS start_pos, lead(pos) OVER v AS end_pos, CAST(sum(n) OVER v AS BIGINT) AS score FROM steps WINDOW v AS (PARTITION BY chrom ORDER BY pos)), h AS (SELECT *, lag(end_pos) OVER (PARTITION BY chrom ORDER BY start_pos) AS e FROM s WHERE end_pos IS NOT NULL AND score >= (SELECT quantile_disc(score, 0.9) FROM s WHERE end_pos IS NOT NULL)), r AS (SELECT *, sum(CASE WHEN start_pos <> e THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start_pos ROWS UNBOUNDED PRECEDING) AS g FROM h), k AS (SELECT chrom, min(start_pos) AS start_pos, max(end_pos) AS end_pos, max(score) AS score FROM r GROUP BY chrom, g), q AS (SELECT chrom, start_pos, max(region_id) AS region_id FROM region_ GROUP BY chrom, start_pos), a AS (SELECT k.chrom, k.start_pos, arg_max(q.region_id, q.start_pos) AS band FROM k JOIN q ON q.chrom = k.chrom AND q.start_pos <= k.start_pos GROUP BY 1, 2)", "SELECT k.chrom, k.start_pos, k.end_pos, k.score, band FROM k LEFT JOIN a ON k.chrom = a.chrom AND k.start_pos = a.start_pos"))
 def peak_intervals(spark, sf_dir):
     scores = intervals.sweep(p.interval(spark, sf_dir), ["chrom"], {"score": F.lit(1)}, 256)
     cutoff = scores.agg(F.expr("percentile_disc(0.9) within group (order by score)")).first()[0] or 0

@@ -53,3 +53,17 @@ def test_query_without_sql_gives_rows(spark, name):
 
 def test_entry_gives_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_bands_of_peaks_with_ids_beyond_a_million(spark, tmp_path):
+    import shutil
+
+    import duckdb
+
+    con = duckdb.connect()
+    shutil.copy(f"{DATA}/orders.parquet", tmp_path / "orders.parquet")
+    con.sql(f"copy (select * replace (p_partkey + 1980000 AS p_partkey) from '{DATA}/part.parquet') to '{tmp_path}/part.parquet' (format parquet)")
+    for t in ("orders", "part"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    rows = _normal(registry.QUERIES["peak_intervals"](spark, str(tmp_path)).toPandas())
+    assert rows == _normal(con.sql(registry.ORACLES["peak_intervals"]).df())
