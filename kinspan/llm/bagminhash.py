@@ -287,8 +287,9 @@ def _classes(exact: DataFrame, rows: DataFrame, most_unequal: int) -> DataFrame:
     signed = rows.select("id", "text").mapInArrow(_sign, "id long, bands array<long>, bits array<long>, size long")
     signed = written(signed.dropDuplicates(["id"]), "signed")
     buckets = signed.select("id", F.posexplode("bands").alias("band", "value"))
-    # Another centre in each band: a text that one centre doesn't catch meets others.
-    picked = [F.min_by("id", F.xxhash64("id", "band", F.lit(k))).alias(f"centre_{k}") for k in range(CENTRES)]
+    # The order of centres is the same in all bands: the bands of a large class have few
+    # different centres among them, and a text meets its class a few times, not once a band.
+    picked = [F.min_by("id", F.xxhash64("id", F.lit(k))).alias(f"centre_{k}") for k in range(CENTRES)]
     centres = buckets.groupBy("band", "value").agg(F.count("*").alias("n"), *picked).where("n > 1").drop("n")
     shared = written(buckets.join(centres, ["band", "value"]), "buckets")
     wanted = shared.select("id").distinct().join(exact, "id").select("id", F.col("least").alias("doc"))

@@ -112,3 +112,20 @@ def test_unlike_signatures_of_like_texts_are_out_of_reach():
     # Bits of a pair at the least likeness differ with probability 0.1 each.
     beyond = sum(comb(256, k) * 0.1**k * 0.9 ** (256 - k) for k in range(bagminhash.MOST_UNEQUAL + 1, 257))
     assert beyond < 1e-14
+
+
+def test_a_large_class_meets_few_centres(spark, monkeypatch):
+    from kinspan.llm import bagminhash
+
+    words = [f"w{i}" for i in range(400)]
+    rows = [(k, " ".join([*words[: 9 * k], f"own{k}", *words[9 * k + 1 :]])) for k in range(40)]
+    made, agreeing = [], bagminhash._agreeing
+
+    def counted(pairs, bits, most_unequal):
+        made.append(pairs.count())
+        return agreeing(pairs, bits, most_unequal)
+
+    monkeypatch.setattr(bagminhash, "_agreeing", counted)
+    found = bagminhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x.class_id, x.class_size) for x in found} == {(0, 40)}
+    assert max(made) <= 10 * len(rows)
