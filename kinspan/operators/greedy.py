@@ -120,8 +120,13 @@ def dedupe_collections(collections: DataFrame, pairs: DataFrame) -> DataFrame:
     weights = collections.select("collection", "weight")
     ends = pairs.join(weights.select(F.col("collection").alias("one"), F.col("weight").alias("w1")), "one").join(weights.select(F.col("collection").alias("two"), F.col("weight").alias("w2")), "two")
     first = (F.col("w1") > F.col("w2")) | ((F.col("w1") == F.col("w2")) & (F.col("one") < F.col("two")))
-    edges = settled(ends.select(F.when(first, F.col("one")).otherwise(F.col("two")).alias("before"), F.when(first, F.col("two")).otherwise(F.col("one")).alias("after")), "edges")
-    dropped = None
+    return keep_first(collections, ends.select(F.when(first, F.col("one")).otherwise(F.col("two")).alias("before"), F.when(first, F.col("two")).otherwise(F.col("one")).alias("after")))
+
+
+def keep_first(collections: DataFrame, edges: DataFrame) -> DataFrame:
+    """``collections`` with is_kept, as ``dedupe_collections`` tells it, from (before, after) of
+    the similar ones."""
+    edges, dropped = settled(edges, "edges"), None
     while not edges.isEmpty():
         waiting = edges.select(F.col("after").alias("before")).distinct()
         kept = edges.select("before").distinct().join(waiting, "before", "left_anti")

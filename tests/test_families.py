@@ -205,3 +205,28 @@ def test_long_intervals_fall_into_two_bins_at_most(spark):
     pairs = stabbed(one, two, ["chrom"])
     assert sorted((x.k, x.r_iv) for x in pairs.collect()) == sorted((k, i) for k, p in points for i, a, b in rows if a <= p < b)
     assert stabbed(one, two.where("false"), ["chrom"]).count() == 0
+
+
+def test_near_collections_by_enumeration(spark):
+    from kinspan.operators.deletions import near_collections
+    from kinspan.operators.greedy import keep_first
+
+    r = random.Random(17)
+    rows = [(k, r.choice([1, 1, 2, None]), s, s + r.choice([0, 3, 40, 44, 90, 100, 104]), r.randint(1, 2)) for k in range(220) for s in [r.randint(-30, 60)]]
+    table = spark.createDataFrame(rows, "iv_id long, chrom int, start_pos long, end_pos long, n_children int")
+    named, sizes, similar = near_collections(table, ["chrom"], 0.9, 0.8)
+    found = named.join(keep_first(sizes, similar), "collection").collect()
+
+    def meets(x, y):
+        n = min(x[3], y[3]) - max(x[2], y[2]) + 1
+        return x[0] == y[0] or (x[1] is not None and x[1] == y[1] and x[2] < y[3] and y[2] < x[3] and n >= 0.9 * (x[3] - x[2] + 1) and n >= 0.9 * (y[3] - y[2] + 1))
+
+    sets = {x[0]: {y[0] for y in rows if meets(x, y)} for x in rows}
+    weights = {k: sum(rows[m][4] for m in s) for k, s in sets.items()}
+    kept = by_loop(sets, weights, 0.8)
+    assert {x.iv_id: (x.n_members, x.weight, x.is_kept and x.iv_id == x.collection) for x in found} == {k: (len(sets[k]), weights[k], kept[k]) for k in sets}
+    assert not all(kept.values())
+    # Neither members nor pairs of members are rows: equal intervals are one place.
+    many = spark.createDataFrame([(k, 1, 5, 50, 1) for k in range(3000)], table.schema)
+    _, sizes, similar = near_collections(many, ["chrom"], 0.9, 0.8)
+    assert [tuple(x) for x in sizes.collect()] == [(0, 3000, 3000)] and similar.isEmpty()
