@@ -5,20 +5,25 @@ of them are deleted (at most one), which maternal and which paternal chromosome
 each child has, and which region class (error profile) the position lies in. The
 first child's chromosomes are fixed as m1 and p1, which removes the mirror images.
 Costs are -log10 of probabilities. The state tables of a family shape are small
-arrays made once in each worker; families are independent, so that the sweeps run
-as a grouped map over (family, chromosome) on NumPy rows.
+arrays made once in each worker; families are independent, so that they are dealt by
+(family, chromosome) and swept side by side on NumPy rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..config import PhaseConfig
 
@@ -180,19 +185,145 @@ def phase_family(positions: pd.DataFrame, costs: np.ndarray, n_children: int, co
 SEGMENTS = "family string, chrom string, seg_idx int, start_pos long, end_pos long, dels array<int>, mat array<int>, pat array<int>, loss_region int, error string"
 
 
+#: Rows times states of the families that a task sweeps side by side.
+CELLS_AT_ONCE = 1 << 20
+
+
+@lru_cache(maxsize=64)
+def followers(n_children: int, config: PhaseConfig) -> tuple[np.ndarray, np.ndarray]:
+    """``transitions`` the other way: for each state those after it and their costs."""
+    before, cost = transitions(n_children, config)
+    dense = np.full((len(before), len(before)), np.inf)
+    np.minimum.at(dense, (np.arange(len(before))[:, None], before), cost)
+    width = int(np.isfinite(dense).sum(0).max())
+    after = np.argsort(dense, axis=0, kind="stable")[:width].T
+    return after, np.take_along_axis(dense, after.T, axis=0).T
+
+
+def paths_of_many(codes: np.ndarray, table: np.ndarray, weights: np.ndarray, first: np.ndarray, n_children: int, config: PhaseConfig) -> np.ndarray:
+    """``best_states`` of several sequences at once. Their rows lie one sequence after another
+    from ``first`` on; ``table[codes]`` are the rows' losses. Step j is one for all that are
+    longer than j."""
+    s = states(n_children, config)
+    before, cost = transitions(n_children, config)
+    after, cost_after = followers(n_children, config)
+    start = (s.deleted.sum(1) == 0) & ((s.mat < 2) & (s.pat > 1)).all(1)
+    length = np.diff(np.append(first, len(codes)))
+    order = np.argsort(-length, kind="stable")
+    length, first = length[order], first[order]
+    v, low = [], []
+    for j in range(length[0]):
+        row = first[: np.searchsorted(-length, -j)] + j
+        loss = weights[row][:, None] * table[codes[row]]
+        low.append((v[-1][: len(row)][:, before] + cost).min(-1) if j else np.where(start, 0.0, np.inf)[None])
+        v.append(low[-1] + loss if j else np.where(start, loss, np.inf))
+    on = np.empty((len(codes), len(s)), bool)
+    later = np.empty((0, len(s)), bool)
+    for j in range(length[0] - 1, -1, -1):
+        now, k = np.empty(v[j].shape, bool), len(later)
+        now[k:] = v[j][k:] <= v[j][k:].min(1, keepdims=True) + config.tie
+        if k:
+            now[:k] = (later[:, after] & (v[j][:k, :, None] + cost_after <= (low[j + 1] + config.tie)[:, after])).any(-1)
+        on[first[: len(now)] + j] = now
+        later = now
+    return on
+
+
+def phase_many(rows: pa.Table, costs: np.ndarray, n_children: int, config: PhaseConfig, known: dict[bytes, np.ndarray]) -> pa.Table:
+    """``phase_family`` of whole families that lie one after another; ``known`` are losses of
+    vectors met before."""
+    s = states(n_children, config)
+    gts = np.asarray(rows["gts"].combine_chunks().flatten(), np.int8).reshape(len(rows), -1)
+    vectors, codes = np.unique(gts, axis=0, return_inverse=True)
+    if len(known) > 1 << 16:
+        known.clear()
+    for vector in vectors:
+        if vector.tobytes() not in known:
+            known[vector.tobytes()] = emission(vector, costs, n_children, config)
+    table = np.stack([known[x.tobytes()] for x in vectors])
+    begins = _begins(rows)
+    on = paths_of_many(codes.ravel(), table, rows["weight"].to_numpy().astype(float), begins, n_children, config)
+    parts = np.concatenate([1 - s.deleted, s.mat, s.pat, s.region[:, None]], axis=1).astype(np.int32)
+    told = np.empty((len(on), parts.shape[1]), np.int32)
+    for k, part in enumerate(parts.T):
+        least, most = np.where(on, part, 127).min(1), np.where(on, part, -127).max(1)
+        told[:, k] = np.where(least == most, least, -1)
+    new = np.ones(len(told), bool)
+    new[1:] = (told[1:] != told[:-1]).any(1)
+    new[begins] = True
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(told)) - 1
+    index = np.arange(len(at)) - np.searchsorted(at, begins)[np.searchsorted(begins, at, "right") - 1]
+
+    def lists(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), pa.int32()))
+
+    c, told = n_children, told[at]
+    return pa.table({
+        "family": rows["family"].take(at), "chrom": rows["chrom"].take(at), "seg_idx": pa.array(index, pa.int32()),
+        "start_pos": rows["start_pos"].take(at), "end_pos": rows["end_pos"].take(last),
+        "dels": lists(told[:, :4]), "mat": lists(told[:, 4 : 4 + c]), "pat": lists(told[:, 4 + c : 4 + 2 * c]),
+        "loss_region": pa.array(told[:, -1], pa.int32()), "error": pa.nulls(len(at), pa.string()),
+    })
+
+
+def _begins(rows: pa.Table) -> np.ndarray:
+    """Where the sequences of (family, chrom) begin."""
+    new = np.ones(len(rows), bool)
+    for c in ("family", "chrom"):
+        x = rows[c].combine_chunks()
+        here = pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)
+        new[1:] = here if c == "family" else new[1:] | here
+    return np.flatnonzero(new)
+
+
 def phase(observations: DataFrame, costs: np.ndarray, n_children: int, config: PhaseConfig) -> DataFrame:
     """Segments of all families of one size. ``observations`` has family, chrom,
-    start_pos, end_pos, weight, gts; a family that fails gives one row with its error."""
+    start_pos, end_pos, weight, gts; a family that fails gives one row with its error.
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        columns = [c.split(" ")[0] for c in SEGMENTS.split(", ")]
-        try:
-            found = phase_family(group.sort_values("start_pos"), costs, n_children, config).assign(error=None)
-        except Exception as failed:  # one family must not end the job
-            found = pd.DataFrame([{"error": repr(failed)}], columns=columns)
-        return found.assign(family=str(key[0]), chrom=str(key[1]))[columns]
-
-    return observations.groupBy("family", "chrom").applyInPandas(run, SEGMENTS)
+    Families pass through a task in order, and some of them are swept side by side: a step of
+    the model costs about as much for many as for one.
+    """
+    schema = to_arrow_schema(StructType.fromDDL(SEGMENTS))
+
+    def one_by_one(rows: pa.Table) -> Iterator[pa.Table]:
+        begins = _begins(rows)
+        for lo, hi in zip(begins, np.append(begins[1:], len(rows)), strict=True):
+            group = rows.slice(lo, hi - lo).to_pandas()
+            try:
+                found = phase_family(group, costs, n_children, config).to_dict("records")
+            except Exception as failed:  # one family must not end the job
+                found = [{"error": repr(failed)}]
+            named = {"family": group["family"].iloc[0], "chrom": group["chrom"].iloc[0]}
+            yield pa.Table.from_pylist([named | row for row in found], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, np.ndarray] = {}
+
+        def swept(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            try:
+                found = [phase_many(rows, costs, n_children, config, known)]
+            except Exception:  # a family that fails is found by itself
+                found = one_by_one(rows)
+            for x in found:
+                yield from x.to_batches()
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) * len(states(n_children, config)) >= CELLS_AT_ONCE:
+                rows = pa.Table.from_batches(held)
+                # The last sequence may go on.
+                whole = int(_begins(rows)[-1])
+                if whole:
+                    yield from swept(rows.slice(0, whole))
+                    held = rows.slice(whole).to_batches()
+        if sum(map(len, held)):
+            yield from swept(pa.Table.from_batches(held))
+
+    named = observations.select(*[F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(c) for c in ("family", "chrom")], *[F.col(c).cast("long").alias(c) for c in ("start_pos", "end_pos")], "weight", "gts")
+    dealt = named.repartition("family", "chrom").sortWithinPartitions("family", "chrom", "start_pos")
+    return dealt.mapInArrow(run, SEGMENTS)
 
 
 def observations(genotypes: DataFrame, members: DataFrame, keys: list[str] = ["chrom"]) -> DataFrame:  # noqa: B006

@@ -161,3 +161,19 @@ def test_union_coverage_counts_all_partners(spark, monkeypatch):
     covered = {i: sum((c, b) in held for b in range(s, e)) for i, c, m, s, e in rows if m == 1}
     assert found == {i: (covered[i], round(covered[i] / (e - s), 6)) for i, _, m, s, e in rows if m == 1}
     assert any(covered.values())
+
+
+def test_families_side_by_side_are_as_one_by_one(spark, monkeypatch):
+    rng, config, costs = np.random.default_rng(3), PhaseConfig(deletion=2.0, maternal_crossover=1.5, paternal_crossover=1.7), hmm.uniform_costs(4, 1)
+    monkeypatch.setattr(hmm, "CELLS_AT_ONCE", 1500)
+    rows = [(k // 2, f"chr{k % 2}", 3 * i, 3 * i + 2, int(rng.integers(1, 4)), [int(x) for x in rng.integers(-1, 3, 4)]) for k in range(14) for i in range(int(rng.integers(1, 40)))]
+    bad = [(99, "chr1", 5, 6, 1, [1, 2])]
+    table = spark.createDataFrame(rows + bad, "family long, chrom string, start_pos long, end_pos long, weight long, gts array<int>")
+    found = sorted(map(tuple, hmm.phase(table.repartition(3), costs, 2, config).collect()), key=lambda x: (x[0], x[1], x[2] or 0))
+    columns = ["start_pos", "end_pos", "dels", "mat", "pat", "loss_region"]
+    expected = []
+    for key, group in pd.DataFrame(rows, columns=["family", "chrom", "start_pos", "end_pos", "weight", "gts"]).groupby(["family", "chrom"]):
+        told = hmm.phase_family(group.reset_index(drop=True), costs, 2, config)
+        expected += [(str(key[0]), key[1], int(x.seg_idx), *[[int(v) for v in x[c]] if isinstance(x[c], np.ndarray) else int(x[c]) for c in columns], None) for _, x in told.iterrows()]
+    assert [x for x in found if x[0] != "99"] == expected
+    assert [x[-1] is not None for x in found if x[0] == "99"] == [True]
